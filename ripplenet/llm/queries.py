@@ -9,8 +9,41 @@ from pyspark.sql import functions as F
 
 from . import common as c
 from .diffcover import remove_repeated_windows
+from .hilbert import hilbert_shards
+from .html_paths import extract_pages
+from .langid import identify
 from .prefix_free import remove_repeated_bytes
+from .quality_rules import quality_verdicts
 from .superminhash import near_duplicates
+from .url_filter import judge_urls
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_verdicts(c.table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = hilbert_shards(c.table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+def op3_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(c.table(spark, sf_dir, "pages"))
+
+
+def op4_url_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(c.table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def held_out(id_col: str = "doc_id"):
+    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) == 0
+
+
+def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = c.table(spark, sf_dir, "documents")
+    out = identify(docs, docs.where(~held_out()))
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "languages", "shares")
 
 
 def op6_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +60,17 @@ def op10_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_superminhash, op7_prefix_free, op10_difference_cover)}
+    found = (
+        op1_quality_rules,
+        op2_hilbert_shards,
+        op3_tag_paths,
+        op4_url_segments,
+        op5_language_mixture,
+        op6_superminhash,
+        op7_prefix_free,
+        op10_difference_cover,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
