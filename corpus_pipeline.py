@@ -1,15 +1,75 @@
-"""Training-corpus pipeline over the documents table."""
+"""Training-corpus pipeline over the documents table.
+
+Each stage takes (spark, docs, sf_dir), where docs is what the stage before has written, and returns a
+DataFrame.  All but the last return the columns of documents.  Rows without a doc_id can't be judged
+and leave at the first stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ripplenet.llm import common as c
+from ripplenet.llm.hilbert import hilbert_shards
+from ripplenet.llm.langid import identify
+from ripplenet.llm.soft_mixing import mix_to_targets, quality_domains
+from ripplenet.llm.superminhash import near_duplicates
+from ripplenet.llm.templates import contaminated
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Least share that one language must hold of a document.
+MIN_LANGUAGE_SHARE = 0.5
+#: Factors on the present expected tokens of each quality domain.
+TARGETS = {"good": 1.0, "low": 0.5, "toxic": 0.0}
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which one language holds its share; those without a letter go."""
+    docs = docs.where("doc_id is not null").select(*COLUMNS)
+    found = identify(docs, docs, carry=True).where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SHARE))
+    return found.select("row.*")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    kept = near_duplicates(docs, shingle_words=5, percent=80).where("kept")
+    return docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, also none with other parameters."""
+    leaks = contaminated(docs, c.table(spark, sf_dir, "benchmark")).where("contaminated")
+    return docs.join(leaks.select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the fitted rates draw; a document is used once at most."""
+    labels = quality_domains(c.table(spark, sf_dir, "labels"))
+    drawn = mix_to_targets(docs, labels, TARGETS, relative=True, max_rate=1.0).where("copies > 0")
+    return docs.join(drawn.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, with its text and metadata."""
+    placed = hilbert_shards(docs).select("doc_id", "size", "text_crc32", "curve", "shard", "slot")
+    return docs.join(placed, "doc_id")
+
 
-STAGES: list = []
+STAGES: list = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("sharding", sharding),
+]
+#: SuperMinHash groups, EM and gradient steps have no SQL form; tests compare stages with brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    scratch = c.Scratch(spark, "pipeline")
+    for name, stage in STAGES:
+        docs = scratch.table(stage(spark, docs, sf_dir), name, keep=True)
     return docs

@@ -24,29 +24,43 @@ class Scratch:
 
     ``spark.checkpoint.dir`` names that folder; a temporary folder stands in only where
     it is unset (one machine, as in tests).  Tables written with ``keep=False``
-    disappear at :meth:`clear`; the operator's result is kept.
+    disappear at :meth:`drop` or :meth:`clear`; the operator's result is kept.  A table once
+    written needs no shuffle files any more, so these go at the end of each write.
     """
 
+    CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
     def __init__(self, spark: SparkSession, label: str):
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
             root = tempfile.mkdtemp(prefix="ripplenet-")
             spark.conf.set("spark.checkpoint.dir", root)
-        self.spark, self.root, self.paths = spark, f"{root}/{label}-{uuid.uuid4().hex}", []
+        self.spark, self.root, self.paths, self.written = spark, f"{root}/{label}-{uuid.uuid4().hex}", [], 0
 
     def table(self, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-        path = f"{self.root}/{name}-{len(self.paths)}"
-        df.write.mode("overwrite").parquet(path)
-        self.paths.append((path, keep))
+        self.written += 1
+        path = f"{self.root}/{name}-{self.written}"
+        before = self.spark.conf.get(self.CLEANUP, "false")
+        self.spark.conf.set(self.CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(self.CLEANUP, before)
+        if not keep:
+            self.paths.append((name, path))
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def clear(self) -> None:
+    def drop(self, *names: str) -> None:
+        """Deletes the tables written under these names so far."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for path, keep in self.paths:
-            if not keep:
+        for name, path in self.paths:
+            if name in names:
                 where = jvm.org.apache.hadoop.fs.Path(path)
                 where.getFileSystem(conf).delete(where, True)
-        self.paths = [x for x in self.paths if x[1]]
+        self.paths = [x for x in self.paths if x[0] not in names]
+
+    def clear(self) -> None:
+        self.drop(*[name for name, _ in self.paths])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

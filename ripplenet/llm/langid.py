@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as c
 
@@ -116,8 +117,8 @@ def _predict(model, langs: list[str], most: int, rounds: int):
                     sets.append([])
                     parts.append([])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(preds), pa.array(scores), pa.array(sets, pa.list_(pa.string())), pa.array(parts, pa.list_(pa.float64()))],
-                ["doc_id", "lang_pred", "score", "languages", "shares"],
+                [batch.column(0), pa.array(preds), pa.array(scores), pa.array(sets, pa.list_(pa.string())), pa.array(parts, pa.list_(pa.float64())), *batch.columns[2:]],
+                ["doc_id", "lang_pred", "score", "languages", "shares", *batch.schema.names[2:]],
             )
 
     return run
@@ -144,16 +145,20 @@ def identify(
     lang_col: str = "lang",
     max_languages: int = 3,
     rounds: int = 8,
+    carry: bool = False,
 ) -> DataFrame:
     """(doc_id, lang_pred, score, languages, shares) for every row of ``docs``.
 
-    Only the text of ``docs`` is read.  ``score`` is the share of the predicted language in the selected
+    With ``carry`` the row's own columns follow as one struct ``row``, which saves a join.
+    Only the text of ``docs`` is judged.  ``score`` is the share of the predicted language in the selected
     mixture.  Null texts, texts without a letter, and all texts when nothing is labelled
     are ``und`` with score 0.  Ties go to the language first in order.  Rows are judged one by one, so
     repeated ids and extra columns do no harm.
     """
     langs, logp = train(labelled, lang_col=lang_col, text_col=text_col)
     model = docs.sparkSession.sparkContext.broadcast(logp)
-    return c.text_bytes(docs, id_col, text_col).mapInArrow(
-        _predict(model, langs, max_languages, rounds), "doc_id long, lang_pred string, score double, languages array<string>, shares array<double>"
+    slim = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("raw"), *[F.struct(*docs.columns).alias("row")] * carry
     )
+    schema = T.StructType.fromDDL("doc_id long, lang_pred string, score double, languages array<string>, shares array<double>")
+    return slim.mapInArrow(_predict(model, langs, max_languages, rounds), T.StructType([*schema.fields, *slim.schema.fields[2:]]))

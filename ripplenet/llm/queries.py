@@ -14,7 +14,9 @@ from .html_paths import extract_pages
 from .langid import identify
 from .prefix_free import remove_repeated_bytes
 from .quality_rules import quality_verdicts
+from .soft_mixing import mix_to_targets, quality_domains
 from .superminhash import near_duplicates
+from .templates import contaminated
 from .url_filter import judge_urls
 
 
@@ -55,6 +57,16 @@ def op7_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("span_starts").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op8_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = quality_domains(c.table(spark, sf_dir, "labels"))
+    return mix_to_targets(c.table(spark, sf_dir, "documents"), labels, {"good": 0.95, "low": 0.05, "toxic": 0.0})
+
+
+def op9_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = contaminated(c.table(spark, sf_dir, "documents"), c.table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "contaminated", "item_ids", "covered_words")
+
+
 def op10_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_windows(c.table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -68,6 +80,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op5_language_mixture,
         op6_superminhash,
         op7_prefix_free,
+        op8_soft_mixing,
+        op9_template_leaks,
         op10_difference_cover,
     )
     return {f.__name__: f for f in found}
