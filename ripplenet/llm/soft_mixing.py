@@ -86,32 +86,38 @@ def _rounded(x: Column) -> Column:
     return F.sum(x.cast("decimal(38,9)")).cast("double")
 
 
-def fit_rates(rows: DataFrame, targets: list[float], scratch: c.Scratch, *, max_rate: float, rounds: int, tolerance: float) -> tuple[DataFrame, list[float]]:
-    """(p0, p1, ..., rate) for each posterior, and the residual of each domain as a share of all tokens.
+def rate_after(moves: list[list[float]], max_rate: float) -> Column:
+    """Rate of a document (columns p0, p1, ...) after these steps from rate 1."""
+    rate = F.lit(1.0)
+    for move in moves:
+        shift = reduce(lambda x, y: x + y, [F.col(f"p{i}") * F.lit(m) for i, m in enumerate(move)])
+        rate = F.least(F.greatest(rate - shift, F.lit(0.0)), F.lit(float(max_rate)))
+    return rate
 
-    ``rows`` are (p0, p1, ..., tokens), summed over equal posteriors, for these move alike.  Minimises sum over domains of (expected - target)^2 / h, h being the domain's sum of tokens * p^2, over
+
+def fit_moves(points: DataFrame, targets: list[float], *, max_rate: float, rounds: int, tolerance: float) -> tuple[list[list[float]], list[float]]:
+    """Steps of the descent, and the residual of each domain as a share of all tokens.
+
+    ``points`` are (p0, p1, ..., tokens), summed over equal posteriors, for these move alike.  Minimises
+    sum over domains of (expected - target)^2 / h, h being the domain's sum of tokens * p^2, over
     0 <= rate <= max_rate, from rate 1.  Steps divide by a document's tokens; the step size is
-    one over the largest row sum of the scaled Hessian.
+    one over the largest row sum of the scaled Hessian.  One row of sums a round reaches the driver.
     """
     k = len(targets)
     grid = [(i, j) for i in range(k) for j in range(i, k)]
-    first = rows.agg(F.sum("tokens").alias("all"), *[_rounded(F.col("tokens") * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"h{i}_{j}") for i, j in grid]).first()
+    first = points.agg(F.sum("tokens").alias("all"), *[_rounded(F.col("tokens") * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"h{i}_{j}") for i, j in grid]).first()
     total = float(first["all"] or 0) or 1.0
     hess = [[(first[f"h{min(i, j)}_{max(i, j)}"] or 0.0) / total for j in range(k)] for i in range(k)]
     scale = [max(hess[i][i], 1e-9) for i in range(k)]
-    step = 1 / max(sum(hess[i][j] / math.sqrt(scale[i] * scale[j]) for j in range(k)) for i in range(k)) if rows and k else 1.0
-    rate, state, residual = F.lit(1.0), rows, [0.0] * k
+    step = 1 / max(1e-9, *[sum(hess[i][j] / math.sqrt(scale[i] * scale[j]) for j in range(k)) for i in range(k)])
+    moves, residual = [], [0.0] * k
     for at in range(rounds):
-        got = state.agg(*[_rounded(rate * F.col("tokens") * F.col(f"p{i}")).alias(f"t{i}") for i in range(k)]).first()
+        got = points.agg(*[_rounded(rate_after(moves, max_rate) * F.col("tokens") * F.col(f"p{i}")).alias(f"t{i}") for i in range(k)]).first()
         last, residual = residual, [((got[f"t{i}"] or 0.0) - targets[i]) / total for i in range(k)]
         if at and max(abs(x - y) for x, y in zip(last, residual, strict=True)) < tolerance:
             break
-        move = reduce(lambda x, y: x + y, [F.col(f"p{i}") * F.lit(step * residual[i] / scale[i]) for i in range(k)])
-        rate = F.least(F.greatest(rate - move, F.lit(0.0)), F.lit(float(max_rate)))
-        if at % 10 == 9:  # keeps the expression short
-            state = scratch.table(state.withColumn("rate", F.round(rate, 9)), "rates")
-            rate = F.col("rate")
-    return state.withColumn("rate", F.round(rate, 6)), residual
+        moves.append([step * r / h for r, h in zip(residual, scale, strict=True)])
+    return moves, residual
 
 
 def mix_to_targets(
@@ -158,8 +164,8 @@ def mix_to_targets(
         goals = [targets.get(d, 0.0) / weight * float(now["all"] or 0) for d in domains]
     names = [f"p{i}" for i in range(len(domains))]
     points = scratch.table(rows.groupBy(*names).agg(F.sum("tokens").alias("tokens")), "points")
-    fitted, _ = fit_rates(points, goals, scratch, max_rate=max_rate, rounds=rounds, tolerance=tolerance)
-    rated = rows.join(fitted.select(*names, "rate"), names)
+    moves, _ = fit_moves(points, goals, max_rate=max_rate, rounds=rounds, tolerance=tolerance)
+    rated = rows.withColumn("rate", F.round(rate_after(moves, max_rate), 6))
     best = F.greatest(*[F.col(f"p{i}") for i in range(len(domains))]) if len(domains) > 1 else F.col("p0")
     named = F.coalesce(*[F.when(F.col(f"p{i}") == best, F.lit(d)) for i, d in enumerate(domains)])
     posterior = F.create_map(*[x for i, d in enumerate(domains) for x in (F.lit(d), F.col(f"p{i}"))])
