@@ -8,8 +8,9 @@ any of earlier steps, so a document stops as soon as all its slots are filled.
 Plan: one scan makes (set size, 128-bit set fingerprint, band keys) per document; equal
 sets collapse to one class, aggregated map-side, before anything else; classes meet in
 bands; each meets the band's smallest class, and pairs are confirmed on the full
-sets; what a band still holds in different components is then compared exactly, less
-those pairs already judged.  No bucket is capped and no signature estimate decides.
+sets; a band's members that are then still outside the leader's component are compared exactly
+with blocks of all its members.  No pairs are listed, no bucket is capped and no signature
+estimate decides.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from . import common as c
 
 #: Steps work on so many elements at a time.
 CHUNK = 20_000
+#: Elements of a block of sets that a late member is compared with.
+BLOCK = 1 << 16
 UNSET = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -127,6 +130,26 @@ def _sets(k: int):
     return run
 
 
+def _against(percent: int):
+    """Links of one set with a block of others, both exact."""
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for i, own, others in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                own = own.values.to_numpy()
+                reps, members = (others.values.field(k) for k in range(2))
+                n = members.value_lengths().to_numpy()
+                flat = members.flatten().to_numpy()
+                at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                shared = np.add.reduceat((own[at] == flat).astype(np.int64), np.r_[0, np.cumsum(n)[:-1]])
+                ok = 100 * shared >= percent * (len(own) + n - shared)
+                found += [(min(i, r), max(i, r)) for r in reps.to_numpy()[ok].tolist() if r != i]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(2)], ["a", "b"])
+
+    return run
+
+
 def _linked(na: Column, nb: Column, shared: Column, percent: int) -> Column:
     return 100 * shared >= percent * (na + nb - shared)
 
@@ -207,19 +230,18 @@ def near_duplicates(
 
     links = confirmed(first, "links")
     labels = components(links, scratch, "c1")
-    # bands that still hold members of different components: their untested pairs, exactly
-    placed = met.join(labels, met.rep == labels.node, "left").select("band", "rep", "n", F.coalesce("label", "rep").alias("label"))
-    mixed = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo < hi and size > 2")
-    open_ = scratch.table(placed.join(mixed.select("band"), "band"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    rest = (
-        x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")))
-        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
-        .where(near)
-        .distinct()
-        .join(first.select("a", "b"), ["a", "b"], "left_anti")
-    )
-    more = confirmed(rest, "more")
+    # bands that still hold several components: their members outside the leader's component meet all others
+    lead = F.col("lead.rep")
+    placed = met.join(labels, met.rep == labels.node, "left").select("band", "rep", "n", F.coalesce("label", "rep").alias("label"), (lead == F.col("rep")).alias("leads"))
+    mixed = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"), F.max(F.when(F.col("leads"), F.col("label"))).alias("g"))
+    mixed = mixed.where("lo < hi and size > 2").select("band", "g")
+    open_ = scratch.table(placed.join(mixed, "band").select("g", "rep", "n", "label").distinct(), "open")
+    cuts = open_.groupBy("g").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    filed = open_.join(cuts, "g").join(sets.withColumnRenamed("id", "rep"), "rep")
+    blocks = filed.groupBy("g", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block")).agg(F.collect_list(F.struct("rep", "members")).alias("others"))
+    late = filed.where("label <> g").select("g", F.col("rep").alias("id"), F.col("members").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    pairs = late.join(blocks, ["g", "block"]).select("id", "own", "others").mapInArrow(_against(percent), "a long, b long")
+    more = scratch.table(pairs.distinct(), "more")
     if not more.isEmpty():
         labels = components(links.union(more), scratch, "c2")
     ids = classes.join(labels, classes.rep == labels.node, "left").select("fp1", "fp2", "n", F.coalesce("label", "rep").alias("component_id"))
