@@ -15,7 +15,7 @@ so far are neighbours, and the class of such neighbours is what is counted.
    representative per class gives the fingerprints of its phrase suffixes with the parse prefix,
    weighted by the class's count; those of total weight two or more are repeated.
 
-No text, group or dictionary passes through one task or the driver; fingerprints of 128 bits
+No text, group or dictionary passes through one task or the driver; fingerprints of 96 bits
 stand for the suffixes' bytes.
 """
 
@@ -90,7 +90,7 @@ def _suffixes(length: int):
                 for a in range(0, len(x), 1 << 17):
                     s = x[a : a + (1 << 17)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(c.signed(w.hashes(s, s + length))) for w in (first, second)]
+                        [pa.array(c.signed(first.hashes(s, s + length))), pa.array((second.hashes(s, s + length) >> np.uint64(32)).astype(np.uint32).view(np.int32))]
                         + [pa.array(np.full(len(s), doc, np.int64)), pa.array(s.astype(np.int32)), pa.array(weight[a : a + len(s)].astype(np.int32))],
                         ["h1", "h2", "doc_id", "x", "weight"],
                     )
@@ -153,9 +153,12 @@ def remove_repeated_bytes(
     ids = settled.select("doc_id").union(jobs.select("doc_id")).distinct()
     affected = scratch.table(raw.join(ids, "doc_id", "left_semi"), "affected")
 
-    windows = affected.join(jobs, "doc_id").mapInArrow(_suffixes(length), "h1 long, h2 long, doc_id long, x int, weight int")
-    windows = scratch.table(windows, "windows")
+    scratch.drop("classes")
+
+    # the windows are made twice rather than written: they are many times the text
+    windows = affected.join(jobs, "doc_id").mapInArrow(_suffixes(length), "h1 long, h2 int, doc_id long, x int, weight int")
     repeated = windows.groupBy("h1", "h2").agg(F.sum("weight").alias("w")).where("w > 1").select("h1", "h2")
+    repeated = scratch.table(repeated, "repeated")
     found = (
         windows.where("weight = 1")
         .join(repeated, ["h1", "h2"], "left_semi")
