@@ -9,7 +9,8 @@ value of the document and the other way round, as in a question asked anew with
 
 Only DataFrame functions are used.  The documents are read once for the window hashes, which meet the
 benchmark's hashes in a broadcast join while these are few and in a salted join beyond; hits
-aggregate per document, and only documents with a long enough stretch are read again.
+aggregate per document, and only documents with a long enough stretch are read again (their ids
+are broadcast up to a number, joined by shuffle beyond it).
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ NUMBER, UNIT, NAME, POINT = "\x01", "\x02", "\x03", "\x04"
 WORD = r"\p{L}\p{N}\p{M}\x04"
 #: A benchmark of at most so many window hashes is broadcast.
 BROADCAST_WINDOWS = 1 << 18
+#: So many documents with a stretch are found by a broadcast of their ids.
+BROADCAST_IDS = 1 << 20
 SALTS = 32
 
 
@@ -164,7 +167,9 @@ def contaminated(
     lined = lined.join(items, "item_id").where(F.size("cover") >= F.least(F.lit(min_words), F.size("raw")))
     lined = scratch.table(lined, "lined")
 
-    texts = own.join(lined.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", raw_words(spaced(F.col("text"))).alias("doc_words"))
+    ids = lined.select("doc_id").distinct()
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids  # else texts of all documents are shuffled
+    texts = own.join(ids, "doc_id", "left_semi").select("doc_id", raw_words(spaced(F.col("text"))).alias("doc_words"))
     judged = lined.join(texts, "doc_id").withColumn(
         "pairs",
         F.transform(
