@@ -15,13 +15,14 @@ from ripplenet.llm.hilbert import hilbert_shards
 from ripplenet.llm.langid import identify
 from ripplenet.llm.soft_mixing import mix_to_targets, quality_domains
 from ripplenet.llm.superminhash import near_duplicates
-from ripplenet.llm.templates import contaminated
+from ripplenet.llm.templates import BROADCAST_IDS, contaminated
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Least share that one language must hold of a document.
 MIN_LANGUAGE_SHARE = 0.5
 #: Factors on the present expected tokens of each quality domain.
 TARGETS = {"good": 1.0, "low": 0.5, "toxic": 0.0}
+# Joins by id carry the "merge" hint where the ids grow with the corpus: one plan at every size.
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,26 +35,27 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
     kept = near_duplicates(docs, shingle_words=5, percent=80).where("kept")
-    return docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+    return docs.join(kept.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, also none with other parameters."""
-    leaks = contaminated(docs, c.table(spark, sf_dir, "benchmark")).where("contaminated")
-    return docs.join(leaks.select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    leaks = contaminated(docs, c.table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
+    leaks = F.broadcast(leaks) if leaks.count() <= BROADCAST_IDS else leaks
+    return docs.join(leaks, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the fitted rates draw; a document is used once at most."""
     labels = quality_domains(c.table(spark, sf_dir, "labels"))
     drawn = mix_to_targets(docs, labels, TARGETS, relative=True, max_rate=1.0).where("copies > 0")
-    return docs.join(drawn.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+    return docs.join(drawn.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*COLUMNS)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shard and slot of every document, with its text and metadata."""
     placed = hilbert_shards(docs).select("doc_id", "size", "text_crc32", "curve", "shard", "slot")
-    return docs.join(placed, "doc_id")
+    return docs.join(placed.hint("merge"), "doc_id")
 
 
 STAGES: list = [
