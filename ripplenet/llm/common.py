@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,6 +20,11 @@ WORD_CACHE = 1 << 18
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
+@functools.cache
+def _local_root(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"ripplenet-{application}-")
+
+
 class Scratch:
     """Tables that cut lineage, in the folder all executors share.
 
@@ -31,10 +37,7 @@ class Scratch:
     CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
     def __init__(self, spark: SparkSession, label: str):
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            root = tempfile.mkdtemp(prefix="ripplenet-")
-            spark.conf.set("spark.checkpoint.dir", root)
+        root = spark.conf.get("spark.checkpoint.dir", None) or _local_root(spark.sparkContext.applicationId)
         self.spark, self.root, self.paths, self.written = spark, f"{root}/{label}-{uuid.uuid4().hex}", [], 0
 
     def table(self, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
