@@ -19,8 +19,8 @@ HIT_EDGES = (0, 6, 12, 24, 48, 72, 120, 168)
 CREDIT_RATE, ACCELERATION_RATE, EXTENSION_RATE, RESTRUCTURE_RATE = 0.6, 0.0005, 0.0004, 0.01
 
 
-def col(x: Column | str) -> Column:
-    return F.col(x) if isinstance(x, str) else x
+def col(x: Column | str | float) -> Column:
+    return F.col(x) if isinstance(x, str) else x if isinstance(x, Column) else F.lit(x)
 
 
 # money and time
@@ -140,11 +140,11 @@ def discount(t: Column | str, rate: float) -> Column:
     return F.exp(-F.lit(rate) * col(t))
 
 
-def lognormal_mean(mu: Column | str, sigma: Column | str, floor: Column | str = F.lit(0.0)) -> Column:
+def lognormal_mean(mu: Column | str, sigma: Column | str, floor: Column | str | float = 0.0) -> Column:
     return col(floor) + F.exp(col(mu) + col(sigma) * col(sigma) / 2)
 
 
-def lognormal_median(mu: Column | str, floor: Column | str = F.lit(0.0)) -> Column:
+def lognormal_median(mu: Column | str, floor: Column | str | float = 0.0) -> Column:
     return col(floor) + F.exp(col(mu))
 
 
@@ -175,12 +175,12 @@ def normal_quantile(p: Column | str) -> Column:
     return F.when(col(p) >= 0.5, z).otherwise(-z)
 
 
-def lognormal_cdf(x: Column | str, mu: Column | str, sigma: Column | str, floor: Column | str = F.lit(0.0)) -> Column:
+def lognormal_cdf(x: Column | str, mu: Column | str, sigma: Column | str, floor: Column | str | float = 0.0) -> Column:
     u = col(x) - col(floor)
     return F.when(u > 0, normal_cdf((F.log(u) - col(mu)) / col(sigma))).otherwise(F.lit(0.0))
 
 
-def lognormal_quantile(p: Column | str, mu: Column | str, sigma: Column | str, floor: Column | str = F.lit(0.0), cap: float = math.inf) -> Column:
+def lognormal_quantile(p: Column | str, mu: Column | str, sigma: Column | str, floor: Column | str | float = 0.0, cap: float = math.inf) -> Column:
     return F.least(col(floor) + F.exp(col(mu) + col(sigma) * normal_quantile(p)), F.lit(cap))
 
 

@@ -9,14 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # States of a payment record in their order, final ones, and reasons of rejection.
 RANKS = {"unknown": 0, "planned": 1, "submitted": 2, "pending": 3, "held": 4, "succeeded": 5, "failed": 5}
 FINAL = ("succeeded", "failed")
 REASONS = ("not_an_object", "no_id", "no_amount", "non_positive_amount", "no_created_at", "unsettled_status", "unknown_parties", "self_payment", "duplicate")
 
-RAW = T.StructType.fromDDL("id string, amount double, created_at long, currency string, status string, payer string, payee string, customer_id string, contact_id string, notes struct<payer_merchant_id:string, payee_merchant_id:string>")
+RAW = "id string, amount double, created_at long, currency string, status string, payer string, payee string, customer_id string, contact_id string, notes struct<payer_merchant_id:string, payee_merchant_id:string>"
 
 
 def rank(state: Column) -> Column:
