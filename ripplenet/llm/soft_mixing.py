@@ -38,19 +38,22 @@ def fraction_of(key: Column, salt: str) -> Column:
 
 
 def fit_words(
-    docs: DataFrame, labels: DataFrame, scratch: c.Scratch, *, max_labelled: int, min_docs: int, min_ratio: float, smoothing: float
+    docs: DataFrame, labels: DataFrame, scratch: c.Scratch, *, max_labelled: int, min_docs: int, min_ratio: float, min_z: float, smoothing: float
 ) -> tuple[list[str], dict[str, float], DataFrame]:
     """Domains, their shares and the (word, domain weights) of words that tell domains apart.
 
-    Naive Bayes over the presence of words in the labelled sample's distinct texts.  About
+    Naive Bayes over the presence of words in the labelled sample, one document of each family of near copies.  About
     ``max_labelled`` labelled rows are taken, by a hash of the id.
     """
     labels = labels.where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
     n = labels.count()
     sample = labels.where(fraction_of(F.col("doc_id"), "sample") < 0.9 * max_labelled / max(n, 1)) if n > 0.9 * max_labelled else labels
     rows = docs.join(F.broadcast(sample), "doc_id").where(F.col("text").isNotNull())  # at most about max_labelled rows
-    rows = rows.select("domain", "text").groupBy(F.xxhash64("text").alias("h"), F.md5("text").alias("m")).agg(F.min("domain").alias("domain"), F.first("text").alias("text"))
-    bags = scratch.table(rows.select("domain", F.array_distinct(tokens(F.col("text"))).alias("words")), "bags")
+    bags = rows.select("domain", F.array_sort(F.array_distinct(tokens(F.col("text")))).alias("words")).where(F.size("words") > 0)
+    # near copies agree in three min-hashes of their words: one of each family speaks for it
+    slots = [F.array_min(F.transform("words", lambda w: F.xxhash64(w, F.lit(i)))).alias(f"slot{i}") for i in range(3)]
+    family = bags.select(*slots, F.struct(F.xxhash64("words").alias("h"), "domain", "words").alias("bag")).groupBy("slot0", "slot1", "slot2").agg(F.min("bag").alias("bag"))
+    bags = scratch.table(family.select("bag.domain", "bag.words"), "bags")
     sizes = {r.domain: r.n for r in bags.groupBy("domain").agg(F.count("*").alias("n")).collect()}  # one row a domain
     domains = sorted(sizes)
     total = sum(sizes.values())
@@ -59,6 +62,10 @@ def fit_words(
     counts = counts.where(F.col("n") >= min_docs)
     prior = F.col("n") / F.lit(float(max(total, 1)))
     weights = [F.log((F.col(f"n{i}") + smoothing * prior) / F.lit(sizes[d] + smoothing) / prior) for i, d in enumerate(domains)]
+    # a word tells only if its count in some domain is far from what the domain's share lets expect
+    odd = [(F.col(f"n{i}") - F.col("n") * (n_d / max(total, 1))) / F.sqrt(F.col("n") * (n_d / max(total, 1)) * (1 - n_d / max(total, 1)) + 1e-9) for i, n_d in enumerate(sizes[d] for d in domains)]
+    if domains:
+        counts = counts.where(F.greatest(F.lit(0.0), *[F.abs(z) for z in odd]) >= min_z)
     model = counts.select("word", *[w.alias(f"w{i}") for i, w in enumerate(weights)])
     if domains:
         tells = reduce(lambda x, y: x | y, [F.abs(F.col(f"w{i}")) >= min_ratio for i in range(len(domains))])
@@ -136,6 +143,7 @@ def mix_to_targets(
     max_labelled: int = 20_000,
     min_docs: int = 8,
     min_ratio: float = 1.0,
+    min_z: float = 5.0,
     smoothing: float = 2.0,
 ) -> DataFrame:
     """(doc_id, tokens, domain, posterior, rate, copies) for every document.
@@ -151,7 +159,7 @@ def mix_to_targets(
     scratch = c.Scratch(docs.sparkSession, "mixing")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = labels.select(F.col(label_id_col).cast("long").alias("doc_id"), F.col(domain_col).cast("string").alias("domain"))
-    domains, shares, model = fit_words(slim, known, scratch, max_labelled=max_labelled, min_docs=min_docs, min_ratio=min_ratio, smoothing=smoothing)
+    domains, shares, model = fit_words(slim, known, scratch, max_labelled=max_labelled, min_docs=min_docs, min_ratio=min_ratio, min_z=min_z, smoothing=smoothing)
     if not domains:
         scratch.clear()
         return slim.select("doc_id", F.size(tokens(F.col("text"))).cast("long").alias("tokens"), F.lit(None).cast("string").alias("domain"), F.create_map().cast("map<string,double>").alias("posterior"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
