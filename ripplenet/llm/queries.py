@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as c
+from . import oracles
 from .diffcover import remove_repeated_windows
 from .hilbert import hilbert_shards
 from .html_paths import extract_pages
@@ -88,4 +89,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_quality_rules": oracles.QUALITY, "op6_superminhash": oracles.NEAR_DUPLICATES, "op10_difference_cover": oracles.REPEATED_WINDOWS}
