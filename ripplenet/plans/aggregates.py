@@ -74,7 +74,7 @@ def live_commitments(spark, d):
     return o.groupBy("debtor", "creditor").agg(F.sum(e.outstanding()).alias("live_minor"), F.min("due_t").alias("earliest_due"))
 
 
-@query(SQL + "SELECT sector, tier, count(*) AS n, CAST(sum(opening_minor) AS BIGINT) AS opening_minor, grouping_id(sector, tier) AS level FROM merchants GROUP BY GROUPING SETS ((sector), (tier), ())".replace("sector, tier, count", "coalesce(sector, '*') AS sector, coalesce(tier, '*') AS tier, count"))
+@query(SQL + "SELECT coalesce(sector, '*') AS sector, coalesce(tier, '*') AS tier, count(*) AS n, CAST(sum(opening_minor) AS BIGINT) AS opening_minor, grouping_id(sector, tier) AS level FROM merchants GROUP BY GROUPING SETS ((sector), (tier), ())")
 def network_overview(spark, d):
     m = Network(spark, d).merchants
     cube = m.cube("sector", "tier").agg(F.count("*").alias("n"), F.sum("opening_minor").alias("opening_minor"), F.grouping_id().cast("long").alias("level")).where("level > 0")

@@ -116,7 +116,7 @@ def pair_response_lags(spark, d):
     return lags.groupBy("m").agg(F.round(F.log1p(F.median("lag")) / 10, 6).alias("log_lag"), F.count("*").alias("n"))
 
 
-@query(SQL + "SELECT range AS k, round(range * 21.0, 6) AS low, round((range + 1) * 21.0, 6) AS high, list_contains([6.0, 24.0, 48.0, 72.0, 168.0], 168.0) AS full_window FROM range(8)".replace(SQL, ""))
+@query("SELECT range AS k, round(range * 21.0, 6) AS low, round((range + 1) * 21.0, 6) AS high, list_contains([6.0, 24.0, 48.0, 72.0, 168.0], 168.0) AS full_window FROM range(8)")
 def interval_edges(spark, d):
     k = spark.range(K).withColumnRenamed("id", "k")
     return k.select("k", F.round(F.col("k") * 21.0, 6).alias("low"), F.round((F.col("k") + 1) * 21.0, 6).alias("high"), F.lit(True).alias("full_window"))

@@ -9,9 +9,6 @@ from ripplenet.plans.registry import query
 from ripplenet.sources.network import Network
 from ripplenet.streaming import ingest as i
 
-LINES = "CASE WHEN event_id % 97 = 0 THEN 'not json' ELSE json END"
-
-
 def raw_lines(spark, d):
     """The events table as JSON payment records, with the flaws that ingestion must catch."""
     v = Network(spark, d).read("events")
@@ -94,7 +91,7 @@ def reentry_once(spark, d):
     return v.groupBy(F.col("user_id").alias("record"), F.col("event_type").alias("trigger")).agg(F.min("event_id").alias("event_id"), F.count("*").alias("n"))
 
 
-@query("SELECT user_id, session, count(*) AS n, epoch_us(min(ts)) AS first_us FROM (SELECT *, sum(CASE WHEN gap > 3600000000 OR gap IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events)) GROUP BY ALL".replace("session, count", "CAST(session AS BIGINT) AS session, count"))
+@query("SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n, epoch_us(min(ts)) AS first_us FROM (SELECT *, sum(CASE WHEN gap > 3600000000 OR gap IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events)) GROUP BY ALL")
 def activity_sessions(spark, d):
     w = Window.partitionBy("user_id").orderBy("us")
     v = Network(spark, d).read("events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))

@@ -64,10 +64,10 @@ def incremental_damage(spark, d):
     return s.join(c, "debtor", "left").select("debtor", F.greatest(F.col("value") - F.coalesce("v0", F.lit(0)), F.lit(0)).alias("disrupted_minor"), (F.col("n_late") - F.coalesce("n0", F.lit(0))).alias("n_late"))
 
 
-@query(SQL + "SELECT DISTINCT creditor FROM obligations WHERE due_t < 30000 AND amount_minor > paid_minor AND priority = 1 AND creditor NOT IN (SELECT creditor FROM obligations WHERE due_t < 12000 AND amount_minor > paid_minor AND priority = 1)")
+@query(SQL + "SELECT DISTINCT creditor FROM obligations WHERE due_t < 1300 AND amount_minor > paid_minor AND priority = 1 AND creditor NOT IN (SELECT creditor FROM obligations WHERE due_t < 1000 AND amount_minor > paid_minor AND priority = 1)")
 def attributable_affected(spark, d):
     o = Network(spark, d).obligations.where(e.is_open() & (F.col("priority") == 1))
-    shocked, calm = (o.where(F.col("due_t") < t).select("creditor").distinct() for t in (30000, 12000))
+    shocked, calm = (o.where(F.col("due_t") < t).select("creditor").distinct() for t in (1300, 1000))
     return shocked.join(calm, "creditor", "left_anti")
 
 

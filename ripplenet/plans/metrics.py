@@ -18,7 +18,7 @@ def scored(spark, d):
     return v.select("event_id", "user_id", (F.round(F.col("value") / 4) * 4 / 100).alias("score"), F.col("event_type").isin("error", "purchase").alias("y"), (F.col("user_id") % 4).alias("family"), "value")
 
 
-STEPS = ", s AS (SELECT family, score, sum(y::INT) AS pos, count(*) AS n FROM b GROUP BY ALL), t AS (SELECT *, sum(pos) OVER w AS tp, sum(n) OVER w AS seen, sum(pos) OVER (PARTITION BY family) AS positives, sum(n) OVER (PARTITION BY family) AS rows FROM s WINDOW w AS (PARTITION BY family ORDER BY score DESC)) ".replace(", s AS", ", s AS", 1)
+STEPS = ", s AS (SELECT family, score, sum(y::INT) AS pos, count(*) AS n FROM b GROUP BY ALL), t AS (SELECT *, sum(pos) OVER w AS tp, sum(n) OVER w AS seen, sum(pos) OVER (PARTITION BY family) AS positives, sum(n) OVER (PARTITION BY family) AS rows FROM s WINDOW w AS (PARTITION BY family ORDER BY score DESC)) "
 SBASE = BASE.rstrip() + STEPS
 
 
@@ -38,7 +38,7 @@ def best_f1_threshold(spark, d):
 
 
 @query(BASE + """, c AS (SELECT family, count(*) FILTER (score > 0.5 AND y) AS tp, count(*) FILTER (score > 0.5 AND NOT y) AS fp, count(*) FILTER (score <= 0.5 AND y) AS fn, count(*) FILTER (score <= 0.5 AND NOT y) AS tn FROM b GROUP BY family)
-SELECT *, round(tp/(tp+fp), 9) AS precision, round(tp/(tp+fn), 9) AS recall, round(2*tp/(2*tp+fp+fn), 9) AS f1 FROM c""".replace(", c AS", ", c AS", 1))
+SELECT *, round(tp/(tp+fp), 9) AS precision, round(tp/(tp+fn), 9) AS recall, round(2*tp/(2*tp+fp+fn), 9) AS f1 FROM c""")
 def confusion_metrics(spark, d):
     c = scored(spark, d).groupBy("family").agg(*m.confusion(F.col("score") > 0.5, F.col("y")))
     return m.precision_recall(c).withColumns({x: F.round(x, 9) for x in ("precision", "recall", "f1")})
@@ -72,7 +72,7 @@ def precision_at_k(spark, d):
     return top.groupBy("family").agg(F.round(F.avg(F.col("y").cast("int")), 6).alias("precision_at_20"))
 
 
-@query(BASE + ", t AS (SELECT user_id, min(value) AS seen, avg(score) AS risk FROM b GROUP BY user_id) SELECT count(*) AS pairs, count(*) FILTER ((a.seen < b.seen AND a.risk > b.risk) OR (a.seen > b.seen AND a.risk < b.risk)) AS concordant, count(*) FILTER (a.risk = b.risk) AS tied FROM t a JOIN t b ON a.user_id < b.user_id AND a.seen <> b.seen".replace("t a JOIN t b", "t a JOIN t b"))
+@query(BASE + ", t AS (SELECT user_id, min(value) AS seen, avg(score) AS risk FROM b GROUP BY user_id) SELECT count(*) AS pairs, count(*) FILTER ((a.seen < b.seen AND a.risk > b.risk) OR (a.seen > b.seen AND a.risk < b.risk)) AS concordant, count(*) FILTER (a.risk = b.risk) AS tied FROM t a JOIN t b ON a.user_id < b.user_id AND a.seen <> b.seen")
 def concordance_index(spark, d):
     t = scored(spark, d).groupBy("user_id").agg(F.min("value").alias("seen"), F.avg("score").alias("risk"))
     a, b = t.alias("a"), t.alias("b")
@@ -92,7 +92,7 @@ def pooled_slices(spark, d):
     return scored(spark, d).groupBy("family", F.when(F.col("value") < 24, "short").otherwise("long").alias("horizon")).agg(F.count("*").alias("n"), F.round(F.avg(F.col("y").cast("int")), 6).alias("prevalence"))
 
 
-@query(BASE + ", s AS (SELECT user_id % 25 AS scenario, family, avg(value) AS v FROM b GROUP BY ALL) SELECT s.scenario, s.family, round((s.v - r.v) / nullif(r.v, 0), 9) AS gap, round(greatest(s.v - r.v, 0), 6) AS regret FROM s JOIN s r ON r.scenario = s.scenario AND r.family = (SELECT min(family) FROM s x WHERE x.scenario = s.scenario)".replace("(SELECT min(family) FROM s x WHERE x.scenario = s.scenario)", "s.m").replace("FROM s JOIN s r", "FROM (SELECT *, min(family) OVER (PARTITION BY scenario) AS m FROM s) s JOIN s r"))
+@query(BASE + ", s AS (SELECT user_id % 25 AS scenario, family, avg(value) AS v FROM b GROUP BY ALL) SELECT s.scenario, s.family, round((s.v - r.v) / nullif(r.v, 0), 9) AS gap, round(greatest(s.v - r.v, 0), 6) AS regret FROM (SELECT *, min(family) OVER (PARTITION BY scenario) AS m FROM s) s JOIN s r ON r.scenario = s.scenario AND r.family = s.m")
 def optimality_gap(spark, d):
     s = scored(spark, d).groupBy((F.col("user_id") % 25).alias("scenario"), "family").agg(F.avg("value").alias("v"))
     ref = s.groupBy("scenario").agg(F.min_by("v", "family").alias("ref"))

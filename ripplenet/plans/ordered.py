@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 from ripplenet.functions import exprs as e
 from ripplenet.operators import edges as ed
 from ripplenet.operators import relational as r
-from ripplenet.plans.joins import ROLES, estimated_edges, profiles, roles
-from ripplenet.plans.joins import ESTIMATE
+from ripplenet.plans.joins import ESTIMATE, ROLES, estimated_edges, profiles, roles
 from ripplenet.plans.registry import query
 from ripplenet.sources.network import SQL, Network
 
 
-@query(SQL + "SELECT payer, payee, event_id, t, round(t - lag(t) OVER (PARTITION BY payer, payee ORDER BY t, amount_minor), 6) AS gap FROM levy WHERE payer IN ('S1','S2','S3')".replace(", event_id", ""))
+@query(SQL + "SELECT payer, payee, t, round(t - lag(t) OVER (PARTITION BY payer, payee ORDER BY t, amount_minor), 6) AS gap FROM levy WHERE payer IN ('S1','S2','S3')")
 def inter_arrival_gaps(spark, d):
     g = ed.gaps(Network(spark, d).levy.where("payer IN ('S1', 'S2', 'S3')"), ["payer", "payee"])
     return g.select("payer", "payee", "t", F.round("gap", 6).alias("gap"))
@@ -27,7 +26,7 @@ def ranks(spark, d):
     return flow.select("merchant_id", ordinal.alias("ordinal"), r.average_rank(F.col("n_events")).alias("average_rank"))
 
 
-@query("SELECT user_id, event_id, max(value) OVER w AS peak, round(value - lag(value, 1, 0) OVER (PARTITION BY user_id ORDER BY ts), 6) AS step, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w AS errors FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING)".replace("sum(CASE", "CAST(sum(CASE").replace("END) OVER w AS errors", "END) OVER w AS BIGINT) AS errors"))
+@query("SELECT user_id, event_id, max(value) OVER w AS peak, round(value - lag(value, 1, 0) OVER (PARTITION BY user_id ORDER BY ts), 6) AS step, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS errors FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING)")
 def running_maximum(spark, d):
     by = Window.partitionBy("user_id").orderBy("ts")
     run = by.rowsBetween(Window.unboundedPreceding, 0)
@@ -84,7 +83,7 @@ def top_exposures(spark, d):
     return roles(Network(spark, d))[2].select("merchant_id", "n_events", "throughput_minor").orderBy(F.desc("throughput_minor"), "n_events", "merchant_id").limit(12)
 
 
-@query(SQL + "SELECT payee, list(payer ORDER BY k) AS sources FROM (SELECT payee, payer, row_number() OVER (PARTITION BY payee ORDER BY total_minor DESC, payer) AS k FROM pairs) WHERE k <= 5 GROUP BY payee".replace("list(payer ORDER BY k)", "string_agg(payer, ',' ORDER BY k)"))
+@query(SQL + "SELECT payee, string_agg(payer, ',' ORDER BY k) AS sources FROM (SELECT payee, payer, row_number() OVER (PARTITION BY payee ORDER BY total_minor DESC, payer) AS k FROM pairs) WHERE k <= 5 GROUP BY payee")
 def top_sources(spark, d):
     top = r.top_per_group(Network(spark, d).pairs, ["payee"], [F.desc("total_minor"), F.col("payer")], 5)
     listed = F.array_sort(F.collect_list(F.struct("rank", "payer")))
@@ -190,9 +189,9 @@ def split_disjointness(spark, d):
     return early.distinct().join(late.distinct(), "user_id", "left_anti").select("user_id", F.lit("train").alias("split"))
 
 
-@query(SQL + "SELECT 'rescued' AS kind, creditor FROM (SELECT creditor FROM obligations WHERE due_t < 30000 AND amount_minor > paid_minor AND priority = 3 AND debtor < 'N2' EXCEPT SELECT creditor FROM obligations WHERE due_t < 30000 AND amount_minor > paid_minor AND priority = 4 AND debtor < 'N2') UNION ALL SELECT 'newly', creditor FROM (SELECT creditor FROM obligations WHERE due_t < 30000 AND amount_minor > paid_minor AND priority = 4 AND debtor < 'N2' EXCEPT SELECT creditor FROM obligations WHERE due_t < 30000 AND amount_minor > paid_minor AND priority = 3 AND debtor < 'N2')")
+@query(SQL + "SELECT 'rescued' AS kind, creditor FROM (SELECT creditor FROM obligations WHERE due_t < 1500 AND amount_minor > paid_minor AND priority = 3 AND debtor < 'N2' EXCEPT SELECT creditor FROM obligations WHERE due_t < 1500 AND amount_minor > paid_minor AND priority = 4 AND debtor < 'N2') UNION ALL SELECT 'newly', creditor FROM (SELECT creditor FROM obligations WHERE due_t < 1500 AND amount_minor > paid_minor AND priority = 4 AND debtor < 'N2' EXCEPT SELECT creditor FROM obligations WHERE due_t < 1500 AND amount_minor > paid_minor AND priority = 3 AND debtor < 'N2')")
 def rescued_and_newly_affected(spark, d):
-    o = Network(spark, d).obligations.where((F.col("due_t") < 30000) & e.is_open() & (F.col("debtor") < "N2"))
+    o = Network(spark, d).obligations.where((F.col("due_t") < 1500) & e.is_open() & (F.col("debtor") < "N2"))
     a, b = (o.where(F.col("priority") == p).select("creditor").distinct() for p in (3, 4))
     return a.join(b, "creditor", "left_anti").select(F.lit("rescued").alias("kind"), "creditor").union(b.join(a, "creditor", "left_anti").select(F.lit("newly"), "creditor"))
 
