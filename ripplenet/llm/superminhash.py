@@ -122,7 +122,7 @@ def _sets(k: int):
     def run(batches):
         cache = c.WordHashes()
         for ids, raws in c.slices(batches):
-            sets = [c.signed(shingles(_tokens(raw, cache), k)) for raw in raws]
+            sets = [np.sort(c.signed(shingles(_tokens(raw, cache), k))) for raw in raws]  # in signed order, as searched
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), c.lists(np.concatenate(sets), np.array([len(s) for s in sets]))], ["id", "members"]
             )
@@ -131,9 +131,20 @@ def _sets(k: int):
 
 
 def _against(percent: int):
-    """Links of one set with a block of others, both exact."""
+    """Links of one set with a block of others, both exact; sets in signed order.
+
+    A task gives only links that join what its earlier links have not joined: components stay the same, and
+    the rows grow with the members, not with the pairs.
+    """
 
     def run(batches):
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = x = root[up]
+            return x
+
         for batch in batches:
             found = []
             for i, own, others in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
@@ -144,7 +155,11 @@ def _against(percent: int):
                 at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
                 shared = np.add.reduceat((own[at] == flat).astype(np.int64), np.r_[0, np.cumsum(n)[:-1]])
                 ok = 100 * shared >= percent * (len(own) + n - shared)
-                found += [(min(i, r), max(i, r)) for r in reps.to_numpy()[ok].tolist() if r != i]
+                for r in reps.to_numpy()[ok].tolist():
+                    a, b = find(i), find(r)
+                    if a != b:
+                        root[max(a, b)] = min(a, b)
+                        found.append((min(i, r), max(i, r)))
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(2)], ["a", "b"])
 
     return run

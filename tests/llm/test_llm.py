@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +86,29 @@ def test_late_band_members_are_compared_exactly(spark):
     assert got == brute_groups(rows, 2)
 
 
+def test_exact_comparison_finds_links_of_sets_with_both_signs():
+    """Every true link of a set with a block is found, and equal sets share all elements."""
+    rows = {}
+    for i in range(30):
+        w = [f"w{j}" for j in range(200)]
+        for j in range(i):
+            w[j * 3] = f"x{i}_{j}"
+        rows[i] = " ".join(w)
+    batch = pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array([t.encode() for t in rows.values()])], ["doc_id", "raw"])
+    (sets,) = superminhash._sets(2)([batch])
+    members = sets.column(1).to_pylist()
+    assert all(min(m) < 0 < max(m) for m in members)
+    block = [{"rep": i, "members": m} for i, m in zip(rows, members, strict=True)]
+    kind = pa.list_(pa.struct([("rep", pa.int64()), ("members", pa.list_(pa.int64()))]))
+    for own in (0, 7, 29):
+        pairs = pa.RecordBatch.from_arrays([pa.array([own], pa.int64()), pa.array([members[own]], pa.list_(pa.int64())), pa.array([block], kind)], ["id", "own", "others"])
+        (links,) = superminhash._against(80)([pairs])
+        a, b = set(members[own]), [set(m) for m in members]
+        want = {tuple(sorted((own, i))) for i in rows if i != own and 100 * len(a & b[i]) >= 80 * len(a | b[i])}
+        assert set(zip(links.column(0).to_pylist(), links.column(1).to_pylist(), strict=True)) == want
+        assert len(want) > 3 or own == 29
+
+
 def test_superminhash_estimates_similarity():
     rng = np.random.default_rng(1)
     common = rng.integers(0, 1 << 62, 800, dtype=np.uint64)
