@@ -15,7 +15,7 @@ are broadcast up to a number, joined by shuffle beyond it).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as c
@@ -154,10 +154,13 @@ def contaminated(
         return found.select("doc_id", F.lit(False).alias("contaminated"), empty.alias("item_ids"), F.lit(0).cast("long").alias("covered_words"), spans.alias("spans"))
     hits = scratch.table(hits, "hits").distinct()
 
-    # a stretch needs enough windows in the document, whatever the item
-    shortest = items.agg(F.min(F.size("raw"))).first()[0] or 0
-    least = max(1, min(min_words, shortest) - width + 1)
-    likely = hits.groupBy("doc_id").agg(F.countDistinct("pos").alias("n")).where(F.col("n") >= least).select("doc_id")
+    # a stretch on one diagonal covers no more words than all windows of the document together
+    needs = items.join(keys.select("item_id").distinct(), "item_id", "left_semi").agg(F.min(F.size("raw"))).first()[0] or 0
+    end = F.col("pos") + F.col("width")
+    before = F.max(end).over(Window.partitionBy("doc_id").orderBy("pos", "width").rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.greatest(F.lit(0), end - F.greatest("pos", F.coalesce(before, F.col("pos"))))
+    likely = hits.select("doc_id", "pos", "width").distinct().select("doc_id", fresh.alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n"))
+    likely = likely.where(F.col("n") >= min(min_words, needs)).select("doc_id")
     hits = hits.join(likely, "doc_id", "left_semi")
     placed = keys.withColumnRenamed("pos", "item_pos")
     placed = F.broadcast(placed) if n_known <= BROADCAST_WINDOWS and keys.count() <= BROADCAST_WINDOWS else placed

@@ -376,6 +376,17 @@ def test_exact_lowered_and_reparameterised_items_are_caught(spark):
     assert not leaks(spark, [(1, mixed)], max_conflicts=0.0, min_words=20)[1][0]
 
 
+def test_few_windows_that_cover_enough_words_are_a_leak(spark):
+    """Two windows cover 16 of 17 words; the verdict is the same whatever other items the table holds."""
+    words = "the quiet river bends around old mills where patient farmers once carried heavy sacks across the narrow bridge".split()[:17]
+    changed = " ".join([*words[:8], "unlike", *words[9:]])
+    docs = spark.createDataFrame([(1, changed), (2, " ".join(words[:12]))], "doc_id long, text string")
+    for others in ([], [(2, None)], [(3, "one short item")]):
+        items = spark.createDataFrame([(1, " ".join(words)), *others], "item_id long, text string")
+        got = {r.doc_id: (list(r.item_ids), r.covered_words) for r in templates.contaminated(docs, items).collect()}
+        assert got == {1: ([1], 16), 2: ([], 0)}
+
+
 def test_empty_and_short_benchmarks(spark):
     docs = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "x")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
