@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -217,11 +218,34 @@ def min_max_scale(spark, d):
 def greedy_budget_fill(spark, d):
     """Ranked candidates funded in order while the budget lasts, smaller ones after one that is too large.
 
-    The fold runs inside one expression per debtor over its first 200 candidates by rank, as the rule states.
+    All open obligations of a debtor are folded in ranked order, batch by batch; a batch carries the money left on.
     """
-    o = Network(spark, d).obligations.where(e.is_open() & (F.col("due_t") < 5000))
-    top = r.top_per_group(o, ["debtor"], [F.desc("priority"), F.col("due_t"), F.desc("amount_minor"), F.col("obligation_id")], 200)
-    queue = F.array_sort(F.collect_list(F.struct("rank", "obligation_id", e.outstanding().alias("need"))))
-    start = F.struct(F.lit(300_000_000).cast("long").alias("left"), F.array().cast("array<string>").alias("picks"))
-    step = lambda acc, x: F.when(x.need <= acc.left, F.struct((acc.left - x.need).alias("left"), F.concat(acc.picks, F.array(x.obligation_id)).alias("picks"))).otherwise(acc)
-    return top.groupBy("debtor").agg(F.aggregate(queue, start, step).alias("fund")).select("debtor", F.col("fund.left").alias("left_minor"), F.size("fund.picks").alias("n_picks"))
+    o = Network(spark, d).obligations.where(e.is_open())
+    o = o.select("debtor", "priority", "due_t", "amount_minor", "obligation_id", e.outstanding().alias("need")).repartition("debtor")
+    o = o.sortWithinPartitions("debtor", F.desc("priority"), "due_t", F.desc("amount_minor"), "obligation_id", "need")
+    return o.select("debtor", "need").mapInArrow(funded(300_000_000), "debtor string, left_minor long, n_picks int")
+
+
+def funded(budget: int):
+    """Money left and number of candidates funded for each debtor of (debtor, need), sorted by debtor and rank."""
+
+    def run(batches):
+        debtor, left, picks = None, budget, 0
+        for batch in batches:
+            done = []
+            for who, need in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if who != debtor:
+                    if debtor is not None:
+                        done.append((debtor, left, picks))
+                    debtor, left, picks = who, budget, 0
+                if need <= left:
+                    left, picks = left - need, picks + 1
+            yield given(done)
+        if debtor is not None:
+            yield given([(debtor, left, picks)])
+
+    def given(rows):
+        kinds = (pa.string(), pa.int64(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate(kinds)], ["debtor", "left_minor", "n_picks"])
+
+    return run
