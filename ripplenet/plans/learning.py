@@ -120,14 +120,14 @@ def ridge_bound(spark, d):
 
 @query()
 def hawkes_fit(spark, d):
-    """Background and branching per (supplier, brand) for one brand's suppliers."""
+    """Background and branching per (supplier, brand), for every pair of the supply layer."""
     n = Network(spark, d)
-    kids = n.supply.where("payee IN ('B11', 'B12')").select(F.col("payer").alias("source"), F.col("payee").alias("target"), "t", "amount_minor", "event_id")
+    kids = n.supply.select(F.col("payer").alias("source"), F.col("payee").alias("target"), "t", "amount_minor", "event_id")
     kids = kids.withColumn("child", F.concat_ws("#", "event_id", F.row_number().over(Window.partitionBy("event_id").orderBy("t"))))
     into = n.trade.select(F.col("payee").alias("source"), F.col("t").alias("t_in"), F.col("event_id").alias("parent"))
     pairs = r.interval_join(kids.select("source", "target", "child", "t"), into, "source", "t", "t_in", 384.0)
     pairs = r.top_per_group(pairs, ["source", "target", "child"], [F.desc("t_in"), F.col("parent")], 64)
-    fit = l.hawkes_em(l.cut(kids.select("source", "target", "child")), pairs.withColumn("u", F.col("t") - F.col("t_in")), 60000.0, 1 / 48, rounds=4)
+    fit = l.hawkes_em(l.cut(kids.select("source", "target", "child")), pairs.withColumn("u", F.col("t") - F.col("t_in")), 60000.0, 1 / 48)
     return fit.select("source", "target", F.round("mu", 8).alias("mu"), F.round("alpha", 6).alias("alpha"), "n")
 
 
