@@ -80,24 +80,24 @@ def shares(p: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
     return w, float(np.log(p @ w).sum())
 
 
-def infer(ll: np.ndarray, most: int, rounds: int) -> tuple[list[int], np.ndarray]:
+def infer(ll: np.ndarray, most: int | None, rounds: int) -> tuple[list[int], np.ndarray]:
     """Languages of the best penalised set, largest share first, and their shares."""
     p = np.exp(ll - ll.max(axis=1, keepdims=True)) + np.float32(1e-30)
     w, _ = shares(p, rounds)
     order = np.argsort(-w, kind="stable")
     best = None
-    for k in range(1, min(most, len(order)) + 1):
+    for k in range(1, (len(order) if most is None else min(most, len(order))) + 1):
         if k > 1 and w[order[k - 1]] * len(p) < 1:
             break  # less than one word: no likelihood can pay for it
         v, fit = shares(p[:, order[:k]], rounds)
-        fit -= 0.5 * (k - 1) * np.log(len(p)) * 2
+        fit -= 0.5 * (k - 1) * np.log(len(p))
         if best is None or fit > best[0]:
             best = fit, order[:k], v
     rank = np.lexsort((best[1], -best[2]))
     return best[1][rank].tolist(), best[2][rank]
 
 
-def _predict(model, langs: list[str], most: int, rounds: int):
+def _predict(model, langs: list[str], most: int | None, rounds: int):
     def run(batches):
         logp = model.value
         for batch in batches:
@@ -143,7 +143,7 @@ def identify(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
-    max_languages: int = 3,
+    max_languages: int | None = None,
     rounds: int = 8,
     carry: bool = False,
 ) -> DataFrame:
@@ -151,7 +151,7 @@ def identify(
 
     With ``carry`` the row's own columns follow as one struct ``row``, which saves a join.
     Only the text of ``docs`` is judged.  ``score`` is the share of the predicted language in the selected
-    mixture.  Null texts, texts without a letter, and all texts when nothing is labelled
+    mixture; sets of any size are tried unless ``max_languages`` bounds them.  Null texts, texts without a letter, and all texts when nothing is labelled
     are ``und`` with score 0.  Ties go to the language first in order.  Rows are judged one by one, so
     repeated ids and extra columns do no harm.
     """
