@@ -13,6 +13,8 @@ per document come first.
 
 from __future__ import annotations
 
+import itertools
+import logging
 import math
 from functools import reduce
 
@@ -21,6 +23,9 @@ from pyspark.sql import functions as F
 
 from . import common as c
 
+log = logging.getLogger(__name__)
+#: So many steps stand in one expression; rates are written to a table then.
+STEPS = 25
 #: Classifier words up to this number are broadcast.
 BROADCAST_WORDS = 200_000
 #: Log-odds are summed as whole numbers of this unit, so that sums don't depend on their order.
@@ -93,21 +98,23 @@ def _rounded(x: Column) -> Column:
     return F.sum(x.cast("decimal(38,9)")).cast("double")
 
 
-def rate_after(moves: list[list[float]], max_rate: float) -> Column:
-    """Rate of a document (columns p0, p1, ...) after these steps from rate 1."""
-    rate = F.lit(1.0)
+def rate_after(moves: list[list[float]], max_rate: float | None, start: Column | None = None) -> Column:
+    """Rate of a document (columns p0, p1, ...) after these steps from rate 1 or ``start``."""
+    rate = F.lit(1.0) if start is None else start
     for move in moves:
         shift = reduce(lambda x, y: x + y, [F.col(f"p{i}") * F.lit(m) for i, m in enumerate(move)])
-        rate = F.least(F.greatest(rate - shift, F.lit(0.0)), F.lit(float(max_rate)))
+        rate = F.greatest(rate - shift, F.lit(0.0))
+        rate = rate if max_rate is None else F.least(rate, F.lit(float(max_rate)))
     return rate
 
 
-def fit_moves(points: DataFrame, targets: list[float], *, max_rate: float, rounds: int, tolerance: float) -> tuple[list[list[float]], list[float]]:
+def fit_moves(points: DataFrame, targets: list[float], *, max_rate: float | None, rounds: int | None, tolerance: float, scratch: c.Scratch | None = None) -> tuple[list[list[float]], list[float]]:
     """Steps of the descent, and the residual of each domain as a share of all tokens.
 
     ``points`` are (p0, p1, ..., tokens), summed over equal posteriors, for these move alike.  Minimises
     sum over domains of (expected - target)^2 / h, h being the domain's sum of tokens * p^2, over
-    0 <= rate <= max_rate, from rate 1.  Steps divide by a document's tokens; the step size is
+    0 <= rate <= max_rate, from rate 1, until every residual is below the tolerance or, where no rates reach the
+    targets, none moves by a hundredth of it any more.  Steps divide by a document's tokens; the step size is
     one over the largest row sum of the scaled Hessian.  One row of sums a round reaches the driver.
     """
     k = len(targets)
@@ -117,13 +124,17 @@ def fit_moves(points: DataFrame, targets: list[float], *, max_rate: float, round
     hess = [[(first[f"h{min(i, j)}_{max(i, j)}"] or 0.0) / total for j in range(k)] for i in range(k)]
     scale = [max(hess[i][i], 1e-9) for i in range(k)]
     step = 1 / max(1e-9, *[sum(hess[i][j] / math.sqrt(scale[i] * scale[j]) for j in range(k)) for i in range(k)])
-    moves, residual = [], [0.0] * k
-    for at in range(rounds):
-        got = points.agg(*[_rounded(rate_after(moves, max_rate) * F.col("tokens") * F.col(f"p{i}")).alias(f"t{i}") for i in range(k)]).first()
+    moves, pending, residual = [], [], [0.0] * k
+    points = points.withColumn("rate", F.lit(1.0))
+    for at in itertools.count() if rounds is None else range(rounds):
+        got = points.agg(*[_rounded(rate_after(pending, max_rate, F.col("rate")) * F.col("tokens") * F.col(f"p{i}")).alias(f"t{i}") for i in range(k)]).first()
         last, residual = residual, [((got[f"t{i}"] or 0.0) - targets[i]) / total for i in range(k)]
-        if at and max(abs(x - y) for x, y in zip(last, residual, strict=True)) < tolerance:
+        if max(map(abs, residual)) < tolerance or (at and max(abs(x - y) for x, y in zip(last, residual, strict=True)) < tolerance / 100):
             break
         moves.append([step * r / h for r, h in zip(residual, scale, strict=True)])
+        pending.append(moves[-1])
+        if scratch and len(pending) == STEPS:
+            points, pending = scratch.table(points.withColumn("rate", rate_after(pending, max_rate, F.col("rate"))), "rates"), []
     return moves, residual
 
 
@@ -137,8 +148,8 @@ def mix_to_targets(
     label_id_col: str = "doc_id",
     domain_col: str = "domain",
     relative: bool = False,
-    max_rate: float = 4.0,
-    rounds: int = 30,
+    max_rate: float | None = None,
+    rounds: int | None = None,
     tolerance: float = 1e-4,
     max_labelled: int = 20_000,
     min_docs: int = 8,
@@ -150,7 +161,7 @@ def mix_to_targets(
 
     ``targets`` gives each domain its weight in the mixture's tokens (as many as there are now) or, if
     ``relative``, the factor on the domain's present expected tokens; domains without one get 0, or
-    stay as they are.  ``posterior`` maps domains to probabilities, ``rate`` is the fitted number of uses,
+    stay as they are.  Rates have no upper bound unless ``max_rate`` sets one; residuals above the tolerance are logged.  ``posterior`` maps domains to probabilities, ``rate`` is the fitted number of uses,
     ``copies`` its draw: the whole part and one more with the chance of the rest, by a hash of the id.
     The classifier is fitted on about ``max_labelled`` labelled documents.  Null and empty texts have no
     tokens and get the domains' shares.  Without usable labels all documents keep rate 1 and an empty
@@ -172,8 +183,14 @@ def mix_to_targets(
         goals = [targets.get(d, 0.0) / weight * float(now["all"] or 0) for d in domains]
     names = [f"p{i}" for i in range(len(domains))]
     points = scratch.table(rows.groupBy(*names).agg(F.sum("tokens").alias("tokens")), "points")
-    moves, _ = fit_moves(points, goals, max_rate=max_rate, rounds=rounds, tolerance=tolerance)
-    rated = rows.withColumn("rate", F.round(rate_after(moves, max_rate), 6))
+    moves, residual = fit_moves(points, goals, max_rate=max_rate, rounds=rounds, tolerance=tolerance, scratch=scratch)
+    met = max(map(abs, residual)) < tolerance
+    log.log(logging.INFO if met else logging.WARNING, "after %d steps, expected less target as a share of all tokens: %s", len(moves), dict(zip(domains, residual, strict=True)))
+    rated = rows.withColumn("rate", F.lit(1.0))
+    for at in range(0, len(moves), STEPS):
+        rated = rated.withColumn("rate", rate_after(moves[at : at + STEPS], max_rate, F.col("rate")))
+        rated = scratch.table(rated, "rated") if at + STEPS < len(moves) else rated
+    rated = rated.withColumn("rate", F.round("rate", 6))
     best = F.greatest(*[F.col(f"p{i}") for i in range(len(domains))]) if len(domains) > 1 else F.col("p0")
     named = F.coalesce(*[F.when(F.col(f"p{i}") == best, F.lit(d)) for i, d in enumerate(domains)])
     posterior = F.create_map(*[x for i, d in enumerate(domains) for x in (F.lit(d), F.col(f"p{i}"))])
