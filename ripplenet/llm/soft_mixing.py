@@ -6,8 +6,8 @@ close to the targets: least squares, by projected gradients.  A step needs the r
 domain only; it is one aggregation over (tokens, posterior) rows, and every document then moves
 against the residuals weighted with its posterior.
 
-Only DataFrame functions are used.  Words are never shuffled: a broadcast join with the
-classifier's words (bounded by its labelled sample; joined by shuffle beyond a size) and partial sums
+Only DataFrame functions are used (numpy solves the k x k system of the domains on the driver).  Words are
+never shuffled: a broadcast join with the classifier's words (at most ``max_words``) and partial sums
 per document come first.
 """
 
@@ -18,6 +18,7 @@ import logging
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +26,13 @@ from . import common as c
 
 log = logging.getLogger(__name__)
 #: So many steps stand in one expression; rates are written to a table then.
-STEPS = 25
-#: Classifier words up to this number are broadcast.
-BROADCAST_WORDS = 200_000
+STEPS = 8
+#: The descent ends when two rounds lower the objective by less than this part of it.
+STALL = 0.05
+#: Tokens are summed as whole numbers of this part of a token.
+SHARE_UNIT = 10_000
+#: Posteriors are rounded to so many digits; documents with equal ones move together.
+DIGITS = 4
 #: Log-odds are summed as whole numbers of this unit, so that sums don't depend on their order.
 UNIT = 1_000_000
 
@@ -43,59 +48,74 @@ def fraction_of(key: Column, salt: str) -> Column:
 
 
 def fit_words(
-    docs: DataFrame, labels: DataFrame, scratch: c.Scratch, *, max_labelled: int, min_docs: int, min_ratio: float, min_z: float, smoothing: float
-) -> tuple[list[str], dict[str, float], DataFrame]:
-    """Domains, their shares and the (word, domain weights) of words that tell domains apart.
+    docs: DataFrame, labels: DataFrame, scratch: c.Scratch, *, max_labelled: int, max_words: int, min_docs: int, min_odds: float, smoothing: float
+) -> tuple[list[str], list[float], DataFrame]:
+    """Domains, their log-odds without any word, and (word, w0, w1, ...) of the words that tell domains apart.
 
-    Naive Bayes over the presence of words in the labelled sample, one document of each family of near copies.  About
-    ``max_labelled`` labelled rows are taken, by a hash of the id.
+    Bernoulli naive Bayes in the labelled sample, one document of each family of near copies: a
+    word that is missing speaks as well as one that is there.  A word tells if its likelihood
+    ratio (G statistic of the 2 x 2 table of word and domain) exceeds ``2 * ln(tests)``, which less than one
+    of so many words without any bond would do by chance, so the cut adapts to the sample; and if its log odds inside the domain and outside differ by ``min_odds``,
+    for many words that differ a little, as those of a language do, depend on each other.  About
+    ``max_labelled`` labelled rows are taken, by a hash of the id, and the ``max_words`` words of highest ratio.
     """
     labels = labels.where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
     n = labels.count()
     sample = labels.where(fraction_of(F.col("doc_id"), "sample") < 0.9 * max_labelled / max(n, 1)) if n > 0.9 * max_labelled else labels
     rows = docs.join(F.broadcast(sample), "doc_id").where(F.col("text").isNotNull())  # at most about max_labelled rows
-    bags = rows.select("domain", F.array_sort(F.array_distinct(tokens(F.col("text")))).alias("words")).where(F.size("words") > 0)
-    # near copies agree in three min-hashes of their words: one of each family speaks for it
-    slots = [F.array_min(F.transform("words", lambda w: F.xxhash64(w, F.lit(i)))).alias(f"slot{i}") for i in range(3)]
-    family = bags.select(*slots, F.struct(F.xxhash64("words").alias("h"), "domain", "words").alias("bag")).groupBy("slot0", "slot1", "slot2").agg(F.min("bag").alias("bag"))
+    bags = rows.select("domain", F.array_distinct(tokens(F.col("text"))).alias("words")).where(F.size("words") > 0)
+    # near copies agree in the three words of smallest hash: one of each family speaks for it
+    smallest = F.slice(F.array_sort(F.transform("words", lambda w: F.xxhash64(w))), 1, 3)
+    family = bags.select(smallest.alias("family"), F.struct("domain", F.array_sort("words").alias("words")).alias("bag")).groupBy("family").agg(F.min("bag").alias("bag"))
     bags = scratch.table(family.select("bag.domain", "bag.words"), "bags")
     sizes = {r.domain: r.n for r in bags.groupBy("domain").agg(F.count("*").alias("n")).collect()}  # one row a domain
-    domains = sorted(sizes)
-    total = sum(sizes.values())
+    domains, total = sorted(sizes), sum(sizes.values())
+    if not domains:
+        return [], [], bags
     words = bags.select("domain", F.explode("words").alias("word"))
     counts = words.groupBy("word").agg(F.count("*").alias("n"), *[F.sum((F.col("domain") == d).cast("long")).alias(f"n{i}") for i, d in enumerate(domains)])
-    counts = counts.where(F.col("n") >= min_docs)
-    prior = F.col("n") / F.lit(float(max(total, 1)))
-    weights = [F.log((F.col(f"n{i}") + smoothing * prior) / F.lit(sizes[d] + smoothing) / prior) for i, d in enumerate(domains)]
-    # a word tells only if its count in some domain is far from what the domain's share lets expect
-    odd = [(F.col(f"n{i}") - F.col("n") * (n_d / max(total, 1))) / F.sqrt(F.col("n") * (n_d / max(total, 1)) * (1 - n_d / max(total, 1)) + 1e-9) for i, n_d in enumerate(sizes[d] for d in domains)]
-    if domains:
-        counts = counts.where(F.greatest(F.lit(0.0), *[F.abs(z) for z in odd]) >= min_z)
-    model = counts.select("word", *[w.alias(f"w{i}") for i, w in enumerate(weights)])
-    if domains:
-        tells = reduce(lambda x, y: x | y, [F.abs(F.col(f"w{i}")) >= min_ratio for i in range(len(domains))])
-        model = model.where(tells).select("word", *[F.round(F.col(f"w{i}") * UNIT).cast("long").alias(f"w{i}") for i in range(len(domains))])
-    return domains, {d: sizes[d] / total for d in domains}, scratch.table(model, "words")
-
-
-def posteriors(docs: DataFrame, domains: list[str], shares: dict[str, float], model: DataFrame) -> DataFrame:
-    """(doc_id, tokens, p0, p1, ...) for every row; the shares stand where no word tells."""
-    n_words = model.count()
+    counts = scratch.table(counts.where(F.col("n") >= min_docs), "counts")
+    tests = max(counts.count() * len(domains), 2)
+
+    def told(seen: Column, expected: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+
+    logit = lambda seen, of: F.log((seen + smoothing * F.col("n") / total) / (of - seen + smoothing * (1 - F.col("n") / total)))
+    ratios, odds = [], []
+    for i, d in enumerate(domains):
+        inside, rest, share = F.col(f"n{i}"), total - sizes[d], sizes[d] / total
+        outside = F.col("n") - inside
+        cells = [(inside, F.col("n") * share), (outside, F.col("n") * (1 - share))]
+        cells += [(sizes[d] - inside, (total - F.col("n")) * share), (rest - outside, (total - F.col("n")) * (1 - share))]
+        strong = F.abs(logit(inside, sizes[d]) - logit(outside, rest)) >= min_odds
+        ratios.append(F.when(strong, 2 * reduce(lambda x, y: x + y, [told(a, b) for a, b in cells])).otherwise(0.0))
+        odds.append((inside + smoothing * F.col("n") / total) / (sizes[d] + smoothing))
+    ratio = F.round(F.greatest(F.lit(0.0), *ratios), 6)
+    model = counts.withColumn("ratio", ratio).where(F.col("ratio") > 2 * math.log(tests)).orderBy(F.desc("ratio"), "word").limit(max_words)
+    unit = lambda x: F.round(x * UNIT).cast("long")
+    model = model.select("word", *[unit(F.log(p / (1 - p))).alias(f"w{i}") for i, p in enumerate(odds)], *[unit(F.log(1 - p)).alias(f"without{i}") for i, p in enumerate(odds)])
+    model = scratch.table(model, "words")
+    base = model.agg(*[F.coalesce(F.sum(f"without{i}"), F.lit(0)).alias(f"b{i}") for i in range(len(domains))]).first()
+    return domains, [math.log(sizes[d] / total) + base[i] / UNIT for i, d in enumerate(domains)], model.select("word", *[f"w{i}" for i in range(len(domains))])
+
+
+def posteriors(docs: DataFrame, base: list[float], model: DataFrame) -> DataFrame:
+    """(doc_id, tokens, p0, p1, ...) for every row; ``base`` holds the log-odds of a text without any of the words."""
+    k = range(len(base))
     bags = docs.select("doc_id", tokens(F.col("text")).alias("words"))
     flat = bags.select("doc_id", F.size("words").cast("long").alias("tokens"), F.explode_outer(F.array_distinct("words")).alias("word"))
-    flat = flat.join(F.broadcast(model) if n_words <= BROADCAST_WORDS else model, "word", "left")
-    sums = flat.groupBy("doc_id").agg(F.max("tokens").alias("tokens"), *[F.coalesce(F.sum(f"w{i}"), F.lit(0)).alias(f"s{i}") for i in range(len(domains))])
-    logits = [F.col(f"s{i}") / F.lit(float(UNIT)) + F.lit(math.log(shares[d])) for i, d in enumerate(domains)]
-    sums = sums.select("doc_id", "tokens", *[x.alias(f"l{i}") for i, x in enumerate(logits)])
-    top = F.greatest(*[F.col(f"l{i}") for i in range(len(domains))]) if len(domains) > 1 else F.col("l0")
-    odds = sums.select("doc_id", "tokens", *[F.exp(F.col(f"l{i}") - top).alias(f"e{i}") for i in range(len(domains))])
-    norm = reduce(lambda x, y: x + y, [F.col(f"e{i}") for i in range(len(domains))])
-    return odds.select("doc_id", "tokens", *[F.round(F.col(f"e{i}") / norm, 6).alias(f"p{i}") for i in range(len(domains))])
+    flat = flat.join(F.broadcast(model), "word", "left")  # at most max_words rows
+    sums = flat.groupBy("doc_id").agg(F.max("tokens").alias("tokens"), *[F.coalesce(F.sum(f"w{i}"), F.lit(0)).alias(f"s{i}") for i in k])
+    sums = sums.select("doc_id", "tokens", *[(F.col(f"s{i}") / F.lit(float(UNIT)) + F.lit(base[i])).alias(f"l{i}") for i in k])
+    top = F.greatest(*[F.col(f"l{i}") for i in k]) if len(base) > 1 else F.col("l0")
+    odds = sums.select("doc_id", "tokens", *[F.exp(F.col(f"l{i}") - top).alias(f"e{i}") for i in k])
+    norm = reduce(lambda x, y: x + y, [F.col(f"e{i}") for i in k])
+    return odds.select("doc_id", "tokens", *[F.round(F.col(f"e{i}") / norm, DIGITS).alias(f"p{i}") for i in k])
 
 
 def _rounded(x: Column) -> Column:
-    """Exact partial sums: decimals don't depend on the order of rows."""
-    return F.sum(x.cast("decimal(38,9)")).cast("double")
+    """Exact partial sums, in whole ten-thousandths: they don't depend on the order of rows."""
+    return F.sum(F.round(x * SHARE_UNIT).cast("long")) / F.lit(float(SHARE_UNIT))
 
 
 def rate_after(moves: list[list[float]], max_rate: float | None, start: Column | None = None) -> Column:
@@ -108,31 +128,71 @@ def rate_after(moves: list[list[float]], max_rate: float | None, start: Column |
     return rate
 
 
+def _solved(hess: list[list[float]], residual: list[float]) -> list[float]:
+    """The step that would clear the residuals if no further rate met a bound; rows are domains."""
+    h = np.array(hess)
+    return np.linalg.lstsq(h + 1e-9 * np.trace(h) * np.eye(len(h)), np.array(residual), rcond=None)[0].tolist()
+
+
 def fit_moves(points: DataFrame, targets: list[float], *, max_rate: float | None, rounds: int | None, tolerance: float, scratch: c.Scratch | None = None) -> tuple[list[list[float]], list[float]]:
     """Steps of the descent, and the residual of each domain as a share of all tokens.
 
     ``points`` are (p0, p1, ..., tokens), summed over equal posteriors, for these move alike.  Minimises
     sum over domains of (expected - target)^2 / h, h being the domain's sum of tokens * p^2, over
     0 <= rate <= max_rate, from rate 1, until every residual is below the tolerance or, where no rates reach the
-    targets, none moves by a hundredth of it any more.  Steps divide by a document's tokens; the step size is
-    one over the largest row sum of the scaled Hessian.  One row of sums a round reaches the driver.
+    targets, the objective hardly falls any more.  A round tries several projected steps in one aggregation and takes the
+    best: the plain gradient (steps divide by a document's tokens; the size is one over the largest row sum of
+    the scaled Hessian, so it never climbs), and the gradient scaled by the inverse Hessian of the
+    rates that meet no bound.  One row of sums a round reaches the driver.
     """
-    k = len(targets)
-    grid = [(i, j) for i in range(k) for j in range(i, k)]
+    k = range(len(targets))
+    grid = [(i, j) for i in k for j in k if i <= j]
+
+    def tried(rows: DataFrame, steps: list[list[list[float]]]) -> list[tuple[list[float], list[list[float]]]]:
+        """Expected tokens and the Hessian of unbound rates after each further step."""
+        names = [*[f"p{i}" for i in k], "tokens"]
+        rows = rows.select(*names, *[rate_after(step, max_rate, F.col("rate")).alias(f"r{at}") for at, step in enumerate(steps)])
+        sums = []
+        for at in range(len(steps)):
+            rate = F.col(f"r{at}")
+            loose = rate > 0 if max_rate is None else (rate > 0) & (rate < max_rate)
+            sums += [_rounded(rate * F.col("tokens") * F.col(f"p{i}")).alias(f"t{at}_{i}") for i in k]
+            sums += [_rounded(F.when(loose, F.col("tokens") * F.col(f"p{i}") * F.col(f"p{j}")).otherwise(0.0)).alias(f"h{at}_{i}_{j}") for i, j in grid]
+        got = rows.agg(*sums).first()
+        return [
+            ([got[f"t{at}_{i}"] or 0.0 for i in k], [[(got[f"h{at}_{min(i, j)}_{max(i, j)}"] or 0.0) / total for j in k] for i in k])
+            for at in range(len(steps))
+        ]
+
     first = points.agg(F.sum("tokens").alias("all"), *[_rounded(F.col("tokens") * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"h{i}_{j}") for i, j in grid]).first()
     total = float(first["all"] or 0) or 1.0
-    hess = [[(first[f"h{min(i, j)}_{max(i, j)}"] or 0.0) / total for j in range(k)] for i in range(k)]
-    scale = [max(hess[i][i], 1e-9) for i in range(k)]
-    step = 1 / max(1e-9, *[sum(hess[i][j] / math.sqrt(scale[i] * scale[j]) for j in range(k)) for i in range(k)])
-    moves, pending, residual = [], [], [0.0] * k
+    whole = [[(first[f"h{min(i, j)}_{max(i, j)}"] or 0.0) / total for j in k] for i in k]
+    scale = [max(whole[i][i], 1e-9) for i in k]
+    safe = 1 / max(1e-9, *[sum(whole[i][j] / math.sqrt(scale[i] * scale[j]) for j in k) for i in k])
+    off = lambda expected: [(x - t) / total for x, t in zip(expected, targets, strict=True)]
+    cost = lambda residual: sum(r * r / h for r, h in zip(residual, scale, strict=True))
     points = points.withColumn("rate", F.lit(1.0))
-    for at in itertools.count() if rounds is None else range(rounds):
-        got = points.agg(*[_rounded(rate_after(pending, max_rate, F.col("rate")) * F.col("tokens") * F.col(f"p{i}")).alias(f"t{i}") for i in range(k)]).first()
-        last, residual = residual, [((got[f"t{i}"] or 0.0) - targets[i]) / total for i in range(k)]
-        if max(map(abs, residual)) < tolerance or (at and max(abs(x - y) for x, y in zip(last, residual, strict=True)) < tolerance / 100):
+    expected, hess = tried(points, [[]])[0]
+    residual, moves, pending = off(expected), [], []
+    costs = [cost(residual)]
+    for _ in itertools.count() if rounds is None else range(rounds):
+        if max(map(abs, residual)) < tolerance:
+            break
+        plain = [safe * r / h for r, h in zip(residual, scale, strict=True)]
+        options = [[x * m for x in plain] for m in (1, 8)]
+        options += [[x * m for x in _solved(h, residual)] for h in (hess, whole) for m in (1, 0.4)]
+        results = tried(points.withColumn("rate", rate_after(pending, max_rate, F.col("rate"))), [[o] for o in options])
+        best = min(range(len(options)), key=lambda i: (cost(off(results[i][0])), i))
+        now = off(results[best][0])
+        if cost(now) >= cost(residual):
+            break
+        log.debug("step %d: option %d, residuals %s", len(moves), best, now)
+        moves.append(options[best])
+        pending.append(options[best])
+        residual, hess = now, results[best][1]
+        costs.append(cost(now))
+        if len(costs) > 2 and costs[-1] > costs[-3] * (1 - STALL):
             break
-        moves.append([step * r / h for r, h in zip(residual, scale, strict=True)])
-        pending.append(moves[-1])
         if scratch and len(pending) == STEPS:
             points, pending = scratch.table(points.withColumn("rate", rate_after(pending, max_rate, F.col("rate"))), "rates"), []
     return moves, residual
@@ -150,31 +210,38 @@ def mix_to_targets(
     relative: bool = False,
     max_rate: float | None = None,
     rounds: int | None = None,
-    tolerance: float = 1e-4,
+    tolerance: float = 5e-4,
     max_labelled: int = 20_000,
-    min_docs: int = 8,
-    min_ratio: float = 1.0,
-    min_z: float = 5.0,
-    smoothing: float = 2.0,
+    max_words: int = 50_000,
+    min_docs: int = 2,
+    min_odds: float = 2.0,
+    smoothing: float = 1.0,
 ) -> DataFrame:
-    """(doc_id, tokens, domain, posterior, rate, copies) for every document.
+    """(doc_id, tokens, domain, posterior, rate, copies, residual, met) for every document.
 
     ``targets`` gives each domain its weight in the mixture's tokens (as many as there are now) or, if
     ``relative``, the factor on the domain's present expected tokens; domains without one get 0, or
-    stay as they are.  Rates have no upper bound unless ``max_rate`` sets one; residuals above the tolerance are logged.  ``posterior`` maps domains to probabilities, ``rate`` is the fitted number of uses,
-    ``copies`` its draw: the whole part and one more with the chance of the rest, by a hash of the id.
+    stay as they are.  Rates have no upper bound unless ``max_rate`` sets one.  ``posterior`` maps domains to
+    probabilities, ``rate`` is the fitted number of uses, ``copies`` its draw: the whole part and one more
+    with the chance of the rest, by a hash of the id.  ``residual`` maps each domain to its expected tokens less
+    the target, as a share of all tokens, and ``met`` says whether all of these are below the tolerance: both are the
+    same in every row, and targets out of reach are also logged as a warning.
     The classifier is fitted on about ``max_labelled`` labelled documents.  Null and empty texts have no
-    tokens and get the domains' shares.  Without usable labels all documents keep rate 1 and an empty
-    posterior.  Ids must be unique and not null; a label's repeats count once; other columns are ignored.
+    tokens.  Without usable labels all documents keep rate 1, an empty posterior and residual, and
+    ``met`` is false.  Repeated ids with different texts are judged as one bag of words; a null id is an id like
+    others; a label's repeats count once; other columns are ignored.
     """
     scratch = c.Scratch(docs.sparkSession, "mixing")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = labels.select(F.col(label_id_col).cast("long").alias("doc_id"), F.col(domain_col).cast("string").alias("domain"))
-    domains, shares, model = fit_words(slim, known, scratch, max_labelled=max_labelled, min_docs=min_docs, min_ratio=min_ratio, min_z=min_z, smoothing=smoothing)
+    domains, base, model = fit_words(slim, known, scratch, max_labelled=max_labelled, max_words=max_words, min_docs=min_docs, min_odds=min_odds, smoothing=smoothing)
     if not domains:
         scratch.clear()
-        return slim.select("doc_id", F.size(tokens(F.col("text"))).cast("long").alias("tokens"), F.lit(None).cast("string").alias("domain"), F.create_map().cast("map<string,double>").alias("posterior"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
-    rows = scratch.table(posteriors(slim, domains, shares, model), "posteriors")
+        log.warning("no labelled document: all rates stay 1")
+        none = F.create_map().cast("map<string,double>")
+        sizes = slim.select("doc_id", F.size(tokens(F.col("text"))).cast("long").alias("tokens")).groupBy("doc_id").agg(F.max("tokens").alias("tokens"))
+        return sizes.select("*", F.lit(None).cast("string").alias("domain"), none.alias("posterior"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies"), none.alias("residual"), F.lit(False).alias("met"))
+    rows = scratch.table(posteriors(slim, base, model), "posteriors")
     now = rows.agg(F.sum("tokens").alias("all"), *[_rounded(F.col("tokens") * F.col(f"p{i}")).alias(f"t{i}") for i in range(len(domains))]).first()
     if relative:
         goals = [targets.get(d, 1.0) * (now[f"t{i}"] or 0.0) for i, d in enumerate(domains)]
@@ -195,7 +262,8 @@ def mix_to_targets(
     named = F.coalesce(*[F.when(F.col(f"p{i}") == best, F.lit(d)) for i, d in enumerate(domains)])
     posterior = F.create_map(*[x for i, d in enumerate(domains) for x in (F.lit(d), F.col(f"p{i}"))])
     copies = F.floor("rate") + (fraction_of(F.col("doc_id"), "copies") < F.col("rate") - F.floor("rate")).cast("int")
-    out = rated.select("doc_id", "tokens", named.alias("domain"), posterior.alias("posterior"), "rate", copies.cast("int").alias("copies"))
+    left = F.create_map(*[x for d, r in zip(domains, residual, strict=True) for x in (F.lit(d), F.lit(round(r, 9)))])
+    out = rated.select("doc_id", "tokens", named.alias("domain"), posterior.alias("posterior"), "rate", copies.cast("int").alias("copies"), left.alias("residual"), F.lit(met).alias("met"))
     out = scratch.table(out, "result", keep=True)
     scratch.clear()
     return out

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import logging
 
+import numpy as np
+
 from ripplenet.llm import soft_mixing
 
 
@@ -20,3 +22,37 @@ def test_rates_grow_until_a_rare_domain_meets_its_target(spark, caplog):
     share = (out.rate * out.tokens * out.posterior.map(lambda p: p["good"])).sum() / total
     assert abs(share - 0.95) < 0.001 and out.rate.max() > 10
     assert "share of all tokens" in caplog.text
+
+
+def test_descent_matches_brute_force_least_squares(spark):
+    """Out of reach targets: the objective comes close to that of many plain projected steps in numpy."""
+    rng = np.random.default_rng(5)
+    p = np.round(rng.dirichlet((2, 1, 0.4), 200), 4)
+    tokens = rng.integers(1, 400, 200)
+    targets = np.array([0.9, 0.1, 0.0]) * tokens.sum()
+    h = (tokens[:, None] * p * p).sum(axis=0)
+    rate = np.ones(200)
+    for _ in range(20_000):
+        off = (rate * tokens) @ p - targets
+        rate = np.clip(rate - 0.3 * p @ (off / h), 0, 1.5)
+    best = (((rate * tokens) @ p - targets) ** 2 / h).sum()
+    points = spark.createDataFrame([(*map(float, x), int(t)) for x, t in zip(p, tokens, strict=True)], "p0 double, p1 double, p2 double, tokens long")
+    moves, residual = soft_mixing.fit_moves(points, targets.tolist(), max_rate=1.5, rounds=60, tolerance=1e-9)
+    got = ((np.array(residual) * tokens.sum()) ** 2 / h).sum()
+    assert got <= 1.05 * best + 1e-3 and len(moves) < 60
+
+
+def test_targets_out_of_reach_are_told(spark):
+    """Where no word tells domains apart, no rates can meet the targets: every row says so."""
+    docs = spark.createDataFrame([(i, f"same words number{i % 5}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "good" if i % 2 else "low") for i in range(40)], "doc_id long, domain string")
+    rows = soft_mixing.mix_to_targets(docs, labels, {"good": 1.0}).collect()
+    assert len(rows) == 40 and not any(r.met for r in rows) and max(abs(x) for x in rows[0].residual.values()) > 0.3
+
+
+def test_repeated_and_null_ids_give_one_row_each(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c"), (2, None), (3, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, "good"), (2, "low")], "doc_id long, domain string")
+    for known in (labels, labels.limit(0)):
+        got = [r.doc_id for r in soft_mixing.mix_to_targets(docs, known, {"good": 1.0}).collect()]
+        assert sorted(got, key=str) == [1, 2, 3, None]
