@@ -46,9 +46,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the fitted rates draw, once at most; those most probably good stay in any case."""
+    """Documents that the fitted rates draw, once at most."""
     labels = quality_domains(c.table(spark, sf_dir, "labels"))
-    drawn = mix_to_targets(docs, labels, TARGETS, relative=True, max_rate=1.0).where("copies > 0 or domain is null or domain = 'good'")
+    drawn = mix_to_targets(docs, labels, TARGETS, relative=True, max_rate=1.0).where("copies > 0")
     return docs.join(drawn.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*COLUMNS)
 
 
