@@ -74,7 +74,7 @@ def fit_words(
         return [], [], bags
     words = bags.select("domain", F.explode("words").alias("word"))
     counts = words.groupBy("word").agg(F.count("*").alias("n"), *[F.sum((F.col("domain") == d).cast("long")).alias(f"n{i}") for i, d in enumerate(domains)])
-    counts = scratch.table(counts.where(F.col("n") >= min_docs), "counts")
+    counts = scratch.table(counts.where((F.col("n") >= min_docs) & (F.col("n") < total)), "counts")
     tests = max(counts.count() * len(domains), 2)
 
     def told(seen: Column, expected: Column) -> Column:
