@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Documents handled together inside a task; bounds the working memory of the kernels.
@@ -29,7 +29,7 @@ class Scratch:
     """Tables that cut lineage, in the folder all executors share.
 
     ``spark.checkpoint.dir`` names that folder; a temporary folder stands in only where
-    it is unset (one machine, as in tests).  Tables written with ``keep=False``
+    it is unset and the master is local, as in tests.  Tables written with ``keep=False``
     disappear at :meth:`drop` or :meth:`clear`; the operator's result is kept.  A table once
     written needs no shuffle files any more, so these go at the end of each write.
     """
@@ -37,7 +37,10 @@ class Scratch:
     CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
     def __init__(self, spark: SparkSession, label: str):
-        root = spark.conf.get("spark.checkpoint.dir", None) or _local_root(spark.sparkContext.applicationId)
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = root or _local_root(spark.sparkContext.applicationId)
         self.spark, self.root, self.paths, self.written = spark, f"{root}/{label}-{uuid.uuid4().hex}", [], 0
 
     def table(self, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
@@ -66,6 +69,26 @@ class Scratch:
         self.drop(*[name for name, _ in self.paths])
 
 
+#: A key that holds more than this part of all rows is hot; there are fewer such keys than its inverse.
+HOT_PART, SALTS = 1 / 4096, 64
+
+
+def dealt(rows: DataFrame, keyed: DataFrame, on: list[str], by: Column, scratch: Scratch, name: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``keyed``, which has one row per key and the number ``n`` of rows that hold it.
+
+    Rows of a hot key are dealt over SALTS tasks by a hash of ``by``, and the key is repeated for each of them.
+    The hot keys that are broadcast to tell them apart are fewer than 1 / HOT_PART, whatever the input.
+    """
+    keyed = scratch.table(keyed, name)
+    total = keyed.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") > HOT_PART * total
+    marks = F.broadcast(keyed.where(hot).select(*on, F.lit(True).alias("hot")))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0)
+    salted = rows.join(marks, on, "left").withColumn("salt", salt).drop("hot")
+    copies = keyed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(hot, SALTS - 1).otherwise(0)))).drop("n")
+    return salted.join(copies, [*on, "salt"], how).drop("salt")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as c
+from .connect import components
 
 #: Steps work on so many elements at a time.
 CHUNK = 20_000
@@ -169,29 +170,6 @@ def _linked(na: Column, nb: Column, shared: Column, percent: int) -> Column:
     return 100 * shared >= percent * (na + nb - shared)
 
 
-def components(edges: DataFrame, scratch: c.Scratch, name: str) -> DataFrame:
-    """Smallest node reachable from each node of ``edges(a, b)``, as (node, label).
-
-    Distributed union-find: every node hooks onto the smallest label among its neighbours,
-    then labels jump to their label's label; rounds end when no label falls any more.
-    Nothing but one sum per round reaches the driver.
-    """
-    both = scratch.table(edges.select("a", "b").union(edges.select("b", "a")).distinct(), f"{name}-edges")
-    labels = scratch.table(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")), f"{name}-labels")
-    total = F.coalesce(F.sum(F.col("label").cast("decimal(38,0)")), F.lit(0))
-    before = labels.agg(total).first()[0]
-    while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        hooked = labels.join(near, labels.node == near.a).select("node", F.least("label", "near").alias("label"))
-        up = labels.select(F.col("node").alias("up"), F.col("label").alias("higher"))
-        jumped = hooked.join(up, hooked.label == up.up).select("node", F.least("label", "higher").alias("label"))
-        labels = scratch.table(jumped, f"{name}-labels")
-        now = labels.agg(total).first()[0]
-        if now == before:
-            return labels
-        before = now
-
-
 def near_duplicates(
     docs: DataFrame,
     *,
