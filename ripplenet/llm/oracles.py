@@ -28,33 +28,32 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component_id, w.doc_id
 """
 
 _BUCKET = "CASE WHEN v < 64 THEN v ELSE (v >> (length(bin(v)) - 6)) << (length(bin(v)) - 6) END"
-_METRICS = {"mean_word": ("1000 * word_chars // n_words", 250), "symbols": ("1000 * n_symbols // n_words", 20), "dup_lines": ("1000 * n_dup_lines // n_lines", 50), "repeats": ("1000 * n_repeat_words // n_words", 50)}
-_LONG = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{m}' AS metric, CAST({f} AS BIGINT) AS v, {s} AS spread FROM base WHERE NOT base_failed" for m, (f, s) in _METRICS.items())
-
-
-def _quartiles(name: str, keys: str) -> str:
-    by = f"{keys}metric"
-    return f""", {name}_b AS (SELECT {by}, {_BUCKET} AS bucket, count(*) AS n FROM long GROUP BY ALL),
-{name}_r AS (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS below, sum(n) OVER (PARTITION BY {by}) AS size FROM {name}_b),
-{name} AS (SELECT {by}, max(size) AS size, min(bucket) FILTER (4 * below >= size) AS q1, min(bucket) FILTER (4 * below >= 2 * size) AS q2, min(bucket) FILTER (4 * below >= 3 * size) AS q3 FROM {name}_r GROUP BY ALL)"""
-
-
-QUALITY = (
-    f"""
+_METRICS = {"mean_word": ("1000 * word_chars // n_words", "n_words", 10), "symbols": ("1000 * n_symbols // n_words", "n_words", 1), "dup_lines": ("1000 * n_dup_lines // n_lines", "n_lines", 1), "repeats": ("1000 * n_repeat_words // n_words", "n_words", 6)}
+_MEASURED = {m: f for m, (f, _, _) in _METRICS.items()} | {"n_words": "n_words", "n_lines": "n_lines"}
+_LONG = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, CAST({f} AS BIGINT) AS v FROM base WHERE NOT base_failed" for m, f in _MEASURED.items())
+_WIDE = ", ".join(f"max({q}) FILTER (metric = '{m}') AS {m}_{q}" for m in _MEASURED for q in ("q1", "q2", "q3"))
+_LEAST = {m: f"greatest(1, {1000 * o} // least({size}, {size}_q2))" for m, (_, size, o) in _METRICS.items()}
+_INSIDE = " AND ".join(f"{f} <= {m}_q2 + 5 * greatest({m}_q3 - {m}_q2, {_LEAST[m]})" for m, (f, _, _) in _METRICS.items())
+_INSIDE += f" AND {_METRICS['mean_word'][0]} >= mean_word_q2 - 5 * greatest(mean_word_q2 - mean_word_q1, {_LEAST['mean_word']})"
+
+QUALITY = f"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text, {_WORDS.format(text="coalesce(text, '')")} AS ws FROM documents),
 tri AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM (SELECT doc_id, i, ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2] AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d WHERE len(ws) >= 3))),
 rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS j FROM tri WHERE c > 1) GROUP BY doc_id),
-lines AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+lines AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 feat AS (SELECT d.doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(ls) AS n_lines FROM d JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
 base AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM feat),
-long AS ({_LONG})"""
-    + _quartiles("a", "lang, source, ")
-    + _quartiles("b", "lang, ")
-    + _quartiles("c", "")
-    + """, q AS (SELECT a.lang, a.source, metric, CASE WHEN a.size >= 100 THEN a.q1 WHEN b.size >= 100 THEN b.q1 ELSE c.q1 END AS q1, CASE WHEN a.size >= 100 THEN a.q2 WHEN b.size >= 100 THEN b.q2 ELSE c.q2 END AS q2, CASE WHEN a.size >= 100 THEN a.q3 WHEN b.size >= 100 THEN b.q3 ELSE c.q3 END AS q3
- FROM a JOIN b USING (lang, metric) JOIN c USING (metric)),
-out AS (SELECT long.doc_id, bool_or(v > q2 + 5 * greatest(q3 - q2, spread) OR (metric = 'mean_word' AND v < q2 - 5 * greatest(q2 - q1, spread))) AS outside FROM long JOIN q USING (lang, source, metric) GROUP BY long.doc_id)
-SELECT base.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT outside AS kept FROM base LEFT JOIN out USING (doc_id)
+fine AS (SELECT lang, source, metric, {_BUCKET} AS bucket, count(*) AS n FROM ({_LONG}) GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source, metric FROM fine),
+by_lang AS (SELECT lang, metric, bucket, sum(n) AS n FROM fine GROUP BY ALL), by_all AS (SELECT metric, bucket, sum(n) AS n FROM fine GROUP BY ALL),
+size_lang AS (SELECT lang, metric, sum(n) AS size FROM fine GROUP BY ALL), size_all AS (SELECT metric, sum(n) AS size FROM fine GROUP BY ALL),
+blend AS (SELECT lang, source, metric, bucket, sum(w) AS w FROM (
+ SELECT lang, source, metric, bucket, 1000 * n AS w FROM fine
+ UNION ALL SELECT g.lang, source, g.metric, bucket, 50000 * n // size AS w FROM groups g JOIN by_lang p ON p.lang = g.lang AND p.metric = g.metric JOIN size_lang s ON s.lang = g.lang AND s.metric = g.metric
+ UNION ALL SELECT lang, source, g.metric, bucket, 50000 * n // size AS w FROM groups g JOIN by_all p ON p.metric = g.metric JOIN size_all s ON s.metric = g.metric) GROUP BY ALL HAVING sum(w) > 0),
+ranked AS (SELECT *, sum(w) OVER (PARTITION BY lang, source, metric ORDER BY bucket) AS below, sum(w) OVER (PARTITION BY lang, source, metric) AS size FROM blend),
+q AS (SELECT lang, source, metric, min(bucket) FILTER (4 * below >= size) AS q1, min(bucket) FILTER (4 * below >= 2 * size) AS q2, min(bucket) FILTER (4 * below >= 3 * size) AS q3 FROM ranked GROUP BY ALL),
+wide AS (SELECT lang, source, {_WIDE} FROM q GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, CASE WHEN base_failed THEN false ELSE {_INSIDE} END AS kept FROM base LEFT JOIN wide USING (lang, source)
 """
-)

@@ -2,10 +2,15 @@
 
 Every metric is summarised by a mergeable quantile sketch: integer values fall into
 buckets that keep their six leading bits (relative error below 1/32), and a sketch is the
-count per bucket.  Sketches merge by adding counts, so a (language, source) group with too
-few documents uses the merged sketch of its language, and that of the whole corpus beyond.
+count per bucket.  Sketches merge by adding counts.  The fence of a (language, source) group is read from
+a blend: the group's own sketch, and those of its language and of the whole corpus scaled down to ``shrink``
+documents each, so a small group leans on its parents and a large one stands for itself.
+
+Nothing in a fence is a fixed cut-off.  Its spread comes from the quartiles; where these agree, as they
+do for metrics that are zero in most documents, it is what one occurrence makes in a document of the group's
+median length, read from the sketches of words and lines, or of its own length if that is shorter.
 Counts aggregate map-side; their number is bounded by groups x metrics x buckets, whatever
-the number of rows, and they never leave the executors.  Fences follow from the quartiles.
+the number of rows, and they never leave the executors.
 """
 
 from __future__ import annotations
@@ -18,13 +23,17 @@ from pyspark.sql import functions as F
 from . import common as c
 
 SPACE, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
-#: Metric (per mille) -> its formula and the least spread that a fence assumes.
+#: Metric (per mille) -> its formula, and the size whose median turns occurrences into per mille.
 METRICS = {
-    "mean_word": ("1000 * word_chars div n_words", 250),
-    "symbols": ("1000 * n_symbols div n_words", 20),
-    "dup_lines": ("1000 * n_dup_lines div n_lines", 50),
-    "repeats": ("1000 * n_repeat_words div n_words", 50),
+    "mean_word": ("1000 * word_chars div n_words", "n_words"),
+    "symbols": ("1000 * n_symbols div n_words", "n_words"),
+    "dup_lines": ("1000 * n_dup_lines div n_lines", "n_lines"),
+    "repeats": ("1000 * n_repeat_words div n_words", "n_words"),
 }
+#: How much one occurrence adds to the metric's count (a long word beyond the mean, a symbol, a line, a window of words).
+OCCURRENCE = {"mean_word": 10, "symbols": 1, "dup_lines": 1, "repeats": 6}
+#: Documents of a parent's sketch count in this part of a document, so that blends are whole numbers.
+PART = 1000
 
 
 def repeated_words(h: np.ndarray) -> int:
@@ -70,9 +79,22 @@ def quantile_sketches(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys, "metric", bucket(F.col("value")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+def blended(sketch: DataFrame, shrink: int) -> DataFrame:
+    """(lang, source, metric, bucket, w): each group's sketch with those of its language and of the corpus behind it."""
+    merge = lambda keys: sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
+    groups = sketch.select("lang", "source", "metric").distinct()
+    parts = [sketch.select("lang", "source", "metric", "bucket", (PART * F.col("n")).alias("w"))]
+    for keys in (["lang"], []):
+        parent = merge(keys)
+        size = parent.groupBy(*keys, "metric").agg(F.sum("n").alias("size"))
+        scaled = parent.join(size, [*keys, "metric"]).select(*keys, "metric", "bucket", F.expr(f"{shrink * PART} * n div size").alias("w"))
+        parts.append(groups.join(scaled, [*keys, "metric"]).select("lang", "source", "metric", "bucket", "w"))
+    return parts[0].union(parts[1]).union(parts[2]).groupBy("lang", "source", "metric", "bucket").agg(F.sum("w").alias("w")).where("w > 0")
+
+
+def quartiles(sketch: DataFrame, keys: list[str], weight: str = "n") -> DataFrame:
     by = Window.partitionBy(*keys, "metric")
-    ranked = sketch.withColumns({"below": F.sum("n").over(by.orderBy("bucket")), "size": F.sum("n").over(by)})
+    ranked = sketch.withColumns({"below": F.sum(weight).over(by.orderBy("bucket")), "size": F.sum(weight).over(by)})
     at = lambda i: F.min(F.when(4 * F.col("below") >= i * F.col("size"), F.col("bucket")))
     return ranked.groupBy(*keys, "metric").agg(F.max("size").alias("size"), at(1).alias("q1"), at(2).alias("q2"), at(3).alias("q3"))
 
@@ -87,14 +109,15 @@ def quality_verdicts(
     min_words: int = 50,
     max_repeat_percent: int = 50,
     width: int = 5,
-    min_group: int = 100,
+    shrink: int = 50,
 ) -> DataFrame:
     """Base features, fences and verdict per document.
 
     Words are runs outside ``\\x20\\x09-\\x0D``.  ``base_failed`` marks fewer than ``min_words`` words
     or more than ``max_repeat_percent`` % repeated words.  Others fail if a metric leaves its
-    fence: median + width * max(q3 - median, least spread), for the mean word length also below,
-    with quartiles of the documents of its language and source that passed the base rules.
+    fence: median + width * max(q3 - median, least), for the mean word length also below, where ``least`` is what one
+    occurrence makes in a document of its own or, if that is shorter, of median length, and at least 1.  Quartiles and lengths are those of the documents of
+    its language and source that passed the base rules, blended with their parents (see the module).
     Null texts have no words and fail; null languages and sources form groups of their own.
     Ids may repeat: every row is judged by itself.  Other columns are ignored.
     """
@@ -111,32 +134,27 @@ def quality_verdicts(
     )
     feats = scratch.table(feats, "features")
     passed = feats.where(~F.col("base_failed"))
-    values = passed.select("lang", "source", F.explode(F.create_map(*[x for m, (f, _) in METRICS.items() for x in (F.lit(m), F.expr(f))])).alias("metric", "value"))
+    measured = {m: F.expr(f) for m, (f, _) in METRICS.items()} | {size: F.col(size) for size in ("n_words", "n_lines")}
+    values = passed.select("lang", "source", F.explode(F.create_map(*[x for m, f in measured.items() for x in (F.lit(m), f)])).alias("metric", "value"))
     fine = scratch.table(quantile_sketches(values, ["lang", "source"]), "sketches")
-    merge = lambda keys: fine.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
-    cols = ["size", "q1", "q2", "q3"]
-    level = lambda df, name: df.select(*[x for x in ("lang", "source", "metric") if x in df.columns], F.struct(*cols).alias(name))
-    chosen = (
-        level(quartiles(fine, ["lang", "source"]), "a")
-        .join(level(quartiles(merge(["lang"]), ["lang"]), "b"), ["lang", "metric"])
-        .join(level(quartiles(merge([]), []), "c"), ["metric"])
-        .withColumn("q", F.when(F.col("a.size") >= min_group, F.col("a")).when(F.col("b.size") >= min_group, F.col("b")).otherwise(F.col("c")))
-    )
-    spread = F.create_map(*[x for m, (_, s) in METRICS.items() for x in (F.lit(m), F.lit(s))])[F.col("metric")]
-    fences = chosen.select(
-        "lang",
-        "source",
-        "metric",
-        F.when(F.col("metric") == "mean_word", F.col("q.q2") - width * F.greatest(F.col("q.q2") - F.col("q.q1"), spread)).alias("low"),
-        (F.col("q.q2") + width * F.greatest(F.col("q.q3") - F.col("q.q2"), spread)).alias("high"),
-    )
-    wide = fences.groupBy("lang", "source").agg(
-        *[F.max(F.when(F.col("metric") == m, F.col("high"))).alias(f"max_{m}") for m in METRICS],
-        F.max("low").alias("min_mean_word"),
-    )
+    read = quartiles(blended(fine, shrink), ["lang", "source"], "w").groupBy("lang", "source")
+    wide = read.agg(*[F.max(F.when(F.col("metric") == m, F.col(q))).alias(f"{m}_{q}") for m in measured for q in ("q1", "q2", "q3")])
+    # one row per language and source, as many as the metadata has values, and not grown by rows
+    wide = scratch.table(wide, "fences")
+    fences = {}
+    for m, (_, size) in METRICS.items():
+        q1, q2, q3 = (F.col(f"{m}_{q}") for q in ("q1", "q2", "q3"))
+        least = F.greatest(F.lit(1), F.expr(f"{1000 * OCCURRENCE[m]} div least({size}, {size}_q2)"))
+        fences[f"max_{m}"] = q2 + width * F.greatest(q3 - q2, least)
+        if m == "mean_word":
+            fences["min_mean_word"] = q2 - width * F.greatest(q2 - q1, least)
     inside = F.expr(METRICS["mean_word"][0]) >= F.col("min_mean_word")
     for m, (formula, _) in METRICS.items():
         inside = inside & (F.expr(formula) <= F.col(f"max_{m}"))
-    return feats.join(wide, ["lang", "source"], "left").select(
-        *feats.columns, *wide.columns[2:], F.when(F.col("base_failed"), F.lit(False)).otherwise(inside).alias("kept")
-    )
+    rows = passed.groupBy("lang", "source").agg(F.count("*").alias("n"))
+    judged = c.dealt(feats, wide.join(rows, ["lang", "source"]), ["lang", "source"], F.col("doc_id"), scratch, "groups", how="left")
+    judged = judged.select(*feats.columns, *[F.when(~F.col("base_failed"), f).alias(n) for n, f in fences.items()])
+    out = judged.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(inside))
+    out = scratch.table(out, "result", keep=True)
+    scratch.clear()
+    return out
