@@ -9,7 +9,8 @@ the full windows around it are hashed and meet their smallest document.
 
 Plan: anchors aggregate map-side per hash to (smallest, largest content id), so a hot
 passage is one row per task; equal texts share one content id and act through their smallest
-document.  Windows do the same.  No group of occurrences is ever gathered, no pairs are made.
+document.  Windows do the same.  No group of occurrences is ever gathered, no pairs are made, and the
+rows of a hot anchor or window are dealt over many tasks where they meet its owner.
 """
 
 from __future__ import annotations
@@ -148,14 +149,14 @@ def remove_repeated_windows(
     firsts = base.where(F.col("n_words") >= length).groupBy("sha").agg(F.min("doc_id").alias("first"), F.first("cid").alias("cid"))
 
     anchors = raw.mapInArrow(_anchors(length, period, cover), "h long, cid long, pos int")
-    shared = anchors.groupBy("h").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi").select("h")
-    hits = anchors.join(shared, "h").groupBy("cid").agg(F.collect_set("pos").alias("at"))
+    shared = anchors.groupBy("h").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("h", "n")
+    hits = c.dealt(anchors, shared, ["h"], F.col("cid"), scratch, "shared").groupBy("cid").agg(F.collect_set("pos").alias("at"))
     hits = scratch.table(hits.join(firsts, "cid").select(F.col("first").alias("doc_id"), "at"), "hits")
     affected = scratch.table(raw.join(hits, "doc_id").select("doc_id", "raw", "at"), "affected")
 
     windows = affected.mapInArrow(_windows(length, period), "h1 long, h2 int, doc_id long, pos int")
-    owners = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("hi")).where("owner < hi").select("h1", "h2", "owner")
-    late = windows.join(owners, ["h1", "h2"]).where("doc_id > owner").groupBy("doc_id").agg(F.collect_list("pos").alias("at"))
+    owners = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("owner < hi").drop("hi")
+    late = c.dealt(windows, owners, ["h1", "h2"], F.col("doc_id"), scratch, "owners").where("doc_id > owner").groupBy("doc_id").agg(F.collect_list("pos").alias("at"))
     cut = affected.select("doc_id", "raw").join(late, "doc_id").mapInArrow(
         _cut(length), "doc_id long, removed long, cut_sha string, cut_text string, span_starts array<long>, span_ends array<long>"
     )
