@@ -133,8 +133,8 @@ def remove_repeated_bytes(
         raw.select("doc_id", F.coalesce(F.octet_length("raw"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(F.coalesce("raw", F.lit(b"")), 256).alias("sha")),
         "base",
     )
-    copies = base.where(F.col("n_bytes") >= length).groupBy("sha").agg(F.count("*").alias("copies")).where("copies > 1")
-    whole = scratch.table(base.join(copies, "sha", "left_semi").select("doc_id"), "whole")
+    copies = base.where(F.col("n_bytes") >= length).groupBy("sha").agg(F.count("*").alias("n")).where("n > 1")
+    whole = scratch.table(c.dealt(base, copies, ["sha"], F.col("doc_id"), scratch, "copies").select("doc_id"), "whole")
 
     parse = raw.mapInArrow(_parse(length, gram, span), "k long, cls long, doc_id long, lo int, hi int")
     classes = parse.groupBy("k", "cls").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "lo", "hi")).alias("rep"))
@@ -142,7 +142,7 @@ def remove_repeated_bytes(
     keys = classes.groupBy("k").agg(per_key.alias("key")).where("key.n > 1")
     classes = scratch.table(classes.join(keys, "k").select("k", "cls", "n", "rep", ((F.col("key.classes") > 1) & (F.col("key.least") == 1)).alias("open")), "classes")
 
-    settled = parse.join(classes.where("n > 1").select("k", "cls"), ["k", "cls"], "left_semi").join(whole, "doc_id", "left_anti")
+    settled = c.dealt(parse, classes.where("n > 1").select("k", "cls", "n"), ["k", "cls"], F.col("doc_id"), scratch, "twice").join(whole, "doc_id", "left_anti")
     settled = scratch.table(
         settled.groupBy("doc_id").agg(F.collect_list(F.struct("lo", (F.col("hi") + length).alias("end"))).alias("spans")), "settled"
     )
@@ -157,11 +157,9 @@ def remove_repeated_bytes(
 
     # the windows are made twice rather than written: they are many times the text
     windows = affected.join(jobs, "doc_id").mapInArrow(_suffixes(length), "h1 long, h2 int, doc_id long, x int, weight int")
-    repeated = windows.groupBy("h1", "h2").agg(F.sum("weight").alias("w")).where("w > 1").select("h1", "h2")
-    repeated = scratch.table(repeated, "repeated")
+    repeated = windows.groupBy("h1", "h2").agg(F.sum("weight").alias("w"), F.count("*").alias("n")).where("w > 1").select("h1", "h2", "n")
     found = (
-        windows.where("weight = 1")
-        .join(repeated, ["h1", "h2"], "left_semi")
+        c.dealt(windows.where("weight = 1"), repeated, ["h1", "h2"], F.col("doc_id"), scratch, "repeated")
         .join(whole, "doc_id", "left_anti")
         .groupBy("doc_id")
         .agg(F.collect_list(F.struct(F.col("x").alias("lo"), (F.col("x") + length).alias("end"))).alias("spans"))
