@@ -4,9 +4,13 @@ Language, source and length are quantised order-preserving and equi-depth, one b
 size class per cell side; the cell's place on the Hilbert curve orders the rows; runs of
 near equal bytes become shards, so that min/max statistics of a file prune on any dimension.
 
-Plan: nothing is sorted globally.  Bytes and rows are summed per (cell, salt), prefix sums run over
-those sums (the number of cells is a parameter), and only rows of one cell and salt are
-ordered among themselves.  A cell that holds a third of all rows is split by the salt.
+Equal texts stand together whatever their metadata say: a group takes the cell of its
+smallest place on the curve, and a shard's end falls beside a group, not inside it, unless the group is larger
+than a quarter of a shard.
+
+Plan: nothing is sorted globally.  Bytes and rows are summed per part: a cell's rows are cut into parts by the
+leading bits of the text's checksum, as many as its count asks for, and a group of very many equal texts is
+cut further by ids.  Prefix sums run over those sums, and only rows of one part are ordered among themselves.
 """
 
 from __future__ import annotations
@@ -55,16 +59,17 @@ def hilbert_shards(
     dims: tuple[str, ...] = ("lang", "source"),
     shards: int = 40,
     bits: int = 5,
-    salts: int = 256,
+    rows_a_part: int = 4096,
     overhead: int = 16,
 ) -> DataFrame:
     """(doc_id, size, text_crc32, curve, shard, slot) for every row.
 
     ``size`` is the text's UTF-8 bytes plus ``overhead``; null texts count as empty.  The curve's
     dimensions are ``dims`` (strings; null is the empty string) and the size.  Shard boundaries
-    cut the order at equal bytes: a shard's bytes differ from the mean by less than the
-    largest row on either side.  Slots count from 0 within a shard without gaps.  Ids must be unique and
-    not null; an empty table gives no rows; other columns are ignored.
+    cut the order at equal bytes, each at the nearest edge of a row or of a group of equal texts (same checksum and size)
+    that is no larger than a quarter of a shard: so a shard's bytes differ from the mean by at most the
+    largest such unit.  Slots count from 0 within a shard without gaps.  Repeated and null ids are rows like others,
+    though rows equal in id and text may swap slots; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = c.Scratch(spark, "hilbert")
@@ -90,26 +95,50 @@ def hilbert_shards(
     grid = np.indices((sides,) * len(names)).reshape(len(names), -1).T
     # sides ** dims rows: a bound set by parameters, whatever the input
     curve = spark.createDataFrame([(i, int(h)) for i, h in enumerate(hilbert_index(grid, bits))], "cell long, curve long")
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")
-    laid = rows.withColumns({"cell": cells[0], "salt": salt}).join(F.broadcast(curve), "cell").select("doc_id", "size", "text_crc32", "curve", "salt")
+    laid = rows.withColumn("cell", cells[0]).join(F.broadcast(curve), "cell").select("doc_id", "size", "text_crc32", "curve")
+
+    # equal texts share one cell
+    text = ["text_crc32", "size"]
+    groups = laid.groupBy(*text).agg(F.min("curve").alias("place"), F.count("*").alias("n")).where("n > 1").withColumn("copies", F.col("n"))
+    laid = c.dealt(laid, groups, text, F.col("doc_id"), scratch, "groups", how="left")
+    laid = laid.select("doc_id", *text, F.coalesce("place", "curve").alias("curve"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
+    laid = scratch.table(laid, "laid")
 
-    parts = laid.groupBy("curve", "salt").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
-    parts = scratch.table(parts, "parts")
+    # parts: (cell, leading bits of the checksum), and (hot group, salt), in this order along the curve
+    counts = scratch.table(laid.groupBy("curve").agg(F.count("*").alias("rows")), "counts")  # at most one row a cell
+    n_rows = counts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    lead = F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("rows") / rows_a_part))).cast("int")
+    laid = laid.join(F.broadcast(counts.select("curve", (32 - F.least(lead, F.lit(32))).alias("tail"))), "curve")
+    hot = (F.col("copies") > rows_a_part) & (F.col("copies") > n_rows * c.HOT_PART)
+    part = ["curve", "band", "hot_crc", "hot_size", "salt"]
+    laid = laid.withColumns(
+        {
+            "band": F.expr("text_crc32 div bigint(pow(2, tail))"),
+            "hot_crc": F.when(hot, F.col("text_crc32")).otherwise(-1),
+            "hot_size": F.when(hot, F.col("size")).otherwise(-1),
+            "salt": F.when(hot, F.pmod(F.xxhash64("doc_id"), F.lit(c.SALTS)).cast("int")).otherwise(0),
+        }
+    ).drop("tail")
+    parts = scratch.table(laid.groupBy(*part).agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")), "parts")
     before = lambda w, x: F.coalesce(F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inner, outer = Window.partitionBy("curve").orderBy("salt"), Window.orderBy("curve")
+    inner, outer = Window.partitionBy("curve").orderBy(*part[1:]), Window.orderBy("curve")
     whole = parts.groupBy("curve").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
-    whole = whole.select("curve", before(outer, "bytes").alias("byte0"), before(outer, "rows").alias("row0"))
-    starts = (
-        parts.select("curve", "salt", before(inner, "bytes").alias("byte1"), before(inner, "rows").alias("row1"))
-        .join(whole, "curve")
-        .select("curve", "salt", (F.col("byte0") + F.col("byte1")).alias("byte0"), (F.col("row0") + F.col("row1")).alias("row0"))
-    )
+    whole = whole.select("curve", before(outer, "bytes").alias("cell_byte"), before(outer, "rows").alias("cell_row"))
+    starts = parts.select(*part, before(inner, "bytes").alias("byte"), before(inner, "rows").alias("row")).join(whole, "curve")
+    starts = starts.select(*part, (F.col("cell_byte") + F.col("byte")).alias("part_byte"), (F.col("cell_row") + F.col("row")).alias("part_row"))
+    starts = starts.withColumn("hot_byte", F.min("part_byte").over(Window.partitionBy(*part[:4])))  # where a hot group begins
     total = parts.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    own = Window.partitionBy("curve", "salt").orderBy("text_crc32", "doc_id")
-    placed = (
-        laid.join(starts, ["curve", "salt"])
-        .withColumns({"at": F.col("byte0") + before(own, "size"), "row": F.col("row0") + F.row_number().over(own) - 1})
-        .select("doc_id", "size", "text_crc32", "curve", F.expr(f"at * {shards} div {max(total, 1)}").cast("int").alias("shard"), "row")
+
+    own = Window.partitionBy(*part).orderBy(*text, "doc_id")
+    alike = Window.partitionBy(*part, *text).orderBy("doc_id")
+    placed = laid.join(starts, part).withColumns(
+        {"at": F.col("part_byte") + before(own, "size"), "row": F.col("part_row") + F.row_number().over(own) - 1, "nth": F.row_number().over(alike) - 1}
+    )
+    begins = F.when(F.col("hot_crc") >= 0, F.col("hot_byte")).otherwise(F.col("at") - F.col("nth") * F.col("size"))
+    kept = F.col("copies") * F.col("size") * (4 * shards) <= total  # groups up to a quarter of a shard stay whole
+    twice = F.when(kept, 2 * begins + F.col("copies") * F.col("size")).otherwise(2 * F.col("at") + F.col("size"))  # twice the unit's middle
+    placed = placed.withColumn("twice", twice).select(
+        "doc_id", "size", "text_crc32", "curve", F.expr(f"least({shards - 1}, twice * {shards} div {2 * max(total, 1)})").cast("int").alias("shard"), "row"
     )
     placed = scratch.table(placed, "placed", keep=True)
     first = placed.groupBy("shard").agg(F.min("row").alias("first"))  # one row a shard

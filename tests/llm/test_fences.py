@@ -11,7 +11,7 @@ def test_two_sources_judge_one_text_differently(spark):
     """Half of the words of code forums hold symbols, none of the news: one text with some symbols passes there only."""
     rng = np.random.default_rng(2)
     word = lambda: "".join(map(chr, rng.integers(97, 123, rng.integers(3, 9))))
-    text = lambda symbols: " ".join(word() + "#" * (i < symbols) for i in range(100))
+    text = lambda symbols: " ".join(word() + "#" * int(i < symbols) for i in range(100))
     rows = [(i, text(0), "en", "news") for i in range(300)] + [(300 + i, text(rng.integers(30, 70)), "en", "code") for i in range(300)]
     one = text(40)
     rows += [(900, one, "en", "news"), (901, one, "en", "code")]

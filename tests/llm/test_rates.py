@@ -44,7 +44,7 @@ def test_descent_matches_brute_force_least_squares(spark):
 
 def test_targets_out_of_reach_are_told(spark):
     """Where no word tells domains apart, no rates can meet the targets: every row says so."""
-    docs = spark.createDataFrame([(i, f"same words number{i % 5}") for i in range(40)], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(["same", "words", *(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{k}" for k in "xyz")])) for i in range(40)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, "good" if i % 2 else "low") for i in range(40)], "doc_id long, domain string")
     rows = soft_mixing.mix_to_targets(docs, labels, {"good": 1.0}).collect()
     assert len(rows) == 40 and not any(r.met for r in rows) and max(abs(x) for x in rows[0].residual.values()) > 0.3
