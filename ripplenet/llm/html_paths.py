@@ -1,17 +1,23 @@
 """Main text of web pages by tag-path ratios.
 
-Every text node has a root-to-leaf tag path.  Per path, text length and punctuation per node are
-collected over the page, smoothed along the page's order of paths, fused to one score with
-the share of text outside links, and thresholded.  The element that holds the selected
-paths is the content; its blocks are returned in page order, without boilerplate elements inside it.
-
-A page is one row and one call: the scan reads three columns, nothing is shuffled.
+Every text node has a root-to-leaf tag path (elements with their classes).  Per path, text length and punctuation
+per node are collected over the page, smoothed along the page's order of paths, and fused to one score with
+the share of text outside links and a factor for names that sites give to notices, adverts and comments.
+Paths whose score reaches a share of the page's best are selected.  The content is the smallest element that
+holds the selected paths; inside it a container counts only if it holds a selected path itself, and with it the
+headings, lists and tables that stand beside the selected paths.  Menus, footers, sidebars and forms by their elements
+score nothing.
+
+A page is one row and one call: the scan reads three columns, nothing is shuffled.  Paths are numbers of
+a tree, so deep and unclosed markup costs no more than flat markup of its length.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,37 +27,76 @@ TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)",
     re.S,
 )
-HINT = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+HINT = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 WORD = re.compile(r"[a-z]+")
 # White space and punctuation as HTML and common writing systems have them.
 GAPS = re.compile(r"[ \t\n\x0b\x0c\r\xa0  -     　]+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 # Elements of HTML by their role here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math canvas object textarea title head".split())
+RAW = frozenset("script style template iframe svg textarea title".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header"
     " hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-BOILERPLATE = frozenset("nav aside footer form menu dialog button select".split())
+BOILERPLATE = frozenset("nav aside footer form menu dialog button select head".split())
+FLOW = frozenset("p h1 h2 h3 h4 h5 h6 hgroup blockquote pre ul ol li dl dt dd table thead tbody tfoot tr td th figure figcaption hr address".split())
+LISTS = frozenset("ul ol dl table".split())
 CONTENT = frozenset("article main".split())
+#: What a hinted name leaves of the scores below it.
+HINT_FACTOR = 0.002
+# Class names of other things than content, and what such names are combined with.
 HINTS = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer menu modal navbar"
-    " navigation newsletter notice notices popup promo related search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
+    " nav navigation newsletter notice notices popup promo related reply replies share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
+)
+FILLERS = frozenset(
+    "area articles bar block body bottom box buttons center column container content form header holder inner item items left link links list main outer page"
+    " post posts right row section site slot text thread top unit wrap wrapper".split()
 )
 
 
-def text_nodes(page: str):
-    """(path, block number, text, in a link, inside boilerplate) of each text node in order."""
-    stack: list[tuple[str, bool, bool]] = []  # element, boilerplate, link
-    block = at = 0
-    lower = None
+class Path:
+    """An element's place among the tag paths of a page, and the sums over its text nodes."""
+
+    __slots__ = ("chars", "children", "element", "factor", "inside", "linked", "marks", "nodes", "parent", "score", "top")
+
+    def __init__(self, parent: Path | None, element: str, factor: float):
+        self.parent, self.element, self.factor = parent, element, factor
+        self.children: dict[str, Path] = {}
+        self.chars = self.marks = self.nodes = self.linked = 0
+        self.score = self.top = 0.0
+        self.inside = element in CONTENT or (parent is not None and parent.inside)
+
+
+def hinted(names: str) -> bool:
+    """Whether a class, id or role is one of HINTS, or joins HINTS and FILLERS only."""
+    for name in names.split():
+        parts = WORD.findall(name)
+        if any(x in HINTS for x in parts) and all(x in HINTS or x in FILLERS for x in parts):
+            return True
+    return False
+
+
+def text_nodes(page: str, root: Path) -> Iterator[tuple[Path, int, str, bool]]:
+    """(path, block number, text, in a link) of each text node in order; paths grow under ``root``."""
+    path, block, at = root, 0, 0
+    stack: list[tuple[str, Path, bool]] = []  # element, its path, inside a link
+    places: dict[str, list[int]] = defaultdict(list)  # element -> places in the stack
+    unclosed: set[str] = set()
+
+    def pop_to(n: int) -> None:
+        nonlocal path
+        while len(stack) > n:
+            places[stack.pop()[0]].pop()
+        path = stack[-1][1] if stack else root
+
     while True:
         m = TAG.search(page, at)
         text = page[at : m.start() if m else len(page)]
         if text.strip():
-            yield tuple(e[0] for e in stack), block, text, any(e[2] for e in stack), any(e[1] for e in stack)
+            yield path, block, text, bool(stack) and stack[-1][2]
         if not m:
             return
         at = m.end()
@@ -59,82 +104,112 @@ def text_nodes(page: str):
         if not name:
             continue
         if name == "br":
-            yield tuple(e[0] for e in stack), block, " ", False, any(e[1] for e in stack)
+            yield path, block, " ", False
         if name in BLOCKS:
             block += 1
-        tags = [e[0].partition(".")[0] for e in stack]
         if m[1] or m[4]:
-            if name in tags:
-                del stack[len(tags) - 1 - tags[::-1].index(name) :]
+            if places[name]:
+                pop_to(places[name][-1])
             continue
-        if name in RAW and name != "head":
-            lower = page.lower() if lower is None else lower
-            end = lower.find(f"</{name}", at)
-            if end < 0:
-                at = len(page) if name in ("script", "style") else at
+        if name in RAW:
+            end = None if name in unclosed else re.compile(f"</{name}(?=[\\s/>])[^>]*>?", re.I).search(page, at)
+            if end:
+                at = end.end()
+            elif name in ("script", "style"):
+                at = len(page)
             else:
-                at = page.find(">", end) + 1 or len(page)
+                unclosed.add(name)
             continue
         if name in VOID:
             continue
-        if name in BLOCKS and "p" in tags:
-            del stack[tags.index("p") :]
-        elif name in CLOSES and (open_ := [i for i, t in enumerate(tags) if t in CLOSES[name]]) and not {"ul", "ol", "dl", "table"} & set(tags[open_[-1] :]):
-            del stack[open_[-1] :]
-        hints = " ".join(x for h in HINT.finditer(m[3] or m[6] or "") for x in h.groups() if x).lower()
-        outside = not any(e[0].partition(".")[0] in CONTENT for e in stack)
-        waste = name in BOILERPLATE or name == "head" or (name == "header" and outside) or bool(HINTS.intersection(WORD.findall(hints)) and name not in ("html", "body"))
-        stack.append((f"{name}.{'.'.join(hints.split())}" if hints else name, waste, name == "a"))
-
-
-def path_scores(nodes: list) -> dict[tuple, float]:
-    """Fused, smoothed ratio of each tag path."""
-    sums: dict[tuple, list[float]] = {}
-    for path, _, text, link, waste in nodes:
-        if waste or not text.strip():
-            continue
-        s = sums.setdefault(path, [0, 0, 0, 0])
-        size = len(text.strip())
-        s[0] += size
-        s[1] += len(PUNCTUATION.findall(text))
-        s[2] += 1
-        s[3] += size * link
-    ratios = [(chars / n, marks / n, 1 - linked / chars) for chars, marks, n, linked in sums.values()]
-    smooth = lambda i, k: (ratios[max(i - 1, 0)][k] + 2 * ratios[i][k] + ratios[min(i + 1, len(ratios) - 1)][k]) / 4
-    return {path: (smooth(i, 0) * (1 + smooth(i, 1))) * ratios[i][2] * s[0] ** 0.5 for i, (path, s) in enumerate(sums.items())}
-
-
-def content_root(scores: dict[tuple, float], share: float = 0.1) -> tuple | None:
-    """Path of the element that holds the paths whose score is at least ``share`` of the best."""
-    if not scores:
-        return None
-    best = max(scores.values())
-    chosen = [p for p, s in scores.items() if s >= share * best]
-    for mark in ("article", "main"):
-        inside = {p[: i + 1] for p in chosen for i, e in enumerate(p) if e.partition(".")[0] == mark}
-        if inside:
-            weight = {r: sum(s for p, s in scores.items() if p[: len(r)] == r) for r in inside}
-            return max(weight, key=lambda r: (weight[r], -len(r)))
-    root = chosen[0]
-    for p in chosen[1:]:
-        n = 0
-        while n < min(len(root), len(p)) and root[n] == p[n]:
-            n += 1
-        root = root[:n]
-    while root and (root[-1].partition(".")[0] not in BLOCKS or re.match(r"(p|h[1-6]|li|td|th|tr|dd|dt|pre|blockquote)(\.|$)", root[-1])):
-        root = root[:-1]
-    return root
-
-
-def main_text(page: str) -> str:
+        if name in BLOCKS and places["p"]:
+            pop_to(places["p"][0])
+        elif name in CLOSES:
+            last = max((places[x][-1] for x in CLOSES[name] if places[x]), default=-1)
+            if last > max((places[x][-1] for x in LISTS if places[x]), default=-1):
+                pop_to(min(p for x in CLOSES[name] for p in places[x] if p > max((places[y][-1] for y in LISTS if places[y]), default=-1)))
+        found = [(h[0].lower(), (h[1] or h[2] or h[3]).lower()) for h in HINT.findall(m[3] or m[6] or "")]
+        label = " ".join([name, *(v for k, v in found if k == "class")])
+        waste = any(hinted(v) for _, v in found) and name not in ("html", "body", "main")
+        if (step := path.children.get(key := label + "!" * waste)) is None:
+            none = name in BOILERPLATE or (name == "header" and not path.inside)
+            step = path.children[key] = Path(path, name, 0.0 if none else path.factor * (HINT_FACTOR if waste else 1.0))
+        places[name].append(len(stack))
+        stack.append((name, step, name == "a" or (bool(stack) and stack[-1][2])))
+        path = step
+
+
+def score_paths(paths: list[Path]) -> None:
+    """Fused, smoothed ratio of each tag path, given in the order of the page."""
+    ratios = [(p.chars / p.nodes, p.marks / p.nodes) for p in paths]
+    smooth = lambda i, k: (ratios[max(i - 1, 0)][k] + 4 * ratios[i][k] + ratios[min(i + 1, len(ratios) - 1)][k]) / 6
+    for i, p in enumerate(paths):
+        p.score = smooth(i, 0) * (1 + smooth(i, 1)) * (1 - p.linked / p.chars) * p.chars**0.5 * p.factor
+
+
+def select_paths(paths: list[Path], root: Path, share: float) -> set[Path]:
+    """Paths of the content: the selected ones and the flow around them, under their common element.
+
+    The threshold is ``share`` of the best score, and a tenth of it inside article and main elements.
+    """
+    best = max((p.score for p in paths), default=0.0)
+    if best <= 0:
+        return set()
+    for p in paths:  # every element knows the best score at or below it
+        up = p
+        while up is not None and up.top < p.score:
+            up.top, up = p.score, up.parent
+    picks = lambda x: x.top >= best * share * (0.1 if x.inside else 1)
+    content = root  # down as long as all selected paths share the way, but not into flow elements
+    while content.score < share * best:
+        ways = [x for x in content.children.values() if picks(x)]
+        if len(ways) != 1 or ways[0].element in FLOW or ways[0].element not in BLOCKS | {"html", "body"}:
+            break
+        content = ways[0]
+    kept: set[Path] = set()
+    todo = [content]
+    while todo:
+        at = todo.pop()
+        kept.add(at)
+        for child in at.children.values():
+            container = child.element in BLOCKS and child.element not in FLOW
+            links = child.element in LISTS and not picks(child) and link_share(child) > 0.5
+            if child.factor > 0 and not links and (picks(child) or (child.factor == content.factor and not container)):
+                todo.append(child)
+    return kept
+
+
+def link_share(path: Path) -> float:
+    """Share of the text below a path that stands in links."""
+    chars = linked = 0
+    todo = [path]
+    while todo:
+        at = todo.pop()
+        chars, linked = chars + at.chars, linked + at.linked
+        todo.extend(at.children.values())
+    return linked / chars if chars else 0.0
+
+
+def main_text(page: str, share: float = 0.1) -> str:
     """Main text: blocks in page order joined by newlines, white space folded, references decoded."""
-    nodes = list(text_nodes(page))
-    root = content_root(path_scores(nodes))
-    if root is None:
+    root = Path(None, "", 1.0)
+    nodes = list(text_nodes(page, root))
+    paths: dict[Path, None] = {}
+    for path, _, text, link in nodes:
+        if size := len(text.strip()):
+            paths[path] = None
+            path.chars += size
+            path.marks += len(PUNCTUATION.findall(text))
+            path.nodes += 1
+            path.linked += size * link
+    ordered = list(paths)
+    if not ordered:
         return ""
+    score_paths(ordered)
+    kept = select_paths(ordered, root, share)
     blocks: dict[int, list[str]] = {}
-    for path, block, text, _, waste in nodes:
-        if not waste and path[: len(root)] == root:
+    for path, block, text, _ in nodes:
+        if path in kept:
             blocks.setdefault(block, []).append(text)
     lines = (GAPS.sub(" ", html.unescape("".join(parts))).strip(" ") for parts in blocks.values())
     return "\n".join(x for x in lines if x)
@@ -151,7 +226,7 @@ def _extract(batches):
 def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) for every page, rows and urls unchanged.
 
-    Null and empty html and pages without text give an empty text.  Unclosed and truncated markup is
+    Null and empty html and pages without text give an empty text; only link text or menus, too.  Unclosed and truncated markup is
     read as browsers do: a block ends an open paragraph, an unfinished tag at the end is dropped.
     Any row is handled by itself, so repeated rows, ties and extra columns do no harm.
     """
