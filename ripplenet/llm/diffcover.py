@@ -146,12 +146,12 @@ def remove_repeated_windows(
     scratch = c.Scratch(docs.sparkSession, "diffcover")
     raw = c.text_bytes(docs, id_col, text_col)
     base = scratch.table(raw.mapInArrow(_base, "doc_id long, n_words long, cid long, sha string"), "base")
-    firsts = base.where(F.col("n_words") >= length).groupBy("sha").agg(F.min("doc_id").alias("first"), F.first("cid").alias("cid"))
+    firsts = base.where(F.col("n_words") >= length).groupBy("sha").agg(F.min("doc_id").alias("first"), F.min("cid").alias("cid"), F.count("*").alias("n"))
 
     anchors = raw.mapInArrow(_anchors(length, period, cover), "h long, cid long, pos int")
     shared = anchors.groupBy("h").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("h", "n")
     hits = c.dealt(anchors, shared, ["h"], F.col("cid"), scratch, "shared").groupBy("cid").agg(F.collect_set("pos").alias("at"))
-    hits = scratch.table(hits.join(firsts, "cid").select(F.col("first").alias("doc_id"), "at"), "hits")
+    hits = scratch.table(hits.join(firsts.select("cid", "first"), "cid").select(F.col("first").alias("doc_id"), "at"), "hits")
     affected = scratch.table(raw.join(hits, "doc_id").select("doc_id", "raw", "at"), "affected")
 
     windows = affected.mapInArrow(_windows(length, period), "h1 long, h2 int, doc_id long, pos int")
@@ -163,7 +163,7 @@ def remove_repeated_windows(
     copy = F.col("first") < F.col("doc_id")
     empty = F.array().cast("array<long>")
     out = (
-        base.join(firsts.select("sha", "first"), "sha", "left")
+        c.dealt(base, firsts.where("n > 1").select("sha", "first", "n"), ["sha"], F.col("doc_id"), scratch, "firsts", how="left")
         .join(cut, "doc_id", "left")
         .select(
             "doc_id",
