@@ -89,6 +89,33 @@ def dealt(rows: DataFrame, keyed: DataFrame, on: list[str], by: Column, scratch:
     return salted.join(copies, [*on, "salt"], how).drop("salt")
 
 
+#: Keys are told apart roughly by so many buckets of their hash.
+BUCKETS = 1 << 20
+
+
+def bucket_of(*keys: Column) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+
+
+def buckets_of(rows: DataFrame, *keys: str) -> DataFrame:
+    """The buckets that the keys fall into: at most BUCKETS rows, so they are broadcast at every size.
+
+    A first sieve before a join by the keys themselves.  With few keys it leaves little to shuffle; with
+    very many it leaves all rows, and the join by shuffle behind it is the same.
+    """
+    return F.broadcast(rows.select(bucket_of(*map(F.col, keys)).alias("bucket")).distinct())
+
+
+def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not in ``ids``; only rows in a bucket of some id are shuffled."""
+    ids = ids.select(key).where(F.col(key).isNotNull())
+    marks = buckets_of(ids, key)
+    tagged = rows.withColumn("bucket", bucket_of(F.col(key)))
+    far = tagged.join(marks, "bucket", "left_anti")
+    near = tagged.join(marks, "bucket", "left_semi").join(ids.distinct().hint("merge"), key, "left_anti")
+    return far.select(rows.columns).union(near.select(rows.columns))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

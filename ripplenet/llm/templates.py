@@ -7,10 +7,10 @@ benchmark.  Windows that line up on one diagonal cover a stretch of the item; a
 that is long enough is a leak if its slots are consistent: each value of the item stands for one
 value of the document and the other way round, as in a question asked anew with other parameters.
 
-Only DataFrame functions are used.  The documents are read once for the window hashes, which meet the
-benchmark's hashes in a broadcast join while these are few and in a salted join beyond; hits
-aggregate per document, and only documents with a long enough stretch are read again (their ids
-are broadcast up to a number, joined by shuffle beyond it).
+Only DataFrame functions are used, and the plan is one at every size.  The documents are read once for the window
+hashes.  A broadcast of the buckets of the benchmark's hashes (bounded in number) leaves few windows, which
+then meet the benchmark in salted joins; hits aggregate per document, and the texts of documents with a
+long enough stretch are read again, sieved by the buckets of their ids before they are joined by shuffle.
 """
 
 from __future__ import annotations
@@ -33,11 +33,9 @@ UNIT_WORDS = (
 #: Placeholders: a number, a unit, a name; and the mark that stands for a decimal point.
 NUMBER, UNIT, NAME, POINT = "\x01", "\x02", "\x03", "\x04"
 WORD = r"\p{L}\p{N}\p{M}\x04"
-#: A benchmark of at most so many window hashes is broadcast.
-BROADCAST_WINDOWS = 1 << 18
-#: So many documents with a stretch are found by a broadcast of their ids.
-BROADCAST_IDS = 1 << 20
 SALTS = 32
+#: Stands for a null id, so that it joins like others.
+NO_ID = -(1 << 63)
 
 
 def _split(text: Column) -> Column:
@@ -118,62 +116,62 @@ def contaminated(
     counterpart, or the reverse) are at most ``max_conflicts`` of the slots.  A window needs
     ``min_literals`` words that are no slots.  ``spans`` lists item, first and last word in the document
     (words of letters, digits and marks, numbers set apart).  Null and empty texts are clean; an empty
-    benchmark finds nothing; repeated items report each; repeated document ids count as one
-    document; other columns are ignored.
+    benchmark finds nothing; repeated items report each; an id that repeats with other texts is one row, contaminated if
+    one of its texts is, and a null id is an id like others; other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = c.Scratch(spark, "templates")
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("part"), text.alias("text"))
+    key = ["doc_id", "part"]
+    salt = F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int")
+    salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     items = benchmark.select(F.col(item_id_col).cast("long").alias("item_id"), spaced(F.col(item_text_col).cast("string")).alias("base"))
     items = items.select("item_id", literal_words(F.col("base")).alias("literal"), template_words(F.col("base")).alias("template"), raw_words(F.col("base")).alias("raw"))
     items = scratch.table(items, "items")
     keys = scratch.table(_benchmark(items, width, min_literals), "keys")
-    known = keys.groupBy("width", "h").agg(F.max(F.lit(True)).alias("known"))
-    n_known = known.count()
-    widths = sorted(r.width for r in keys.select("width").distinct().collect())  # at most ``width`` values
+    known = scratch.table(keys.select("width", "h").distinct(), "known")
+    widths = sorted(r.width for r in known.select("width").distinct().collect())  # at most ``width`` values
 
     # both readings of each document, one row per window
-    base = own.where(F.length("text") > 0).select("doc_id", spaced(F.col("text")).alias("base"))
-    read = base.select("doc_id", F.explode(F.array(literal_words(F.col("base")), template_words(F.col("base")))).alias("words"))
+    base = own.where(F.length("text") > 0).select(*key, spaced(F.col("text")).alias("base"))
+    read = base.select(*key, F.explode(F.array(literal_words(F.col("base")), template_words(F.col("base")))).alias("words"))
     hits = None
     for w in widths:
-        rows = read.select("doc_id", F.posexplode(windows(F.col("words"), w)).alias("pos", "h"))
+        rows = read.select(*key, F.posexplode(windows(F.col("words"), w)).alias("pos", "h"))
         mine = known.where(F.col("width") == w).select("h")
-        if n_known <= BROADCAST_WINDOWS:
-            rows = rows.join(F.broadcast(mine), "h", "left_semi")
-        else:
-            spread = mine.select("h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-            rows = rows.withColumn("salt", F.pmod("doc_id", F.lit(SALTS)).cast("int")).join(spread, ["h", "salt"], "left_semi")
-        rows = rows.select("doc_id", F.lit(w).alias("width"), "pos", "h")
+        rows = rows.withColumn("bucket", c.bucket_of(F.col("h"))).join(c.buckets_of(mine, "h"), "bucket", "left_semi")
+        rows = rows.withColumn("salt", salt).join(salted(mine).hint("merge"), ["h", "salt"], "left_semi")
+        rows = rows.select(*key, F.lit(w).alias("width"), "pos", "h")
         hits = rows if hits is None else hits.union(rows)
     found = own.select("doc_id").distinct()
+    back = F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id")
     if hits is None:
         empty = F.array().cast("array<long>")
         spans = F.array().cast("array<struct<item_id:long,first:int,last:int>>")
         scratch.clear()
-        return found.select("doc_id", F.lit(False).alias("contaminated"), empty.alias("item_ids"), F.lit(0).cast("long").alias("covered_words"), spans.alias("spans"))
-    hits = scratch.table(hits, "hits").distinct()
+        return found.select(back, F.lit(False).alias("contaminated"), empty.alias("item_ids"), F.lit(0).cast("long").alias("covered_words"), spans.alias("spans"))
+    hits = scratch.table(hits.distinct(), "hits")
 
     # a stretch on one diagonal covers no more words than all windows of the document together
     needs = items.join(keys.select("item_id").distinct(), "item_id", "left_semi").agg(F.min(F.size("raw"))).first()[0] or 0
     end = F.col("pos") + F.col("width")
-    before = F.max(end).over(Window.partitionBy("doc_id").orderBy("pos", "width").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.max(end).over(Window.partitionBy(*key).orderBy("pos", "width").rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.greatest(F.lit(0), end - F.greatest("pos", F.coalesce(before, F.col("pos"))))
-    likely = hits.select("doc_id", "pos", "width").distinct().select("doc_id", fresh.alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n"))
-    likely = likely.where(F.col("n") >= min(min_words, needs)).select("doc_id")
-    hits = hits.join(likely, "doc_id", "left_semi")
-    placed = keys.withColumnRenamed("pos", "item_pos")
-    placed = F.broadcast(placed) if n_known <= BROADCAST_WINDOWS and keys.count() <= BROADCAST_WINDOWS else placed
-    lined = hits.join(placed, ["width", "h"]).select("doc_id", "item_id", "width", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"))
+    likely = hits.select(*key, "pos", "width").distinct().select(*key, fresh.alias("n")).groupBy(*key).agg(F.sum("n").alias("n"))
+    likely = likely.where(F.col("n") >= min(min_words, needs)).select(*key)
+    hits = hits.join(likely, key, "left_semi")
+    placed = salted(keys.withColumnRenamed("pos", "item_pos"))
+    lined = hits.withColumn("salt", salt).join(placed, ["width", "h", "salt"]).select(*key, "item_id", "width", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"))
     cover = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("item_pos"), F.col("item_pos") + F.col("width") - 1)))))
-    lined = lined.groupBy("doc_id", "item_id", "shift").agg(cover.alias("cover"))
+    lined = lined.groupBy(*key, "item_id", "shift").agg(cover.alias("cover"))
     lined = lined.join(items, "item_id").where(F.size("cover") >= F.least(F.lit(min_words), F.size("raw")))
     lined = scratch.table(lined, "lined")
 
-    ids = lined.select("doc_id").distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids  # else texts of all documents are shuffled
-    texts = own.join(ids, "doc_id", "left_semi").select("doc_id", raw_words(spaced(F.col("text"))).alias("doc_words"))
-    judged = lined.join(texts, "doc_id").withColumn(
+    ids = lined.select(*key).distinct()
+    near = own.withColumn("bucket", c.bucket_of(*map(F.col, key))).join(c.buckets_of(lined, *key), "bucket", "left_semi")
+    texts = near.join(ids.hint("merge"), key, "left_semi").select(*key, "text").dropDuplicates(key).select(*key, raw_words(spaced(F.col("text"))).alias("doc_words"))
+    judged = lined.join(texts, key).withColumn(
         "pairs",
         F.transform(
             "cover",
@@ -192,7 +190,7 @@ def contaminated(
         F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max(F.size("cover")).cast("long").alias("covered_words"), F.array_sort(F.collect_set(span)).alias("spans")
     )
     out = found.join(leaks, "doc_id", "left").select(
-        "doc_id",
+        back,
         F.col("item_ids").isNotNull().alias("contaminated"),
         F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"),
         F.coalesce("covered_words", F.lit(0)).cast("long").alias("covered_words"),

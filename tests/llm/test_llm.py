@@ -454,3 +454,11 @@ def test_pipeline_stages(spark, texts):
             assert docs.columns == list(corpus_pipeline.COLUMNS)
         sizes.append(len(after))
     assert sizes[-1] == sizes[-2] > 0
+
+
+def test_an_id_with_two_texts_lines_up_each_by_itself(spark):
+    """Halves of an item in two texts of one id make no diagonal; the whole item in one of them does."""
+    words = ITEMS[1][1].split()
+    first, second = " ".join(words[:10]), "x " * 10 + " ".join(words[10:])
+    assert leaks(spark, [(1, first), (1, second), (None, ITEMS[1][1])]) == {1: (False, []), None: (True, [2])}
+    assert leaks(spark, [(1, first), (1, ITEMS[1][1])]) == {1: (True, [2])}
