@@ -15,7 +15,7 @@ from ripplenet.llm.hilbert import hilbert_shards
 from ripplenet.llm.langid import identify
 from ripplenet.llm.soft_mixing import mix_to_targets, quality_domains
 from ripplenet.llm.superminhash import near_duplicates
-from ripplenet.llm.templates import BROADCAST_IDS, contaminated
+from ripplenet.llm.templates import contaminated
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Least share that one language must hold of a document.
@@ -41,8 +41,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, also none with other parameters."""
     leaks = contaminated(docs, c.table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
-    leaks = F.broadcast(leaks) if leaks.count() <= BROADCAST_IDS else leaks
-    return docs.join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+    return c.without(docs.select(*COLUMNS), leaks, "doc_id")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
