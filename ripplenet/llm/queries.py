@@ -36,7 +36,7 @@ def op3_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(c.table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+    return judge_urls(c.table(spark, sf_dir, "pages"), html_col="html").select("page_id", "host", "path", "rule", "verdict")
 
 
 def held_out(id_col: str = "doc_id"):

@@ -2,10 +2,12 @@
 
 Names in hosts and paths are concatenated words.  A unigram model splits them (Viterbi: the
 split of highest probability, unknown stretches paying by length), and multinomial naive Bayes
-scores the words.  The lexicon and the labelled examples are bounded parameters; word counts
-are taken over every url of the corpus.  Rules on host and path come first.
+scores the words.  The unigram model is learned: half of its mass is that of the words that all pages and paths
+of the corpus hold (the ``max_lexicon`` most frequent ones), half is shared by a small seed lexicon, so that words of
+unwanted sites, which pages seldom hold, keep their weight at every corpus size.  The labelled
+hosts and words that the Bayes model is fitted on are a parameter: the seed words count as one example each of their kind.  Rules on host and path come first.
 
-Plan: one aggregation counts lexicon words (partial sums, the result is as long as the lexicon);
+Plan: one aggregation counts the words (partial sums first; at most ``max_lexicon`` rows reach the driver);
 scoring is a map over url columns alone.
 """
 
@@ -79,12 +81,16 @@ def matching_rule(host: Column, path: Column, rules: tuple = RULES) -> Column:
 class Segmenter:
     """Most probable split of a name into lexicon words and unknown stretches."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + len(counts)
-        self.cost = {w: -math.log((n + 1) / total) for w, n in counts.items()}
-        self.longest = max(map(len, counts), default=1)
-        # an unknown stretch of n letters: one chance in total, a tenth for each letter
-        self.unknown = lambda n: math.log(total) + n * math.log(10)
+    def __init__(self, counts: dict[str, int], seeds: frozenset[str] = frozenset()):
+        total = sum(counts.values()) or 1
+        mass = 0.5 if seeds else 1.0  # the other half is shared by the seeds alike
+        chance = {w: mass * n / total for w, n in counts.items() if n}
+        for w in seeds:
+            chance[w] = chance.get(w, 0.0) + (1 - mass) / len(seeds)
+        self.cost = {w: -math.log(p) for w, p in chance.items()}
+        self.longest = max(map(len, chance), default=1)
+        # an unknown stretch of n letters: one chance in ten thousand, a tenth for each letter
+        self.unknown = lambda n: math.log(10_000) + n * math.log(10)
         self.seen: dict[str, list[str]] = {}
 
     def split(self, name: str) -> list[str]:
@@ -132,15 +138,30 @@ def names(host: str, path: str) -> list[str]:
     return [w for w in NAME.findall(host + " " + path.lower()) if w not in GENERIC]
 
 
-def train(counts: dict[str, int], blocked: str, allowed: str, prior_blocked: float) -> tuple[Segmenter, Bayes]:
-    seg = Segmenter(counts)
+def train(counts: dict[str, int], seeds: frozenset[str], blocked: str, allowed: str, prior_blocked: float) -> tuple[Segmenter, Bayes]:
+    seg = Segmenter(counts, seeds)
     parts = lambda hosts: [[p for n in NAME.findall(h) for p in seg.split(n)] for h in hosts.split()]
     return seg, Bayes(parts(blocked), parts(allowed), prior_blocked)
 
 
-def _score(counts: dict[str, int], blocked: str, allowed: str, prior_blocked: float):
+def learned_lexicon(slim: DataFrame, pages: DataFrame, html_col: str | None, max_lexicon: int) -> dict[str, int]:
+    """Counts of the most frequent words of all paths and, if given, of all pages without their markup."""
+    texts = [slim.select(F.lower("path").alias("t"))]  # not hosts: a name would teach itself as one word
+    if html_col:
+        plain = F.regexp_replace(F.lower(F.col(html_col).cast("string")), r"<(script|style)\b.*?</\1>|<[^>]*>", " ")
+        texts.append(pages.select(F.translate(plain, "&;", "__").alias("t")))
+    found = None
+    for t in texts:
+        words = t.select(F.explode(F.regexp_extract_all("t", F.lit(r"(?<![\p{L}\p{M}\p{N}_])([a-z]{2,24})(?![\p{L}\p{M}\p{N}_])"), 1)).alias("word"))
+        counts = words.groupBy("word").agg(F.count("*").alias("n"))
+        found = counts if found is None else found.union(counts)
+    top = found.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(max_lexicon)
+    return {r.word: r.n for r in top.collect()}
+
+
+def _score(counts: dict[str, int], seeds: frozenset[str], blocked: str, allowed: str, prior_blocked: float):
     def run(batches):
-        seg, bayes = train(counts, blocked, allowed, prior_blocked)
+        seg, bayes = train(counts, seeds, blocked, allowed, prior_blocked)
         for batch in batches:
             scores, words = [], []
             for host, path in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True):
@@ -156,25 +177,25 @@ def judge_urls(
     *,
     id_col: str = "page_id",
     url_col: str = "url",
+    html_col: str | None = None,
+    max_lexicon: int = 20_000,
     rules: tuple = RULES,
     lexicon: str = COMMON + " " + UNWANTED,
-    blocked: str = BLOCKED_HOSTS,
-    allowed: str = ALLOWED_HOSTS,
+    blocked: str = BLOCKED_HOSTS + " " + UNWANTED,
+    allowed: str = ALLOWED_HOSTS + " " + COMMON,
     prior_blocked: float = 0.2,
 ) -> DataFrame:
     """(page_id, host, path, rule, verdict, log_odds, words) for every row.
 
     The longest fitting rule decides; where none fits, ``block`` if the words' log odds exceed 0.
+    The lexicon is learned from all paths and, where ``html_col`` is given, from all pages.
     Words beginning with ``?`` are unknown stretches.  Null urls and those without ``://`` have an
     empty host and path and are allowed.  Every row is judged by itself; extra columns are ignored.
     """
     url = F.col(url_col).cast("string")
     slim = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    words = pages.sparkSession.createDataFrame([(w,) for w in sorted(set(lexicon.split()))], "word string")  # as long as the lexicon
-    found = slim.select(F.explode(F.regexp_extract_all(F.concat_ws(" ", "host", F.lower("path")), F.lit("([a-z]+)"))).alias("word"))
-    counts = found.join(F.broadcast(words), "word").groupBy("word").agg(F.count("*").alias("n"))
-    counts = dict.fromkeys(lexicon.split(), 0) | {r.word: r.n for r in counts.collect()}
-    scored = slim.mapInArrow(_score(counts, blocked, allowed, prior_blocked), "page_id long, host string, path string, log_odds double, words array<string>")
+    counts, seeds = learned_lexicon(slim, pages, html_col, max_lexicon), frozenset(lexicon.split())
+    scored = slim.mapInArrow(_score(counts, seeds, blocked, allowed, prior_blocked), "page_id long, host string, path string, log_odds double, words array<string>")
     rule = matching_rule(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("log_odds") > 0, "block").otherwise("allow")
     return scored.withColumn("fit", rule).select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", own).alias("verdict"), "log_odds", "words")
