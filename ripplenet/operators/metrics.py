@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ripplenet.operators.relational import placed
+
 
 def steps(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
     """Per distinct score, from the highest: positives and rows of it and of all above it."""
@@ -61,8 +63,7 @@ def log_loss(p: Column, y: Column, eps: float = 1e-6) -> Column:
 
 def spearman(df: DataFrame, a: str, b: str, key: str) -> DataFrame:
     """Correlation of ordinal ranks (ties by key); 0 on a constant column."""
-    rank = lambda c: F.row_number().over(Window.orderBy(c, key))
-    r = df.select(rank(a).alias("a"), rank(b).alias("b"))
+    r = placed(placed(df.select(a, b, key), [F.col(a), F.col(key)], "__a"), [F.col(b), F.col(key)], "__b").select(F.col("__a").alias("a"), F.col("__b").alias("b"))
     return r.agg(F.coalesce(F.corr("a", "b"), F.lit(0.0)).alias("spearman"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ripplenet.operators.graph import cut
+
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, left_t: str, right_t: str, carry: list[str], *, max_gap: float | None = None) -> DataFrame:
     """Each left row with the latest right row of its key strictly before it.
@@ -65,19 +67,50 @@ def min_max_scaled(col: str, by: list[str]) -> Column:
 
 
 def average_rank(value: Column, by: list[str] | None = None) -> Column:
-    """1-based rank, ties averaged."""
+    """1-based rank, ties averaged; without ``by`` the whole column is ranked in one task: see :func:`average_places`."""
     over = Window.partitionBy(*by) if by else Window.partitionBy()
     return F.rank().over(over.orderBy(value)) + (F.count("*").over((Window.partitionBy(*(by or []), value))) - 1) / 2
 
 
+def placed(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """``df`` with the 1-based place of each row in a total order.
+
+    Rows are dealt by ranges of the whole order, so ties of one value spread too; ranges are written once, counted,
+    and numbered from where the ranges before them end.  Only one count a range meets in one task.
+    """
+    ranged = cut(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    sizes = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("__range", before.alias("__start"))  # one row a partition
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return ranged.withColumn("__own", own).join(F.broadcast(starts), "__range").withColumn(name, (F.col("__start") + F.col("__own")).cast("long")).drop("__range", "__own", "__start")
+
+
+def tiled(df: DataFrame, order: list[Column], n: int, name: str = "tile") -> DataFrame:
+    """``df`` with the tile 1..n of each row, as SQL's ntile: the first tiles hold one row more where n does not divide."""
+    size = df.agg(F.count("*").alias("__size"))
+    base, more = F.expr(f"__size div {n}"), F.col("__size") % n
+    at = F.col("__place") - 1
+    long = more * (base + 1)  # rows in the tiles that hold one more
+    tile = F.when(at < long, F.floor(at / (base + 1))).otherwise(more + F.floor((at - long) / F.greatest(base, F.lit(1)))) + 1
+    return placed(df, order, "__place").join(F.broadcast(size)).withColumn(name, tile.cast("long")).drop("__place", "__size")
+
+
 def tied_bins(df: DataFrame, value: str, n: int, key: str) -> DataFrame:
     """Equal-mass bins of a sorted column; a bin whose values all tie with the tail of the one before joins it."""
-    cut = df.withColumn("tile", F.ntile(n).over(Window.orderBy(value, key)))
-    edges = cut.groupBy("tile").agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    tiles = tiled(df, [F.col(value), F.col(key)], n)
+    edges = tiles.groupBy("tile").agg(F.min(value).alias("low"), F.max(value).alias("high"))
     w = Window.orderBy("tile")
     joined = (F.col("low") == F.col("high")) & (F.col("low") == F.lag("high").over(w))
     edges = edges.withColumn("bin", F.sum(F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1)).over(w))
-    return cut.join(F.broadcast(edges.select("tile", "bin")), "tile").drop("tile")  # n rows
+    return tiles.join(F.broadcast(edges.select("tile", "bin")), "tile").drop("tile")  # n rows
+
+
+def average_places(df: DataFrame, value: str, key: str, name: str) -> DataFrame:
+    """``df`` with the 1-based rank of a column over all rows, ties averaged, from places and sums per value."""
+    rows = placed(df, [F.col(value), F.col(key)], "__at")
+    mean = rows.groupBy(value).agg(((F.min("__at") + F.max("__at")) / 2).alias(name))
+    return rows.drop("__at").join(mean, value)
 
 
 def value_matrix(pairs: DataFrame, rows: str, cols: str, value: str, columns: list[str]) -> DataFrame:

@@ -127,7 +127,7 @@ def concentration(spark, d):
 SELECT round(2 * sum(CAST(i AS DOUBLE) * v) / (max(n) * sum(v)) - (max(n) + 1) / max(n), 9) AS gini FROM x""")
 def gini(spark, d):
     x = roles(Network(spark, d))[2].select(F.col("throughput_minor").alias("v"), "merchant_id")
-    x = x.withColumn("i", F.row_number().over(Window.orderBy("v", "merchant_id")))
+    x = r.placed(x, [F.col("v"), F.col("merchant_id")], "i")
     g = x.agg(F.sum(F.col("i") * F.col("v").cast("decimal(30,0)")).cast("double").alias("w"), F.sum("v").alias("s"), F.count("*").alias("n"))
     return g.select(F.round(2 * F.col("w") / (F.col("n") * F.col("s")) - (F.col("n") + 1) / F.col("n"), 9).alias("gini"))
 
@@ -140,11 +140,27 @@ def hill_tail_index(spark, d):
 
 @query(SQL + "SELECT layer, count(*) AS n, round(avg(amount_minor), 4) AS mean, round(stddev_pop(amount_minor), 3) AS std, min(amount_minor) AS low, quantile_cont(amount_minor, 0.5) AS p50, round(quantile_cont(amount_minor, 0.95), 4) AS p95, round(quantile_cont(amount_minor, 0.99), 4) AS p99, max(amount_minor) AS high, round(max(amount_minor) / quantile_cont(amount_minor, 0.5), 6) AS ratio FROM payments GROUP BY layer")
 def describe_amounts(spark, d):
-    p = lambda q: F.percentile("amount_minor", q)
-    return Network(spark, d).payments.groupBy("layer").agg(
-        F.count("*").alias("n"), F.round(F.avg("amount_minor"), 4).alias("mean"), F.round(F.stddev_pop("amount_minor"), 3).alias("std"), F.min("amount_minor").alias("low"), p(0.5).alias("p50"),
-        F.round(p(0.95), 4).alias("p95"), F.round(p(0.99), 4).alias("p99"), F.max("amount_minor").alias("high"), F.round(F.max("amount_minor") / p(0.5), 6).alias("ratio"),
+    """Quantiles from counts per distinct amount: no buffer holds a layer's amounts."""
+    per = Network(spark, d).payments.groupBy("layer", F.col("amount_minor").alias("v")).agg(F.count("*").alias("n"))
+    w = Window.partitionBy("layer")
+    per = per.withColumns({"upto": F.sum("n").over(w.orderBy("v")), "all": F.sum("n").over(w)})
+    nth = lambda at: F.min(F.when(F.col("upto") > at, F.col("v")))
+
+    def p(q):
+        place = (F.col("all") - 1) * F.lit(q)
+        part = F.max(place - F.floor(place))
+        low, high = nth(F.floor(place)), nth(F.ceil(place))
+        return low + (high - low) * part
+
+    v, n = F.col("v").cast("double"), F.col("n")
+    mean = F.sum(v * n) / F.sum("n")
+    totals = per.groupBy("layer").agg(
+        F.sum("n").alias("n"), mean.alias("mean"), F.min("v").alias("low"), F.max("v").alias("high"), p(0.5).alias("p50"), F.round(p(0.95), 4).alias("p95"), F.round(p(0.99), 4).alias("p99"),
     )
+    spread = per.join(F.broadcast(totals.select("layer", "mean")), "layer").groupBy("layer").agg(F.sqrt(F.sum(n * (v - F.col("mean")) * (v - F.col("mean"))) / F.sum("n")).alias("std"))  # one row a layer
+    return totals.join(F.broadcast(spread), "layer").select(
+        "layer", "n", F.round("mean", 4).alias("mean"), F.round("std", 3).alias("std"), "low", "p50", "p95", "p99", "high", F.round(F.col("high") / F.col("p50"), 6).alias("ratio")
+    )
 
 
 @query(SQL + ", w AS (SELECT CAST(floor((t % 168) / 24) AS BIGINT) AS day, CAST(sum(amount_minor) AS BIGINT) AS v FROM exogenous GROUP BY 1) SELECT round(stddev_pop(v) / avg(v), 9) AS cv, count(*) AS n_days FROM w")

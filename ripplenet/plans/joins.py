@@ -10,6 +10,7 @@ from ripplenet.operators import relational as r
 from ripplenet.plans.registry import query
 from ripplenet.sources.network import SQL, Network
 
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 OUT = "greatest(amount_minor - paid_minor, 0)"
 ROLES = """, payable AS (SELECT debtor AS m, CAST(sum(greatest(amount_minor-paid_minor,0)) AS BIGINT) AS payable_minor FROM obligations GROUP BY debtor),
 receivable AS (SELECT creditor AS m, CAST(sum(greatest(amount_minor-paid_minor,0)) AS BIGINT) AS receivable_minor FROM obligations GROUP BY creditor),
@@ -123,7 +124,7 @@ def response_lag_law(spark, d):
     )
 
 
-PARENTS = """, kids AS (SELECT event_id, payer AS m, t, amount_minor, row_number() OVER (ORDER BY event_id, t, amount_minor) AS k FROM supply WHERE payee = 'B11'),
+PARENTS = """, kids AS (SELECT event_id, payer AS m, t, amount_minor, row_number() OVER (ORDER BY event_id, t, amount_minor) AS k FROM supply),
 par AS (SELECT k, m, row_number() OVER (PARTITION BY k ORDER BY i.t DESC, i.amount_minor DESC) AS rn, kids.t - i.t AS u FROM kids JOIN trade i ON i.payee = m AND i.t < kids.t AND i.t >= kids.t - 384)
 """
 
@@ -131,7 +132,7 @@ par AS (SELECT k, m, row_number() OVER (PARTITION BY k ORDER BY i.t DESC, i.amou
 @query(SQL + PARENTS + "SELECT m, count(DISTINCT k) AS n_children, count(*) AS n_parents, round(sum(exp(-u/48)/48), 6) AS kernel_mass FROM par WHERE rn <= 64 GROUP BY m")
 def hawkes_parents(spark, d):
     n = Network(spark, d)
-    kids = n.supply.where("payee = 'B11'").select("event_id", F.col("payer").alias("m"), "t", "amount_minor")
+    kids = n.supply.select("event_id", F.col("payer").alias("m"), "t", "amount_minor")
     copy = F.row_number().over(Window.partitionBy("event_id", "t", "amount_minor").orderBy("m"))  # identical rows stay apart
     kids = kids.withColumn("copy", copy)
     inflow = n.trade.select(F.col("payee").alias("m"), F.col("t").alias("t_in"), F.col("amount_minor").alias("a_in"))
@@ -157,16 +158,24 @@ def hit_time_buckets(spark, d):
     return hit.join(F.broadcast(edges), (F.col("h") >= F.col("low")) & (F.col("h") < F.col("high"))).groupBy("low", "high").agg(F.count("*").alias("n"), F.countDistinct("debtor").alias("n_debtors"))
 
 
-@query("""WITH v AS (SELECT event_id, user_id, event_type, value FROM events WHERE event_id < 400)
+@query("""WITH v AS (SELECT event_id, user_id, event_type, value FROM events)
 SELECT count(*) AS n_pairs, count(*) FILTER ((a.value > b.value AND a.event_type < b.event_type) OR (a.value < b.value AND a.event_type > b.event_type)) AS n_agree, count(*) FILTER (a.value = b.value) AS n_tied
 FROM v a JOIN v b ON a.user_id = b.user_id AND a.event_id < b.event_id AND a.event_type <> b.event_type""")
 def concordant_pairs(spark, d):
-    v = Network(spark, d).read("events").where("event_id < 400").select("event_id", "user_id", "event_type", "value")
-    a, b = v.alias("a"), v.alias("b")
-    j = a.join(b, (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.event_id") < F.col("b.event_id")) & (F.col("a.event_type") != F.col("b.event_type")))
-    up, first = F.col("a.value") > F.col("b.value"), F.col("a.event_type") < F.col("b.event_type")
-    down = F.col("a.value") < F.col("b.value")
-    return j.agg(F.count("*").alias("n_pairs"), F.count_if((up & first) | (down & ~first)).alias("n_agree"), F.count_if(~up & ~down).alias("n_tied"))
+    """Pairs of one user with different types, counted from running sums per type: no pair is made."""
+    v = Network(spark, d).read("events").select("user_id", "event_type", "value")
+    at = [F.count_if(F.col("event_type") == t).alias(f"n{i}") for i, t in enumerate(EVENT_TYPES)]
+    per = v.groupBy("user_id", "value").agg(*at)
+    w = Window.partitionBy("user_id")
+    above = w.orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumns({f"up{i}": F.coalesce(F.sum(f"n{i}").over(above), F.lit(0)) for i in range(len(at))})
+    two = [(F.col(f"n{i}"), F.col(f"up{i}"), F.col(f"n{j}")) for i in range(len(at)) for j in range(i + 1, len(at))]
+    agree = sum((up * later for _, up, later in two), F.lit(0))  # the type first in order has the higher value
+    tied = sum((n * later for n, _, later in two), F.lit(0))
+    counted = per.agg(F.sum(agree).alias("n_agree"), F.sum(tied).alias("n_tied"))
+    totals = v.groupBy("user_id").agg(*at)
+    pairs = sum((n * later for n, _, later in two), F.lit(0))
+    return totals.agg(F.sum(pairs).alias("n_pairs")).join(F.broadcast(counted)).select("n_pairs", "n_agree", "n_tied")
 
 
 @query(SQL + """, a AS (SELECT source, target AS via, pass_through AS p FROM edges), b AS (SELECT source AS via, target, pass_through AS q FROM edges)
@@ -178,22 +187,22 @@ def two_hop_paths(spark, d):
     return a.join(b, "via").where("source <> target").groupBy("source", "target").agg(F.count("*").alias("n_paths"), F.round(F.max(F.col("p") * F.col("q")), 9).alias("best"))
 
 
-@query("""WITH k AS (SELECT event_id, user_id, event_type FROM events WHERE event_id % 3 = 0),
+@query("""WITH k AS (SELECT event_id, user_id, event_type FROM events),
 exact AS (SELECT event_id AS id, 'item' AS how FROM events WHERE event_type = 'purchase'), usr AS (SELECT DISTINCT user_id AS id, 'user' AS how FROM events WHERE event_type = 'error'), kind AS (SELECT DISTINCT event_type AS id, 'batch' AS how FROM events WHERE event_type = 'signup')
 SELECT event_id, coalesce(exact.how, usr.how, kind.how, 'none') AS matched_by FROM k LEFT JOIN exact ON exact.id = event_id LEFT JOIN usr ON usr.id = user_id LEFT JOIN kind ON kind.id = event_type""")
 def lookup_by_precedence(spark, d):
     v = Network(spark, d).read("events").select("event_id", "user_id", "event_type")
     key = lambda kind, c, how: v.where(F.col("event_type") == kind).select(c).distinct().withColumn(how, F.lit(how))
-    k = v.where("event_id % 3 = 0").join(key("purchase", "event_id", "item"), "event_id", "left").join(key("error", "user_id", "user"), "user_id", "left").join(key("signup", "event_type", "batch"), "event_type", "left")
+    k = v.join(key("purchase", "event_id", "item"), "event_id", "left").join(key("error", "user_id", "user"), "user_id", "left").join(key("signup", "event_type", "batch"), "event_type", "left")
     return k.select("event_id", F.coalesce("item", "user", "batch", F.lit("none")).alias("matched_by"))
 
 
-@query(SQL + """, s AS (SELECT priority AS scenario, list(DISTINCT creditor) AS members FROM obligations WHERE due_t < 5000 AND amount_minor > paid_minor GROUP BY priority)
+@query(SQL + """, s AS (SELECT priority AS scenario, list(DISTINCT creditor) AS members FROM obligations WHERE amount_minor > paid_minor GROUP BY priority)
 SELECT m.merchant_id, count(s.scenario) AS n_scenarios FROM merchants m JOIN s ON list_contains(s.members, m.merchant_id) GROUP BY ALL""")
 def scenarios_of_merchant(spark, d):
     n = Network(spark, d)
-    s = n.obligations.where((F.col("due_t") < 5000) & e.is_open()).groupBy(F.col("priority").alias("scenario")).agg(F.collect_set("creditor").alias("members"))
-    return s.select("scenario", F.explode("members").alias("merchant_id")).join(n.merchants, "merchant_id", "left_semi").groupBy("merchant_id").agg(F.count("*").alias("n_scenarios"))
+    s = n.obligations.where(e.is_open()).select(F.col("priority").alias("scenario"), F.col("creditor").alias("merchant_id")).distinct()
+    return s.join(n.merchants, "merchant_id", "left_semi").groupBy("merchant_id").agg(F.count("*").alias("n_scenarios"))
 
 
 @query("""SELECT c_custkey AS record_id, coalesce('N' || n_nationkey, 'external_sink') AS payer, coalesce('S' || s_suppkey, 'N0') AS payee

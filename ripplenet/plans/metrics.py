@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ripplenet.operators import metrics as m
@@ -60,7 +59,7 @@ def brier_and_log_loss(spark, d):
 
 @query(BASE + ", k AS (SELECT *, ntile(10) OVER (ORDER BY score, event_id) AS bin FROM b), c AS (SELECT bin, count(*) AS n, avg(score) AS conf, avg(y::INT) AS rate FROM k GROUP BY bin) SELECT round(sum(n * abs(conf - rate)) / sum(n), 9) AS ece, round(max(abs(conf - rate)), 9) AS mce FROM c")
 def calibration_error(spark, d):
-    k = scored(spark, d).withColumn("bin", F.ntile(10).over(Window.orderBy("score", "event_id")))
+    k = r.tiled(scored(spark, d), [F.col("score"), F.col("event_id")], 10, "bin")
     c = k.groupBy("bin").agg(F.count("*").alias("n"), F.avg("score").alias("conf"), F.avg(F.col("y").cast("int")).alias("rate"))
     gap = F.abs(F.col("conf") - F.col("rate"))
     return c.agg(F.round(F.sum(F.col("n") * gap) / F.sum("n"), 9).alias("ece"), F.round(F.max(gap), 9).alias("mce"))

@@ -8,19 +8,19 @@ from pyspark.sql import functions as F
 from ripplenet.functions import exprs as e
 from ripplenet.operators import graph as g
 from ripplenet.operators import optimise as o
-from ripplenet.plans.joins import ROLES, profiles
+from ripplenet.plans.joins import ROLES, profiles, roles
 from ripplenet.plans.registry import query
 from ripplenet.sources.network import SQL, Network
 
-EXPOSED = SQL + ROLES + """, x AS (SELECT merchant_id AS m, CAST(payable_minor - (opening_minor + credit_minor - floor_minor) AS DOUBLE) AS shortfall FROM merchants JOIN payable ON m = merchant_id ORDER BY 2 DESC, 1 LIMIT 8)
+EXPOSED = SQL + ROLES + """, x AS (SELECT merchant_id AS m, CAST(payable_minor - (opening_minor + credit_minor - floor_minor) AS DOUBLE) AS shortfall FROM merchants JOIN payable ON m = merchant_id)
 """
 
 
 def exposed(n: Network):
-    """The eight merchants whose payables exceed their buffer most."""
+    """Merchants with payables, and how far these exceed their buffer."""
     p = profiles(n).where("level = 0")
     gap = (F.col("payable_minor") - e.buffer("opening_minor", "credit_minor", "floor_minor")).cast("double")
-    return p.select(F.col("merchant_id").alias("m"), gap.alias("shortfall")).orderBy(F.desc("shortfall"), "m").limit(8)
+    return p.join(roles(n)[0].select("merchant_id"), "merchant_id", "left_semi").select(F.col("merchant_id").alias("m"), gap.alias("shortfall"))
 
 
 @query(EXPOSED + "SELECT 'injection' AS kind, m, shortfall * k AS amount, shortfall * k AS cost FROM x, (VALUES (0.6::DOUBLE), (1.0), (1.5)) v(k) WHERE shortfall * k >= 1000 UNION ALL SELECT 'credit_line', m, shortfall, 0.6::DOUBLE * shortfall FROM x WHERE shortfall >= 1000")
@@ -35,29 +35,38 @@ def coverage_gap_actions(spark, d):
 
 
 @query(SQL + """SELECT obligation_id, array_to_string(list_filter([CASE WHEN shift > 72 THEN 'too_long' END, CASE WHEN amount_minor - paid_minor <= 0 THEN 'settled' END, CASE WHEN amount_minor > 5000000 THEN 'over_cap' END, CASE WHEN due_t < 10000 THEN 'past_due' END], lambda v: v IS NOT NULL), ',') AS violations
-FROM (SELECT *, 24.0 * priority AS shift FROM obligations WHERE debtor = 'N1')""")
+FROM (SELECT *, 24.0 * priority AS shift FROM obligations)""")
 def feasibility(spark, d):
     rules = {"too_long": 24.0 * F.col("priority") > 72, "settled": ~e.is_open(), "over_cap": F.col("amount_minor") > 5_000_000, "past_due": F.col("due_t") < 10000}
-    return Network(spark, d).obligations.where("debtor = 'N1'").select("obligation_id", F.concat_ws(",", o.violations(rules)).alias("violations"))
+    return Network(spark, d).obligations.select("obligation_id", F.concat_ws(",", o.violations(rules)).alias("violations"))
 
 
-ACTS = EXPOSED + """, a AS (SELECT 'a' || row_number() OVER (ORDER BY m) AS id, m, shortfall AS gain, 0.5 * shortfall AS cost FROM x), ov AS (SELECT p.id AS a, q.id AS b, 0.3 * least(p.gain, q.gain) AS overlap FROM a p JOIN a q ON p.id < q.id)
+#: Actions that the searches over sets choose from: the largest exposures, as the searches' bound on sets is theirs.
+POOL = 8
+ACTS = EXPOSED + f""", a AS (SELECT 'a-' || m AS id, m, shortfall AS gain, 0.5 * shortfall AS cost FROM x)
+"""
+PAIRS = ACTS.replace("FROM x)\n", f"FROM x ORDER BY shortfall DESC, m LIMIT {POOL})\n") + """, ov AS (SELECT p.id AS a, q.id AS b, 0.3 * least(p.gain, q.gain) AS overlap FROM a p JOIN a q ON p.id < q.id)
 """
 
 
 def acts(n: Network):
-    x = exposed(n).withColumn("id", F.concat(F.lit("a"), F.row_number().over(Window.orderBy("m"))))  # eight rows
-    a = g.cut(x.select("id", "m", F.col("shortfall").alias("gain"), (0.5 * F.col("shortfall")).alias("cost")))
+    """One action a merchant: its gain and cost."""
+    return exposed(n).select(F.concat(F.lit("a-"), "m").alias("id"), "m", F.col("shortfall").alias("gain"), (0.5 * F.col("shortfall")).alias("cost"))
+
+
+def pool(n: Network):
+    """The POOL actions of largest gain, and the overlap of any two."""
+    a = g.cut(acts(n).orderBy(F.desc("gain"), "m").limit(POOL))
     p, q = a.alias("p"), a.alias("q")
     overlap = p.join(q, F.col("p.id") < F.col("q.id")).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), (0.3 * F.least("p.gain", "q.gain")).alias("overlap"))
     return a, overlap
 
 
-@query(ACTS + """, s AS (SELECT id AS plan, gain AS value, cost, 1 AS size FROM a UNION ALL SELECT p.id || '+' || q.id, p.gain + q.gain - overlap, p.cost + q.cost, 2 FROM a p JOIN a q ON p.id < q.id JOIN ov ON ov.a = p.id AND ov.b = q.id
+@query(PAIRS + """, s AS (SELECT id AS plan, gain AS value, cost, 1 AS size FROM a UNION ALL SELECT p.id || '+' || q.id, p.gain + q.gain - overlap, p.cost + q.cost, 2 FROM a p JOIN a q ON p.id < q.id JOIN ov ON ov.a = p.id AND ov.b = q.id
  UNION ALL SELECT p.id || '+' || q.id || '+' || r.id, p.gain + q.gain + r.gain - o1.overlap - o2.overlap - o3.overlap, p.cost + q.cost + r.cost, 3 FROM a p JOIN a q ON p.id < q.id JOIN a r ON q.id < r.id JOIN ov o1 ON o1.a = p.id AND o1.b = q.id JOIN ov o2 ON o2.a = p.id AND o2.b = r.id JOIN ov o3 ON o3.a = q.id AND o3.b = r.id)
 SELECT plan, size, round(value, 2) AS value, round(cost, 2) AS cost, row_number() OVER (ORDER BY value DESC, cost, size, plan) AS place FROM s""")
 def exact_search(spark, d):
-    a, overlap = acts(Network(spark, d))
+    a, overlap = pool(Network(spark, d))
     plans = o.subsets(a, 3)
     v = o.pairwise_value(plans, a.select("id", "gain", "cost"), overlap).join(plans.select("plan", "size"), "plan")
     place = F.row_number().over(Window.orderBy(F.desc("value"), "cost", "size", "plan"))
@@ -66,7 +75,7 @@ def exact_search(spark, d):
 
 @query()
 def greedy_search(spark, d):
-    a, overlap = acts(Network(spark, d))
+    a, overlap = pool(Network(spark, d))
     evaluate = lambda plans: o.pairwise_value(plans, a.select("id", "gain", "cost"), overlap).select("plan", "value")
     picked = o.greedy(a, evaluate, 3, per_cost=False)
     return spark.createDataFrame(list(enumerate(picked, 1)), "step int, id string")
@@ -87,10 +96,9 @@ def robust_tail(spark, d):
 
 @query(ACTS + "SELECT id, round(gain - 0.4 * cost, 2) AS penalised, CASE WHEN gain >= 1e8 THEN round(cost, 2) END AS constrained_cost, round(gain / cost, 6) AS efficiency, round(CASE WHEN top > 0 THEN gain / top ELSE 0 END, 9) AS importance FROM (SELECT *, max(gain) OVER () AS top FROM a)")
 def objective_forms(spark, d):
-    a, _ = acts(Network(spark, d))
-    top = F.max("gain").over(Window.partitionBy())  # eight rows
-    gain, cost = F.col("gain"), F.col("cost")
-    return a.select("id", F.round(gain - 0.4 * cost, 2).alias("penalised"), F.when(gain >= 1e8, F.round(cost, 2)).alias("constrained_cost"), F.round(gain / cost, 6).alias("efficiency"), F.round(F.when(top > 0, gain / top).otherwise(0.0), 9).alias("importance"))
+    a = acts(Network(spark, d))
+    gain, cost, top = F.col("gain"), F.col("cost"), F.col("top")
+    return a.join(F.broadcast(a.agg(F.max("gain").alias("top")))).select("id", F.round(gain - 0.4 * cost, 2).alias("penalised"), F.when(gain >= 1e8, F.round(cost, 2)).alias("constrained_cost"), F.round(gain / cost, 6).alias("efficiency"), F.round(F.when(top > 0, gain / top).otherwise(0.0), 9).alias("importance"))
 
 
 @query("SELECT n AS merchants, round(0.6 + n * 100 / 45000 + n / 900, 6) AS seconds, n <= 10000 AS within FROM (VALUES (100), (1000), (10000), (50000)) v(n)")

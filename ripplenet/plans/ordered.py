@@ -23,8 +23,8 @@ def inter_arrival_gaps(spark, d):
 @query(SQL + ROLES + "SELECT m AS merchant_id, row_number() OVER (ORDER BY throughput_minor, m) AS ordinal, CAST(rank() OVER (ORDER BY n_events) AS DOUBLE) + (count(*) OVER (PARTITION BY n_events) - 1) / 2 AS average_rank FROM flow")
 def ranks(spark, d):
     flow = roles(Network(spark, d))[2]
-    ordinal = F.row_number().over(Window.orderBy("throughput_minor", "merchant_id")).cast("long")
-    return flow.select("merchant_id", ordinal.alias("ordinal"), r.average_rank(F.col("n_events")).alias("average_rank"))
+    both = r.placed(r.average_places(flow, "n_events", "merchant_id", "average_rank"), [F.col("throughput_minor"), F.col("merchant_id")], "ordinal")
+    return both.select("merchant_id", "ordinal", "average_rank")
 
 
 @query("SELECT user_id, event_id, max(value) OVER w AS peak, round(value - lag(value, 1, 0) OVER (PARTITION BY user_id ORDER BY ts), 6) AS step, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS errors FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING)")
@@ -101,9 +101,11 @@ def dependency_ranking(spark, d):
 SELECT merchant_id, row_number() OVER (ORDER BY greatest(p - buffer, 0) DESC, merchant_id) AS by_deficit, row_number() OVER (ORDER BY g DESC, merchant_id) AS by_degree, row_number() OVER (ORDER BY CASE WHEN p > 0 THEN buffer / p END NULLS LAST, merchant_id) AS by_cover FROM k""")
 def naive_rankings(spark, d):
     b = e.buffer("opening_minor", "credit_minor", "floor_minor")
-    place = lambda *order: F.row_number().over(Window.orderBy(*order, "merchant_id")).cast("long")
     cover = F.when(F.col("payable_minor") > 0, b / F.col("payable_minor"))
-    return profiles(Network(spark, d)).select("merchant_id", place(F.greatest(F.col("payable_minor") - b, F.lit(0)).desc()).alias("by_deficit"), place(F.desc("degree")).alias("by_degree"), place(cover.asc_nulls_last()).alias("by_cover"))
+    p = profiles(Network(spark, d)).select("merchant_id", "degree", F.greatest(F.col("payable_minor") - b, F.lit(0)).alias("deficit"), cover.alias("cover"))
+    for name, order in (("by_deficit", F.desc("deficit")), ("by_degree", F.desc("degree")), ("by_cover", F.asc_nulls_last("cover"))):
+        p = r.placed(p, [order, F.col("merchant_id")], name)
+    return p.select("merchant_id", "by_deficit", "by_degree", "by_cover")
 
 
 @query(SQL + ROLES + ", k AS (SELECT merchant_id, tier, throughput_minor AS v, max(throughput_minor) OVER () AS top, max(throughput_minor) OVER (PARTITION BY tier) AS tier_top FROM merchants JOIN flow ON m = merchant_id) SELECT merchant_id, round(v / top, 9) AS raw, round(v / tier_top, 9) AS own_scale FROM k")
@@ -116,9 +118,9 @@ def systemic_ranking(spark, d):
     return k.join(F.broadcast(by_tier), "tier").join(F.broadcast(top)).select("merchant_id", F.round(v / F.col("top"), 9).alias("raw"), F.round(v / F.col("tier_top"), 9).alias("own_scale"))
 
 
-@query(SQL + "SELECT obligation_id, debtor, amount_minor, row_number() OVER (PARTITION BY debtor ORDER BY priority, due_t, amount_minor DESC, obligation_id) AS place FROM obligations WHERE amount_minor > paid_minor AND due_t < 3000")
+@query(SQL + "SELECT obligation_id, debtor, amount_minor, row_number() OVER (PARTITION BY debtor ORDER BY priority, due_t, amount_minor DESC, obligation_id) AS place FROM obligations WHERE amount_minor > paid_minor")
 def settlement_queue(spark, d):
-    o = Network(spark, d).obligations.where(e.is_open() & (F.col("due_t") < 3000))
+    o = Network(spark, d).obligations.where(e.is_open())
     w = Window.partitionBy("debtor").orderBy("priority", "due_t", F.desc("amount_minor"), "obligation_id")
     return o.select("obligation_id", "debtor", "amount_minor", F.row_number().over(w).cast("long").alias("place"))
 
@@ -134,8 +136,8 @@ def largest_receivable(spark, d):
 SELECT m AS merchant_id, min(p) AS place FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY m ORDER BY place, m LIMIT 20""")
 def interleaved_rankings(spark, d):
     _, _, flow, degree = roles(Network(spark, d))
-    place = lambda c: F.row_number().over(Window.orderBy(F.desc(c), "merchant_id")).cast("long")
-    both = flow.select("merchant_id", (2 * place("throughput_minor") - 1).alias("p")).union(degree.select("merchant_id", 2 * place("degree")))
+    place = lambda df, c: r.placed(df, [F.desc(c), F.col("merchant_id")])
+    both = place(flow, "throughput_minor").select("merchant_id", (2 * F.col("place") - 1).alias("p")).union(place(degree, "degree").select("merchant_id", 2 * F.col("place")))
     return both.groupBy("merchant_id").agg(F.min("p").alias("place")).orderBy("place", "merchant_id").limit(20)
 
 
@@ -190,11 +192,13 @@ def split_disjointness(spark, d):
     return early.distinct().join(late.distinct(), "user_id", "left_anti").select("user_id", F.lit("train").alias("split"))
 
 
-@query(SQL + "SELECT 'rescued' AS kind, creditor FROM (SELECT creditor FROM obligations WHERE due_t < 1500 AND amount_minor > paid_minor AND priority = 3 AND debtor < 'N2' EXCEPT SELECT creditor FROM obligations WHERE due_t < 1500 AND amount_minor > paid_minor AND priority = 4 AND debtor < 'N2') UNION ALL SELECT 'newly', creditor FROM (SELECT creditor FROM obligations WHERE due_t < 1500 AND amount_minor > paid_minor AND priority = 4 AND debtor < 'N2' EXCEPT SELECT creditor FROM obligations WHERE due_t < 1500 AND amount_minor > paid_minor AND priority = 3 AND debtor < 'N2')")
+@query(SQL + """, a AS (SELECT debtor, creditor FROM obligations WHERE amount_minor > paid_minor AND priority = 3), b AS (SELECT debtor, creditor FROM obligations WHERE amount_minor > paid_minor AND priority = 4)
+SELECT 'rescued' AS kind, debtor, creditor FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'newly', debtor, creditor FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
 def rescued_and_newly_affected(spark, d):
-    o = Network(spark, d).obligations.where((F.col("due_t") < 1500) & e.is_open() & (F.col("debtor") < "N2"))
-    a, b = (o.where(F.col("priority") == p).select("creditor").distinct() for p in (3, 4))
-    return a.join(b, "creditor", "left_anti").select(F.lit("rescued").alias("kind"), "creditor").union(b.join(a, "creditor", "left_anti").select(F.lit("newly"), "creditor"))
+    o = Network(spark, d).obligations.where(e.is_open())
+    a, b = (o.where(F.col("priority") == p).select("debtor", "creditor").distinct() for p in (3, 4))
+    less = lambda x, y, kind: x.join(y, ["debtor", "creditor"], "left_anti").select(F.lit(kind).alias("kind"), "debtor", "creditor")
+    return less(a, b, "rescued").union(less(b, a, "newly"))
 
 
 @query("SELECT (SELECT count(*) FROM (SELECT o_orderkey, o_custkey FROM orders EXCEPT ALL SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus <> 'P')) AS only_left, (SELECT count(*) FROM (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus <> 'P' EXCEPT ALL SELECT o_orderkey, o_custkey FROM orders)) AS only_right")

@@ -95,9 +95,9 @@ def plan_completeness(spark, d):
     return j.select("plan", F.round("o_totalprice", 2).alias("promised"), F.round("v", 2).alias("replayed"), (F.abs(F.col("o_totalprice") - F.col("v")) <= 1e-9 * F.col("o_totalprice")).alias("complete"))
 
 
-@query("WITH s AS (SELECT user_id AS rule, string_agg(event_type, '>' ORDER BY ts) AS picks FROM events WHERE event_id % 40 = 0 GROUP BY user_id) SELECT picks, min(rule) AS rule, count(*) AS n FROM s GROUP BY picks")
+@query("WITH s AS (SELECT user_id AS rule, string_agg(event_type, '>' ORDER BY ts) AS picks FROM events GROUP BY user_id) SELECT picks, min(rule) AS rule, count(*) AS n FROM s GROUP BY picks")
 def rule_signatures(spark, d):
-    v = Network(spark, d).read("events").where("event_id % 40 = 0")
+    v = Network(spark, d).read("events")
     picks = F.concat_ws(">", F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_type"))), lambda x: x.event_type))
     s = v.groupBy(F.col("user_id").alias("rule")).agg(picks.alias("picks"))
     return s.groupBy("picks").agg(F.min("rule").alias("rule"), F.count("*").alias("n"))

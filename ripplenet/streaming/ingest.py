@@ -95,28 +95,13 @@ def fold_states(updates: DataFrame) -> DataFrame:
     return updates.groupBy("record").agg(F.min_by("state", key).alias("state"), F.count("*").alias("n"))
 
 
-def _merge(key, batches, state):
-    """Latest of the monotone order in a record's state; final states stick."""
-    import pandas as pd
-
-    best, n = state.get if state.exists else (None, 0)
-    for pdf in batches:
-        for s in pdf.sort_values(["at", "event_id"])["state"]:
-            n += 1
-            if best is None or (best not in FINAL and RANKS.get(s, 0) > RANKS.get(best, 0)):
-                best = s
-    state.update((best, n))
-    yield pd.DataFrame({"record": [key[0]], "state": [best], "n": [n]})
-
-
 def fold_stream(updates: DataFrame) -> DataFrame:
-    """State per record as a stream; late updates are facts like any other, so no watermark drops them.
+    """:func:`fold_states` over a stream, for the update output mode.
 
-    Within one trigger updates apply by time; across triggers by arrival.
+    The state kept per record is the least key seen, so updates may arrive in any order and in any trigger;
+    late ones are facts like any other, and no watermark drops them.
     """
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    return updates.groupBy("record").applyInPandasWithState(_merge, "record string, state string, n long", "state string, n long", "update", GroupStateTimeout.NoTimeout)
+    return fold_states(updates)
 
 
 def write_ledger(stream: DataFrame, path: str, checkpoint: str):

@@ -213,3 +213,37 @@ def test_state_fold_ignores_order(spark):
     want = {"r": "succeeded", "q": "held"}
     assert {r.record: r.state for r in ingest.fold_states(df).collect()} == want
     assert {r.record: r.state for r in ingest.fold_states(df.orderBy(F.desc("event_id"))).collect()} == want
+
+
+def test_stream_fold_ignores_order_across_triggers(spark, tmp_path):
+    """The earlier of two final states arrives in the second trigger and wins all the same."""
+    schema = "record string, at long, event_id long, state string"
+    first = [("a", 20, 2, "failed"), ("b", 5, 3, "held"), ("c", 9, 9, "succeeded")]
+    second = [("a", 10, 1, "succeeded"), ("b", 7, 4, "pending"), ("c", 1, 1, "submitted")]
+    src = str(tmp_path / "in")
+    held = {}
+
+    def keep(df, _):
+        held.update({r.record: (r.state, r.n) for r in df.collect()})
+
+    for rows in (first, second):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = ingest.fold_stream(spark.readStream.schema(schema).parquet(src))
+        q = stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert held == {"a": ("succeeded", 2), "b": ("held", 2), "c": ("succeeded", 2)}
+
+
+def test_places_and_tiles_match_plain_python(spark):
+    rows = [(i, (i * 37) % 7 if i % 3 else 3) for i in range(203)]
+    df = spark.createDataFrame(rows, "k long, v long")
+    want = {k: at for at, (v, k) in enumerate(sorted((v, k) for k, v in rows), 1)}
+    order = [F.col("v"), F.col("k")]
+    assert {r.k: r.place for r in relational.placed(df, order).collect()} == want
+    n, long = 203 // 10, 203 % 10
+    edges = [n + (i < long) for i in range(10) for _ in range(n + (i < long))]
+    tiles = [i + 1 for i in range(10) for _ in range(n + (i < long))]
+    assert len(edges) == len(tiles) == 203 and {r.k: r.tile for r in relational.tiled(df, order, 10).collect()} == {k: tiles[at - 1] for k, at in want.items()}
+    assert relational.tiled(df.limit(0), order, 10).count() == 0
+    mean = {v: sum(want[k] for k, x in rows if x == v) / sum(x == v for _, x in rows) for v in range(7)}
+    assert {r.k: r.m for r in relational.average_places(df, "v", "k", "m").collect()} == {k: mean[v] for k, v in rows}
