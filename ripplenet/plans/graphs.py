@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ripplenet.functions import exprs as e
@@ -55,23 +57,31 @@ def upstream_exposure(spark, d):
     return x.select("node", F.round("exposure", 9).alias("exposure"))
 
 
-PR = """, p{i} AS (SELECT m.merchant_id AS node, 0.15/c.n + 0.85 * (coalesce(v, 0) + z.lost / c.n) AS r FROM merchants m CROSS JOIN (SELECT count(*) AS n FROM merchants) c
- CROSS JOIN (SELECT coalesce(sum(r), 0) AS lost FROM p{j} WHERE node NOT IN (SELECT source FROM edges)) z LEFT JOIN (SELECT target, sum(r * share) AS v FROM p{j} JOIN links ON source = node GROUP BY target) ON target = m.merchant_id)"""
+def power_sql(p: str, a: str, b: str, rounds: int) -> str:
+    """The power method along a -> b as one table a round: p0, p1, ..."""
+    out = f", {p}l AS MATERIALIZED (SELECT {a} AS here, {b} AS there, pass_through / sum(pass_through) OVER (PARTITION BY {a}) AS share FROM edges), {p}0 AS (SELECT merchant_id AS node, 1.0 / count(*) OVER () AS r FROM merchants)"
+    for i in range(1, rounds + 1):
+        out += f""", {p}{i} AS MATERIALIZED (SELECT m.merchant_id AS node, 0.15/c.n + 0.85 * (coalesce(v, 0) + z.lost / c.n) AS r FROM merchants m CROSS JOIN (SELECT count(*) AS n FROM merchants) c
+ CROSS JOIN (SELECT coalesce(sum(r), 0) AS lost FROM {p}{i - 1} WHERE node NOT IN (SELECT {a} FROM edges)) z LEFT JOIN (SELECT there, sum(r * share) AS v FROM {p}{i - 1} JOIN {p}l ON here = node GROUP BY there) ON there = m.merchant_id)"""
+    return out
 
 
-@query(SQL + ", links AS (SELECT source, target, pass_through / sum(pass_through) OVER (PARTITION BY source) AS share FROM edges), p0 AS (SELECT merchant_id AS node, 1.0 / count(*) OVER () AS r FROM merchants)" + "".join(PR.format(i=i + 1, j=i) for i in range(6)) + " SELECT node, round(r, 9) AS rank FROM p6")
+@query(SQL + power_sql("p", "source", "target", 6) + " SELECT node, round(r, 9) AS rank FROM p6")
 def weighted_pagerank(spark, d):
     n = Network(spark, d)
     return g.pagerank(n.edges.withColumn("weight", F.col("pass_through")), _nodes(n), rounds=6).select("node", F.round("rank", 9).alias("rank"))
 
 
-@query()
+@query(SQL + power_sql("p", "target", "source", 6) + " SELECT node, round(r, 6) AS rank FROM p6")
 def reverse_pagerank(spark, d):
     n = Network(spark, d)
     return g.pagerank(n.edges.withColumn("weight", F.col("pass_through")), _nodes(n), rounds=6, reverse=True).select("node", F.round("rank", 6).alias("rank"))
 
 
-@query()
+KATZ = ", x{i} AS MATERIALIZED (SELECT merchant_id AS node, 1 + 0.1 * coalesce(v, 0) AS x FROM merchants LEFT JOIN (SELECT target, sum(x) AS v FROM x{j} JOIN edges ON source = node GROUP BY target) ON target = merchant_id)"
+
+
+@query(SQL + ", x0 AS (SELECT merchant_id AS node, 1.0 AS x FROM merchants)" + "".join(KATZ.format(i=i + 1, j=i) for i in range(12)) + " SELECT node, round(x / sqrt((SELECT sum(x * x) FROM x12)), 6) AS katz FROM x12")
 def katz_centrality(spark, d):
     n = Network(spark, d)
     return g.katz(n.edges, _nodes(n), rounds=12).select("node", F.round("katz", 6).alias("katz"))
@@ -122,7 +132,19 @@ def causal_chains(spark, d):
     return g.causal_chain(ev, ev.where("event_id % 7 = 6"))
 
 
-@query()
+SPILL = """, act{i} AS MATERIALIZED (SELECT node, greatest(load - buffer, 0) - sent AS excess FROM s{j} WHERE greatest(load - buffer, 0) - sent >= 1),
+got{i} AS MATERIALIZED (SELECT target AS node, sum(x) AS got FROM (SELECT target, least(excess * share, live) AS x FROM act{i} JOIN sh ON sh.source = node) WHERE x >= 1 GROUP BY target),
+s{i} AS MATERIALIZED (SELECT s.node, buffer, load + coalesce(got, 0) AS load, sent + coalesce(excess, 0) AS sent, CASE WHEN hop IS NULL AND load + coalesce(got, 0) > buffer THEN {i} ELSE hop END AS hop FROM s{j} s LEFT JOIN act{i} a ON a.node = s.node LEFT JOIN got{i} g ON g.node = s.node)"""
+
+
+@query(
+    SQL
+    + """, owed AS (SELECT debtor, creditor, CAST(sum(amount_minor - paid_minor) AS DOUBLE) AS live FROM obligations WHERE amount_minor > paid_minor GROUP BY ALL),
+sh AS MATERIALIZED (SELECT source, target, pass_through / sum(pass_through) OVER (PARTITION BY source) AS share, coalesce(live, 1e9) AS live FROM edges LEFT JOIN owed ON debtor = source AND creditor = target),
+s0 AS MATERIALIZED (SELECT merchant_id AS node, CAST(opening_minor + credit_minor - floor_minor AS DOUBLE) AS buffer, CASE merchant_id WHEN 'N1' THEN 5e8 WHEN 'N7' THEN 3e8 ELSE 0 END AS load, 0.0::DOUBLE AS sent, CASE WHEN CASE merchant_id WHEN 'N1' THEN 5e8 WHEN 'N7' THEN 3e8 END > opening_minor + credit_minor - floor_minor THEN 0 END AS hop FROM merchants)"""
+    + "".join(SPILL.format(i=i + 1, j=i) for i in range(6))
+    + " SELECT node, round(greatest(load - buffer, 0), 2) AS shortfall, hop FROM s6"
+)
 def shortfall_propagation(spark, d):
     n = Network(spark, d)
     live = n.obligations.where(e.is_open()).groupBy(F.col("debtor").alias("source"), F.col("creditor").alias("target")).agg(F.sum(e.outstanding()).cast("double").alias("live"))
@@ -132,7 +154,22 @@ def shortfall_propagation(spark, d):
     return out.select("node", F.round("shortfall", 2).alias("shortfall"), "hop")
 
 
-@query()
+def _reached(hours: float, mu: float, sigma: float) -> float:
+    """The share of a log-normal lag below so many hours, by the approximation of :func:`exprs.normal_cdf`."""
+    x = (math.log(hours) - mu) / sigma
+    k = 1 / (1 + 0.2316419 * x)
+    return 1 - math.exp(-x * x / 2) / math.sqrt(2 * math.pi) * k * (0.319381530 + k * (-0.356563782 + k * (1.781477937 + k * (-1.821255978 + k * 1.330274429))))
+
+
+OR = """, n{i} AS MATERIALIZED (SELECT merchant_id AS node, CASE WHEN merchant_id = 'N1' THEN 1.0 ELSE coalesce(hit, 0) END AS p FROM merchants LEFT JOIN (SELECT target, 1 - exp(sum(ln(1 - least(n.p * l.p, 1 - 1e-12)))) AS hit FROM n{j} n JOIN l ON l.source = n.node GROUP BY target) ON target = merchant_id)"""
+
+
+@query(
+    SQL
+    + f", l AS MATERIALIZED (SELECT source, target, least(20 * pass_through, 0.9) * {_reached(168.0, 3.0, 0.8)!r} AS p FROM edges), n0 AS (SELECT merchant_id AS node, CASE WHEN merchant_id = 'N1' THEN 1.0 ELSE 0 END AS p FROM merchants)"
+    + "".join(OR.format(i=i + 1, j=i) for i in range(6))
+    + " SELECT node, round(p, 6) AS probability FROM n6"
+)
 def noisy_or_cascade(spark, d):
     n = Network(spark, d)
     lag = e.lognormal_cdf(F.lit(168.0), F.lit(3.0), F.lit(0.8))

@@ -141,7 +141,7 @@ def serving_forecast(spark, d):
     return x.select("merchant_id", F.round(p, 6).alias("probability"), F.round(p * e.normal_cdf((F.log(F.lit(24.0)) - F.log(F.lit(60.0))) / 0.8), 6).alias("within_24"))
 
 
-@query()
+@query("SELECT CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS gained, true AS passed")
 def leakage_audit(spark, d):
     """Facts after the origin are changed at random; features of the window must not move."""
     n = Network(spark, d)
@@ -153,3 +153,32 @@ def leakage_audit(spark, d):
     after = node_base(m).select(*fields)
     diff = before.exceptAll(after).agg(F.count("*").alias("lost")).join(F.broadcast(after.exceptAll(before).agg(F.count("*").alias("gained"))))
     return diff.select("lost", "gained", ((F.col("lost") == 0) & (F.col("gained") == 0)).alias("passed"))
+
+
+@query()
+def calibration_slope(spark, d):
+    """Logistic recalibration of scores on their own logit: slope 1 and intercept 0 where they are calibrated."""
+    v = l.cut(Network(spark, d).read("events").select(e.logit(F.col("value") / 100).alias("z"), (F.col("event_type") == "error").cast("double").alias("y")))
+    slope, intercept = l.logistic(v, ["z"], "y", penalty=0.0)
+    return spark.createDataFrame([(round(slope, 6), round(intercept, 6))], "slope double, intercept double")
+
+
+def blocks(key):
+    """Train, validation or test (3 : 1 : 1) by a hash of the key."""
+    part = F.pmod(F.crc32(F.col(key).cast("binary")), F.lit(5))
+    return F.when(part < 3, "train").when(part == 3, "validation").otherwise("test")
+
+
+@query()
+def fit_calibrate_score(spark, d):
+    """Weights from the train block, calibration from the validation block, errors on the test block alone."""
+    x = l.cut(design(Network(spark, d)).withColumn("block", blocks("merchant_id")))
+    train = x.where("block = 'train'")
+    law = {c: (train.agg(F.avg(c), F.stddev_pop(c)).first()) for c in CLUES}  # one row a column
+    x = l.cut(x.withColumns({c: (F.col(c) - F.lit(m or 0.0)) / F.lit(s or 1.0) for c, (m, s) in law.items()}))
+    raw = l.linear(l.logistic(x.where("block = 'train'"), CLUES, "y"), CLUES)
+    held = x.withColumn("z", raw)
+    slope, intercept = l.logistic(l.cut(held.where("block = 'validation'").select("z", "y")), ["z"], "y", penalty=1.0)
+    p, q = e.logistic(F.col("z")), e.logistic(F.lit(slope) * F.col("z") + F.lit(intercept))
+    brier = lambda c: F.round(F.avg((c - F.col("y")) * (c - F.col("y"))), 6)
+    return held.where("block = 'test'").agg(F.count("*").alias("n"), brier(p).alias("brier"), brier(q).alias("brier_calibrated"), F.round(F.avg("y"), 6).alias("prevalence"))

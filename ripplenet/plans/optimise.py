@@ -73,7 +73,14 @@ def exact_search(spark, d):
     return v.select("plan", "size", F.round("value", 2).alias("value"), F.round("cost", 2).alias("cost"), place.cast("long").alias("place"))
 
 
-@query()
+@query(
+    PAIRS
+    + """, one AS (SELECT id, gain FROM a WHERE gain > 1e-9 ORDER BY gain DESC, id LIMIT 1),
+two AS (SELECT a.id, a.gain - 0.3 * least(a.gain, one.gain) AS g FROM a, one WHERE a.id <> one.id AND a.gain - 0.3 * least(a.gain, one.gain) > 1e-9 ORDER BY g DESC, a.id LIMIT 1),
+taken AS (SELECT id FROM one UNION ALL SELECT id FROM two),
+three AS (SELECT a.id, a.gain - sum(0.3 * least(a.gain, p.gain)) AS g FROM a, a p WHERE p.id IN (SELECT id FROM taken) AND a.id NOT IN (SELECT id FROM taken) GROUP BY a.id, a.gain HAVING g > 1e-9 ORDER BY g DESC, a.id LIMIT 1)
+SELECT 1 AS step, id FROM one UNION ALL SELECT 2, id FROM two UNION ALL SELECT 3, id FROM three"""
+)
 def greedy_search(spark, d):
     a, overlap = pool(Network(spark, d))
     evaluate = lambda plans: o.pairwise_value(plans, a.select("id", "gain", "cost"), overlap).select("plan", "value")

@@ -247,3 +247,25 @@ def test_places_and_tiles_match_plain_python(spark):
     assert relational.tiled(df.limit(0), order, 10).count() == 0
     mean = {v: sum(want[k] for k, x in rows if x == v) / sum(x == v for _, x in rows) for v in range(7)}
     assert {r.k: r.m for r in relational.average_places(df, "v", "k", "m").collect()} == {k: mean[v] for k, v in rows}
+
+
+def test_recalibration_of_calibrated_scores_is_the_identity(spark):
+    """Labels in the very proportion of the score: slope 1, intercept 0; scores pulled apart: slope one half."""
+    rows = [(math.log(p / (10 - p)), float(i < p)) for p in range(1, 10) for i in range(10)]
+    slope, intercept = learn.logistic(spark.createDataFrame(rows, "z double, y double"), ["z"], "y", penalty=0.0)
+    assert abs(slope - 1) < 1e-6 and abs(intercept) < 1e-6
+    slope, _ = learn.logistic(spark.createDataFrame([(2 * z, y) for z, y in rows], "z double, y double"), ["z"], "y", penalty=0.0)
+    assert abs(slope - 0.5) < 1e-6
+
+
+def test_blocks_are_disjoint_and_scored_apart(spark):
+    from conftest import SF
+
+    from ripplenet.plans import learning
+    from ripplenet.sources.network import Network
+
+    x = learning.design(Network(spark, SF)).withColumn("block", learning.blocks("merchant_id"))
+    n = {r.block: r["count"] for r in x.groupBy("block").count().collect()}
+    (got,) = learning.fit_calibrate_score(spark, SF).collect()
+    assert set(n) == {"train", "validation", "test"} and got.n == n["test"] and n["train"] > n["test"]
+    assert 0 <= got.brier <= 1 and 0 <= got.brier_calibrated <= 0.5
