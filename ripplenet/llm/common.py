@@ -20,6 +20,21 @@ WORD_CACHE = 1 << 18
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Paths of results that operators left for their callers to read.
+KEPT: list[str] = []
+
+
+def free(spark: SparkSession, since: int) -> None:
+    """Deletes the results kept after the first ``since`` ones: for callers that have written what they read from them."""
+    while len(KEPT) > since:
+        _delete(spark, KEPT.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @functools.cache
 def _local_root(application: str) -> str:
     return tempfile.mkdtemp(prefix=f"ripplenet-{application}-")
@@ -30,7 +45,7 @@ class Scratch:
 
     ``spark.checkpoint.dir`` names that folder; a temporary folder stands in only where
     it is unset and the master is local, as in tests.  Tables written with ``keep=False``
-    disappear at :meth:`drop` or :meth:`clear`; the operator's result is kept.  A table once
+    disappear at :meth:`drop` or :meth:`clear`; the operator's result is kept until :func:`free`.  A table once
     written needs no shuffle files any more, so these go at the end of each write.
     """
 
@@ -52,17 +67,17 @@ class Scratch:
             df.write.mode("overwrite").parquet(path)
         finally:
             self.spark.conf.set(self.CLEANUP, before)
-        if not keep:
+        if keep:
+            KEPT.append(path)
+        else:
             self.paths.append((name, path))
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         """Deletes the tables written under these names so far."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name, path in self.paths:
             if name in names:
-                where = jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(conf).delete(where, True)
+                _delete(self.spark, path)
         self.paths = [x for x in self.paths if x[0] not in names]
 
     def clear(self) -> None:

@@ -138,8 +138,9 @@ def remove_repeated_windows(
     words that covers it also starts in a document of smaller id; windows are judged
     on the input.  Spans are half-open word ranges.  ``kept_text`` (kept words joined by one
     space) is null where nothing was removed: the input text stands.  Null, empty and short texts
-    have no windows; equal texts after the smallest id lose all words.  Ids must be
-    unique and not null; other columns are ignored.
+    have no windows; equal texts after the smallest id lose all words.  Rows that repeat
+    an id and its text are one document, given once a row; other ids must be unique (of several texts under one id only one
+    is cut); a row without an id comes after all others and goes only as a copy; other columns are ignored.
     """
     if not covers(period, cover) or length < period:
         raise ValueError("cover must be a difference cover of a period no longer than the window")
@@ -152,7 +153,7 @@ def remove_repeated_windows(
     shared = anchors.groupBy("h").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("h", "n")
     hits = c.dealt(anchors, shared, ["h"], F.col("cid"), scratch, "shared").groupBy("cid").agg(F.collect_set("pos").alias("at"))
     hits = scratch.table(hits.join(firsts.select("cid", "first"), "cid").select(F.col("first").alias("doc_id"), "at"), "hits")
-    affected = scratch.table(raw.join(hits, "doc_id").select("doc_id", "raw", "at"), "affected")
+    affected = scratch.table(raw.join(hits, "doc_id").select("doc_id", "raw", "at").dropDuplicates(["doc_id"]), "affected")
 
     windows = affected.mapInArrow(_windows(length, period), "h1 long, h2 int, doc_id long, pos int")
     owners = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("owner < hi").drop("hi")
@@ -160,7 +161,7 @@ def remove_repeated_windows(
     cut = affected.select("doc_id", "raw").join(late, "doc_id").mapInArrow(
         _cut(length), "doc_id long, removed long, cut_sha string, cut_text string, span_starts array<long>, span_ends array<long>"
     )
-    copy = F.col("first") < F.col("doc_id")
+    copy = F.coalesce(F.col("first") < F.col("doc_id"), F.col("first").isNotNull())  # a null id comes last
     empty = F.array().cast("array<long>")
     out = (
         c.dealt(base, firsts.where("n > 1").select("sha", "first", "n"), ["sha"], F.col("doc_id"), scratch, "firsts", how="left")

@@ -122,8 +122,9 @@ def remove_repeated_bytes(
     A byte goes if a string of ``length`` bytes that covers it also starts at any other place,
     the same document included; matches never cross documents; strings are judged on the
     input.  Spans are the maximal removed byte runs, half-open.  Null counts as empty; texts
-    shorter than ``length`` keep all; equal texts of that length or more lose all bytes.  Ids must
-    be unique and not null; other columns are ignored.
+    shorter than ``length`` keep all; equal texts of that length or more lose all bytes.  Rows that repeat
+    an id and its text are equal documents, one row each; other ids must be unique (of several texts under one id
+    only one is cut); a row without an id is judged as a whole text only, and keeps what is no copy; other columns are ignored.
     """
     if not gram <= length - span + 1 or span >= 4096:
         raise ValueError("each window must hold a whole gram behind its trigger")
@@ -134,7 +135,7 @@ def remove_repeated_bytes(
         "base",
     )
     copies = base.where(F.col("n_bytes") >= length).groupBy("sha").agg(F.count("*").alias("n")).where("n > 1")
-    whole = scratch.table(c.dealt(base, copies, ["sha"], F.col("doc_id"), scratch, "copies").select("doc_id"), "whole")
+    whole = scratch.table(c.dealt(base, copies, ["sha"], F.col("doc_id"), scratch, "copies").select("doc_id").distinct(), "whole")
 
     parse = raw.mapInArrow(_parse(length, gram, span), "k long, cls long, doc_id long, lo int, hi int")
     classes = parse.groupBy("k", "cls").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "lo", "hi")).alias("rep"))
@@ -151,7 +152,7 @@ def remove_repeated_bytes(
         "jobs",
     )
     ids = settled.select("doc_id").union(jobs.select("doc_id")).distinct()
-    affected = scratch.table(raw.join(ids, "doc_id", "left_semi"), "affected")
+    affected = scratch.table(raw.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "affected")
 
     scratch.drop("classes")
 

@@ -134,11 +134,11 @@ def _solved(hess: list[list[float]], residual: list[float]) -> list[float]:
     return np.linalg.lstsq(h + 1e-9 * np.trace(h) * np.eye(len(h)), np.array(residual), rcond=None)[0].tolist()
 
 
-def fit_moves(points: DataFrame, targets: list[float], *, max_rate: float | None, rounds: int | None, tolerance: float, scratch: c.Scratch | None = None) -> tuple[list[list[float]], list[float]]:
+def fit_moves(points: DataFrame, targets: list[float], *, max_rate: float | None, rounds: int | None, tolerance: float, scratch: c.Scratch | None = None, weights: list[float] | None = None) -> tuple[list[list[float]], list[float]]:
     """Steps of the descent, and the residual of each domain as a share of all tokens.
 
     ``points`` are (p0, p1, ..., tokens), summed over equal posteriors, for these move alike.  Minimises
-    sum over domains of (expected - target)^2 / h, h being the domain's sum of tokens * p^2, over
+    sum over domains of weight * (expected - target)^2 / h, h being the domain's sum of tokens * p^2, over
     0 <= rate <= max_rate, from rate 1, until every residual is below the tolerance or, where no rates reach the
     targets, the objective hardly falls any more.  A round tries several projected steps in one aggregation and takes the
     best: the plain gradient (steps divide by a document's tokens; the size is one over the largest row sum of
@@ -167,7 +167,7 @@ def fit_moves(points: DataFrame, targets: list[float], *, max_rate: float | None
     first = points.agg(F.sum("tokens").alias("all"), *[_rounded(F.col("tokens") * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"h{i}_{j}") for i, j in grid]).first()
     total = float(first["all"] or 0) or 1.0
     whole = [[(first[f"h{min(i, j)}_{max(i, j)}"] or 0.0) / total for j in k] for i in k]
-    scale = [max(whole[i][i], 1e-9) for i in k]
+    scale = [max(whole[i][i], 1e-9) / (weights[i] if weights else 1.0) for i in k]
     safe = 1 / max(1e-9, *[sum(whole[i][j] / math.sqrt(scale[i] * scale[j]) for j in k) for i in k])
     off = lambda expected: [(x - t) / total for x, t in zip(expected, targets, strict=True)]
     cost = lambda residual: sum(r * r / h for r, h in zip(residual, scale, strict=True))
@@ -209,6 +209,7 @@ def mix_to_targets(
     domain_col: str = "domain",
     relative: bool = False,
     max_rate: float | None = None,
+    weights: dict[str, float] | None = None,
     rounds: int | None = None,
     tolerance: float = 5e-4,
     max_labelled: int = 20_000,
@@ -221,7 +222,8 @@ def mix_to_targets(
 
     ``targets`` gives each domain its weight in the mixture's tokens (as many as there are now) or, if
     ``relative``, the factor on the domain's present expected tokens; domains without one get 0, or
-    stay as they are.  Rates have no upper bound unless ``max_rate`` sets one.  ``posterior`` maps domains to
+    stay as they are.  Rates have no upper bound unless ``max_rate`` sets one; where
+    not all targets can be met, domains of higher ``weights`` (1 by default) come closer to theirs.  ``posterior`` maps domains to
     probabilities, ``rate`` is the fitted number of uses, ``copies`` its draw: the whole part and one more
     with the chance of the rest, by a hash of the id.  ``residual`` maps each domain to its expected tokens less
     the target, as a share of all tokens, and ``met`` says whether all of these are below the tolerance: both are the
@@ -250,7 +252,7 @@ def mix_to_targets(
         goals = [targets.get(d, 0.0) / weight * float(now["all"] or 0) for d in domains]
     names = [f"p{i}" for i in range(len(domains))]
     points = scratch.table(rows.groupBy(*names).agg(F.sum("tokens").alias("tokens")), "points")
-    moves, residual = fit_moves(points, goals, max_rate=max_rate, rounds=rounds, tolerance=tolerance, scratch=scratch)
+    moves, residual = fit_moves(points, goals, max_rate=max_rate, rounds=rounds, tolerance=tolerance, scratch=scratch, weights=[(weights or {}).get(d, 1.0) for d in domains])
     met = max(map(abs, residual)) < tolerance
     log.log(logging.INFO if met else logging.WARNING, "after %d steps, expected less target as a share of all tokens: %s", len(moves), dict(zip(domains, residual, strict=True)))
     rated = rows.withColumn("rate", F.lit(1.0))

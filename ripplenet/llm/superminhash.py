@@ -185,8 +185,8 @@ def near_duplicates(
     Words are runs outside ``\\x20\\x09-\\x0D`` of the text with A-Z lower-cased.  Documents
     link where 100 * intersection >= percent * union of their shingle sets.  ``component_id``
     is the smallest id reachable over links; ``kept`` marks that document.  Null, empty and
-    blank texts have no shingles, link with nothing and are kept.  Ids must be unique and not null;
-    equal texts share a component.  Other columns are ignored.  A pair of similarity s
+    blank texts have no shingles, link with nothing and are kept.  Equal texts share a component, rows
+    that repeat an id too; a row without an id joins the component of its text and is never kept unless its text stands alone.  Other columns are ignored.  A pair of similarity s
     escapes the bands with probability (1 - s**rows)**bands: 5e-7 at 0.8 by default.
     """
     spark: SparkSession = docs.sparkSession
@@ -241,6 +241,6 @@ def near_duplicates(
     out = sig.join(ids, ["fp1", "fp2", "n"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
-    out = scratch.table(out.withColumn("kept", F.col("doc_id") == F.col("component_id")), "result", keep=True)
+    out = scratch.table(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())), "result", keep=True)
     scratch.clear()
     return out
