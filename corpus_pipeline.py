@@ -22,6 +22,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 MIN_LANGUAGE_SHARE = 0.5
 #: Factors on the present expected tokens of each quality domain.
 TARGETS = {"good": 1.0, "low": 0.5, "toxic": 0.0}
+#: Where not all targets can be met, good documents are kept first.
+WEIGHTS = {"good": 50.0}
 # Joins by id carry the "merge" hint where the ids grow with the corpus: one plan at every size.
 
 
@@ -47,7 +49,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the fitted rates draw, once at most."""
     labels = quality_domains(c.table(spark, sf_dir, "labels"))
-    drawn = mix_to_targets(docs, labels, TARGETS, relative=True, max_rate=1.0).where("copies > 0")
+    drawn = mix_to_targets(docs, labels, TARGETS, relative=True, max_rate=1.0, weights=WEIGHTS).where("copies > 0")
     return docs.join(drawn.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*COLUMNS)
 
 
@@ -72,5 +74,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scratch = c.Scratch(spark, "pipeline")
     for name, stage in STAGES:
-        docs = scratch.table(stage(spark, docs, sf_dir), name, keep=True)
+        since = len(c.KEPT)
+        written = scratch.table(stage(spark, docs, sf_dir), name)
+        c.free(spark, since)  # the operators' results have been read
+        scratch.drop(*[n for n, _ in STAGES if n != name])
+        docs = written
     return docs
