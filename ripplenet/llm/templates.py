@@ -75,10 +75,14 @@ def is_slot(word: Column) -> Column:
     return word.isin(NUMBER, UNIT, NAME)
 
 
-def windows(words: Column, width: int) -> Column:
-    """Hash of the window that begins at each word."""
-    n = F.size(words) - width + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(words, i, width)))).otherwise(F.array().cast("array<long>"))
+def hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def windows(hashes: Column, width: int) -> Column:
+    """Hash of the window that begins at each word, from the words' hashes (a column: lambdas evaluate anew for each element)."""
+    n = F.size(hashes) - width + 1
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(hashes, i, width)))).otherwise(F.array().cast("array<long>"))
 
 
 def _benchmark(items: DataFrame, width: int, min_literals: int) -> DataFrame:
@@ -91,7 +95,7 @@ def _benchmark(items: DataFrame, width: int, min_literals: int) -> DataFrame:
         rows = items.where(F.size(words) > 0).select("item_id", size.alias("width"), words.alias("words"), F.posexplode(starts).alias("pos", "start"))
         window = F.slice("words", F.col("start"), F.col("width"))
         solid = F.size(F.filter(window, lambda w: ~is_slot(w)))
-        parts.append(rows.where(solid >= F.least(F.lit(min_literals), F.ceil(F.col("width") / 2))).select("item_id", "width", "pos", F.xxhash64(window).alias("h")))
+        parts.append(rows.where(solid >= F.least(F.lit(min_literals), F.ceil(F.col("width") / 2))).select("item_id", "width", "pos", F.xxhash64(hashed(window)).alias("h")))
     return parts[0].union(parts[1]).distinct()
 
 
@@ -135,12 +139,13 @@ def contaminated(
 
     # both readings of each document, one row per window
     base = own.where(F.length("text") > 0).select(*key, spaced(F.col("text")).alias("base"))
-    read = base.select(*key, F.explode(F.array(literal_words(F.col("base")), template_words(F.col("base")))).alias("words"))
+    read = base.select(*key, F.explode(F.array(hashed(literal_words(F.col("base"))), hashed(template_words(F.col("base"))))).alias("hashes"))
     hits = None
     for w in widths:
-        rows = read.select(*key, F.posexplode(windows(F.col("words"), w)).alias("pos", "h"))
+        rows = read.select(*key, F.posexplode(windows(F.col("hashes"), w)).alias("pos", "h"))
         mine = known.where(F.col("width") == w).select("h")
-        rows = rows.withColumn("bucket", c.bucket_of(F.col("h"))).join(c.buckets_of(mine, "h"), "bucket", "left_semi")
+        low = F.col("h").bitwiseAND(F.lit(c.BUCKETS - 1)).cast("int").alias("bucket")  # hashes fall into buckets as they are
+        rows = rows.select("*", low).join(F.broadcast(mine.select(low).distinct()), "bucket", "left_semi")  # at most BUCKETS rows
         rows = rows.withColumn("salt", salt).join(salted(mine).hint("merge"), ["h", "salt"], "left_semi")
         rows = rows.select(*key, F.lit(w).alias("width"), "pos", "h")
         hits = rows if hits is None else hits.union(rows)
