@@ -231,3 +231,14 @@ def uniform(*keys: Column | str) -> Column:
 
 def content_id(*parts: Column | str, length: int = 16) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *[col(p) for p in parts]), 256), 1, length)
+
+
+def request_verdict(known: Column | str, n_origins: Column | str, multiple: Column | str, onset: Column | str, *, most: int = 5, low: float = 0.5, high: float = 4.0, horizon: float = 168.0) -> Column:
+    """First bound of an on-demand analysis that a request breaks, or ``ok``."""
+    return (
+        F.when(~F.coalesce(col(known), F.lit(False)), "unknown_merchant")
+        .when(col(n_origins) > most, "too_many")
+        .when(~col(multiple).between(low, high), "multiple")
+        .when((col(onset) < 0) | (col(onset) >= horizon), "onset")
+        .otherwise("ok")
+    )

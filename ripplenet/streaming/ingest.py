@@ -104,6 +104,17 @@ def fold_stream(updates: DataFrame) -> DataFrame:
     return fold_states(updates)
 
 
+def reconcile(ledger: DataFrame, facts: DataFrame) -> DataFrame:
+    """(record, before, after, source): ledger(record, before) read against later facts(record, fact).
+
+    A final state stays whatever the facts say; an open one takes the fact, or stays unresolved without one.
+    """
+    final = F.col("before").isin(*FINAL)
+    both = ledger.join(facts, "record", "left")
+    source = F.when(final, "final").when(F.col("fact").isNull(), "unresolved").otherwise("reconciled")
+    return both.select("record", "before", F.when(final, F.col("before")).otherwise(F.coalesce("fact", "before")).alias("after"), source.alias("source"))
+
+
 def write_ledger(stream: DataFrame, path: str, checkpoint: str):
     """Runs what is there and appends it, exactly once, to a Parquet ledger."""
     q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
