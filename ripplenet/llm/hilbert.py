@@ -59,7 +59,7 @@ def hilbert_shards(
     dims: tuple[str, ...] = ("lang", "source"),
     shards: int = 40,
     bits: int = 5,
-    rows_a_part: int = 4096,
+    rows_a_part: int = 1024,
     overhead: int = 16,
 ) -> DataFrame:
     """(doc_id, size, text_crc32, curve, shard, slot) for every row.
