@@ -84,6 +84,8 @@ def _suffixes(length: int):
                 values = c.byte_values(raw.as_py())
                 first, second = c.Windows(values), c.Windows(values, c.BASES[1])
                 lo, hi, n = (jobs.values.field(i).to_numpy() for i in range(3))
+                inside = hi.astype(np.int64) + length <= len(values)  # another text may bear the same id
+                lo, hi, n = lo[inside], hi[inside], n[inside]
                 count = (hi - lo + 1).astype(np.int64)
                 x = np.repeat(lo.astype(np.int64), count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 weight = np.repeat(n, count)
@@ -103,7 +105,7 @@ def _cut(batches):
         out = []
         for doc, raw, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
             raw = raw.as_py()
-            lo, hi = c.runs(*(spans.values.field(i).to_numpy().astype(np.int64) for i in range(2)))
+            lo, hi = c.runs(*(np.minimum(spans.values.field(i).to_numpy().astype(np.int64), len(raw)) for i in range(2)))
             edges = np.r_[0, np.c_[lo, hi].ravel(), len(raw)]
             digest = hashlib.sha256()
             for a, b in zip(edges[::2], edges[1::2], strict=True):
@@ -152,7 +154,7 @@ def remove_repeated_bytes(
         "jobs",
     )
     ids = settled.select("doc_id").union(jobs.select("doc_id")).distinct()
-    affected = scratch.table(raw.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "affected")
+    affected = scratch.table(raw.join(ids, "doc_id", "left_semi"), "affected")
 
     scratch.drop("classes")
 
@@ -170,7 +172,7 @@ def remove_repeated_bytes(
     full, empty = F.col("full").isNotNull(), F.array().cast("array<long>")
     out = (
         base.join(whole.withColumn("full", F.lit(True)), "doc_id", "left")
-        .join(cut, "doc_id", "left")
+        .join(cut.dropDuplicates(["doc_id"]), "doc_id", "left")
         .select(
             "doc_id",
             "n_bytes",
