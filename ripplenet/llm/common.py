@@ -73,6 +73,11 @@ class Scratch:
             self.paths.append((name, path))
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def folder(self, name: str) -> str:
+        """A path for files of another format; kept like a result."""
+        KEPT.append(f"{self.root}/{name}")
+        return KEPT[-1]
+
     def drop(self, *names: str) -> None:
         """Deletes the tables written under these names so far."""
         for name, path in self.paths:

@@ -13,6 +13,7 @@ from .diffcover import remove_repeated_windows
 from .hilbert import hilbert_shards
 from .html_paths import extract_pages
 from .langid import identify
+from .orc_tokens import read_token_files, token_digests, write_token_files
 from .prefix_free import remove_repeated_bytes
 from .quality_rules import quality_verdicts
 from .soft_mixing import mix_to_targets, quality_domains
@@ -72,6 +73,12 @@ def op10_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_windows(c.table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op13_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = c.Scratch(spark, "orc-tokens").folder("files")
+    write_token_files(c.table(spark, sf_dir, "documents"), path)
+    return token_digests(read_token_files(spark, path))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_quality_rules,
@@ -84,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_soft_mixing,
         op9_template_leaks,
         op10_difference_cover,
+        op13_orc_tokens,
     )
     return {f.__name__: f for f in found}
 
