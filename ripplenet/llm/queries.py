@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import common as c
 from . import oracles
 from .diffcover import remove_repeated_windows
+from .hard_negatives import mine_negatives
 from .hilbert import hilbert_shards
 from .html_paths import extract_pages
 from .langid import identify
@@ -73,6 +74,12 @@ def op10_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_windows(c.table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op12_pca_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = c.table(spark, sf_dir, "embeddings")
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_negatives(vectors.withColumn("label", relabelled))
+
+
 def op13_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = c.Scratch(spark, "orc-tokens").folder("files")
     write_token_files(c.table(spark, sf_dir, "documents"), path)
@@ -91,10 +98,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_soft_mixing,
         op9_template_leaks,
         op10_difference_cover,
+        op12_pca_negatives,
         op13_orc_tokens,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": oracles.QUALITY, "op6_superminhash": oracles.NEAR_DUPLICATES, "op10_difference_cover": oracles.REPEATED_WINDOWS}
+    return {"op1_quality_rules": oracles.QUALITY, "op6_superminhash": oracles.NEAR_DUPLICATES, "op10_difference_cover": oracles.REPEATED_WINDOWS, "op12_pca_negatives": oracles.HARD_NEGATIVES}
