@@ -67,3 +67,20 @@ SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec
  WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
  WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 3
 """
+
+_CUT = "CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST({l} AS HUGEINT) * {r}) AS BIGINT)"
+PHRASES = f"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS ws FROM documents),
+w1 AS (SELECT lang, w, count(*) AS f FROM (SELECT lang, unnest(ws) AS w FROM pieces) GROUP BY ALL),
+w2 AS (SELECT lang, p, q, count(*) AS a FROM (SELECT lang, unnest(ws[:-2]) AS p, unnest(ws[2:]) AS q FROM pieces WHERE len(ws) >= 2) GROUP BY ALL),
+w3 AS (SELECT lang, p, q, s, count(*) AS a FROM (SELECT lang, unnest(ws[:-3]) AS p, unnest(ws[2:-2]) AS q, unnest(ws[3:]) AS s FROM pieces WHERE len(ws) >= 3) GROUP BY ALL HAVING count(*) >= 10),
+longer AS (SELECT lang, p, q, max(a) AS a FROM (SELECT lang, p, q, a FROM w3 UNION ALL SELECT lang, q, s, a FROM w3) GROUP BY lang, p, q),
+two AS (SELECT w2.lang, w2.p || ' ' || w2.q AS phrase, w2.a, x.f AS l, y.f AS r, {_CUT.format(l="x.f", r="y.f").replace(" a ", " w2.a ")} AS score FROM w2 JOIN w1 x ON x.lang = w2.lang AND x.w = w2.p JOIN w1 y ON y.lang = w2.lang AND y.w = w2.q
+ LEFT JOIN longer g ON g.lang = w2.lang AND g.p = w2.p AND g.q = w2.q WHERE w2.a >= 10 AND coalesce(100 * g.a < 50 * w2.a, true)),
+cuts AS (SELECT t.lang, t.p || ' ' || t.q || ' ' || t.s AS phrase, t.a, x.f AS l1, qs.a AS r1, pq.a AS l2, y.f AS r2 FROM w3 t JOIN w1 x ON x.lang = t.lang AND x.w = t.p JOIN w2 qs ON qs.lang = t.lang AND qs.p = t.q AND qs.q = t.s
+ JOIN w2 pq ON pq.lang = t.lang AND pq.p = t.p AND pq.q = t.q JOIN w1 y ON y.lang = t.lang AND y.w = t.s),
+scored AS (SELECT *, {_CUT.format(l="l1", r="r1")} AS s1, {_CUT.format(l="l2", r="r2")} AS s2 FROM cuts),
+every AS (SELECT * FROM two UNION ALL SELECT lang, phrase, a, CASE WHEN s2 < s1 THEN l2 ELSE l1 END, CASE WHEN s2 < s1 THEN r2 ELSE r1 END, least(s1, s2) FROM scored),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM w1 GROUP BY lang)
+SELECT lang, row_number() OVER w AS rank, phrase, a, l, r, n, score FROM every JOIN n USING (lang) WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER w <= 2000
+"""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import common as c
 from . import oracles
+from .collocations import mine_phrases
 from .diffcover import remove_repeated_windows
 from .hard_negatives import mine_negatives
 from .hilbert import hilbert_shards
@@ -74,6 +75,10 @@ def op10_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_windows(c.table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_phrase_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(c.table(spark, sf_dir, "documents"))
+
+
 def op12_pca_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = c.table(spark, sf_dir, "embeddings")
     relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -98,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_soft_mixing,
         op9_template_leaks,
         op10_difference_cover,
+        op11_phrase_bitmaps,
         op12_pca_negatives,
         op13_orc_tokens,
     )
@@ -105,4 +111,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": oracles.QUALITY, "op6_superminhash": oracles.NEAR_DUPLICATES, "op10_difference_cover": oracles.REPEATED_WINDOWS, "op12_pca_negatives": oracles.HARD_NEGATIVES}
+    return {
+        "op1_quality_rules": oracles.QUALITY,
+        "op6_superminhash": oracles.NEAR_DUPLICATES,
+        "op10_difference_cover": oracles.REPEATED_WINDOWS,
+        "op11_phrase_bitmaps": oracles.PHRASES,
+        "op12_pca_negatives": oracles.HARD_NEGATIVES,
+    }
