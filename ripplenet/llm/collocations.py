@@ -51,42 +51,46 @@ def _vertical(tokens: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.bincount(word[starts], minlength=size + 1)[1:], box[starts] << 8 | mask
 
 
-def _shards(batches):
+def _shards(shard: int):
     """One row per shard: its words, their counts, and the entries of their bitmaps."""
-    task, made, open_, size = TaskContext.get().partitionId(), 0, {}, Counter()
-
-    def row(lang, ids, tokens):
-        nonlocal made
-        made += 1
-        flat = np.concatenate(tokens)
-        entries, bits = _vertical(flat, len(ids))
-        counts = np.bincount(flat, minlength=len(ids) + 1)[1:]
-        columns = [[(task << 32) + made], [lang], [list(ids)], [counts], [entries.astype(np.int32).tobytes()], [bits.tobytes() if len(flat) >> 3 >= 1 << 23 else bits.astype(np.int32).tobytes()]]
-        types = [pa.int64(), pa.string(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], ["shard", "lang", "words", "counts", "entries", "bits"])
 
-    for batch in batches:
-        for lang, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            words = _words(raw.as_py() or b"")
-            while words:
-                ids, tokens = open_.setdefault(lang, ({}, []))
-                room = SHARD - size[lang]
-                cut = len(words)
-                if cut > room:  # a longer text goes on in the next shard, after the end of a piece
-                    try:
-                        cut = words.index(STOP, room) + 1
-                    except ValueError:
-                        pass
-                part, words = words[:cut], words[cut:]
-                tokens.append(np.fromiter((0 if w == STOP else ids.setdefault(w, len(ids) + 1) for w in part), np.int32, len(part)))
-                tokens.append(np.zeros(1, np.int32))
-                size[lang] += len(part) + 1
-                if size[lang] >= SHARD:
-                    yield row(lang, *open_.pop(lang))
-                    size[lang] = 0
-    for lang, (ids, tokens) in open_.items():
-        if ids:
-            yield row(lang, ids, tokens)
+    def run(batches):
+        task, made, open_, size = TaskContext.get().partitionId(), 0, {}, Counter()
+
+        def row(lang, ids, tokens):
+            nonlocal made
+            made += 1
+            flat = np.concatenate(tokens)
+            entries, bits = _vertical(flat, len(ids))
+            counts = np.bincount(flat, minlength=len(ids) + 1)[1:]
+            columns = [[(task << 32) + made], [lang], [list(ids)], [counts], [entries.astype(np.int32).tobytes()], [bits.tobytes() if len(flat) >> 3 >= 1 << 23 else bits.astype(np.int32).tobytes()]]
+            types = [pa.int64(), pa.string(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], ["shard", "lang", "words", "counts", "entries", "bits"])
+
+        for batch in batches:
+            for lang, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = _words(raw.as_py() or b"")
+                while words:
+                    ids, tokens = open_.setdefault(lang, ({}, []))
+                    room = shard - size[lang]
+                    cut = len(words)
+                    if cut > room:  # a longer text goes on in the next shard, after the end of a piece
+                        try:
+                            cut = words.index(STOP, room) + 1
+                        except ValueError:
+                            pass
+                    part, words = words[:cut], words[cut:]
+                    tokens.append(np.fromiter((0 if w == STOP else ids.setdefault(w, len(ids) + 1) for w in part), np.int32, len(part)))
+                    tokens.append(np.zeros(1, np.int32))
+                    size[lang] += len(part) + 1
+                    if size[lang] >= shard:
+                        yield row(lang, *open_.pop(lang))
+                        size[lang] = 0
+        for lang, (ids, tokens) in open_.items():
+            if ids:
+                yield row(lang, ids, tokens)
+
+    return run
 
 
 class Index:
@@ -214,6 +218,7 @@ def mine_phrases(
     support: int = 10,
     absorbed: int = 50,
     top: int = 2000,
+    shard: int = SHARD,
 ) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first ``top`` phrases of two or three words.
 
@@ -227,7 +232,7 @@ def mine_phrases(
     """
     scratch = c.Scratch(docs.sparkSession, "phrases")
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("binary").alias("raw"))
-    shards = scratch.table(texts.mapInArrow(_shards, "shard long, lang string, words array<binary>, counts array<long>, entries binary, bits binary"), "shards")
+    shards = scratch.table(texts.mapInArrow(_shards(shard), "shard long, lang string, words array<binary>, counts array<long>, entries binary, bits binary"), "shards")
 
     local = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "x")).select("shard", "lang", "place", F.col("x.words").cast("string").alias("word"), F.col("x.counts").alias("f"))
     sizes = shards.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
