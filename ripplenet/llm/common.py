@@ -136,6 +136,16 @@ def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return far.select(rows.columns).union(near.select(rows.columns))
 
 
+def one_row_an_id(rows: DataFrame, key: str) -> DataFrame:
+    """Of the rows that share a key the least by its other columns; only rows in a bucket of a repeated key are shuffled."""
+    twice = rows.groupBy(key).agg(F.count("*").alias("rows")).where("rows > 1").select(key)
+    marks = buckets_of(twice, key)
+    tagged = rows.withColumn("bucket", bucket_of(F.col(key)))
+    others = [x for x in rows.columns if x != key]
+    least = tagged.join(marks, "bucket", "left_semi").groupBy(key).agg(F.min(F.struct(*others)).alias("row"))
+    return tagged.join(marks, "bucket", "left_anti").select(rows.columns).union(least.select(key, "row.*").select(rows.columns))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -32,6 +32,8 @@ from . import common as c
 SCHEMA = "doc_id long, part int, at long, n_tokens long, ids array<int>"
 #: Bytes of a stripe; rows of a group in the row index; share of absent ids that a Bloom filter lets pass.
 STRIPE_BYTES, GROUP_ROWS, BLOOM_FPP = 16 << 20, 1000, 0.01
+#: After so many rows a writer looks whether its stripe is full: long texts fill one soon.
+CHECKED_ROWS = 250
 #: Words a Python worker remembers before the older half goes, and the longest of them.
 WORDS, WORD_CHARS = 1 << 19, 64
 CUT = re.compile(r"(?= [!-~À-ÿ])")
@@ -153,6 +155,7 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str = "byte_bpe_
     options = {
         "compression": "zstd",
         "orc.stripe.size": STRIPE_BYTES,
+        "orc.rows.between.memory.checks": CHECKED_ROWS,
         "orc.create.index": "true",
         "orc.row.index.stride": GROUP_ROWS,
         "orc.bloom.filter.columns": "doc_id",

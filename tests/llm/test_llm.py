@@ -464,6 +464,21 @@ def test_pipeline_stages_on_awkward_tables(spark, rows):
     assert docs.where("doc_id is null").count() == 0
 
 
+def test_pipeline_stages_on_repeated_ids(spark):
+    """Sharding gives a row for a row; near_dedup one for an id and one for a text."""
+    text, other = "one two three four five six seven", "eight nine ten eleven twelve thirteen fourteen"
+    rows = [(1, text), (1, text), (2, other), (2, text + " x y z"), (3, text), (None, other), (None, other)]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    placed = corpus_pipeline.sharding(spark, docs, SF)
+    assert sorted(((r.doc_id or 0, r.text) for r in placed.collect())) == sorted((i or 0, t) for i, t in rows)
+    assert len({(r.shard, r.slot) for r in placed.collect()}) == len(rows)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs.where("doc_id is not null"), SF).collect()]
+    assert sorted(kept) == [(1, text), (2, other)]
+    clashing = docs.withColumn("row_key", F.lit(1)).withColumn("shard", F.lit(2)).withColumn("bucket", F.lit("x"))
+    assert corpus_pipeline.sharding(spark, clashing, SF).count() == len(rows)
+    assert corpus_pipeline.near_dedup(spark, clashing.where("doc_id = 1"), SF).count() == 1
+
+
 def test_pipeline_stages(spark, texts):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = {r.doc_id: r for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
