@@ -1,8 +1,13 @@
 """Training-corpus pipeline over the documents table.
 
 Each stage takes (spark, docs, sf_dir), where docs is what the stage before has written, and returns a
-DataFrame.  All but the last return the columns of documents.  Rows without a doc_id can't be judged
-and leave at the first stage.
+DataFrame.  All but the last return the columns of documents; further columns of docs are dropped, whatever their names.
+An empty table gives an empty one.
+
+Null and empty texts: language ID rejects them (no letter); every other stage keeps them, for they are near to nothing, hold no
+item and have no tokens.  Texts are read whole at any length.  Rows without a doc_id can't be judged and leave at the first
+stage; the others treat a null id as its operator says.  Rows that share an id are one document, of which near_dedup keeps the row that is least by
+its columns; before that and in the other stages they stay or go together, and sharding places each of them.
 """
 
 from __future__ import annotations
@@ -35,9 +40,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more.
+
+    Ties go to the smallest id.  Of rows that share an id one stays.
+    """
     kept = near_duplicates(docs, shingle_words=5, percent=80).where("kept")
-    return docs.join(kept.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*COLUMNS)
+    rows = c.one_row_an_id(docs.select(*COLUMNS), "doc_id")
+    return rows.join(kept.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +63,14 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every document, with its text and metadata."""
-    placed = hilbert_shards(docs).select("doc_id", "size", "text_crc32", "curve", "shard", "slot")
-    return docs.join(placed.hint("merge"), "doc_id")
+    """Shard and slot of every row, with its text and metadata.
+
+    Rows are told apart by a key that is written with them, so rows that share an id are placed each by itself.
+    """
+    scratch = c.Scratch(spark, "sharding")
+    keyed = scratch.table(docs.select(*COLUMNS).withColumn("row_key", F.monotonically_increasing_id()), "keyed", keep=True)
+    placed = hilbert_shards(keyed, id_col="row_key").select(F.col("doc_id").alias("row_key"), "size", "text_crc32", "curve", "shard", "slot")
+    return keyed.join(placed.hint("merge"), "row_key").drop("row_key")
 
 
 STAGES: list = [
