@@ -291,10 +291,12 @@ def mine_negatives(
     whole = read.where("vec_id is not null and label is not null and q is not null")
     one = whole.groupBy("vec_id").agg(F.min(F.struct("label", "q")).alias("row")).select("vec_id", "row.*")
     one = scratch.table(one, "one")
-    dim = one.agg(F.max(F.size("q"))).first()[0] or 1
+    n, dim = one.agg(F.count("*"), F.coalesce(F.max(F.size("q")), F.lit(1))).first()
+    dim = max(dim, 1)
     basis = rotation(one, dim)
 
-    rows = scratch.table(one.select("vec_id", "label", "q").mapInArrow(_pack(dim, ROWS, 0), PACKED), "rows")
+    full = one.select("vec_id", "label", "q").coalesce(max(1, -(-n // ROWS)))  # no small blocks
+    rows = scratch.table(full.mapInArrow(_pack(dim, ROWS, 0), PACKED), "rows")
     page = F.row_number().over(Window.orderBy("block"))  # a number per packed block, not per row
     rows = rows.join(F.broadcast(rows.select("block", page.alias("page"))), "block")
     asked = one.where(F.col("vec_id") % anchor_every == 0)
