@@ -63,23 +63,28 @@ def node_base(n: Network, origin: float = ORIGIN):
     return m.withColumn("buf", F.greatest(e.buffer("opening_minor", "credit_minor", "floor_minor"), F.lit(1)))
 
 
-@query(SQL + NODE)
-def node_features(spark, d):
+def node_columns(base, origin):
+    """The feature columns of :func:`node_base` rows at their origin."""
     c = F.col
     over = lambda x: F.round(c(x) / c("buf"), 6)
     index = lambda x, names: F.coalesce(*[F.when(c(x) == v, F.lit(i)) for i, v in enumerate(names)])
-    return node_base(Network(spark, d)).select(
+    return base.select(
         "merchant_id", F.round(F.log1p("buf"), 6).alias("log_buffer"), F.round(F.log1p("opening_minor"), 6).alias("log_opening"), F.round(F.least(c("credit_minor") / c("buf"), F.lit(5.0)), 6).alias("credit_ratio"),
         F.round(F.log1p("pay"), 6).alias("log_payables"), F.round(F.log1p("rec"), 6).alias("log_receivables"), over("pay").alias("pay_ratio"), over("rec").alias("rec_ratio"),
         F.round(e.clip((c("rec") - c("pay")) / c("buf"), -50, 50), 6).alias("net_ratio"), over("d24").alias("due_24"), over("d72").alias("due_72"), over("late").alias("overdue"),
-        (F.least(c("np"), F.lit(100)) / 10).alias("n_payables"), (F.least(c("nr"), F.lit(100)) / 10).alias("n_receivables"), F.round(F.least(F.coalesce(c("first_due") - ORIGIN, F.lit(HORIZON)) / HORIZON, F.lit(1.0)), 6).alias("to_first_due"),
-        F.round(F.least(F.coalesce(c("first_rec") - ORIGIN, F.lit(HORIZON)) / HORIZON, F.lit(1.0)), 6).alias("to_first_receivable"), F.round("hhi_in", 6).alias("in_concentration"), F.round("hhi_out", 6).alias("out_concentration"), F.round("cv", 6).alias("in_gap_cv"),
+        (F.least(c("np"), F.lit(100)) / 10).alias("n_payables"), (F.least(c("nr"), F.lit(100)) / 10).alias("n_receivables"), F.round(F.least(F.coalesce(c("first_due") - origin, F.lit(HORIZON)) / HORIZON, F.lit(1.0)), 6).alias("to_first_due"),
+        F.round(F.least(F.coalesce(c("first_rec") - origin, F.lit(HORIZON)) / HORIZON, F.lit(1.0)), 6).alias("to_first_receivable"), F.round("hhi_in", 6).alias("in_concentration"), F.round("hhi_out", 6).alias("out_concentration"), F.round("cv", 6).alias("in_gap_cv"),
         F.round(F.log1p("vi"), 6).alias("log_in"), F.round(F.log1p("vo"), 6).alias("log_out"), F.round(e.bounded_ratio(c("vi").cast("double"), c("vo").cast("double"), 10), 6).alias("in_out"),
         (F.least(c("ni"), F.lit(2000)) / 100).alias("n_in"), (F.least(c("no"), F.lit(2000)) / 100).alias("n_out"), (c("di") / 10).alias("in_degree"), (c("do") / 10).alias("out_degree"),
-        F.round(F.log1p(ORIGIN - c("li")) / 10, 6).alias("since_in"), F.round(F.log1p(ORIGIN - c("lo")) / 10, 6).alias("since_out"), index("sector", SECTORS).alias("sector_index"), index("tier", TIERS).alias("tier_index"),
+        F.round(F.log1p(origin - c("li")) / 10, 6).alias("since_in"), F.round(F.log1p(origin - c("lo")) / 10, 6).alias("since_out"), index("sector", SECTORS).alias("sector_index"), index("tier", TIERS).alias("tier_index"), origin.alias("origin"),
     )
 
 
+@query(SQL + NODE)
+def node_features(spark, d):
+    return node_columns(node_base(Network(spark, d)), F.lit(ORIGIN)).drop("origin")
+
+
 SHOCK = 500_000_000
 STRUCTURE = (
     """, w AS (SELECT 'N1' AS node, 0 AS hops UNION SELECT target, hops + 1 FROM w JOIN edges ON source = node WHERE hops < 4),
@@ -147,12 +152,15 @@ def pair_lags(n: Network, origin: float = ORIGIN):
     return lags.groupBy("payer", "payee").agg(F.median(F.col("t") - F.col("t_in")).alias("lag"))
 
 
-@query(SQL + """, gaps AS (SELECT *, t - lag(t) OVER (PARTITION BY payer, payee ORDER BY t, amount_minor) AS gap FROM trade WHERE t < 40000),
+PAIR = """, gaps AS (SELECT *, t - lag(t) OVER (PARTITION BY payer, payee ORDER BY t, amount_minor) AS gap FROM trade WHERE t < 40000),
 p AS (SELECT payer, payee, count(*) AS n, sum(amount_minor) AS v, avg(amount_minor) AS mean, stddev_samp(amount_minor) AS sd, median(gap) AS mg, CASE WHEN count(gap) < 2 OR avg(gap) <= 0 THEN 0 ELSE greatest(least(1 - stddev_samp(gap)/avg(gap), 1), 0) END AS reg, (max(t) - min(t)) / 40000 AS active FROM gaps GROUP BY payer, payee),
 owed AS (SELECT debtor, creditor, sum(amount_minor - paid_minor) AS v FROM obligations WHERE issued_t < 40000 AND amount_minor > paid_minor GROUP BY ALL), b AS (SELECT merchant_id, greatest(opening_minor + credit_minor - floor_minor, 1) AS buf FROM merchants),
 lagged AS (SELECT payer, payee, median(lag) AS ml FROM (SELECT o.payer, o.payee, o.t - i.t AS lag FROM (SELECT payer, payee, t FROM trade WHERE t < 40000) o ASOF JOIN (SELECT DISTINCT payee AS m, t FROM payments WHERE t < 40000) i ON o.payer = i.m AND o.t > i.t) WHERE lag <= 720 GROUP BY ALL)
 SELECT payer, payee, round(ln(1+n), 6) AS log_n, round(ln(1+p.v), 6) AS log_total, round(ln(1+mean), 6) AS log_mean, round(least(coalesce(sd, 0)/greatest(mean, 1), 10), 6) AS cv, round(p.v / sum(p.v) OVER (PARTITION BY payer), 6) AS share_out, round(p.v / sum(p.v) OVER (PARTITION BY payee), 6) AS share_in, round(reg, 6) AS regularity, round(ln(1+coalesce(mg, 0))/10, 6) AS log_gap, round(active, 6) AS active,
- round(coalesce(owed.v, 0) / buf, 6) AS owed_ratio, round(ln(1 + coalesce(ml, 0)) / 10, 6) AS log_lag FROM p JOIN b ON merchant_id = payer LEFT JOIN owed ON debtor = payer AND creditor = payee LEFT JOIN lagged USING (payer, payee)""")
+ round(coalesce(owed.v, 0) / buf, 6) AS owed_ratio, round(ln(1 + coalesce(ml, 0)) / 10, 6) AS log_lag FROM p JOIN b ON merchant_id = payer LEFT JOIN owed ON debtor = payer AND creditor = payee LEFT JOIN lagged USING (payer, payee)"""
+
+
+@query(SQL + PAIR)
 def pair_features(spark, d):
     n = Network(spark, d)
     f = ed.edge_features(n.trade.where(e.observed(ORIGIN)))
