@@ -203,26 +203,26 @@ def _negatives(k: int, least: int, most: int):
                 some = hi >= lo
                 if not some.any():
                     continue
-                floor = np.where(some, lo, np.iinfo(np.int64).max).min(1, keepdims=True)
                 ceiling = np.where(some, hi, -1).max(1, keepdims=True)
-                for _, u, v in (x for x in b.kinds() if x[0] != label):
-                    j = slice(u, v)
-
-                    def low(lower, upper, lo=lo, hi=hi, some=some, floor=floor):
-                        """Least over the bands of their k-th product that is surely inside."""
-                        out = np.full(floor.shape, np.inf)
-                        for n in range(lo.shape[1]):
-                            inside = (lower >= lo[:, [n]]) & (upper <= hi[:, [n]])
-                            kth = np.maximum(_leading(np.where(inside, lower, -np.inf), k), lo[:, [n]])
-                            out = np.minimum(out, np.where(some[:, [n]], kth, np.inf))
-                        return out
-
-                    x, y, score = _bounded(a, i, b, j, low, ceiling)
+
+                def low(lower, upper, lo=lo, hi=hi, some=some):
+                    """Least over the bands of their k-th product that is surely inside."""
+                    out = np.full((len(lo), 1), np.inf)
                     for n in range(lo.shape[1]):
-                        fits = (score >= lo[x - t, n]) & (score <= hi[x - t, n])
-                        fx, fy, fs = x[fits], y[fits], score[fits]
-                        top = _first([fx], fs, b.ids[fy], k)
-                        yield a.ids[fx[top]], np.full(len(top), n, np.int64), b.ids[fy[top]], fs[top]
+                        inside = (lower >= lo[:, [n]]) & (upper <= hi[:, [n]])
+                        kth = np.maximum(_leading(np.where(inside, lower, -np.inf), k), lo[:, [n]])
+                        out = np.minimum(out, np.where(some[:, [n]], kth, np.inf))
+                    return out
+
+                found = [_bounded(a, i, b, slice(u, v), low, ceiling) for other, u, v in b.kinds() if other != label]
+                if not found:
+                    continue
+                x, y, score = map(np.concatenate, zip(*found, strict=True))
+                for n in range(lo.shape[1]):
+                    fits = np.flatnonzero((score >= lo[x - t, n]) & (score <= hi[x - t, n]))
+                    fx, fy, fs = x[fits], y[fits], score[fits]
+                    top = _first([fx], fs, b.ids[fy], k)
+                    yield a.ids[fx[top]], np.full(len(top), n, np.int64), b.ids[fy[top]], fs[top]
 
     return meet
 
