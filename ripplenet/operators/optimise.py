@@ -6,14 +6,21 @@ of a plan are dropped before anything is replayed.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplenet.functions import exprs as e
 
 MULTIPLES = (0.6, 1.0, 1.5)
+#: Actions that a search over sets accepts; it refuses more, for it never drops any.
+MOST_ACTIONS = 2000
+#: Sets that one task decodes and scores; actions whose sets give the first bound.
+SETS_A_TASK, SEED_ACTIONS = 1 << 20, 12
 
 
 def injections(exposed: DataFrame, multiples: tuple[float, ...] = MULTIPLES, least: float = 1000.0) -> DataFrame:
@@ -85,3 +92,93 @@ def greedy(actions: DataFrame, evaluate: Callable[[DataFrame], DataFrame], round
         picked.append(top["id"])
         best = top["value"]
     return picked
+
+
+def decoded(places: np.ndarray, size: int, n: int) -> np.ndarray:
+    """The sets of ``size`` numbers below n at these places of the order by greatest member, next greatest and so on."""
+    out = np.empty((len(places), size), np.int64)
+    left = places.copy()
+    for at in range(size, 0, -1):
+        table = np.array([math.comb(c, at) for c in range(n + 1)], np.int64)
+        out[:, size - at] = np.searchsorted(table, left, "right") - 1
+        left = left - table[out[:, size - at]]
+    return out
+
+
+class Pool:
+    """Actions by falling gain, what any two of them overlap, and the values of sets of them."""
+
+    def __init__(self, actions: DataFrame, overlap: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+        rows = actions.select("id", "m", "gain", "cost").limit(MOST_ACTIONS + 1).collect()
+        if len(rows) > MOST_ACTIONS:
+            raise ValueError(f"a search over sets takes at most {MOST_ACTIONS} actions")
+        rows.sort(key=lambda r: (-r.gain, r.id))
+        self.ids = [r.id for r in rows]
+        self.gain, self.cost = (np.array([getattr(r, c) for r in rows], float) for c in ("gain", "cost"))
+        names = sorted({r.m for r in rows})
+        self.owner = np.array([names.index(r.m) for r in rows], np.int64)
+        self.lost = overlap(self.gain[:, None], self.gain[None, :]) if rows else np.zeros((0, 0))
+
+    def values(self, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(value, cost, whether no merchant acts twice) of each row of members."""
+        value, fine = self.gain[sets].sum(1), np.ones(len(sets), bool)
+        for i in range(sets.shape[1]):
+            for j in range(i):
+                value = value - self.lost[sets[:, j], sets[:, i]]
+                fine &= self.owner[sets[:, j]] != self.owner[sets[:, i]]
+        return value, self.cost[sets].sum(1), fine
+
+    def reach(self, size: int, least: float) -> int:
+        """Actions that a set of this size worth ``least`` can have: with falling gains and no negative overlap a later
+        greatest member brings at most its own gain beside the first ones'."""
+        n = len(self.ids)
+        if n == 0 or self.lost.min() < 0:
+            return n
+        bound = self.gain + np.maximum(self.gain, 0)[: size - 1].sum()
+        return int(np.searchsorted(-bound, -least, "right"))
+
+    def seed(self, most: int, keep: int) -> float:
+        """Value that the ``keep`` best plans reach for sure, from the sets of the first few actions."""
+        n = min(len(self.ids), SEED_ACTIONS)
+        found = [np.zeros(0)]
+        for size in range(1, most + 1):
+            value, _, fine = self.values(decoded(np.arange(math.comb(n, size)), size, n))
+            found.append(value[fine])
+        best = np.sort(np.concatenate(found))[::-1]
+        return float(best[keep - 1]) if len(best) >= keep else -math.inf
+
+
+def best_sets(spark: SparkSession, pool: Pool, most: int, keep: int | None = None, first: int | None = None) -> DataFrame:
+    """(plan, members, size, value, cost) of the sets of up to ``most`` actions, one a merchant: all, or the ``keep`` best.
+
+    Sets aren't built by joins: a set is a place in a range of numbers, and each task decodes and scores the places of its own
+    stretch.  Where only the best are asked for, stretches beyond a bound on gains are left out: none of them
+    can hold one.  ``first`` limits the search to the first actions by gain.  Order: value descending, then cost, size and plan.
+    """
+    n = len(pool.ids) if first is None else min(first, len(pool.ids))
+    least = -math.inf if keep is None else pool.seed(most, keep) if first is None else -math.inf
+    counts = [math.comb(min(n, pool.reach(size, least - 1e-9)), size) for size in range(1, most + 1)]
+    ends = np.cumsum(counts)
+
+    def score(batches):
+        for batch in batches:
+            places = batch.column(0).to_numpy()
+            for at, end in enumerate(ends):
+                low, size = end - counts[at], at + 1
+                own = places[(places >= low) & (places < end)] - low
+                if not len(own):
+                    continue
+                sets = decoded(own, size, n)
+                value, cost, fine = pool.values(sets)
+                rows = np.flatnonzero(fine & (value >= least - 1e-9))
+                if keep is not None and len(rows) > keep:
+                    cut = np.partition(value[rows], -keep)[-keep]
+                    rows = rows[value[rows] >= cut]  # ties stay; the order decides later
+                members = [sorted(pool.ids[i] for i in sets[r]) for r in rows]
+                columns = ["+".join(m) for m in members], members, [size] * len(rows), value[rows], cost[rows]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.list_(pa.string()), pa.int32(), pa.float64(), pa.float64()), strict=True)], ["plan", "members", "size", "value", "cost"])
+
+    total = int(ends[-1]) if len(ends) else 0
+    tasks = max(1, -(-total // SETS_A_TASK), min(spark.sparkContext.defaultParallelism, total // 4096))
+    found = spark.range(0, total, 1, tasks).mapInArrow(score, "plan string, members array<string>, size int, value double, cost double")
+    return found if keep is None else found.orderBy(F.desc("value"), "cost", "size", "plan").limit(keep)

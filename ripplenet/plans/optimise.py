@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ripplenet.functions import exprs as e
 from ripplenet.operators import graph as g
 from ripplenet.operators import optimise as o
+from ripplenet.operators import relational as r
 from ripplenet.plans.joins import ROLES, profiles, roles
 from ripplenet.plans.registry import query
 from ripplenet.sources.network import SQL, Network
@@ -41,11 +43,9 @@ def feasibility(spark, d):
     return Network(spark, d).obligations.select("obligation_id", F.concat_ws(",", o.violations(rules)).alias("violations"))
 
 
-#: Actions that the searches over sets choose from: the largest exposures, as the searches' bound on sets is theirs.
-POOL = 8
 ACTS = EXPOSED + f""", a AS (SELECT 'a-' || m AS id, m, shortfall AS gain, 0.5 * shortfall AS cost FROM x)
 """
-PAIRS = ACTS.replace("FROM x)\n", f"FROM x ORDER BY shortfall DESC, m LIMIT {POOL})\n") + """, ov AS (SELECT p.id AS a, q.id AS b, 0.3 * least(p.gain, q.gain) AS overlap FROM a p JOIN a q ON p.id < q.id)
+PAIRS = ACTS + """, ov AS (SELECT p.id AS a, q.id AS b, 0.3 * least(p.gain, q.gain) AS overlap FROM a p JOIN a q ON p.id < q.id)
 """
 
 
@@ -55,22 +55,68 @@ def acts(n: Network):
 
 
 def pool(n: Network):
-    """The POOL actions of largest gain, and the overlap of any two."""
-    a = g.cut(acts(n).orderBy(F.desc("gain"), "m").limit(POOL))
+    """All actions, and the overlap of any two."""
+    a = g.cut(acts(n))
     p, q = a.alias("p"), a.alias("q")
     overlap = p.join(q, F.col("p.id") < F.col("q.id")).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), (0.3 * F.least("p.gain", "q.gain")).alias("overlap"))
     return a, overlap
 
 
+def shared(a, b):
+    """What two actions' gains overlap."""
+    return 0.3 * np.minimum(a, b)
+
+
 @query(PAIRS + """, s AS (SELECT id AS plan, gain AS value, cost, 1 AS size FROM a UNION ALL SELECT p.id || '+' || q.id, p.gain + q.gain - overlap, p.cost + q.cost, 2 FROM a p JOIN a q ON p.id < q.id JOIN ov ON ov.a = p.id AND ov.b = q.id
  UNION ALL SELECT p.id || '+' || q.id || '+' || r.id, p.gain + q.gain + r.gain - o1.overlap - o2.overlap - o3.overlap, p.cost + q.cost + r.cost, 3 FROM a p JOIN a q ON p.id < q.id JOIN a r ON q.id < r.id JOIN ov o1 ON o1.a = p.id AND o1.b = q.id JOIN ov o2 ON o2.a = p.id AND o2.b = r.id JOIN ov o3 ON o3.a = q.id AND o3.b = r.id)
 SELECT plan, size, round(value, 2) AS value, round(cost, 2) AS cost, row_number() OVER (ORDER BY value DESC, cost, size, plan) AS place FROM s""")
 def exact_search(spark, d):
-    a, overlap = pool(Network(spark, d))
-    plans = o.subsets(a, 3)
-    v = o.pairwise_value(plans, a.select("id", "gain", "cost"), overlap).join(plans.select("plan", "size"), "plan")
-    place = F.row_number().over(Window.orderBy(F.desc("value"), "cost", "size", "plan"))
-    return v.select("plan", "size", F.round("value", 2).alias("value"), F.round("cost", 2).alias("cost"), place.cast("long").alias("place"))
+    """Every set of up to three actions, in order."""
+    found = o.best_sets(spark, o.Pool(acts(Network(spark, d)), shared), 3)
+    found = r.placed(found.select("plan", "size", "value", "cost"), [F.desc("value"), F.col("cost"), F.col("size"), F.col("plan")])
+    return found.select("plan", "size", F.round("value", 2).alias("value"), F.round("cost", 2).alias("cost"), "place")
+
+
+OPTIONS = EXPOSED + """, a AS (SELECT kind || '-' || m AS id, m, least(shortfall * k, shortfall) - 0.2::DOUBLE * (price * shortfall * k) AS gain, price * shortfall * k AS cost
+ FROM x, (VALUES ('injection-0.6', 0.6::DOUBLE, 1.0::DOUBLE), ('injection-1.0', 1.0, 1.0), ('injection-1.5', 1.5, 1.0), ('credit_line', 1.0, 0.6)) v(kind, k, price) WHERE shortfall * k >= 1000),
+s AS (SELECT id AS plan, 1 AS size, gain AS value, cost, gain AS least FROM a
+ UNION ALL SELECT p.id || '+' || q.id, 2, p.gain + q.gain - 0.3 * least(p.gain, q.gain), p.cost + q.cost, least(p.gain, q.gain) FROM a p JOIN a q ON p.id < q.id AND p.m <> q.m
+ UNION ALL SELECT p.id || '+' || q.id || '+' || r.id, 3, p.gain + q.gain + r.gain - 0.3 * least(p.gain, q.gain) - 0.3 * least(p.gain, r.gain) - 0.3 * least(q.gain, r.gain), p.cost + q.cost + r.cost, least(p.gain, q.gain, r.gain) FROM a p JOIN a q ON p.id < q.id AND p.m <> q.m JOIN a r ON q.id < r.id AND r.m <> p.m AND r.m <> q.m)
+"""
+
+
+def options(n: Network):
+    """Four actions a merchant: cash of three sizes and a credit line, each with its gain less a fifth of its cost."""
+    kinds = [("injection-0.6", 0.6, 1.0), ("injection-1.0", 1.0, 1.0), ("injection-1.5", 1.5, 1.0), ("credit_line", 1.0, 0.6)]
+    each = exposed(n).withColumn("v", F.explode(F.array(*[F.struct(F.lit(a).alias("kind"), F.lit(b).alias("k"), F.lit(c).alias("price")) for a, b, c in kinds])))
+    amount, cost = F.col("shortfall") * F.col("v.k"), F.col("v.price") * F.col("shortfall") * F.col("v.k")
+    return each.where(amount >= 1000).select(F.concat_ws("-", "v.kind", "m").alias("id"), "m", (F.least(amount, F.col("shortfall")) - 0.2 * cost).alias("gain"), cost.alias("cost"))
+
+
+@query(OPTIONS + "SELECT plan, size, round(value, 2) AS value, round(cost, 2) AS cost, place FROM (SELECT *, row_number() OVER (ORDER BY round(value, 4) DESC, round(cost, 4), size, plan) AS place FROM s) WHERE place <= 100")
+def exact_best(spark, d):
+    """The hundred best sets of up to three of all options; ranges of sets that can't hold one are never decoded."""
+    best = o.best_sets(spark, o.Pool(options(Network(spark, d)), shared), 3, keep=200)
+    place = F.row_number().over(Window.orderBy(F.desc(F.round("value", 4)), F.round("cost", 4), "size", "plan"))  # 200 rows
+    return best.withColumn("place", place.cast("long")).where("place <= 100").select("plan", "size", F.round("value", 2).alias("value"), F.round("cost", 2).alias("cost"), "place")
+
+
+POOLS = (4, 8, 16, 32)
+
+
+@query(OPTIONS + f""", ranked AS (SELECT gain, row_number() OVER (ORDER BY gain DESC, id) AS nth FROM a), b AS (SELECT k AS kept, (SELECT min(gain) FROM ranked WHERE nth <= k) AS edge FROM (VALUES {", ".join(f"({k})" for k in POOLS)}) v(k)),
+o AS (SELECT kept, max(value) FILTER (least >= edge) AS objective, (SELECT max(value) FROM s) AS whole FROM s, b GROUP BY kept)
+SELECT kept, (SELECT count(*) FROM a) AS n, round(objective, 2) AS objective, round(whole, 2) AS optimum, round(whole - objective, 2) AS regret, whole - objective <= 1e-6 * greatest(1, abs(whole)) AS retained FROM o""")
+def pruning_benchmark(spark, d):
+    """The best set among the first actions by gain beside the best of all: what a smaller pool gives away."""
+    pool = o.Pool(options(Network(spark, d)), shared)
+    best = lambda k: o.best_sets(spark, pool, 3, keep=1, first=k).select(F.lit(k).alias("kept"), "value")
+    rows = best(POOLS[0])
+    for k in POOLS[1:]:
+        rows = rows.union(best(k))
+    whole = o.best_sets(spark, pool, 3, keep=1).select(F.col("value").alias("whole"))
+    lost = F.col("whole") - F.col("value")
+    return rows.join(F.broadcast(whole)).select("kept", F.lit(len(pool.ids)).cast("long").alias("n"), F.round("value", 2).alias("objective"), F.round("whole", 2).alias("optimum"), F.round(lost, 2).alias("regret"), (lost <= 1e-6 * F.greatest(F.lit(1.0), F.abs("whole"))).alias("retained"))
 
 
 @query(
@@ -91,8 +137,8 @@ def greedy_search(spark, d):
 @query("SELECT user_id % 40 AS plan, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS spread, round(avg(value) + 0.5 * stddev_pop(value) + 0.01 * max(user_id), 6) AS score FROM events GROUP BY 1")
 def robust_selection(spark, d):
     w = Network(spark, d).read("events").select((F.col("user_id") % 40).alias("plan"), F.col("value").alias("disruption"), F.col("user_id").alias("cost"))
-    r = o.robust(w, 0.5, 0.01)
-    return r.select("plan", *[F.round(c, 6).alias(c) for c in ("mean", "spread", "score")])
+    found = o.robust(w, 0.5, 0.01)
+    return found.select("plan", *[F.round(c, 6).alias(c) for c in ("mean", "spread", "score")])
 
 
 @query("SELECT k AS plan, round(avg(value), 6) AS mean, round(avg(value) FILTER (rn <= greatest(ceil(n * 0.5), 1)) - avg(value), 6) AS spread FROM (SELECT user_id % 40 AS k, value, row_number() OVER (PARTITION BY user_id % 40 ORDER BY value DESC) AS rn, count(*) OVER (PARTITION BY user_id % 40) AS n FROM events) GROUP BY k")
