@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ripplenet.functions import exprs as e
 from ripplenet.operators import learn as l
+from ripplenet.operators import ranked
 from ripplenet.operators import relational as r
 from ripplenet.operators.hawkes import marked_hawkes
 from ripplenet.plans.features import node_base
@@ -101,8 +102,8 @@ def discrete_hazard(spark, d):
 @query()
 def isotonic_calibration(spark, d):
     v = Network(spark, d).read("events").select("event_id", (F.col("value") / 100).alias("s"), (F.col("event_type") == "error").cast("int").alias("y"))
-    knots = l.isotonic(v, "s", "y")
-    return v.select("event_id", F.round(l.interpolate(F.col("s"), knots), 6).alias("calibrated"))
+    fit = ranked.calibrated(v, "s", ranked.monotone_blocks(v, "s", "y"), "calibrated")
+    return fit.select("event_id", F.round("calibrated", 6).alias("calibrated"))
 
 
 @query()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ripplenet.operators import metrics as m
+from ripplenet.operators import ranked
 from ripplenet.operators import relational as r
 from ripplenet.plans.registry import query
 from ripplenet.sources.network import Network
@@ -74,10 +75,7 @@ def precision_at_k(spark, d):
 @query(BASE + ", t AS (SELECT user_id, min(value) AS seen, avg(score) AS risk FROM b GROUP BY user_id) SELECT count(*) AS pairs, count(*) FILTER ((a.seen < b.seen AND a.risk > b.risk) OR (a.seen > b.seen AND a.risk < b.risk)) AS concordant, count(*) FILTER (a.risk = b.risk) AS tied FROM t a JOIN t b ON a.user_id < b.user_id AND a.seen <> b.seen")
 def concordance_index(spark, d):
     t = scored(spark, d).groupBy("user_id").agg(F.min("value").alias("seen"), F.avg("score").alias("risk"))
-    a, b = t.alias("a"), t.alias("b")
-    j = a.join(b, (F.col("a.user_id") < F.col("b.user_id")) & (F.col("a.seen") != F.col("b.seen")))
-    agree = ((F.col("a.seen") < F.col("b.seen")) & (F.col("a.risk") > F.col("b.risk"))) | ((F.col("a.seen") > F.col("b.seen")) & (F.col("a.risk") < F.col("b.risk")))
-    return j.agg(F.count("*").alias("pairs"), F.count_if(agree).alias("concordant"), F.count_if(F.col("a.risk") == F.col("b.risk")).alias("tied"))
+    return ranked.concordance(t, "seen", "risk")
 
 
 @query(BASE + ", t AS (SELECT user_id, row_number() OVER (ORDER BY avg(value), user_id) AS a, row_number() OVER (ORDER BY count(*), user_id) AS b FROM b GROUP BY user_id) SELECT round(corr(a, b), 6) AS spearman FROM t")
