@@ -6,6 +6,10 @@ close to the targets: least squares, by projected gradients.  A step needs the r
 domain only; it is one aggregation over (tokens, posterior) rows, and every document then moves
 against the residuals weighted with its posterior.
 
+Where rates have no upper bound, the totals that any rates can reach form a cone over the posteriors.  Its point next to the
+targets is found first, one posterior a round, and proven by the optimality condition over all documents.
+Documents that the condition excludes have rate 0; the steps then bring the others to that very point.
+
 Only DataFrame functions are used (numpy solves the k x k system of the domains on the driver).  Words are
 never shuffled: a broadcast join with the classifier's words (at most ``max_words``) and partial sums
 per document come first.
@@ -27,8 +31,10 @@ from . import common as c
 log = logging.getLogger(__name__)
 #: So many steps stand in one expression; rates are written to a table then.
 STEPS = 8
-#: The descent ends when two rounds lower the objective by less than this part of it.
+#: With bounded rates the descent ends when two rounds lower the objective by less than this part of it.
 STALL = 0.05
+#: Without a bound it ends within this share of all tokens of the best totals.
+CLOSE = 1e-6
 #: Tokens are summed as whole numbers of this part of a token.
 SHARE_UNIT = 10_000
 #: Posteriors are rounded to so many digits; documents with equal ones move together.
@@ -134,13 +140,69 @@ def _solved(hess: list[list[float]], residual: list[float]) -> list[float]:
     return np.linalg.lstsq(h + 1e-9 * np.trace(h) * np.eye(len(h)), np.array(residual), rcond=None)[0].tolist()
 
 
-def fit_moves(points: DataFrame, targets: list[float], *, max_rate: float | None, rounds: int | None, tolerance: float, scratch: c.Scratch | None = None, weights: list[float] | None = None) -> tuple[list[list[float]], list[float]]:
+def nonnegative(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """x >= 0 of least |a x - b|, by an active set; a few columns."""
+    x, used = np.zeros(a.shape[1]), []
+    for _ in range(10 * a.shape[1]):
+        pull = a.T @ (b - a @ x)
+        pull[used] = 0
+        if not len(pull) or pull.max() <= 1e-14:
+            break
+        used = [*used, int(pull.argmax())]
+        while used:
+            z = np.zeros(len(x))
+            z[used] = np.linalg.lstsq(a[:, used], b, rcond=None)[0]
+            if z[used].min() > 0:
+                x = z
+                break
+            back = min(x[j] / (x[j] - z[j]) for j in used if z[j] <= 0)
+            x = x + back * (z - x)
+            used = [j for j in used if x[j] > 1e-15]
+            x[[j for j in range(len(x)) if j not in used]] = 0
+    return x
+
+
+def best_totals(points: DataFrame, targets: list[float], weights: list[float] | None = None) -> tuple[list[float], list[float]]:
+    """Totals next to the targets that rates >= 0 can reach, and the price of each domain there.
+
+    The distance is that of :func:`fit_moves`.  A round solves for a few posteriors on the driver, then asks all points for the one of the lowest price,
+    sum of price * posterior: one row.  If none is negative, no rates do better; points of positive price can't have any rate.
+    """
+    k = range(len(targets))
+    first = points.agg(F.sum("tokens").alias("all"), *[_rounded(F.col("tokens") * F.col(f"p{i}") * F.col(f"p{i}")).alias(f"h{i}") for i in k]).first()
+    total = float(first["all"] or 0)
+    if not total:
+        return [0.0] * len(targets), [0.0] * len(targets)
+    scale = np.sqrt([(weights[i] if weights else 1.0) / max((first[f"h{i}"] or 0.0) / total, 1e-9) for i in k])
+    goal = scale * np.array(targets) / total
+    columns, rates = np.zeros((len(targets), 0)), np.zeros(0)
+    while True:
+        price = scale * (columns @ rates - goal)
+        price[np.abs(price) < 1e-12 * np.abs(scale * goal).max(initial=1e-300)] = 0
+        names = [f"p{i}" for i in k]
+        dot = reduce(lambda x, y: x + y, [F.col(n) * F.lit(float(x)) for n, x in zip(names, price, strict=True)])
+        low = points.where("tokens > 0").agg(F.min(F.struct(dot.alias("dot"), *names)).alias("low")).first()["low"]
+        new = scale * np.array([low[n] for n in names])
+        if low["dot"] >= -1e-10 * np.abs(price).max() or (columns == new[:, None]).all(0).any():
+            break
+        columns = np.c_[columns[:, rates > 0], new]
+        rates = nonnegative(columns, goal)
+    return (columns @ rates / scale * total).tolist(), price.tolist()
+
+
+def excluded(price: list[float]) -> Column:
+    """Whether the best totals leave no rate to a document: its posterior has a positive price."""
+    dot = reduce(lambda x, y: x + y, [F.col(f"p{i}") * F.lit(float(x)) for i, x in enumerate(price)])
+    return dot > 1e-9 * max(map(abs, price))
+
+
+def fit_moves(points: DataFrame, targets: list[float], *, max_rate: float | None, rounds: int | None, tolerance: float, scratch: c.Scratch | None = None, weights: list[float] | None = None, stall: float | None = STALL, total: float | None = None) -> tuple[list[list[float]], list[float]]:
     """Steps of the descent, and the residual of each domain as a share of all tokens.
 
     ``points`` are (p0, p1, ..., tokens), summed over equal posteriors, for these move alike.  Minimises
     sum over domains of weight * (expected - target)^2 / h, h being the domain's sum of tokens * p^2, over
-    0 <= rate <= max_rate, from rate 1, until every residual is below the tolerance or, where no rates reach the
-    targets, the objective hardly falls any more.  A round tries several projected steps in one aggregation and takes the
+    0 <= rate <= max_rate, from rate 1, until every residual (a share of ``total``, all tokens of the points by default) is below the tolerance or, where no rates reach the
+    targets, the objective hardly falls any more (by less than ``stall``; None: not at all).  A round tries several projected steps in one aggregation and takes the
     best: the plain gradient (steps divide by a document's tokens; the size is one over the largest row sum of
     the scaled Hessian, so it never climbs), and the gradient scaled by the inverse Hessian of the
     rates that meet no bound.  One row of sums a round reaches the driver.
@@ -165,7 +227,7 @@ def fit_moves(points: DataFrame, targets: list[float], *, max_rate: float | None
         ]
 
     first = points.agg(F.sum("tokens").alias("all"), *[_rounded(F.col("tokens") * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"h{i}_{j}") for i, j in grid]).first()
-    total = float(first["all"] or 0) or 1.0
+    total = float(total or first["all"] or 0) or 1.0
     whole = [[(first[f"h{min(i, j)}_{max(i, j)}"] or 0.0) / total for j in k] for i in k]
     scale = [max(whole[i][i], 1e-9) / (weights[i] if weights else 1.0) for i in k]
     safe = 1 / max(1e-9, *[sum(whole[i][j] / math.sqrt(scale[i] * scale[j]) for j in k) for i in k])
@@ -191,7 +253,7 @@ def fit_moves(points: DataFrame, targets: list[float], *, max_rate: float | None
         pending.append(options[best])
         residual, hess = now, results[best][1]
         costs.append(cost(now))
-        if len(costs) > 2 and costs[-1] > costs[-3] * (1 - STALL):
+        if stall is not None and len(costs) > 2 and costs[-1] > costs[-3] * (1 - stall):
             break
         if scratch and len(pending) == STEPS:
             points, pending = scratch.table(points.withColumn("rate", rate_after(pending, max_rate, F.col("rate"))), "rates"), []
@@ -252,14 +314,23 @@ def mix_to_targets(
         goals = [targets.get(d, 0.0) / weight * float(now["all"] or 0) for d in domains]
     names = [f"p{i}" for i in range(len(domains))]
     points = scratch.table(rows.groupBy(*names).agg(F.sum("tokens").alias("tokens")), "points")
-    moves, residual = fit_moves(points, goals, max_rate=max_rate, rounds=rounds, tolerance=tolerance, scratch=scratch, weights=[(weights or {}).get(d, 1.0) for d in domains])
+    by_domain = [(weights or {}).get(d, 1.0) for d in domains]
+    price = [0.0] * len(domains)
+    if max_rate is None:
+        best, price = best_totals(points, goals, by_domain)
+        free = points.where(~excluded(price))
+        moves, left = fit_moves(free, best, max_rate=None, rounds=rounds, tolerance=CLOSE, scratch=scratch, weights=by_domain, stall=None, total=now["all"])
+        whole = float(now["all"] or 0) or 1.0
+        residual = [x + (b - g) / whole for x, b, g in zip(left, best, goals, strict=True)]
+    else:
+        moves, residual = fit_moves(points, goals, max_rate=max_rate, rounds=rounds, tolerance=tolerance, scratch=scratch, weights=by_domain)
     met = max(map(abs, residual)) < tolerance
     log.log(logging.INFO if met else logging.WARNING, "after %d steps, expected less target as a share of all tokens: %s", len(moves), dict(zip(domains, residual, strict=True)))
     rated = rows.withColumn("rate", F.lit(1.0))
     for at in range(0, len(moves), STEPS):
         rated = rated.withColumn("rate", rate_after(moves[at : at + STEPS], max_rate, F.col("rate")))
         rated = scratch.table(rated, "rated") if at + STEPS < len(moves) else rated
-    rated = rated.withColumn("rate", F.round("rate", 6))
+    rated = rated.withColumn("rate", F.when(excluded(price), 0.0).otherwise(F.round("rate", 6)))
     best = F.greatest(*[F.col(f"p{i}") for i in range(len(domains))]) if len(domains) > 1 else F.col("p0")
     named = F.coalesce(*[F.when(F.col(f"p{i}") == best, F.lit(d)) for i, d in enumerate(domains)])
     posterior = F.create_map(*[x for i, d in enumerate(domains) for x in (F.lit(d), F.col(f"p{i}"))])

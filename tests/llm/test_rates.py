@@ -56,3 +56,51 @@ def test_repeated_and_null_ids_give_one_row_each(spark):
     for known in (labels, labels.limit(0)):
         got = [r.doc_id for r in soft_mixing.mix_to_targets(docs, known, {"good": 1.0}).collect()]
         assert sorted(got, key=str) == [1, 2, 3, None]
+
+
+def test_registered_query_ends_at_the_best_totals(spark):
+    """Brute force over all sets of up to three posteriors: no nonnegative rates come closer, in the fit's own distance."""
+    import itertools
+
+    from ripplenet.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    rows = queries.op8_soft_mixing(spark, sf).toPandas()
+    names = sorted(rows.posterior[0])
+    p = np.array([[m[n] for n in names] for m in rows.posterior])
+    tokens = rows.tokens.to_numpy(float)
+    targets = np.array([{"good": 0.95, "low": 0.05, "toxic": 0.0}[n] for n in names])
+    h = (tokens[:, None] * p * p).sum(0) / tokens.sum()
+    scale = 1 / np.sqrt(h)
+    kinds = np.unique(p[tokens > 0], axis=0)
+    best = None
+    for size in (1, 2, 3):
+        for s in itertools.combinations(range(len(kinds)), size):
+            a = (kinds[list(s)] * scale).T
+            x = np.linalg.lstsq(a, scale * targets, rcond=None)[0]
+            if (x >= 0).all():
+                off = kinds[list(s)].T @ x - targets
+                cost = float((off * off / h).sum())
+                if best is None or cost < best[0]:
+                    best = cost, off
+    got = np.array([rows.residual[0][n] for n in names])
+    assert np.abs(got - best[1]).max() < 1e-5
+    assert np.abs((rows.rate.to_numpy() * tokens) @ p / tokens.sum() - targets - got).max() < 1e-4  # rates as returned, rounded
+    assert (rows.rate > 0).sum() > 50
+
+
+def test_best_totals_of_a_cone(spark):
+    """Random posteriors and targets: no point has a negative price, and prices are those of least squares over all columns."""
+    rng = np.random.default_rng(9)
+    for k in (2, 4):
+        p = np.round(rng.dirichlet([0.5] * k, 60), 4)
+        tokens = rng.integers(1, 300, 60)
+        targets = rng.random(k) * tokens.sum()
+        targets[0] = 0
+        points = spark.createDataFrame([(*map(float, x), int(t)) for x, t in zip(p, tokens, strict=True)], ", ".join(f"p{i} double" for i in range(k)) + ", tokens long")
+        best, price = soft_mixing.best_totals(points, targets.tolist())
+        scale = 1 / np.sqrt((tokens[:, None] * p * p).sum(0) / tokens.sum())
+        x = soft_mixing.nonnegative((p * scale).T, scale * targets / tokens.sum())
+        assert np.allclose(np.array(best) / tokens.sum(), p.T @ x, atol=1e-6)
+        assert (p @ np.array(price)).min() > -1e-6
+    assert soft_mixing.best_totals(points.limit(0), targets.tolist())[0] == [0.0] * 4
