@@ -11,6 +11,8 @@ import tempfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ripplenet.functions import exprs as e
+
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialises in the folder that executors share; a temporary one only where none is set."""
@@ -147,3 +149,34 @@ def noisy_or(edges: DataFrame, nodes: DataFrame, origins: DataFrame, rounds: int
         got = state.join(link, "node").groupBy(F.col("target").alias("node")).agg((1 - F.exp(F.sum(miss))).alias("got"))
         state = cut(state.select("node", "pin").join(got, "node", "left").select("node", "pin", F.coalesce("pin", "got", F.lit(0.0)).alias("probability")))
     return state.select("node", "probability")
+
+
+def timed_cascade(links: DataFrame, nodes: DataFrame, shocks: DataFrame, horizon: float, max_hops: int = 6) -> DataFrame:
+    """(node, probability, hit_t, hop): who is hit within the horizon, when at the earliest, and over how many edges.
+
+    links(source, target, q, mu, sigma): chance that an edge passes a hit on, and its log-normal lag; shocks(node, t).
+    A hit at time t passes with q times the lag's chance to end before the horizon; messages to one node combine as independent ones, round
+    after round on what it has, and the earliest mean arrival becomes its time.  Rounds are synchronous and end when no
+    probability grows by more than 1e-9, also on cycles.
+    """
+    start = shocks.groupBy("node").agg(F.min("t").alias("hit_t"))
+    state = cut(nodes.select("node").join(start, "node", "left").select("node", F.when(F.col("hit_t").isNotNull(), 1.0).otherwise(0.0).alias("p"), "hit_t", F.when(F.col("hit_t").isNotNull(), 0).alias("hop")))
+    link = cut(links.select(F.col("source").alias("node"), "target", "q", "mu", "sigma"))
+    for hop in range(1, max_hops + 1):
+        left = horizon - F.coalesce("hit_t", F.lit(0.0))
+        sent = state.where((F.col("p") > 1e-6) & (left > 0)).join(link, "node")
+        sent = sent.withColumn("f", F.col("p") * F.col("q") * e.lognormal_cdf(left, "mu", "sigma")).where("f > 1e-6")
+        arrival = F.coalesce("hit_t", F.lit(0.0)) + F.exp(F.col("mu") + F.col("sigma") * F.col("sigma") / 2)
+        got = sent.groupBy(F.col("target").alias("node")).agg(
+            F.sum(F.log1p(-F.least("f", F.lit(1 - 1e-12)))).alias("miss"), F.min(F.when(arrival <= horizon, arrival)).alias("arrival")
+        )
+        grown = 1 - (1 - F.col("p")) * F.exp("miss")
+        gain = F.coalesce(grown > F.col("p") + 1e-9, F.lit(False))
+        new = state.join(got, "node", "left").select(
+            "node", F.when(gain, grown).otherwise(F.col("p")).alias("p"), F.least("hit_t", "arrival").alias("hit_t"), F.when(F.col("hop").isNull() & F.col("miss").isNotNull(), F.lit(hop)).otherwise(F.col("hop")).alias("hop"), gain.alias("gain")
+        )
+        new = cut(new)
+        state = new.drop("gain")
+        if new.where("gain").isEmpty():
+            break
+    return state.select("node", F.col("p").alias("probability"), "hit_t", "hop")

@@ -176,3 +176,27 @@ def noisy_or_cascade(spark, d):
     edges = n.edges.select("source", "target", (F.least(20 * F.col("pass_through"), F.lit(0.9)) * lag).alias("p"))
     out = g.noisy_or(edges, _nodes(n), spark.createDataFrame([("N1",)], "node string"))
     return out.select("node", F.round("probability", 6).alias("probability"))
+
+
+_Z = "((ln({left}) - mu) / sigma)"
+_K = f"(1 / (1 + 0.2316419 * abs({_Z})))"
+_TAIL = f"exp(-{_Z} * {_Z} / 2) / {math.sqrt(2 * math.pi)!r} * {_K} * (0.319381530 + {_K} * (-0.356563782 + {_K} * (1.781477937 + {_K} * (-1.821255978 + {_K} * 1.330274429))))"
+_CDF = f"CASE WHEN {_Z} >= 0 THEN 1 - {_TAIL} ELSE {_TAIL} END".format(left="168.0 - coalesce(hit_t, 0)")
+TIMED = (
+    f""", m{{i}} AS MATERIALIZED (SELECT target AS node, ln(1 - least(f, 1 - 1e-12)) AS miss, CASE WHEN arrival <= 168 THEN arrival END AS arrival FROM (SELECT target, p * q * ({_CDF.replace("{", "{{").replace("}", "}}")}) AS f, coalesce(hit_t, 0) + exp(mu + sigma * sigma / 2) AS arrival FROM c{{j}} c JOIN l ON l.source = c.node WHERE p > 1e-6 AND 168.0 - coalesce(hit_t, 0) > 0) WHERE f > 1e-6),
+c{{i}} AS MATERIALIZED (SELECT c.node, CASE WHEN 1 - (1 - p) * exp(sm) > p + 1e-9 THEN 1 - (1 - p) * exp(sm) ELSE p END AS p, CASE WHEN a IS NULL THEN hit_t ELSE least(coalesce(hit_t, a), a) END AS hit_t, CASE WHEN hop IS NULL AND sm IS NOT NULL THEN {{i}} ELSE hop END AS hop FROM c{{j}} c LEFT JOIN (SELECT node, sum(miss) AS sm, min(arrival) AS a FROM m{{i}} GROUP BY node) g ON g.node = c.node)"""
+)
+
+
+@query(
+    SQL
+    + ", l AS MATERIALIZED (SELECT source, target, least(20 * pass_through, 0.9) AS q, 3.0 + 0.2 * (n % 4) AS mu, 0.8 AS sigma FROM edges), c0 AS (SELECT merchant_id AS node, CASE WHEN merchant_id IN ('N1', 'N7') THEN 1.0 ELSE 0.0 END::DOUBLE AS p, CASE merchant_id WHEN 'N1' THEN 0.0 WHEN 'N7' THEN 24.0 END::DOUBLE AS hit_t, CASE WHEN merchant_id IN ('N1', 'N7') THEN 0 END AS hop FROM merchants)"
+    + "".join(TIMED.format(i=i + 1, j=i) for i in range(6))
+    + " SELECT node, round(p, 6) AS probability, round(hit_t, 6) AS hit_t, hop FROM c6"
+)
+def timed_cascade(spark, d):
+    """The chance to be hit within a week of two shocks, the earliest mean arrival, and the hops to it."""
+    n = Network(spark, d)
+    links = n.edges.select("source", "target", F.least(20 * F.col("pass_through"), F.lit(0.9)).alias("q"), (3.0 + 0.2 * (F.col("n") % 4)).alias("mu"), F.lit(0.8).alias("sigma"))
+    out = g.timed_cascade(links, _nodes(n), spark.createDataFrame([("N1", 0.0), ("N7", 24.0)], "node string, t double"), 168.0)
+    return out.select("node", F.round("probability", 6).alias("probability"), F.round("hit_t", 6).alias("hit_t"), "hop")

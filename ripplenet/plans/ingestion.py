@@ -104,3 +104,23 @@ def activity_sessions(spark, d):
 def batch_discovery(spark, d):
     v = Network(spark, d).read("events").where(F.col("props").like('{"k": 1%') & (F.get_json_object("props", "$.k").cast("long") >= 10))
     return v.select("event_id", F.concat(F.lit("batch-"), "user_id").alias("batch"))
+
+
+@query(RAW + """, b AS (SELECT *, CASE WHEN created_at IS NULL OR NOT is_object THEN 2 WHEN created_at < 1705000000 THEN 0 ELSE 1 END AS batch FROM v),
+k AS (SELECT *, CASE WHEN reason IS NULL AND row_number() OVER (PARTITION BY id, reason IS NULL ORDER BY batch, created_at, event_id) > 1 THEN 'duplicate' ELSE reason END AS final FROM b)
+SELECT batch, count(*) FILTER (final IS NULL) AS accepted, count(*) FILTER (final = 'duplicate') AS duplicates, count(*) FILTER (final IS NOT NULL AND final <> 'duplicate') AS rejected, CAST(coalesce(sum(amount) FILTER (final IS NULL), 0) AS BIGINT) AS total_minor FROM k GROUP BY batch""")
+def import_ledger(spark, d):
+    """Three batches of the raw lines through the ledger, the second of them twice: what each left."""
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    ledger = i.Ledger(spark, f"{root}/ledger-{uuid.uuid4().hex}")
+    lines = raw_lines(spark, d)
+    at = F.get_json_object("value", "$.created_at").cast("long")
+    batch = F.when(at.isNull(), 2).when(at < 1705000000, 0).otherwise(1)
+    for b in (0, 1, 1, 2):
+        ledger.write(lines.where(batch == b), b)
+    good = ledger.events().groupBy("batch").agg(F.count("*").alias("accepted"), F.sum("amount_minor").alias("total_minor"))
+    bad = ledger.rejections().groupBy("batch").agg(F.count_if(F.col("reason") == "duplicate").alias("duplicates"), F.count_if(F.col("reason") != "duplicate").alias("rejected"))
+    both = good.join(bad, "batch", "full").na.fill(0)
+    return both.select(F.col("batch").cast("int").alias("batch"), "accepted", "duplicates", "rejected", "total_minor")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ripplenet.functions import exprs as e
 from ripplenet.operators import relational as r
 from ripplenet.plans.registry import query
+from ripplenet.sources import versions
 from ripplenet.sources.network import SQL, Network
 
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
@@ -236,3 +237,17 @@ def action_targets(spark, d):
     due = o.groupBy(F.col("obligation_id").alias("target")).agg(F.max("due_t").alias("due_t"))
     verdict = F.when(F.col("due_t").isNull(), "unknown").when((F.col("kind") == "extension") & (F.col("shift") > 20), "too_long").when((F.col("kind") == "acceleration") & (F.col("shift") > 100), "too_early").otherwise("ok")
     return c.join(due, "target", "left").select("id", "kind", "target", verdict.alias("verdict"))
+
+
+@query(SQL + ESTIMATE + """SELECT source, target, pass_through, 'stored' AS origin FROM edges ANTI JOIN est USING (source, target) UNION ALL SELECT source, target, share, 'estimated' FROM est""")
+def overlay_merge(spark, d):
+    """Estimated edges installed over the stored ones, as the second version of the overlay, read back."""
+    import uuid
+
+    n = Network(spark, d)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    root = f"{root}/overlay-{uuid.uuid4().hex}"
+    versions.publish(n.edges.select("source", "target", "pass_through"), root)
+    nodes = n.merchants.select(F.col("merchant_id").alias("node"))
+    second = versions.install_overlay(spark, root, estimated_edges(n).withColumnRenamed("share", "pass_through"), nodes=nodes)
+    return versions.read_version(spark, root, second)

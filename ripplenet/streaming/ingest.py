@@ -124,3 +124,55 @@ def write_ledger(stream: DataFrame, path: str, checkpoint: str):
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.format("text").load(path)
+
+
+class Ledger:
+    """Events and rejections of batches on disk, each batch once whatever fails or is replayed.
+
+    A batch's rows are a slice of their own, replaced as a whole, and a commit file is written after them; readers see committed batches
+    only.  So a batch that died half-way changes nothing until it is run again, and one that is replayed gives the same rows in the same place.
+    Ids of other committed batches are duplicates; its own are not.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _fs(self, name: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def batches(self) -> list[int]:
+        """Committed batches in order."""
+        fs, p = self._fs("commits")
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def _rows(self, table: str, schema: str) -> DataFrame:
+        paths = [f"{self.path}/{table}/batch={b}" for b in self.batches()]
+        if not paths:
+            return self.spark.createDataFrame([], f"{schema}, batch long")
+        rows = self.spark.read.schema(schema).option("basePath", f"{self.path}/{table}").parquet(*paths)
+        return rows.withColumn("batch", F.col("batch").cast("long"))
+
+    def events(self) -> DataFrame:
+        return self._rows("events", "external_id string, payer string, payee string, amount_minor long, t double, payload_hash string")
+
+    def rejections(self) -> DataFrame:
+        return self._rows("rejections", "id string, reason string, raw string")
+
+    def commit(self, batch: int) -> None:
+        fs, p = self._fs(f"commits/{batch}")
+        fs.createNewFile(p)
+
+    def write(self, lines: DataFrame, batch: int) -> None:
+        """Ingests one batch; the sink for ``foreachBatch``."""
+        good, bad = ingest_batch(lines, self.events().where(F.col("batch") != batch))
+        good.write.mode("overwrite").parquet(f"{self.path}/events/batch={batch}")
+        bad.write.mode("overwrite").parquet(f"{self.path}/rejections/batch={batch}")
+        self.commit(batch)
+
+    def run(self, stream: DataFrame, checkpoint: str):
+        """Ingests what a stream of lines holds."""
+        q = stream.writeStream.foreachBatch(self.write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return q
