@@ -10,7 +10,7 @@ from ripplenet.operators import learn as l
 from ripplenet.operators import ranked
 from ripplenet.operators import relational as r
 from ripplenet.operators.hawkes import marked_hawkes
-from ripplenet.plans.features import node_base
+from ripplenet.plans.features import node_base, node_table
 from ripplenet.plans.registry import query
 from ripplenet.sources.network import SQL, Network
 
@@ -218,3 +218,53 @@ def fit_calibrate_score(spark, d):
     p, q = e.logistic(F.col("z")), e.logistic(F.lit(slope) * F.col("z") + F.lit(intercept))
     brier = lambda c: F.round(F.avg((c - F.col("y")) * (c - F.col("y"))), 6)
     return held.where("block = 'test'").agg(F.count("*").alias("n"), brier(p).alias("brier"), brier(q).alias("brier_calibrated"), F.round(F.avg("y"), 6).alias("prevalence"))
+
+
+#: Node features by group, and those that a merchant could not compute about itself.
+GROUPS = {
+    "balance": ["log_buffer", "log_opening", "credit_ratio", "sector_index", "tier_index"],
+    "book": ["log_payables", "log_receivables", "pay_ratio", "rec_ratio", "net_ratio", "due_24", "due_72", "overdue", "n_payables", "n_receivables", "to_first_due", "to_first_receivable"],
+    "history": ["log_in", "log_out", "in_out", "n_in", "n_out", "since_in", "since_out", "in_gap_cv", "in_degree", "out_degree", "in_concentration", "out_concentration"],
+    "structure": ["pagerank", "reverse_pagerank", "reach_down", "reach_up", "hops", "exposure"],
+}
+NETWORK = {"in_degree", "out_degree", "in_concentration", "out_concentration", *GROUPS["structure"]}
+
+
+def group_mask(groups: list[str]) -> list[str]:
+    """Columns of the named groups, in order; unknown names are refused."""
+    unknown = sorted(set(groups) - set(GROUPS))
+    if unknown:
+        raise ValueError(f"unknown feature groups: {', '.join(unknown)}")
+    return [c for g in GROUPS if g in groups for c in GROUPS[g]]
+
+
+def variants() -> dict[str, list[str]]:
+    """Columns of every ablation: all, without the network, without one group, and one group alone."""
+    whole = group_mask(list(GROUPS))
+    out = {"full": whole, "no_network": [c for c in whole if c not in NETWORK]}
+    out |= {f"without_{g}": [c for c in whole if c not in GROUPS[g]] for g in GROUPS}
+    return out | {f"only_{g}": GROUPS[g] for g in GROUPS}
+
+
+def ablation_rows(spark, d):
+    """Standardised node features, label and block of every merchant."""
+    whole = group_mask(list(GROUPS))
+    x = node_table(spark, d).join(labels(Network(spark, d)).select("merchant_id", F.col("y").cast("double").alias("y")), "merchant_id")
+    x = l.cut(x.select("merchant_id", *[F.col(c).cast("double").alias(c) for c in whole], "y").withColumn("block", blocks("merchant_id")))
+    law = x.where("block = 'train'").agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in whole]).first()
+    return l.cut(x.withColumns({c: (F.col(c) - F.lit(law[c].m or 0.0)) / F.lit(law[c].s or 1.0) for c in whole}))
+
+
+@query()
+def ablation_suite(spark, d):
+    """Errors on the test block of the model fitted on the train block, per variant, and what each variant gives away."""
+    x, cols = ablation_rows(spark, d), group_mask(list(GROUPS))
+    fits = l.logistic_variants(x.where("block = 'train'"), cols, "y", variants())
+    test = x.where("block = 'test'")
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), F.lit(len(names)).alias("columns"), e.logistic(l.linear(fits[v], cols)).alias("p")) for v, names in variants().items()]))
+    scored = test.select("y", each.alias("v")).select("y", "v.*")
+    p = e.clip("p", 1e-12, 1 - 1e-12)
+    loss = -(F.col("y") * F.log(p) + (1 - F.col("y")) * F.log(1 - p))
+    out = scored.groupBy("variant", "columns").agg(F.count("*").alias("n"), F.avg((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))).alias("brier"), F.avg(loss).alias("log_loss"))
+    whole = out.where("variant = 'full'").select(F.col("brier").alias("b"), F.col("log_loss").alias("l"))
+    return out.join(F.broadcast(whole)).select("variant", "columns", "n", F.round("brier", 6).alias("brier"), F.round("log_loss", 6).alias("log_loss"), F.round(F.col("brier") - F.col("b"), 6).alias("brier_delta"), F.round(F.col("log_loss") - F.col("l"), 6).alias("log_loss_delta"))
