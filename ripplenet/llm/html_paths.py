@@ -6,7 +6,8 @@ the share of text outside links and a factor for names that sites give to notice
 Paths whose score reaches a share of the page's best are selected.  The content is the smallest element that
 holds the selected paths; inside it a container counts only if it holds a selected path itself, and with it the
 headings, lists and tables that stand beside the selected paths.  Menus, footers, sidebars and forms by their elements
-score nothing.
+score nothing.  Within an article element nothing is left to scores but what is mostly links: short paragraphs, sections and
+details belong to it, and so do its lists of links.
 
 A page is one row and one call: the scan reads three columns, nothing is shuffled.  Paths are numbers of
 a tree, so deep and unclosed markup costs no more than flat markup of its length.
@@ -60,14 +61,16 @@ FILLERS = frozenset(
 class Path:
     """An element's place among the tag paths of a page, and the sums over its text nodes."""
 
-    __slots__ = ("chars", "children", "element", "factor", "inside", "linked", "marks", "nodes", "parent", "score", "top")
+    __slots__ = ("article", "chars", "children", "element", "factor", "inside", "linked", "links", "marks", "nodes", "parent", "score", "top", "whole")
 
     def __init__(self, parent: Path | None, element: str, factor: float):
         self.parent, self.element, self.factor = parent, element, factor
         self.children: dict[str, Path] = {}
         self.chars = self.marks = self.nodes = self.linked = 0
+        self.whole = self.links = 0  # characters at or below, and those in links
         self.score = self.top = 0.0
         self.inside = element in CONTENT or (parent is not None and parent.inside)
+        self.article = element == "article" or (parent is not None and parent.article)
 
 
 def hinted(names: str) -> bool:
@@ -132,7 +135,8 @@ def text_nodes(page: str, root: Path) -> Iterator[tuple[Path, int, str, bool]]:
         label = " ".join([name, *(v for k, v in found if k == "class")])
         waste = any(hinted(v) for _, v in found) and name not in ("html", "body", "main")
         if (step := path.children.get(key := label + "!" * waste)) is None:
-            none = name in BOILERPLATE or (name == "header" and not path.inside)
+            spoken = name in ("button", "select") and places["p"]  # part of a sentence
+            none = (name in BOILERPLATE and not spoken) or (name == "header" and not path.inside)
             step = path.children[key] = Path(path, name, 0.0 if none else path.factor * (HINT_FACTOR if waste else 1.0))
         places[name].append(len(stack))
         stack.append((name, step, name == "a" or (bool(stack) and stack[-1][2])))
@@ -166,6 +170,7 @@ def select_paths(paths: list[Path], root: Path, share: float) -> set[Path]:
         if len(ways) != 1 or ways[0].element in FLOW or ways[0].element not in BLOCKS | {"html", "body"}:
             break
         content = ways[0]
+    add_up(root)
     kept: set[Path] = set()
     todo = [content]
     while todo:
@@ -173,21 +178,26 @@ def select_paths(paths: list[Path], root: Path, share: float) -> set[Path]:
         kept.add(at)
         for child in at.children.values():
             container = child.element in BLOCKS and child.element not in FLOW
-            links = child.element in LISTS and not picks(child) and link_share(child) > 0.5
-            if child.factor > 0 and not links and (picks(child) or (child.factor == content.factor and not container)):
+            mostly = not picks(child) and 2 * child.links > child.whole
+            if child.article:
+                keep = child.factor == content.factor and not (container and mostly)
+            else:
+                keep = child.factor == content.factor and not container and not (child.element in LISTS and mostly)
+            if child.factor > 0 and (keep or picks(child)):
                 todo.append(child)
     return kept
 
 
-def link_share(path: Path) -> float:
-    """Share of the text below a path that stands in links."""
-    chars = linked = 0
-    todo = [path]
-    while todo:
-        at = todo.pop()
-        chars, linked = chars + at.chars, linked + at.linked
-        todo.extend(at.children.values())
-    return linked / chars if chars else 0.0
+def add_up(root: Path) -> None:
+    """Characters and linked characters at or below each element."""
+    order = [root]
+    for at in order:
+        order.extend(at.children.values())
+        at.whole, at.links = at.chars, at.linked
+    for at in reversed(order):
+        if at.parent is not None:
+            at.parent.whole += at.whole
+            at.parent.links += at.links
 
 
 def main_text(page: str, share: float = 0.1) -> str:

@@ -80,6 +80,24 @@ def test_what_belongs_to_the_article(inner, middle):
     assert html_paths.main_text(article(inner)) == around(middle)
 
 
+@pytest.mark.parametrize(
+    ("inner", "middle"),
+    [
+        ('<div class="para">He left.</div>', "He left."),
+        ('<section class="s2"><h2>Two</h2><p>He left.</p></section>', "Two\nHe left."),
+        ('<div class="highlight"><pre>print(1)</pre></div>', "print(1)"),
+        ('<h2>References</h2><ul><li><a href="x">Ref one</a></li><li><a href="y">Ref two</a></li></ul>', "References\nRef one\nRef two"),
+        ("<details><summary>More</summary>He left.</details>", "More\nHe left."),
+        ("<p>Press <button>Go</button> or pick <select><option>One</option></select> now.</p>", "Press Go or pick One now."),
+    ],
+)
+def test_short_parts_of_an_article_with_long_paragraphs(inner, middle):
+    """Six sentences a paragraph around them: what a score below the page's best may not cost."""
+    six = " ".join(f"This is sentence number {i}, of a long paragraph that says a lot." for i in range(6))
+    page = f"<body><nav><a href=1>Home</a></nav><article><p>{six}</p>{inner}<p>{six}</p></article><footer>Foot</footer></body>"
+    assert html_paths.main_text(page) == f"{six}\n{middle}\n{six}"
+
+
 def test_an_unnamed_advert_beside_the_article_is_left_out():
     page = f'<body><div class="x7"><p>Buy our things now.</p></div><article><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></article><div class="x7"><p>And more things.</p></div></body>'
     assert html_paths.main_text(page) == "\n".join([LONG] * 3)
@@ -107,6 +125,14 @@ def test_deep_and_unclosed_markup_takes_time_in_proportion(unit):
     assert time.perf_counter() - began < 8 and isinstance(text, str)
 
 
+def test_lists_that_are_not_picked_take_time_in_proportion():
+    """After a long paragraph the nested lists are judged by their links, each once."""
+    began = time.perf_counter()
+    page = "<p>" + "A long sentence, with commas, that makes the best score. " * 200 + "</p>" + "<ul><li>x y z, a." * 100_000
+    assert html_paths.main_text(page).startswith("A long sentence")
+    assert time.perf_counter() - began < 8
+
+
 def brute_scores(page: str) -> dict[tuple, float]:
     """Ratios of well-formed pages, from plain lists of paths."""
     stack, found = [], {}
