@@ -84,15 +84,15 @@ CUT = 1_705_300_000_000_000
 
 @query(f"""WITH u AS (SELECT CAST(user_id AS VARCHAR) AS record, epoch_us(ts) AS us, event_id, CASE event_type WHEN 'click' THEN 'submitted' WHEN 'view' THEN 'pending' WHEN 'signup' THEN 'held' WHEN 'purchase' THEN 'succeeded' ELSE 'failed' END AS state FROM events),
 k AS (SELECT *, CASE state WHEN 'submitted' THEN 2 WHEN 'pending' THEN 3 WHEN 'held' THEN 4 ELSE 5 END AS r FROM u),
-a AS (SELECT record, arg_min(state, (-r, us, event_id)) AS state FROM k WHERE us < {CUT} AND event_id % 5 = 0 GROUP BY record), b AS (SELECT record, arg_min(state, (-r, us, event_id)) AS state FROM k WHERE us >= {CUT} GROUP BY record)
+a AS (SELECT record, arg_min(state, (-r, us, event_id)) AS state FROM k WHERE us < {CUT} GROUP BY record), b AS (SELECT record, arg_min(state, (-r, us, event_id)) AS state FROM k WHERE us >= {CUT} GROUP BY record)
 SELECT a.record, a.state AS before, CASE WHEN a.state IN ('succeeded', 'failed') OR b.state IS NULL THEN a.state ELSE b.state END AS after, CASE WHEN a.state IN ('succeeded', 'failed') THEN 'final' WHEN b.state IS NULL THEN 'unresolved' ELSE 'reconciled' END AS source FROM a LEFT JOIN b USING (record)""")
 def reconciled_records(spark, d):
     """Open records read against later facts: final ones stay, the others take the facts' state or stay open.
 
-    The ledger is what every fifth event tells before the cut; the facts are all events after it.
+    The ledger is what the events before the cut tell; the facts are all events after it.
     """
     u = updates(spark, d)
-    ledger = i.fold_states(u.where((F.col("at") < CUT) & (F.col("event_id") % 5 == 0))).select("record", F.col("state").alias("before"))
+    ledger = i.fold_states(u.where(F.col("at") < CUT)).select("record", F.col("state").alias("before"))
     facts = i.fold_states(u.where(F.col("at") >= CUT)).select("record", F.col("state").alias("fact"))
     return i.reconcile(ledger, facts)
 

@@ -226,14 +226,14 @@ def restructured_tranches(spark, d):
     return kids.groupBy("parent", "amount_minor").agg(F.sum("part").alias("children_minor"), F.count("*").alias("n_children"))
 
 
-@query(SQL + """, c(id, kind, target, shift) AS (SELECT 'A' || row_number() OVER (ORDER BY obligation_id, amount_minor), CASE WHEN priority = 1 THEN 'extension' ELSE 'acceleration' END, obligation_id, 24.0 * priority FROM (SELECT DISTINCT obligation_id, amount_minor, priority FROM obligations WHERE debtor = 'N4' AND amount_minor > paid_minor)),
+@query(SQL + """, c(id, kind, target, shift) AS (SELECT 'A' || row_number() OVER (ORDER BY obligation_id, amount_minor, priority), CASE WHEN priority = 1 THEN 'extension' ELSE 'acceleration' END, obligation_id, 24.0 * priority FROM (SELECT DISTINCT obligation_id, amount_minor, priority FROM obligations WHERE amount_minor > paid_minor)),
 o AS (SELECT obligation_id, max(due_t) AS due_t FROM obligations GROUP BY obligation_id)
 SELECT id, kind, target, CASE WHEN o.due_t IS NULL THEN 'unknown' WHEN kind = 'extension' AND shift > 20 THEN 'too_long' WHEN kind = 'acceleration' AND shift > 100 THEN 'too_early' ELSE 'ok' END AS verdict FROM c LEFT JOIN o ON o.obligation_id = target""")
 def action_targets(spark, d):
     o = Network(spark, d).obligations
-    c = o.where((F.col("debtor") == "N4") & e.is_open()).select("obligation_id", "amount_minor", "priority").distinct()
-    number = F.row_number().over(Window.orderBy("obligation_id", "amount_minor"))  # candidates of one debtor
-    c = c.select(F.concat(F.lit("A"), number).alias("id"), F.when(F.col("priority") == 1, "extension").otherwise("acceleration").alias("kind"), F.col("obligation_id").alias("target"), (24.0 * F.col("priority")).alias("shift"))
+    c = o.where(e.is_open()).select("obligation_id", "amount_minor", "priority").distinct()
+    c = r.placed(c, [F.col("obligation_id"), F.col("amount_minor"), F.col("priority")])
+    c = c.select(F.concat(F.lit("A"), "place").alias("id"), F.when(F.col("priority") == 1, "extension").otherwise("acceleration").alias("kind"), F.col("obligation_id").alias("target"), (24.0 * F.col("priority")).alias("shift"))
     due = o.groupBy(F.col("obligation_id").alias("target")).agg(F.max("due_t").alias("due_t"))
     verdict = F.when(F.col("due_t").isNull(), "unknown").when((F.col("kind") == "extension") & (F.col("shift") > 20), "too_long").when((F.col("kind") == "acceleration") & (F.col("shift") > 100), "too_early").otherwise("ok")
     return c.join(due, "target", "left").select("id", "kind", "target", verdict.alias("verdict"))

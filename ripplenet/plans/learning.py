@@ -10,7 +10,7 @@ from ripplenet.operators import learn as l
 from ripplenet.operators import ranked
 from ripplenet.operators import relational as r
 from ripplenet.operators.hawkes import marked_hawkes
-from ripplenet.plans.features import node_base, node_table
+from ripplenet.plans.features import NODE, node_base, node_columns, node_table
 from ripplenet.plans.registry import query
 from ripplenet.sources.network import SQL, Network
 
@@ -46,20 +46,27 @@ def prevalence_baseline(spark, d):
     return c.join(F.broadcast(rate)).select("k", F.round(F.col("rate") * share, 9).alias("cdf"))
 
 
+def in_blocks(datasets):
+    """Block of each dataset by its place in the order of (first, dataset): places from ranges, not from one task."""
+    sized = datasets.agg(F.count("*").alias("of"))
+    k, n = F.col("place"), F.col("of")
+    block = F.when(k <= 0.6 * n, "train").when(k <= 0.8 * n, "validation").otherwise("test")
+    return r.placed(datasets, [F.col("first"), F.col("dataset")]).join(F.broadcast(sized)).withColumn("block", block)
+
+
 @query("""WITH s AS (SELECT user_id AS dataset, min(ts) AS first, max(ts) AS last, count(*) AS n FROM events GROUP BY user_id), o AS (SELECT *, row_number() OVER (ORDER BY first, dataset) AS k, count(*) OVER () AS all_n FROM s)
 SELECT dataset, CASE WHEN k <= 0.6 * all_n THEN 'train' WHEN k <= 0.8 * all_n THEN 'validation' ELSE 'test' END AS block, n FROM o""")
 def temporal_split(spark, d):
+    """The first three fifths of the datasets by time train, the next fifth validates, the rest tests."""
     s = Network(spark, d).read("events").groupBy(F.col("user_id").alias("dataset")).agg(F.min("ts").alias("first"), F.count("*").alias("n"))
-    k, n = F.row_number().over(Window.orderBy("first", "dataset")), F.count("*").over(Window.partitionBy())
-    return s.select("dataset", F.when(k <= 0.6 * n, "train").when(k <= 0.8 * n, "validation").otherwise("test").alias("block"), "n")
+    return in_blocks(s).select("dataset", "block", "n")
 
 
 @query("""WITH s AS (SELECT user_id AS dataset, min(ts) AS first FROM events GROUP BY user_id), o AS (SELECT *, row_number() OVER (ORDER BY first, dataset) AS k, count(*) OVER () AS n FROM s), b AS (SELECT *, CASE WHEN k <= 0.6 * n THEN 'train' WHEN k <= 0.8 * n THEN 'validation' ELSE 'test' END AS block FROM o)
 SELECT block, count(*) AS n, count(DISTINCT dataset) AS n_distinct, epoch_us(min(first)) AS low, epoch_us(max(first)) AS high FROM b GROUP BY block""")
 def split_audit(spark, d):
     s = Network(spark, d).read("events").groupBy(F.col("user_id").alias("dataset")).agg(F.min("ts").alias("first"))
-    k, n = F.row_number().over(Window.orderBy("first", "dataset")), F.count("*").over(Window.partitionBy())
-    b = s.select("dataset", F.unix_micros(F.col("first").cast("timestamp")).alias("us"), F.when(k <= 0.6 * n, "train").when(k <= 0.8 * n, "validation").otherwise("test").alias("block"))
+    b = in_blocks(s).select("dataset", F.unix_micros(F.col("first").cast("timestamp")).alias("us"), "block")
     return b.groupBy("block").agg(F.count("*").alias("n"), F.countDistinct("dataset").alias("n_distinct"), F.min("us").alias("low"), F.max("us").alias("high"))
 
 
@@ -177,16 +184,18 @@ def serving_forecast(spark, d):
     return x.select("merchant_id", F.round(p, 6).alias("probability"), F.round(p * e.normal_cdf((F.log(F.lit(24.0)) - F.log(F.lit(60.0))) / 0.8), 6).alias("within_24"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS gained, true AS passed")
+#: The same tables with every fact from the origin on changed, for DuckDB.
+LEAKED = SQL.replace("payments AS (SELECT * FROM inner_payments UNION ALL SELECT * FROM exogenous)", "payments AS (SELECT * REPLACE (CASE WHEN t >= 40000 THEN amount_minor * 7 + 13 ELSE amount_minor END AS amount_minor) FROM (SELECT * FROM inner_payments UNION ALL SELECT * FROM exogenous))")
+LEAKED = LEAKED.replace("obligations AS (\n  SELECT line AS obligation_id, 'N' || c_nationkey AS debtor, 'S' || l_suppkey AS creditor, amount_minor,", "obligations AS (\n  SELECT line AS obligation_id, 'N' || c_nationkey AS debtor, 'S' || l_suppkey AS creditor, CASE WHEN ordered >= 40000 THEN amount_minor * 3 + 7 ELSE amount_minor END AS amount_minor,")
+
+
+@query(f"WITH a AS ({SQL}{NODE}), b AS ({LEAKED}{NODE}), x AS (SELECT count(*) AS lost FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)), y AS (SELECT count(*) AS gained FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) SELECT lost, gained, lost = 0 AND gained = 0 AS passed FROM x, y")
 def leakage_audit(spark, d):
-    """Facts after the origin are changed at random; features of the window must not move."""
+    """All node features before and after every fact from the origin on is changed: none may move."""
     n = Network(spark, d)
-    fields = ["merchant_id", "vi", "ni", "vo", "no"]
-    before = node_base(n).select(*fields)
-    m = Network(spark, d)
-    noise = F.when(F.col("t") >= 40000, F.floor(e.uniform(F.lit("leak"), F.col("event_id")) * 1e6).cast("long")).otherwise(F.col("amount_minor"))
-    m.__dict__["payments"] = n.payments.withColumn("amount_minor", noise)
-    after = node_base(m).select(*fields)
+    later = lambda t, a, b: F.when(F.col(t) >= 40000, F.col("amount_minor") * a + b).otherwise(F.col("amount_minor"))
+    changed = n.derived(payments=n.payments.withColumn("amount_minor", later("t", 7, 13)), obligations=n.obligations.withColumn("amount_minor", later("issued_t", 3, 7)))
+    before, after = (l.cut(node_columns(node_base(x), F.lit(40000.0))) for x in (n, changed))
     diff = before.exceptAll(after).agg(F.count("*").alias("lost")).join(F.broadcast(after.exceptAll(before).agg(F.count("*").alias("gained"))))
     return diff.select("lost", "gained", ((F.col("lost") == 0) & (F.col("gained") == 0)).alias("passed"))
 

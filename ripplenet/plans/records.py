@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ripplenet.functions import exprs as e
 from ripplenet.plans.joins import ROLES, profiles
+from ripplenet.operators.relational import placed
 from ripplenet.plans.registry import query
 from ripplenet.sources.datasets import differing_fields
 from ripplenet.sources.network import SQL, Network
@@ -32,9 +33,9 @@ def severity_profile(spark, d):
     return f.select("family", lost.alias("lost"), F.when(F.col("family") == "delayed_payment", 120.0).otherwise(168.0).alias("window_hours"))
 
 
-@query(SQL + ", m AS (SELECT obligation_id, due_t AS before, due_t + 120 AS after FROM obligations WHERE debtor = 'N1' AND amount_minor > paid_minor AND due_t >= 40000 AND due_t < 41000) SELECT obligation_id, 'due_t' AS field, before, after, after - before AS moved FROM m")
+@query(SQL + ", m AS (SELECT obligation_id, due_t AS before, due_t + 120 AS after FROM obligations WHERE amount_minor > paid_minor AND due_t >= 40000) SELECT obligation_id, 'due_t' AS field, before, after, after - before AS moved FROM m")
 def mutation_log(spark, d):
-    o = Network(spark, d).obligations.where((F.col("debtor") == "N1") & e.is_open() & (F.col("due_t") >= 40000) & (F.col("due_t") < 41000))
+    o = Network(spark, d).obligations.where(e.is_open() & (F.col("due_t") >= 40000))
     log = o.select("obligation_id", F.create_map(F.lit("due_t"), F.col("due_t")).alias("b"), F.create_map(F.lit("due_t"), F.col("due_t") + 120).alias("a"))
     flat = log.select("obligation_id", "a", F.explode("b").alias("field", "before")).withColumn("after", F.element_at("a", F.col("field")))
     return flat.select("obligation_id", "field", "before", "after", (F.col("after") - F.col("before")).alias("moved"))
@@ -112,7 +113,7 @@ def held_out_rule_test(spark, d):
 @query("SELECT user_id AS dataset, epoch_us(min(ts)) AS origin_us, row_number() OVER (ORDER BY min(ts), user_id) AS place FROM events GROUP BY user_id")
 def dataset_epoch_order(spark, d):
     s = Network(spark, d).read("events").groupBy(F.col("user_id").alias("dataset")).agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("origin_us"))
-    return s.withColumn("place", F.row_number().over(Window.orderBy("origin_us", "dataset")).cast("long"))
+    return placed(s, [F.col("origin_us"), F.col("dataset")])
 
 
 @query("SELECT event_id, substr(sha256(event_id || '|' || user_id || '|' || event_type), 1, 12) AS stable_id FROM events")

@@ -27,6 +27,12 @@ class Network:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
 
+    def derived(self, **tables: DataFrame) -> Network:
+        """The same network with some of its tables replaced."""
+        out = Network(self.spark, self.dir)
+        out.__dict__.update(tables)  # cached properties
+        return out
+
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
