@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ripplenet.functions import exprs as e
 from ripplenet.operators import graph as g
+from ripplenet.operators import rule_search as s
 from ripplenet.plans.graphs import R
 from ripplenet.plans.ingestion import updates
 from ripplenet.plans.joins import LAGS, response_lags
@@ -113,3 +114,36 @@ def scenario_summary(spark, d):
     """One line a stored scenario: its book, whom it touches, and when it ends."""
     o = Network(spark, d).obligations
     return o.groupBy(F.col("priority").alias("scenario")).agg(F.count("*").alias("n_obligations"), F.countDistinct("debtor").alias("n_debtors"), F.sum(F.greatest(e.outstanding(), F.lit(0))).alias("open_minor"), F.round(F.max("due_t"), 6).alias("last_due"))
+
+
+CLUE_SQL = """, cl AS (SELECT debtor AS scenario, creditor AS candidate, ln(1 + sum(amount_minor - paid_minor)) AS owed, count(*) / 10 AS n, min(due_t) / 10000 AS due, avg(priority) AS urgency, CAST(sum(CASE WHEN priority <= 2 THEN amount_minor - paid_minor ELSE 0 END) AS DOUBLE) / 1e6 AS outcome
+ FROM obligations WHERE amount_minor > paid_minor GROUP BY ALL)
+"""
+CLUES = ["owed", "n", "due", "urgency"]
+#: Rules of the registered generation: each weight by a rule of its place.
+RULES = [[((7 * i + 13 * k) % 11 - 5) / 5 for k in range(len(CLUES))] for i in range(24)]
+
+
+def clue_rows(n: Network):
+    """Open dues of each debtor by creditor: what rules rank, and the urgent part as the recorded outcome."""
+    left = e.outstanding()
+    urgent = F.sum(F.when(F.col("priority") <= 2, left).otherwise(0)).cast("double") / 1e6
+    per = n.obligations.where(e.is_open()).groupBy(F.col("debtor").alias("scenario"), F.col("creditor").alias("candidate"))
+    return per.agg(F.log1p(F.sum(left)).alias("owed"), (F.count("*") / 10).alias("n"), (F.min("due_t") / 10000).alias("due"), F.avg("priority").alias("urgency"), urgent.alias("outcome"))
+
+
+@query(SQL + CLUE_SQL + ", r AS (SELECT range AS rule FROM range(24)), s AS (SELECT rule, scenario, candidate, outcome, round(" + " + ".join(f"((7 * rule + {13 * k}) % 11 - 5) / 5 * {c}" for k, c in enumerate(CLUES)) + """, 9) AS score FROM cl, r),
+p AS (SELECT rule, scenario, arg_min(candidate, (-score, candidate)) AS candidate, arg_min(outcome, (-score, candidate)) AS outcome FROM s GROUP BY ALL),
+b AS (SELECT rule, string_agg(scenario || ':' || candidate, ',' ORDER BY scenario) AS behaviour, avg(outcome) AS value, count(*) AS n FROM p GROUP BY rule)
+SELECT CAST(rule AS INTEGER) AS rule, round(value, 6) AS value, n, CAST(min(rule) OVER (PARTITION BY behaviour) AS INTEGER) AS same_as FROM b""")
+def rule_generation(spark, d):
+    """The value of each rule of one generation, and the first rule that behaves as it does."""
+    found = s.scored(s.picks(clue_rows(Network(spark, d)), CLUES, RULES))
+    return found.select("rule", F.round("value", 6).alias("value"), "n", F.min("rule").over(Window.partitionBy("behaviour")).alias("same_as"))
+
+
+@query()
+def rule_search(spark, d):
+    """Eight generations of the search over all debtors: best value, behaviours and best weights of each."""
+    made = s.search(clue_rows(Network(spark, d)), CLUES, seed=7)
+    return spark.createDataFrame([(g.number, round(g.best, 6), g.behaviours, g.rule) for g in made], "generation int, best double, behaviours int, rule array<double>")
