@@ -17,10 +17,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplenet.operators.graph import cut
+from ripplenet.operators.relational import latest_marks
 
 #: Receipts looked at per payment, and the kernel's reach in mean lags.
 MAX_PARENTS, REACH = 64, 8.0
@@ -28,32 +29,6 @@ ALPHA_MAX, SIGMA_LEAST, SIGMA_MOST = 5.0, 0.15, 2.5
 SUMS = ("resp", "ratio", "ratio2", "lag", "lag2", "loglam", "pairs")
 
 
-def latest_marks(points: DataFrame, marks: DataFrame, key: str, t: str, mark_t: str, n: int, tie: list[str]) -> DataFrame:
-    """(point, back, points' columns, mark): each point with its key's ``n`` latest marks strictly before it.
-
-    ``point`` numbers the points, ``back`` is 1 for the latest mark; points without a mark are not in the result.
-    Points and marks are sorted together by ranges of (key, time) and marks counted along that order; a point's
-    marks are those of the last ``n`` places.  A key of any size is spread over ranges, and nothing but counts
-    meets in one task.  Marks of equal time are ordered by ``tie``.
-    """
-    one = points.select(F.col(key).alias("__key"), F.col(t).alias("__t"), F.lit(0).alias("__side"), F.struct(*points.columns).alias("__point"))
-    two = marks.select(F.col(key).alias("__key"), F.col(mark_t).alias("__t"), F.lit(1).alias("__side"), F.struct(*marks.columns).alias("__mark"))
-    both = one.unionByName(two, allowMissingColumns=True).where("__key is not null and __t is not null")
-    order = ["__key", "__t", "__side", *[F.col(f"__mark.{x}") for x in tie], "__tie"]
-    both = both.withColumn("__tie", F.xxhash64("__point", "__mark"))
-    ranged = cut(both.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
-    sums = ranged.groupBy("__range").agg(F.sum("__side").alias("n"))  # one row a range
-    starts = sums.select("__range", F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
-    own = Window.partitionBy("__range").orderBy(*order)
-    rows = ranged.withColumns({"__own": F.sum("__side").over(own.rowsBetween(Window.unboundedPreceding, 0)), "__row": F.row_number().over(own)})
-    rows = cut(rows.join(F.broadcast(starts), "__range").withColumn("__place", F.col("__start") + F.col("__own")))
-    asked = rows.where("__side = 0").select(F.expr("(bigint(__range) << 32) + __row").alias("point"), "__key", "__t", "__point", F.col("__place").alias("__last"))
-    asked = asked.withColumn("__place", F.explode(F.sequence(F.greatest(F.col("__last") - n + 1, F.lit(1)), F.greatest("__last", F.lit(1)))))
-    held = rows.where("__side = 1").select("__place", F.col("__key").alias("__mark_key"), F.col("__t").alias("__mark_t"), "__mark")
-    found = asked.join(held, "__place").where("__mark_key = __key and __mark_t < __t")
-    return found.select("point", (F.col("__last") - F.col("__place") + 1).cast("int").alias("back"), "__point.*", F.col("__mark").alias("mark"))
-
-
 def _weigh(batches):
     """Sums over payments of one edge, per batch, with the responsibilities of the edge's present law."""
     for batch in batches:

@@ -13,8 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplenet.operators.graph import cut
-from ripplenet.operators.hawkes import latest_marks
-from ripplenet.operators.relational import placed
+from ripplenet.operators.relational import latest_marks, placed
 
 #: Stretches of places per order at most (their pairs are counted on the driver), and the least places of one.
 STRETCHES, LEAST_BITS = 1024, 14

@@ -27,6 +27,46 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_t: str, right_t:
     return out.select(*left.columns, F.col("__last.t").alias(right_t), *[F.col(f"__last.{c}").alias(c) for c in carry])
 
 
+def latest_marks(points: DataFrame, marks: DataFrame, key: str, t: str, mark_t: str, n: int, tie: list[str], *, outer: bool = False) -> DataFrame:
+    """(point, back, points' columns, mark): each point with its key's ``n`` latest marks strictly before it.
+
+    ``point`` numbers the points, ``back`` is 1 for the latest mark; points without a mark are in the result with ``outer`` alone (and n = 1).
+    Points and marks are sorted together by ranges of (key, time) and marks counted along that order; a point's
+    marks are those of the last ``n`` places.  A key of any size is spread over ranges, and nothing but counts
+    meets in one task.  Marks of equal time are ordered by ``tie``.
+    """
+    one = points.select(F.col(key).alias("__key"), F.col(t).alias("__t"), F.lit(0).alias("__side"), F.struct(*points.columns).alias("__point"))
+    two = marks.select(F.col(key).alias("__key"), F.col(mark_t).alias("__t"), F.lit(1).alias("__side"), F.struct(*marks.columns).alias("__mark"))
+    both = one.unionByName(two, allowMissingColumns=True).where("__key is not null and __t is not null")
+    order = ["__key", "__t", "__side", *[F.col(f"__mark.{x}") for x in tie], "__tie"]
+    both = both.withColumn("__tie", F.xxhash64("__point", "__mark"))
+    ranged = cut(both.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    sums = ranged.groupBy("__range").agg(F.sum("__side").alias("n"))  # one row a range
+    starts = sums.select("__range", F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
+    own = Window.partitionBy("__range").orderBy(*order)
+    rows = ranged.withColumns({"__own": F.sum("__side").over(own.rowsBetween(Window.unboundedPreceding, 0)), "__row": F.row_number().over(own)})
+    rows = cut(rows.join(F.broadcast(starts), "__range").withColumn("__place", F.col("__start") + F.col("__own")))
+    asked = rows.where("__side = 0").select(F.expr("(bigint(__range) << 32) + __row").alias("point"), "__key", "__t", "__point", F.col("__place").alias("__last"))
+    asked = asked.withColumn("__place", F.explode(F.sequence(F.greatest(F.col("__last") - n + 1, F.lit(1)), F.greatest("__last", F.lit(1)))))
+    held = rows.where("__side = 1").select("__place", F.col("__key").alias("__mark_key"), F.col("__t").alias("__mark_t"), "__mark")
+    held = held.withColumnRenamed("__place", "__at")
+    found = asked.join(held, F.expr("__at = __place and __mark_key = __key and __mark_t < __t"), "left" if outer else "inner")
+    return found.select("point", (F.col("__last") - F.col("__place") + 1).cast("int").alias("back"), "__point.*", F.col("__mark").alias("mark"))
+
+
+def asof_join_spread(left: DataFrame, right: DataFrame, key: str, left_t: str, right_t: str, carry: list[str], *, max_gap: float | None = None) -> DataFrame:
+    """:func:`asof_join` for keys that may hold a large part of all rows: ranges of (key, time) take the place of a window per key.
+
+    Costs a range sort written once and a join by place; a left row with a null key or time keeps nulls.
+    """
+    found = latest_marks(left, right.select(key, right_t, *carry), key, left_t, right_t, 1, carry, outer=True)
+    near = F.lit(True) if max_gap is None else F.col(left_t) - F.col(f"mark.{right_t}") <= max_gap
+    names = [right_t, *carry]
+    out = found.select(*left.columns, *[F.when(near, F.col(f"mark.{c}")).alias(c) for c in names])
+    lost = left.where(F.col(key).isNull() | F.col(left_t).isNull())
+    return out.union(lost.select(*left.columns, *[F.lit(None).cast(out.schema[c].dataType).alias(c) for c in names]))
+
+
 def interval_join(points: DataFrame, other: DataFrame, key: str, t: str, other_t: str, reach: float) -> DataFrame:
     """Pairs of one key with ``t - reach <= other_t < t``.
 

@@ -6,8 +6,9 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from ripplenet.operators import hawkes
+from ripplenet.operators import hawkes, relational
 from ripplenet.operators.graph import cut
 
 
@@ -89,10 +90,22 @@ def test_latest_marks_of_a_hot_key_are_spread(spark):
     marks = [(k, float(t), i) for i, (k, t) in enumerate(zip(keys(1500), rng.integers(0, 400, 1500), strict=True))]
     p, m = spark.createDataFrame(points, "k int, t double, id int"), spark.createDataFrame(marks, "k int, u double, v int")
     got = {}
-    for r in hawkes.latest_marks(p, m, "k", "t", "u", 3, ["v"]).collect():
+    for r in relational.latest_marks(p, m, "k", "t", "u", 3, ["v"]).collect():
         got.setdefault(r.id, {})[r.back] = (r.mark.u, r.mark.v)
     for k, t, i in points:
         want = sorted((u, v) for a, u, v in marks if a == k and u < t)[-3:][::-1]
         assert got.get(i, {}) == dict(enumerate(want, 1))
-    sizes = [r["count"] for r in cut(p.repartitionByRange(4, "k", "t", "id")).groupBy(hawkes.F.spark_partition_id()).count().collect()]
+    sizes = [r["count"] for r in cut(p.repartitionByRange(4, "k", "t", "id")).groupBy(F.spark_partition_id()).count().collect()]
     assert max(sizes) < 1500 * 0.4  # the order that latest_marks sorts by cuts the hot key
+
+
+def test_asof_of_a_hot_key_gives_the_window_s_rows(spark):
+    rng = np.random.default_rng(8)
+    key = lambda n: [None if i % 40 == 0 else 0 if i % 2 else int(k) for i, k in enumerate(rng.integers(1, 9, n))]
+    left = spark.createDataFrame([(k, float(t), i) for i, (k, t) in enumerate(zip(key(600), rng.integers(0, 90, 600), strict=True))], "k int, t double, id int")
+    right = spark.createDataFrame([(k, float(t), int(v)) for k, t, v in zip(key(500), rng.integers(0, 90, 500), rng.integers(0, 5, 500), strict=True)], "k int, u double, v int")
+    for gap in (None, 3.0):
+        rows = [sorted(map(tuple, f(left, right, "k", "t", "u", ["v"], max_gap=gap).where("k is not null").collect()), key=str) for f in (relational.asof_join, relational.asof_join_spread)]
+        assert rows[0] == rows[1] and len(rows[0]) == left.where("k is not null").count()
+    lost = relational.asof_join_spread(left, right, "k", "t", "u", ["v"]).where("k is null")
+    assert lost.count() == left.where("k is null").count() and lost.where("v is not null").isEmpty()
