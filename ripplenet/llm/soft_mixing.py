@@ -8,7 +8,7 @@ against the residuals weighted with its posterior.
 
 Where rates have no upper bound, the totals that any rates can reach form a cone over the posteriors.  Its point next to the
 targets is found first, one posterior a round, and proven by the optimality condition over all documents.
-Documents that the condition excludes have rate 0; the steps then bring the others to that very point.
+Documents that the condition excludes have rate 0; one projected step brings the others to that very point.
 
 Only DataFrame functions are used (numpy solves the k x k system of the domains on the driver).  Words are
 never shuffled: a broadcast join with the classifier's words (at most ``max_words``) and partial sums
@@ -196,12 +196,58 @@ def excluded(price: list[float]) -> Column:
     return dot > 1e-9 * max(map(abs, price))
 
 
-def fit_moves(points: DataFrame, targets: list[float], *, max_rate: float | None, rounds: int | None, tolerance: float, scratch: c.Scratch | None = None, weights: list[float] | None = None, stall: float | None = STALL, total: float | None = None) -> tuple[list[list[float]], list[float]]:
+def step_to(points: DataFrame, goal: list[float], total: float, tolerance: float = CLOSE, rounds: int = 60) -> tuple[list[float], list[float]]:
+    """The one projected step from rate 1 that brings the expected totals to ``goal``, and what is left of each, as a share of ``total``.
+
+    Of all rates that reach the goal those after this step, max(0, 1 - sum of step * posterior), are the nearest to 1 in squares weighted by tokens, so the step
+    is found by Newton's method on its k numbers: a round takes the sums for several lengths of the next correction in one aggregation and keeps the best.
+    """
+    k = range(len(goal))
+    grid = [(i, j) for i in k for j in k if i <= j]
+    names = [*[f"p{i}" for i in k], "tokens"]
+
+    def tried(steps: list[list[float]]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Dual objective, totals and the Hessian over positive rates after each step."""
+        rows = points.select(*names, *[rate_after([step], None).alias(f"r{at}") for at, step in enumerate(steps)])
+        sums = []
+        for at in range(len(steps)):
+            rate = F.col(f"r{at}")
+            sums.append(F.sum(rate * rate * F.col("tokens")).alias(f"d{at}"))
+            sums += [_rounded(rate * F.col("tokens") * F.col(f"p{i}")).alias(f"t{at}_{i}") for i in k]
+            sums += [_rounded(F.when(rate > 0, F.col("tokens") * F.col(f"p{i}") * F.col(f"p{j}")).otherwise(0.0)).alias(f"h{at}_{i}_{j}") for i, j in grid]
+        got = rows.agg(*sums).first()
+        out = []
+        for at, step in enumerate(steps):
+            expected = np.array([got[f"t{at}_{i}"] or 0.0 for i in k]) / total
+            hess = np.array([[(got[f"h{at}_{min(i, j)}_{max(i, j)}"] or 0.0) / total for j in k] for i in k])
+            out.append(((got[f"d{at}"] or 0.0) / total / 2 + float(np.dot(step, goal)) / total, expected, hess))
+        return out
+
+    step, want = [0.0] * len(goal), np.array(goal) / total
+    cost, expected, hess = tried([step])[0]
+    for _ in range(rounds):
+        off = expected - want
+        if np.abs(off).max() < tolerance:
+            break
+        scale = np.sqrt(np.maximum(np.diag(hess), 1e-300))
+        inner = hess / np.outer(scale, scale) + 1e-12 * np.eye(len(goal))
+        towards = np.linalg.lstsq(inner, off / scale, rcond=None)[0] / scale
+        options = [[float(x + m * d) for x, d in zip(step, towards, strict=True)] for m in (1, 0.5, 0.25, 1 / 16, 1 / 256)]
+        results = tried(options)
+        close = [i for i, x in enumerate(results) if np.abs(x[1] - want).max() < tolerance]
+        best = close[0] if close else min(range(len(options)), key=lambda i: (results[i][0], i))
+        if not close and results[best][0] >= cost:
+            break
+        step, (cost, expected, hess) = options[best], results[best]
+    return step, (expected - want).tolist()
+
+
+def fit_moves(points: DataFrame, targets: list[float], *, max_rate: float | None, rounds: int | None, tolerance: float, scratch: c.Scratch | None = None, weights: list[float] | None = None, stall: float | None = STALL) -> tuple[list[list[float]], list[float]]:
     """Steps of the descent, and the residual of each domain as a share of all tokens.
 
     ``points`` are (p0, p1, ..., tokens), summed over equal posteriors, for these move alike.  Minimises
     sum over domains of weight * (expected - target)^2 / h, h being the domain's sum of tokens * p^2, over
-    0 <= rate <= max_rate, from rate 1, until every residual (a share of ``total``, all tokens of the points by default) is below the tolerance or, where no rates reach the
+    0 <= rate <= max_rate, from rate 1, until every residual is below the tolerance or, where no rates reach the
     targets, the objective hardly falls any more (by less than ``stall``; None: not at all).  A round tries several projected steps in one aggregation and takes the
     best: the plain gradient (steps divide by a document's tokens; the size is one over the largest row sum of
     the scaled Hessian, so it never climbs), and the gradient scaled by the inverse Hessian of the
@@ -227,7 +273,7 @@ def fit_moves(points: DataFrame, targets: list[float], *, max_rate: float | None
         ]
 
     first = points.agg(F.sum("tokens").alias("all"), *[_rounded(F.col("tokens") * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"h{i}_{j}") for i, j in grid]).first()
-    total = float(total or first["all"] or 0) or 1.0
+    total = float(first["all"] or 0) or 1.0
     whole = [[(first[f"h{min(i, j)}_{max(i, j)}"] or 0.0) / total for j in k] for i in k]
     scale = [max(whole[i][i], 1e-9) / (weights[i] if weights else 1.0) for i in k]
     safe = 1 / max(1e-9, *[sum(whole[i][j] / math.sqrt(scale[i] * scale[j]) for j in k) for i in k])
@@ -319,8 +365,9 @@ def mix_to_targets(
     if max_rate is None:
         best, price = best_totals(points, goals, by_domain)
         free = points.where(~excluded(price))
-        moves, left = fit_moves(free, best, max_rate=None, rounds=rounds, tolerance=CLOSE, scratch=scratch, weights=by_domain, stall=None, total=now["all"])
         whole = float(now["all"] or 0) or 1.0
+        step, left = step_to(free, best, whole)
+        moves = [step]
         residual = [x + (b - g) / whole for x, b, g in zip(left, best, goals, strict=True)]
     else:
         moves, residual = fit_moves(points, goals, max_rate=max_rate, rounds=rounds, tolerance=tolerance, scratch=scratch, weights=by_domain)

@@ -148,7 +148,7 @@ def learned_lexicon(slim: DataFrame, pages: DataFrame, html_col: str | None, max
     """Counts of the most frequent words of all paths and, if given, of all pages without their markup."""
     texts = [slim.select(F.lower("path").alias("t"))]  # not hosts: a name would teach itself as one word
     if html_col:
-        plain = F.regexp_replace(F.lower(F.col(html_col).cast("string")), r"<(script|style)\b.*?</\1>|<[^>]*>", " ")
+        plain = F.regexp_replace(F.lower(F.col(html_col).cast("string")), r"(?s)<(script|style)\b.*?(?:</\1>|\z)|<[^>]*>", " ")
         texts.append(pages.select(F.translate(plain, "&;", "__").alias("t")))
     found = None
     for t in texts:

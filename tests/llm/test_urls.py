@@ -8,7 +8,7 @@ from ripplenet.llm import queries, url_filter
 
 
 def test_words_of_pages_split_hosts(spark):
-    rows = [(1, "http://zorbledrast.example.com/en/1", "<p>Zorble, drast! zorble</p><script>var hidden = 'qq';</script>"), (2, "http://x.org/", "<b>drast</b> drast zorble")]
+    rows = [(1, "http://zorbledrast.example.com/en/1", "<p>Zorble, drast! zorble</p><script>var hidden = 'qq';\nvar zorbledrast = 1;\nzorbledrast();</script>"), (2, "http://x.org/", "<b>drast</b> drast zorble")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     words = lambda **k: {r.page_id: r.words for r in url_filter.judge_urls(pages, **k).collect()}[1]
     assert words(html_col="html")[:2] == ["zorble", "drast"]
