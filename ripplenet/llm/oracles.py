@@ -31,10 +31,10 @@ _BUCKET = "CASE WHEN v < 64 THEN v ELSE (v >> (length(bin(v)) - 6)) << (length(b
 _METRICS = {"mean_word": ("1000 * word_chars // n_words", "n_words", 10), "symbols": ("1000 * n_symbols // n_words", "n_words", 1), "dup_lines": ("1000 * n_dup_lines // n_lines", "n_lines", 1), "repeats": ("1000 * n_repeat_words // n_words", "n_words", 6)}
 _MEASURED = {m: f for m, (f, _, _) in _METRICS.items()} | {"n_words": "n_words", "n_lines": "n_lines"}
 _LONG = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, CAST({f} AS BIGINT) AS v FROM base WHERE NOT base_failed" for m, f in _MEASURED.items())
-_WIDE = ", ".join(f"max({q}) FILTER (metric = '{m}') AS {m}_{q}" for m in _MEASURED for q in ("q1", "q2", "q3"))
-_LEAST = {m: f"greatest(1, {1000 * o} // least({size}, {size}_q2))" for m, (_, size, o) in _METRICS.items()}
-_INSIDE = " AND ".join(f"{f} <= {m}_q2 + 5 * greatest({m}_q3 - {m}_q2, {_LEAST[m]})" for m, (f, _, _) in _METRICS.items())
-_INSIDE += f" AND {_METRICS['mean_word'][0]} >= mean_word_q2 - 5 * greatest(mean_word_q2 - mean_word_q1, {_LEAST['mean_word']})"
+_WIDE = ", ".join(f"max({q}) FILTER (metric = '{m}') AS {m}_{q}" for m in _MEASURED for q in ("low", "mid", "high"))
+_LEAST = {m: f"greatest(1, {1000 * o} // least({size}, {size}_mid))" for m, (_, size, o) in _METRICS.items()}
+_INSIDE = " AND ".join(f"{f} <= {m}_mid + 5 * greatest({m}_high - {m}_mid, {_LEAST[m]})" for m, (f, _, _) in _METRICS.items())
+_INSIDE += f" AND {_METRICS['mean_word'][0]} >= mean_word_mid - 5 * greatest(mean_word_mid - mean_word_low, {_LEAST['mean_word']})"
 
 QUALITY = f"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text, {_WORDS.format(text="coalesce(text, '')")} AS ws FROM documents),
@@ -53,7 +53,7 @@ blend AS (SELECT lang, source, metric, bucket, sum(w) AS w FROM (
  UNION ALL SELECT g.lang, source, g.metric, bucket, 50000 * n // size AS w FROM groups g JOIN by_lang p ON p.lang = g.lang AND p.metric = g.metric JOIN size_lang s ON s.lang = g.lang AND s.metric = g.metric
  UNION ALL SELECT lang, source, g.metric, bucket, 50000 * n // size AS w FROM groups g JOIN by_all p ON p.metric = g.metric JOIN size_all s ON s.metric = g.metric) GROUP BY ALL HAVING sum(w) > 0),
 ranked AS (SELECT *, sum(w) OVER (PARTITION BY lang, source, metric ORDER BY bucket) AS below, sum(w) OVER (PARTITION BY lang, source, metric) AS size FROM blend),
-q AS (SELECT lang, source, metric, min(bucket) FILTER (4 * below >= size) AS q1, min(bucket) FILTER (4 * below >= 2 * size) AS q2, min(bucket) FILTER (4 * below >= 3 * size) AS q3 FROM ranked GROUP BY ALL),
+q AS (SELECT lang, source, metric, min(bucket) FILTER (100 * below >= 15 * size) AS low, min(bucket) FILTER (100 * below >= 50 * size) AS mid, min(bucket) FILTER (100 * below >= 85 * size) AS high FROM ranked GROUP BY ALL),
 wide AS (SELECT lang, source, {_WIDE} FROM q GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, CASE WHEN base_failed THEN false ELSE {_INSIDE} END AS kept FROM base LEFT JOIN wide USING (lang, source)
 """

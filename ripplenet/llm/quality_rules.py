@@ -6,8 +6,10 @@ count per bucket.  Sketches merge by adding counts.  The fence of a (language, s
 a blend: the group's own sketch, and those of its language and of the whole corpus scaled down to ``shrink``
 documents each, so a small group leans on its parents and a large one stands for itself.
 
-Nothing in a fence is a fixed cut-off.  Its spread comes from the quartiles; where these agree, as they
-do for metrics that are zero in most documents, it is what one occurrence makes in a document of the group's
+Nothing in a fence is a fixed cut-off.  Its spread is the way from the median to the point that leaves out ``TAIL`` per
+cent of the group, so a source where a larger part of the documents holds symbols or repeats gets a fence for
+them, and junk up to that part of a group cannot widen its own fence.  Where the points agree, as they
+do for metrics that are zero in most documents, the spread is what one occurrence makes in a document of the group's
 median length, read from the sketches of words and lines, or of its own length if that is shorter.
 Counts aggregate map-side; their number is bounded by groups x metrics x buckets, whatever
 the number of rows, and they never leave the executors.
@@ -32,6 +34,8 @@ METRICS = {
 }
 #: How much one occurrence adds to the metric's count (a long word beyond the mean, a symbol, a line, a window of words).
 OCCURRENCE = {"mean_word": 10, "symbols": 1, "dup_lines": 1, "repeats": 6}
+#: Per cent of a group beyond each of the two outer points: the part that may be junk and leave the fence as it is.
+TAIL = 15
 #: Documents of a parent's sketch count in this part of a document, so that blends are whole numbers.
 PART = 1000
 
@@ -92,11 +96,12 @@ def blended(sketch: DataFrame, shrink: int) -> DataFrame:
     return parts[0].union(parts[1]).union(parts[2]).groupBy("lang", "source", "metric", "bucket").agg(F.sum("w").alias("w")).where("w > 0")
 
 
-def quartiles(sketch: DataFrame, keys: list[str], weight: str = "n") -> DataFrame:
+def points(sketch: DataFrame, keys: list[str], weight: str = "n", tail: int = TAIL) -> DataFrame:
+    """(keys, metric, size, low, mid, high): the values that leave ``tail`` per cent below, half, and ``tail`` per cent above."""
     by = Window.partitionBy(*keys, "metric")
     ranked = sketch.withColumns({"below": F.sum(weight).over(by.orderBy("bucket")), "size": F.sum(weight).over(by)})
-    at = lambda i: F.min(F.when(4 * F.col("below") >= i * F.col("size"), F.col("bucket")))
-    return ranked.groupBy(*keys, "metric").agg(F.max("size").alias("size"), at(1).alias("q1"), at(2).alias("q2"), at(3).alias("q3"))
+    at = lambda percent: F.min(F.when(100 * F.col("below") >= percent * F.col("size"), F.col("bucket")))
+    return ranked.groupBy(*keys, "metric").agg(F.max("size").alias("size"), at(tail).alias("low"), at(50).alias("mid"), at(100 - tail).alias("high"))
 
 
 def quality_verdicts(
@@ -115,8 +120,8 @@ def quality_verdicts(
 
     Words are runs outside ``\\x20\\x09-\\x0D``.  ``base_failed`` marks fewer than ``min_words`` words
     or more than ``max_repeat_percent`` % repeated words.  Others fail if a metric leaves its
-    fence: median + width * max(q3 - median, least), for the mean word length also below, where ``least`` is what one
-    occurrence makes in a document of its own or, if that is shorter, of median length, and at least 1.  Quartiles and lengths are those of the documents of
+    fence: median + width * max(high - median, least), for the mean word length also below, where ``high`` leaves out ``TAIL`` per cent and
+    ``least`` is what one occurrence makes in a document of its own or, if that is shorter, of median length, and at least 1.  Points and lengths are those of the documents of
     its language and source that passed the base rules, blended with their parents (see the module).
     Null texts have no words and fail; null languages and sources form groups of their own.
     Ids may repeat: every row is judged by itself.  Other columns are ignored.
@@ -137,17 +142,17 @@ def quality_verdicts(
     measured = {m: F.expr(f) for m, (f, _) in METRICS.items()} | {size: F.col(size) for size in ("n_words", "n_lines")}
     values = passed.select("lang", "source", F.explode(F.create_map(*[x for m, f in measured.items() for x in (F.lit(m), f)])).alias("metric", "value"))
     fine = scratch.table(quantile_sketches(values, ["lang", "source"]), "sketches")
-    read = quartiles(blended(fine, shrink), ["lang", "source"], "w").groupBy("lang", "source")
-    wide = read.agg(*[F.max(F.when(F.col("metric") == m, F.col(q))).alias(f"{m}_{q}") for m in measured for q in ("q1", "q2", "q3")])
+    read = points(blended(fine, shrink), ["lang", "source"], "w").groupBy("lang", "source")
+    wide = read.agg(*[F.max(F.when(F.col("metric") == m, F.col(q))).alias(f"{m}_{q}") for m in measured for q in ("low", "mid", "high")])
     # one row per language and source, as many as the metadata has values, and not grown by rows
     wide = scratch.table(wide, "fences")
     fences = {}
     for m, (_, size) in METRICS.items():
-        q1, q2, q3 = (F.col(f"{m}_{q}") for q in ("q1", "q2", "q3"))
-        least = F.greatest(F.lit(1), F.expr(f"{1000 * OCCURRENCE[m]} div least({size}, {size}_q2)"))
-        fences[f"max_{m}"] = q2 + width * F.greatest(q3 - q2, least)
+        low, mid, high = (F.col(f"{m}_{q}") for q in ("low", "mid", "high"))
+        least = F.greatest(F.lit(1), F.expr(f"{1000 * OCCURRENCE[m]} div least({size}, {size}_mid)"))
+        fences[f"max_{m}"] = mid + width * F.greatest(high - mid, least)
         if m == "mean_word":
-            fences["min_mean_word"] = q2 - width * F.greatest(q2 - q1, least)
+            fences["min_mean_word"] = mid - width * F.greatest(mid - low, least)
     inside = F.expr(METRICS["mean_word"][0]) >= F.col("min_mean_word")
     for m, (formula, _) in METRICS.items():
         inside = inside & (F.expr(formula) <= F.col(f"max_{m}"))

@@ -21,6 +21,20 @@ def test_two_sources_judge_one_text_differently(spark):
     assert sum(got[i].kept for i in range(600)) >= 594
 
 
+def test_a_fence_follows_the_part_of_a_source_that_holds_symbols(spark):
+    """Where a fifth of the documents hold symbols one more such text passes; where two of a hundred do, all of them fail."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(map(chr, rng.integers(97, 123, rng.integers(3, 9))))
+    text = lambda symbols: " ".join(word() + "#" * int(i < symbols) for i in range(100))
+    shares = {"prose": 0, "news": 2, "forum": 20}
+    rows = [(1000 * k + i, text(rng.integers(30, 70) if i % 100 < share else 0), "en", source) for k, (source, share) in enumerate(shares.items()) for i in range(600)]
+    got = {r.doc_id: r for r in quality_rules.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    kept = lambda k, low, high: [got[1000 * k + i].kept for i in range(600) if low <= i % 100 < high]
+    assert not any(kept(1, 0, 2)) and all(kept(2, 0, 20))
+    assert sum(kept(0, 0, 100)) >= 594 and sum(kept(1, 2, 100)) >= 582 and sum(kept(2, 20, 100)) >= 475
+    assert got[0].max_symbols < 300 < 700 < got[2000].max_symbols
+
+
 def test_repeated_and_null_rows_are_judged_one_by_one(spark):
     long = "some plain words of a normal text that goes on " * 3 + " ".join(f"w{i}" for i in range(60))
     rows = [(1, long, None, None), (1, long, None, None), (None, None, "en", "s"), (2, "", "en", None)]

@@ -192,12 +192,12 @@ def test_base_features_match_brute_force(spark, texts):
 
 def test_sketches_merge_and_bound_their_error(spark):
     v = spark.range(1, 5001).select(F.lit("a").alias("k"), F.lit("m").alias("metric"), F.col("id").alias("value"))
-    whole = quality_rules.quartiles(quality_rules.quantile_sketches(v, ["k"]), ["k"]).first()
+    whole = quality_rules.points(quality_rules.quantile_sketches(v, ["k"]), ["k"], tail=25).first()
     halves = [quality_rules.quantile_sketches(v.where(c), ["k"]) for c in ("value <= 900", "value > 900")]
     merged = halves[0].union(halves[1]).groupBy("k", "metric", "bucket").agg(F.sum("n").alias("n"))
-    again = quality_rules.quartiles(merged, ["k"]).first()
-    assert (whole.q1, whole.q2, whole.q3) == (again.q1, again.q2, again.q3)
-    for got, true in ((whole.q1, 1250), (whole.q2, 2500), (whole.q3, 3750)):
+    again = quality_rules.points(merged, ["k"], tail=25).first()
+    assert (whole.low, whole.mid, whole.high) == (again.low, again.mid, again.high)
+    for got, true in ((whole.low, 1250), (whole.mid, 2500), (whole.high, 3750)):
         assert abs(got - true) <= true / 32 + 1
 
 
