@@ -180,6 +180,12 @@ def lognormal_cdf(x: Column | str, mu: Column | str, sigma: Column | str, floor:
     return F.when(u > 0, normal_cdf((F.log(u) - col(mu)) / col(sigma))).otherwise(F.lit(0.0))
 
 
+def spread_cdf(probability: Column | str, tau: Column | str, end: Column | str | float, log_sigma: Column | str | float) -> Column:
+    """Chance of an event by ``end`` from its chance at all and its predicted time: log-normal around that time, 0 where there is none."""
+    late = F.log(F.greatest(col(end), F.lit(1e-9))) - F.log(F.greatest(col(tau), F.lit(1e-9)))
+    return F.coalesce(col(probability) * normal_cdf(late / F.greatest(col(log_sigma), F.lit(1e-3))), F.lit(0.0))
+
+
 def lognormal_quantile(p: Column | str, mu: Column | str, sigma: Column | str, floor: Column | str | float = 0.0, cap: float = math.inf) -> Column:
     return F.least(col(floor) + F.exp(col(mu) + col(sigma) * normal_quantile(p)), F.lit(cap))
 

@@ -15,10 +15,13 @@ from ripplenet.functions import exprs as e
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialises in the folder that executors share; a temporary one only where none is set."""
+    """Materialises in the folder that executors share; a temporary one only where none is set and the master is local."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ripplenet-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ripplenet-"))
     return df.checkpoint()
 
 

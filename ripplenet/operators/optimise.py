@@ -11,10 +11,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ripplenet.functions import exprs as e
+from ripplenet.operators.relational import placed
 
 MULTIPLES = (0.6, 1.0, 1.5)
 #: Actions that a search over sets accepts; it refuses more, for it never drops any.
@@ -40,6 +41,49 @@ def violations(rules: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in rules.items()]))
 
 
+#: What each factor weighs once all are scaled to [0, 1] over the pool.
+FACTORS = {"disruption": 1.0, "urgency": 0.5, "centrality": 0.5, "leverage": 0.75, "log_cost": -0.25}
+
+
+def scored_actions(actions: DataFrame, nodes: DataFrame, horizon: float, *, weights: dict[str, float] = FACTORS, price: float = 1.0) -> DataFrame:
+    """(id, m, cost, the factors, score, benefit) of feasible actions.
+
+    ``actions`` holds (id, m, cost); ``nodes`` (m, probability, hit_t, at_risk, centrality, leverage), one row a merchant: the chance to be
+    hit and when, what its dependants owe, its place in the network and its dues over its buffer.  Merchants without a row count as never hit.
+    Factors are scaled over the pool before they are weighed (a constant one gives 0); the extremes are one row.  ``benefit`` bounds what an action is worth: it
+    protects no more than the value behind it, less ``price`` times its cost.
+    """
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    raw = {
+        "disruption": zero("probability") * zero("at_risk"),
+        "urgency": 1 / (1 + F.greatest(F.coalesce("hit_t", F.lit(horizon)), F.lit(0.0)) / 24),
+        "centrality": zero("centrality"),
+        "leverage": zero("leverage"),
+        "log_cost": F.log1p(F.greatest("cost", F.lit(0.0))),
+    }
+    rows = actions.join(nodes, "m", "left").select("id", "m", "cost", *[f.alias(x) for x, f in raw.items()])
+    ends = rows.agg(*[f(x).alias(f"{n}_{x}") for x in raw for n, f in (("lo", F.min), ("hi", F.max))])
+    score = F.lit(0.0)
+    for x, w in weights.items():
+        reach = F.col(f"hi_{x}") - F.col(f"lo_{x}")
+        score = score + w * F.when(reach < 1e-12, 0.0).otherwise((F.col(x) - F.col(f"lo_{x}")) / reach)
+    benefit = F.greatest("disruption", "leverage") - price * F.col("cost")
+    return rows.join(F.broadcast(ends)).select("id", "m", "cost", *raw, F.round(score, 9).alias("score"), benefit.alias("benefit"))
+
+
+def retained_actions(scored: DataFrame, limit: int, per_merchant: int = 1) -> DataFrame:
+    """The scored actions with ``place``, null for those that are not retained.
+
+    Two rankings, by score and by benefit, are taken from in turn until ``limit`` are found; a merchant holds at most ``per_merchant`` of them.
+    An action counts where it first comes up: at 2a - 1 as a-th by score or 2b as b-th by benefit.  Places come from ranges of the orders.
+    """
+    both = placed(placed(scored, [F.desc("score"), F.col("id")], "a"), [F.desc("benefit"), F.col("id")], "b")
+    turn = both.withColumn("turn", F.least(2 * F.col("a") - 1, 2 * F.col("b")))
+    nth = F.row_number().over(Window.partitionBy("m").orderBy("turn"))  # the actions of one merchant: kinds times sizes
+    fits = placed(turn.withColumn("nth", nth).where(F.col("nth") <= per_merchant).select("id", "turn"), [F.col("turn")])
+    return scored.join(fits.where(F.col("place") <= limit).select("id", "place"), "id", "left")
+
+
 def subsets(actions: DataFrame, most: int) -> DataFrame:
     """(plan, size, members) of every set of up to ``most`` actions with one action a merchant.
 

@@ -174,27 +174,22 @@ def marked_hawkes_fit(spark, d):
     return fit.select("source", "target", "n_out", "n_in", *[F.round(c, 6).alias(c) for c in ("mu", "alpha", "beta", "theta", "sigma", "probability", "lag_mu", "lag_sigma")], "rounds", "converged")
 
 
-@query()
-def serving_forecast(spark, d):
-    """Scores from stored weights: a pure column expression over the design, no fit at read time."""
-    n = Network(spark, d)
-    x = design(n)
-    w = [0.12, -0.03, 0.4, -0.05, -1.0]
-    p = e.logistic(l.linear(w, CLUES))
-    return x.select("merchant_id", F.round(p, 6).alias("probability"), F.round(p * e.normal_cdf((F.log(F.lit(24.0)) - F.log(F.lit(60.0))) / 0.8), 6).alias("within_24"))
-
-
 #: The same tables with every fact from the origin on changed, for DuckDB.
 LEAKED = SQL.replace("payments AS (SELECT * FROM inner_payments UNION ALL SELECT * FROM exogenous)", "payments AS (SELECT * REPLACE (CASE WHEN t >= 40000 THEN amount_minor * 7 + 13 ELSE amount_minor END AS amount_minor) FROM (SELECT * FROM inner_payments UNION ALL SELECT * FROM exogenous))")
 LEAKED = LEAKED.replace("obligations AS (\n  SELECT line AS obligation_id, 'N' || c_nationkey AS debtor, 'S' || l_suppkey AS creditor, amount_minor,", "obligations AS (\n  SELECT line AS obligation_id, 'N' || c_nationkey AS debtor, 'S' || l_suppkey AS creditor, CASE WHEN ordered >= 40000 THEN amount_minor * 3 + 7 ELSE amount_minor END AS amount_minor,")
 
 
+def later_changed(n: Network, origin: float) -> Network:
+    """The network with every payment and debt from the origin on changed."""
+    later = lambda t, a, b: F.when(F.col(t) >= origin, F.col("amount_minor") * a + b).otherwise(F.col("amount_minor"))
+    return n.derived(payments=n.payments.withColumn("amount_minor", later("t", 7, 13)), obligations=n.obligations.withColumn("amount_minor", later("issued_t", 3, 7)))
+
+
 @query(f"WITH a AS ({SQL}{NODE}), b AS ({LEAKED}{NODE}), x AS (SELECT count(*) AS lost FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)), y AS (SELECT count(*) AS gained FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) SELECT lost, gained, lost = 0 AND gained = 0 AS passed FROM x, y")
 def leakage_audit(spark, d):
     """All node features before and after every fact from the origin on is changed: none may move."""
     n = Network(spark, d)
-    later = lambda t, a, b: F.when(F.col(t) >= 40000, F.col("amount_minor") * a + b).otherwise(F.col("amount_minor"))
-    changed = n.derived(payments=n.payments.withColumn("amount_minor", later("t", 7, 13)), obligations=n.obligations.withColumn("amount_minor", later("issued_t", 3, 7)))
+    changed = later_changed(n, 40000)
     before, after = (l.cut(node_columns(node_base(x), F.lit(40000.0))) for x in (n, changed))
     diff = before.exceptAll(after).agg(F.count("*").alias("lost")).join(F.broadcast(after.exceptAll(before).agg(F.count("*").alias("gained"))))
     return diff.select("lost", "gained", ((F.col("lost") == 0) & (F.col("gained") == 0)).alias("passed"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _FOUND: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("scans", "joins", "aggregates", "ordered", "scalars", "graphs", "metrics", "features", "corpus", "simulations", "learning", "ingestion", "scenarios", "optimise", "records", "decisions")
+MODULES = ("scans", "joins", "aggregates", "ordered", "scalars", "graphs", "metrics", "features", "corpus", "simulations", "learning", "ingestion", "scenarios", "optimise", "records", "decisions", "served")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
