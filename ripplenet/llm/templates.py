@@ -1,9 +1,10 @@
 """Benchmark decontamination by template canonicalisation.
 
 A text becomes a sequence of words in which numbers, units and names are typed placeholders.
-Two readings stand side by side: a literal one (numbers and units replaced, all else lower-cased) and a
-template (names replaced too).  Windows of both readings are hashed and joined with those of the
-benchmark.  Windows that line up on one diagonal cover a stretch of the item; a stretch
+Two readings stand side by side: a literal one (numbers and units replaced, all else lower-cased), word by word, and a
+template (names replaced too), in which a run of numbers, units or names is one placeholder, so that a longer number or name moves
+nothing.  Windows of both readings are hashed and joined with those of the
+benchmark, each reading with its own.  Windows that line up on one diagonal cover a stretch of the item; a stretch
 that is long enough is a leak if its slots are consistent: each value of the item stands for one
 value of the document and the other way round, as in a question asked anew with other parameters.
 
@@ -75,6 +76,33 @@ def is_slot(word: Column) -> Column:
     return word.isin(NUMBER, UNIT, NAME)
 
 
+def _goes_on(words: Column, i: Column) -> Column:
+    """Whether the word at ``i`` continues a run of one placeholder; ``words`` is a column that is at hand, not to be worked out anew."""
+    return is_slot(F.get(words, i)) & F.coalesce(F.get(words, i) == F.get(words, i - 1), F.lit(False))
+
+
+def folded(hashes: Column) -> Column:
+    """Hashes of template words with each run of one placeholder as one; a column at hand, as above."""
+    slots = [F.xxhash64(F.lit(x)) for x in (NUMBER, UNIT, NAME)]
+    return F.filter(hashes, lambda h, i: ~(((h == slots[0]) | (h == slots[1]) | (h == slots[2])) & F.coalesce(h == F.get(hashes, i - 1), F.lit(False))))
+
+
+def readings(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, reading, words, raw, starts, lens, slots, n_raw) of rows (keys, literal, template, raw) at hand: one row a reading, one element a token.
+
+    ``raw`` holds each token's words as they stand, ``starts`` the place of its first word, ``lens`` their number.
+    """
+    n = F.size("raw")
+    every = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    heads = rows.where(n > 0).select("*", F.filter(every, lambda i: ~_goes_on(F.col("template"), i)).alias("heads"))
+    end = lambda j: F.coalesce(F.get("heads", j + 1), n)
+    runs = F.transform("heads", lambda i, j: F.concat_ws(" ", F.slice("raw", i + 1, end(j) - i)))
+    word = F.struct(F.lit(0).alias("reading"), F.col("literal").alias("words"), F.col("raw").alias("raw"), every.alias("starts"), F.transform("raw", lambda _: F.lit(1)).alias("lens"), F.transform("template", is_slot).alias("slots"))
+    token = F.transform("heads", lambda i: F.get("template", i))
+    run = F.struct(F.lit(1).alias("reading"), token.alias("words"), runs.alias("raw"), F.col("heads").alias("starts"), F.transform("heads", lambda i, j: end(j) - i).alias("lens"), F.transform("heads", lambda i: is_slot(F.get("template", i))).alias("slots"))
+    return heads.select(*keys, n.alias("n_raw"), F.explode(F.array(word, run)).alias("r")).select(*keys, "n_raw", "r.*")
+
+
 def hashed(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
@@ -86,17 +114,13 @@ def windows(hashes: Column, width: int) -> Column:
 
 
 def _benchmark(items: DataFrame, width: int, min_literals: int) -> DataFrame:
-    """(item_id, width, pos, h) of the items' windows in both readings; windows of slots only are no evidence."""
-    parts = []
-    for reading in ("literal", "template"):
-        words = F.col(reading)
-        size = F.least(F.size(words), F.lit(width))
-        starts = F.sequence(F.lit(1), F.size(words) - size + 1)
-        rows = items.where(F.size(words) > 0).select("item_id", size.alias("width"), words.alias("words"), F.posexplode(starts).alias("pos", "start"))
-        window = F.slice("words", F.col("start"), F.col("width"))
-        solid = F.size(F.filter(window, lambda w: ~is_slot(w)))
-        parts.append(rows.where(solid >= F.least(F.lit(min_literals), F.ceil(F.col("width") / 2))).select("item_id", "width", "pos", F.xxhash64(hashed(window)).alias("h")))
-    return parts[0].union(parts[1]).distinct()
+    """(item_id, reading, width, pos, h) of the windows of the items' readings; windows of slots only are no evidence."""
+    size = F.least(F.size("words"), F.lit(width))
+    starts = F.sequence(F.lit(1), F.size("words") - size + 1)
+    rows = items.where(F.size("words") > 0).select("item_id", "reading", size.alias("width"), "words", F.posexplode(starts).alias("pos", "start"))
+    window = F.slice("words", F.col("start"), F.col("width"))
+    solid = F.size(F.filter(window, lambda w: ~is_slot(w)))
+    return rows.where(solid >= F.least(F.lit(min_literals), F.ceil(F.col("width") / 2))).select("item_id", "reading", "width", "pos", F.xxhash64(hashed(window)).alias("h")).distinct()
 
 
 def contaminated(
@@ -115,8 +139,8 @@ def contaminated(
     """(doc_id, contaminated, item_ids, covered_words, spans) for every document.
 
     A document is contaminated by an item if, on one diagonal, windows of ``width`` words cover at least
-    ``min_words`` words of the item (all of a shorter one), and either these words
-    stand there as they are, or slots are consistent: conflicts (an item's value with a second
+    ``min_words`` words of the item (all of a shorter one; a run counts its words), and either these words
+    stand there as they are, or slots are consistent: conflicts (an item's value, in the template reading a whole run, with a second
     counterpart, or the reverse) are at most ``max_conflicts`` of the slots.  A window needs
     ``min_literals`` words that are no slots.  ``spans`` lists item, first and last word in the document
     (words of letters, digits and marks, numbers set apart).  Null and empty texts are clean; an empty
@@ -132,22 +156,23 @@ def contaminated(
     salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     items = benchmark.select(F.col(item_id_col).cast("long").alias("item_id"), spaced(F.col(item_text_col).cast("string")).alias("base"))
     items = items.select("item_id", literal_words(F.col("base")).alias("literal"), template_words(F.col("base")).alias("template"), raw_words(F.col("base")).alias("raw"))
-    items = scratch.table(items, "items")
+    items = scratch.table(readings(scratch.table(items, "split"), ["item_id"]), "items")
     keys = scratch.table(_benchmark(items, width, min_literals), "keys")
-    known = scratch.table(keys.select("width", "h").distinct(), "known")
+    known = scratch.table(keys.select("reading", "width", "h").distinct(), "known")
     widths = sorted(r.width for r in known.select("width").distinct().collect())  # at most ``width`` values
 
     # both readings of each document, one row per window
     base = own.where(F.length("text") > 0).select(*key, spaced(F.col("text")).alias("base"))
-    read = base.select(*key, F.explode(F.array(hashed(literal_words(F.col("base"))), hashed(template_words(F.col("base"))))).alias("hashes"))
+    read = base.select(*key, F.posexplode(F.array(hashed(literal_words(F.col("base"))), hashed(template_words(F.col("base"))))).alias("reading", "hashes"))
+    read = read.withColumn("hashes", F.when(F.col("reading") == 1, folded(F.col("hashes"))).otherwise(F.col("hashes")))
     hits = None
     for w in widths:
-        rows = read.select(*key, F.posexplode(windows(F.col("hashes"), w)).alias("pos", "h"))
-        mine = known.where(F.col("width") == w).select("h")
+        rows = read.select(*key, "reading", F.posexplode(windows(F.col("hashes"), w)).alias("pos", "h"))
+        mine = known.where(F.col("width") == w).select("reading", "h")
         low = F.col("h").bitwiseAND(F.lit(c.BUCKETS - 1)).cast("int").alias("bucket")  # hashes fall into buckets as they are
         rows = rows.select("*", low).join(F.broadcast(mine.select(low).distinct()), "bucket", "left_semi")  # at most BUCKETS rows
-        rows = rows.withColumn("salt", salt).join(salted(mine).hint("merge"), ["h", "salt"], "left_semi")
-        rows = rows.select(*key, F.lit(w).alias("width"), "pos", "h")
+        rows = rows.withColumn("salt", salt).join(salted(mine).hint("merge"), ["reading", "h", "salt"], "left_semi")
+        rows = rows.select(*key, "reading", F.lit(w).alias("width"), "pos", "h")
         hits = rows if hits is None else hits.union(rows)
     found = own.select("doc_id").distinct()
     back = F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id")
@@ -158,41 +183,44 @@ def contaminated(
         return found.select(back, F.lit(False).alias("contaminated"), empty.alias("item_ids"), F.lit(0).cast("long").alias("covered_words"), spans.alias("spans"))
     hits = scratch.table(hits.distinct(), "hits")
 
-    # a stretch on one diagonal covers no more words than all windows of the document together
-    needs = items.join(keys.select("item_id").distinct(), "item_id", "left_semi").agg(F.min(F.size("raw"))).first()[0] or 0
+    # a stretch on one diagonal covers no more tokens than all windows of the reading together; runs hold at most ``slack`` words more
+    used = items.join(keys.select("item_id").distinct(), "item_id", "left_semi")
+    needs, slack = used.agg(F.min("n_raw"), F.max(F.col("n_raw") - F.size("words"))).first()
     end = F.col("pos") + F.col("width")
-    before = F.max(end).over(Window.partitionBy(*key).orderBy("pos", "width").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.max(end).over(Window.partitionBy(*key, "reading").orderBy("pos", "width").rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.greatest(F.lit(0), end - F.greatest("pos", F.coalesce(before, F.col("pos"))))
-    likely = hits.select(*key, "pos", "width").distinct().select(*key, fresh.alias("n")).groupBy(*key).agg(F.sum("n").alias("n"))
-    likely = likely.where(F.col("n") >= min(min_words, needs)).select(*key)
-    hits = hits.join(likely, key, "left_semi")
+    likely = hits.select(*key, "reading", "pos", "width").distinct().select(*key, "reading", fresh.alias("n")).groupBy(*key, "reading").agg(F.sum("n").alias("n"))
+    likely = likely.where(F.col("n") >= min(min_words, needs or 0) - F.col("reading") * (slack or 0)).select(*key, "reading")
+    hits = hits.join(likely, [*key, "reading"], "left_semi")
     placed = salted(keys.withColumnRenamed("pos", "item_pos"))
-    lined = hits.withColumn("salt", salt).join(placed, ["width", "h", "salt"]).select(*key, "item_id", "width", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"))
+    lined = hits.withColumn("salt", salt).join(placed, ["reading", "width", "h", "salt"]).select(*key, "reading", "item_id", "width", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"))
     cover = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("item_pos"), F.col("item_pos") + F.col("width") - 1)))))
-    lined = lined.groupBy(*key, "item_id", "shift").agg(cover.alias("cover"))
-    lined = lined.join(items, "item_id").where(F.size("cover") >= F.least(F.lit(min_words), F.size("raw")))
+    lined = lined.groupBy(*key, "reading", "item_id", "shift").agg(cover.alias("cover")).join(items.drop("words", "starts"), ["item_id", "reading"])
+    lined = lined.withColumn("covered", F.aggregate("cover", F.lit(0), lambda n, p: n + F.get("lens", p)))
+    lined = lined.where(F.col("covered") >= F.least(F.lit(min_words), F.col("n_raw")))
     lined = scratch.table(lined, "lined")
 
     ids = lined.select(*key).distinct()
     near = own.withColumn("bucket", c.bucket_of(*map(F.col, key))).join(c.buckets_of(lined, *key), "bucket", "left_semi")
-    texts = near.join(ids.hint("merge"), key, "left_semi").select(*key, "text").dropDuplicates(key).select(*key, raw_words(spaced(F.col("text"))).alias("doc_words"))
-    judged = lined.join(texts, key).withColumn(
+    texts = near.join(ids.hint("merge"), key, "left_semi").select(*key, "text").dropDuplicates(key).select(*key, spaced(F.col("text")).alias("base"))
+    split = [f(F.col("base")).alias(n) for n, f in (("literal", literal_words), ("template", template_words), ("raw", raw_words))]
+    texts = readings(scratch.table(texts.select(*key, *split), "texts"), key).select(*key, "reading", F.col("raw").alias("doc_words"), F.col("starts").alias("doc_starts"), F.col("lens").alias("doc_lens"))
+    judged = lined.join(texts, [*key, "reading"]).withColumn(
         "pairs",
         F.transform(
             "cover",
-            lambda p: F.struct(
-                F.get("raw", p).alias("a"), F.get("doc_words", p + F.col("shift")).alias("b"), is_slot(F.get("template", p)).alias("slot")
-            ),
+            lambda p: F.struct(F.get("raw", p).alias("a"), F.get("doc_words", p + F.col("shift")).alias("b"), F.get("slots", p).alias("slot"), F.get("lens", p).alias("len")),
         ),
     )
-    slots = F.filter("pairs", lambda x: x.slot)
-    kinds = lambda f: F.size(F.array_distinct(F.transform("slots", f)))
-    judged = judged.withColumns({"slots": slots, "same": F.size(F.filter("pairs", lambda x: F.lower(x.a) == F.lower(x.b)))})
+    kinds = lambda f: F.size(F.array_distinct(F.transform("values", f)))
+    same = F.aggregate(F.filter("pairs", lambda x: F.lower(x.a) == F.lower(x.b)), F.lit(0), lambda n, x: n + x.len)
+    judged = judged.withColumns({"values": F.filter("pairs", lambda x: x.slot), "same": same})
     conflicts = 2 * kinds(lambda x: F.concat_ws("\x05", x.a, x.b)) - kinds(lambda x: x.a) - kinds(lambda x: x.b)
-    judged = judged.where((F.col("same") >= F.least(F.lit(min_words), F.size("raw"))) | (conflicts <= max_conflicts * F.size("slots")))
-    span = F.struct("item_id", (F.array_min("cover") + F.col("shift")).cast("int").alias("first"), (F.array_max("cover") + F.col("shift")).cast("int").alias("last"))
+    judged = judged.where((F.col("same") >= F.least(F.lit(min_words), F.col("n_raw"))) | (conflicts <= max_conflicts * F.size("values")))
+    first, last = (f("cover") + F.col("shift") for f in (F.array_min, F.array_max))
+    span = F.struct("item_id", F.get("doc_starts", first).alias("first"), (F.get("doc_starts", last) + F.get("doc_lens", last) - 1).alias("last"))
     leaks = judged.groupBy("doc_id").agg(
-        F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max(F.size("cover")).cast("long").alias("covered_words"), F.array_sort(F.collect_set(span)).alias("spans")
+        F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("covered").cast("long").alias("covered_words"), F.array_sort(F.collect_set(span)).alias("spans")
     )
     out = found.join(leaks, "doc_id", "left").select(
         back,

@@ -376,6 +376,23 @@ def test_exact_lowered_and_reparameterised_items_are_caught(spark):
     assert not leaks(spark, [(1, mixed)], max_conflicts=0.0, min_words=20)[1][0]
 
 
+LONGER = {"Anna": "Maria Luisa Rossi", "Peter": "Paul von Berg", "12": "one hundred twenty", " 3 ": " twenty five ", "gives 5": "gives 1,200", "dollars": "euros"}
+
+
+def test_items_asked_anew_with_longer_numbers_and_names_are_caught(spark):
+    filler = "some other words that stand around the passage and mean nothing in particular. "
+    rows = []
+    for i in range(1, 1 << len(LONGER)):
+        text = ITEMS[0][1]
+        for k, (a, b) in enumerate(LONGER.items()):
+            text = text.replace(a, b) if i >> k & 1 else text
+        rows.append((i, filler * (i % 3) + text + " " + filler))
+    got = leaks(spark, rows)
+    assert sum(got[i] == (True, [1]) for i, _ in rows) >= 0.95 * len(rows)
+    swapped = ITEMS[0][1].replace("does Anna", "does Peter").replace("12", "one hundred twenty").replace("3", "9").replace("5 apples", "one hundred twenty apples")
+    assert not leaks(spark, [(1, filler + swapped)], max_conflicts=0.0, min_words=21)[1][0]
+
+
 def test_few_windows_that_cover_enough_words_are_a_leak(spark):
     """Two windows cover 16 of 17 words; the verdict is the same whatever other items the table holds."""
     words = "the quiet river bends around old mills where patient farmers once carried heavy sacks across the narrow bridge".split()[:17]
