@@ -171,6 +171,27 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
             yield ids, raws
 
 
+def binary_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column without nulls in one array, and where each value begins, with the end."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    held = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    return held[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def chunks(batch: pa.RecordBatch, most: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Ids and texts (null: empty) of a batch in chunks of about ``most`` bytes, without copies; a longer text is a chunk of its own."""
+    ids, texts = batch.column(0), batch.column(1).fill_null(b"")
+    if not len(ids):
+        return
+    _, offsets = binary_parts(texts)
+    a = 0
+    while a < len(ids):
+        b = max(a + 1, int(np.searchsorted(offsets, int(offsets[a]) + most, "right")) - 1)
+        yield ids.slice(a, b - a), texts.slice(a, b - a)
+        a = b
+
+
 class WordHashes(dict):
     """64-bit hash of a word's bytes, remembered for frequent words."""
 

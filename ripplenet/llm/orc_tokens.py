@@ -9,14 +9,16 @@ A document's place in the corpus is its place in its file plus the tokens of all
 file, so no pass over the corpus in one task and no rewriting.
 
 The byte-level pattern always parts a text before a space that a visible character of Latin-1 follows, around a line feed between
-two visible ones, and between a letter and a mark of punctuation.  So words are encoded by the tokenizer's model once per worker
-and then looked up.  Whatever doesn't have these plain forms, and any text that holds the string of an added token, is encoded in one call.
+two visible ones, and between a letter and a mark of punctuation.  So the bytes of many texts are cut there at once, the pieces are numbered
+by their distinct values, and each of these is encoded by the tokenizer's model once per worker and then looked up.  Whatever lies between two cuts and isn't
+plain is encoded by the whole tokenizer, and any text that holds the string of an added token in one call.
 """
 
 from __future__ import annotations
 
 import functools
 import itertools
+import os
 import re
 import zlib
 from array import array
@@ -26,6 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer, pre_tokenizers
 
 from . import common as c
 
@@ -34,18 +37,34 @@ SCHEMA = "doc_id long, part int, at long, n_tokens long, ids array<int>"
 STRIPE_BYTES, GROUP_ROWS, BLOOM_FPP = 16 << 20, 1000, 0.01
 #: After so many rows a writer looks whether its stripe is full: long texts fill one soon.
 CHECKED_ROWS = 250
-#: Words a Python worker remembers before the older half goes, and the longest of them.
+#: Pieces a Python worker remembers before the older half goes, and the longest of them.
 WORDS, WORD_CHARS = 1 << 19, 64
-CUT = re.compile(r"(?= [!-~À-ÿ])")
-PLAIN = re.compile(r"([ \n])([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@]{0,3})")
-LINES = re.compile(r"[!-~À-ÿ]+(?:\n[!-~À-ÿ]+)+")
+#: Bytes of texts that are cut and numbered together.
+CHUNK_BYTES = 4 << 20
+#: Pieces that the byte-level pattern leaves whole: their ids are those of the model alone.
+PLAIN = re.compile(r" ?(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[!-&(-/:-@]+|[0-9]+)|\n")
+LETTER, MARK, VISIBLE = 1, 2, 4
+#: First byte of the letters from À to ÿ, and the second bytes of the two signs among them.
+LATIN, TIMES, DIVIDE = 0xC3, 0x97, 0xB7
+
+
+def _kinds() -> np.ndarray:
+    """LETTER, MARK and VISIBLE of each ASCII byte."""
+    kinds = np.zeros(256, np.uint8)
+    kinds[33:127] = VISIBLE
+    for b in range(33, 127):
+        kinds[b] |= LETTER * chr(b).isalpha() | MARK * bool(re.match(r"[!-&(-/:-@]", chr(b)))
+    return kinds
+
+
+_KINDS = _kinds()
 
 
 @functools.cache
 def _tokenizer(name: str):
     import public_tokenizers
-    from tokenizers import Tokenizer
 
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     return Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
 
 
@@ -55,70 +74,102 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in seen else next(spare)) for b in range(256)]
 
 
-class Marks(dict):
-    """Ids of a few marks that stand alone."""
-
-    def __init__(self, encode):
-        super().__init__({"": b""})
-        self.encode = encode
-
-    def __missing__(self, mark: str) -> bytes:
-        self[mark] = ids = self.encode(mark)
-        return ids
-
-
-class Uncut(Exception):
-    """A text that can't be cut at one of its spaces."""
-
-
-class Pieces(dict):
-    """Ids, as bytes, of a word that follows a space, space included."""
+def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether a piece begins at each byte of the texts between ``offsets``, which are valid UTF-8."""
+    n = len(data)
+    kinds = _KINDS[data]
+    lead = data == LATIN
+    latin = np.zeros(n, bool)  # the second byte of a letter from À to ÿ, or of a sign among them
+    latin[1:] = lead[:-1]
+    letter = (latin & (data != TIMES) & (data != DIVIDE)) | (kinds & LETTER).astype(bool)
+    begins = (kinds & LETTER).astype(bool)
+    begins[:-1] |= lead[:-1] & letter[1:]
+    mark, visible = (kinds & MARK).astype(bool), (kinds & VISIBLE).astype(bool)
+    after = np.zeros(n, bool)  # a visible character follows in the same text
+    after[:-1] = (visible | lead)[1:]
+    before = np.zeros(n, bool)
+    before[1:] = (visible | latin)[:-1]
+    full = offsets[:-1] < offsets[1:]
+    after[offsets[1:][full] - 1] = False
+    before[offsets[:-1][full]] = False
+    cut = (data == 32) & after
+    lines = (data == 10) & before & after
+    cut |= lines
+    cut[1:] |= lines[:-1] | (mark[1:] & letter[:-1]) | (begins[1:] & mark[:-1])
+    cut[offsets[:-1][full]] = True
+    return cut
+
+
+class Pieces:
+    """Ids of the pieces of texts, remembered as bytes."""
 
     def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer, self.model, self.letters, self.old, self.marks = tokenizer, tokenizer.model, _byte_letters(), {}, Marks(self.encode)
-        self.whole = re.compile("|".join(re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
+        self.tokenizer, self.new, self.old = tokenizer, {}, {}
+        self.letters = dict(enumerate(_byte_letters()))
+        self.model = Tokenizer(tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.whole = re.compile("|".join(re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()).encode() or rb"(?!)")
 
     def encode(self, text: str) -> bytes:
         return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def plain(self, space: str, word: str, mark: str) -> bytes:
-        """A run of letters, with the white space before it and a mark behind."""
-        spelt = word if word.isascii() else "".join(self.letters[b] for b in word.encode())
-        if space == " ":
-            spelt = self.letters[32] + spelt
-            space = ""
-        return self.marks[space] + array("i", [t.id for t in self.model.tokenize(spelt)]).tobytes() + self.marks[mark]
-
-    def __missing__(self, word: str | tuple[str]) -> bytes:
-        """``word`` after a space, or as a tuple after a line feed."""
-        ids = self.old.get(word)
-        if ids is None:
-            space, word_ = ("\n", word[0]) if isinstance(word, tuple) else (" ", word)
-            if not ("!" <= word_[:1] <= "~" or "À" <= word_[:1] <= "ÿ"):
-                raise Uncut
-            if "\n" in word_ and LINES.fullmatch(word_):
-                head, *lines = word_.split("\n")
-                return b"".join([self[head], *(self[(line,)] for line in lines)])
-            m = PLAIN.fullmatch(space + word_)
-            ids = self.plain(*m.groups()) if m else self.encode(space + word_)
-            if len(word_) > WORD_CHARS:
-                return ids
-        if len(self) >= WORDS:
-            self.old = dict(self)
-            self.clear()
-        self[word] = ids
-        return ids
+    def plain(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pieces of plain form, which the model encodes in one call."""
+        spelt = [p.decode("latin-1").translate(self.letters) for p in pieces]
+        return [array("i", x.ids).tobytes() for x in self.model.encode_batch_fast(spelt, add_special_tokens=False)]
+
+    def ids(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of distinct pieces."""
+        found = list(map(self.new.get, pieces))
+        missing = [i for i, x in enumerate(found) if x is None]
+        plain = []
+        for i in missing:
+            piece = pieces[i]
+            found[i] = self.old.get(piece)
+            if found[i] is None:
+                text = piece.decode()
+                if PLAIN.fullmatch(text):
+                    plain.append(i)
+                else:
+                    found[i] = self.encode(text)
+        if plain:
+            for i, x in zip(plain, self.plain([pieces[i] for i in plain]), strict=True):
+                found[i] = x
+        for i in missing:
+            if len(pieces[i]) <= WORD_CHARS:
+                if len(self.new) >= WORDS:
+                    self.old, self.new = self.new, {}
+                self.new[pieces[i]] = found[i]
+        return found
+
+    def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (binary, none null), and the place of each text's first one, with the end."""
+        try:
+            texts.cast(pa.string())
+        except pa.ArrowInvalid:
+            texts = pa.array([x.as_py().decode("utf-8", "replace").encode() for x in texts], pa.binary())
+        data, offsets = c.binary_parts(texts)
+        if not len(data):
+            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+        cut = piece_starts(data, offsets)
+        if self.whole.search(data):
+            for a, b in itertools.pairwise(offsets.tolist()):
+                if self.whole.search(data[a:b]):
+                    cut[a + 1 : b] = False
+        starts = np.flatnonzero(cut).astype(np.int32)
+        edges = np.append(starts, np.int32(len(data)))
+        pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
+        number, ids = pieces.indices.to_numpy(), self.ids(pieces.dictionary.to_pylist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        place, sizes = np.cumsum(size) - size, size[number]
+        ends = np.cumsum(sizes)
+        at = np.repeat(place[number] - ends + sizes, sizes)
+        at += np.arange(len(at))
+        flat = np.frombuffer(b"".join(ids), np.int32)[at]
+        return flat, np.append(0, ends)[np.searchsorted(starts, offsets)]
 
     def of(self, text: str) -> bytes:
-        if self.whole.search(text):
-            return self.encode(text)
-        first, *words = text.split(" ")
-        try:
-            return b"".join([self.encode(first), *map(self.__getitem__, words)])
-        except Uncut:
-            first, *pieces = CUT.split(text)
-            return b"".join([self.encode(first), *(self[p[1:]] for p in pieces)])
+        return self.of_texts(pa.array([text.encode()], pa.binary()))[0].tobytes()
 
 
 @functools.cache
@@ -128,15 +179,15 @@ def _pieces(name: str) -> Pieces:
 
 def _encode(name: str, end_id: int):
     def run(batches):
-        pieces, end, part, before = _pieces(name), np.int32(end_id).tobytes(), TaskContext.get().partitionId(), 0
-        for docs, raws in c.slices(batches):
-            ids = [pieces.of(raw.decode("utf-8", "replace")) + end for raw in raws]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-            flat = np.frombuffer(b"".join(ids), np.int32)
-            at = before + np.cumsum(sizes) - sizes
-            before += int(sizes.sum())
-            columns = [pa.array(docs, pa.int64()), pa.array(np.full(len(ids), part, np.int32)), pa.array(at), pa.array(sizes), c.lists(flat, sizes)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "at", "n_tokens", "ids"])
+        pieces, part, before = _pieces(name), TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for docs, texts in c.chunks(batch, CHUNK_BYTES):
+                flat, places = pieces.of_texts(texts)
+                flat, sizes = np.insert(flat, places[1:], np.int32(end_id)), np.diff(places) + 1
+                at = before + np.cumsum(sizes) - sizes
+                before += len(flat)
+                columns = [docs, pa.array(np.full(len(sizes), part, np.int32)), pa.array(at), pa.array(sizes), c.lists(flat, sizes)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "at", "n_tokens", "ids"])
 
     return run
 

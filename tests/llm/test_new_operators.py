@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.orc as orc
 import pytest
 from hypothesis import given, settings
@@ -236,3 +237,32 @@ def test_a_lookup_passes_over_other_stripes(spark, tmp_path):
         df.collect()
         scan = plan.collectLeaves().head()
         assert scan.metrics().apply("numOutputRows").value() <= most
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=8).map("".join), max_size=6))
+def test_pieces_of_many_texts_stay_inside_each(texts):
+    """Texts are cut side by side in one array: what stands at a text's end must not decide about its neighbour."""
+    flat, places = orc_tokens._pieces("byte_bpe_50k.json").of_texts(pa.array([x.encode() for x in texts], pa.binary()))
+    tokenizer = orc_tokens._tokenizer("byte_bpe_50k.json")
+    want = [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [flat[a:b].tolist() for a, b in zip(places, places[1:], strict=False)] == want
+
+
+def test_a_word_is_encoded_once_whatever_marks_follow_it(tokenizer):
+    """Encoding is most of the work: words with other marks, lines or texts around them must not be encoded anew."""
+    pieces, asked = orc_tokens.Pieces(tokenizer), []
+    plain, encode = pieces.plain, pieces.encode
+    pieces.plain = lambda found: asked.extend(found) or plain(found)
+    pieces.encode = lambda text: asked.append(text) or encode(text)
+    texts = [f"x harbour{m} harbour{m}\nharbour{m} lantern" for m in ("", ".", ",", "%%%", ":", ".***")]
+    for _ in range(2):
+        pieces.of_texts(pa.array([x.encode() for x in texts], pa.binary()))
+    assert sorted(asked) == sorted([b"x", b" harbour", b"harbour", b" lantern", b"\n", b".", b",", b"%%%", b":", b".***"])
+
+
+def test_bytes_that_are_no_text_are_read_as_before(tokenizer):
+    raws = [b"ok \xc3", b".\xc3(", b"\xbf. \xff.a", b"", b"fine, word"]
+    flat, places = orc_tokens.Pieces(tokenizer).of_texts(pa.array(raws, pa.binary()))
+    want = [tokenizer.encode(x.decode("utf-8", "replace"), add_special_tokens=False).ids for x in raws]
+    assert [flat[a:b].tolist() for a, b in zip(places, places[1:], strict=False)] == want
