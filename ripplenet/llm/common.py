@@ -249,8 +249,12 @@ class Windows:
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts])
 
+    def every(self, n: int, width: int) -> np.ndarray:
+        """Hashes of the first ``n`` windows of ``width`` values."""
+        return mix((self.sums[width : width + n] - self.sums[:n]) * self.down[:n])
 
-def byte_values(raw: bytes) -> np.ndarray:
+
+def byte_values(raw: bytes | np.ndarray) -> np.ndarray:
     """Bytes as well spread 64-bit values."""
     return _BYTES[np.frombuffer(raw, np.uint8)]
 

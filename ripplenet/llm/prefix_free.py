@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from . import common as c
 
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
+#: Bytes of texts that are hashed side by side; more than the starts that one trigger governs.
+CHUNK_BYTES, WIDEST = 1 << 17, 4096
 
 
 def sliding_argmin(keys: np.ndarray, span: int) -> np.ndarray:
@@ -47,30 +49,31 @@ def sliding_argmin(keys: np.ndarray, span: int) -> np.ndarray:
     return (np.minimum(behind[:windows], ahead[span - 1 : span - 1 + windows]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def triggers(raw: bytes, length: int, gram: int, span: int) -> tuple[c.Windows, np.ndarray, np.ndarray, np.ndarray]:
-    """Trigger places and the first and last start of the windows that each governs."""
-    windows = c.Windows(c.byte_values(raw))
-    starts = np.arange(len(raw) - length + span)
-    at = sliding_argmin(windows.hashes(starts, starts + gram), span)
-    edge = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return windows, at[edge], edge, np.r_[edge[1:] - 1, len(at) - 1]
+def triggers(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, span: int) -> tuple[c.Windows, np.ndarray, np.ndarray, np.ndarray]:
+    """Trigger places in the texts between ``offsets`` and the first and last start of the windows that each governs; windows never cross texts."""
+    windows = c.Windows(c.byte_values(data))
+    at = sliding_argmin(windows.every(len(data) - length + span, gram), span)
+    place = np.flatnonzero(np.arange(length, length + len(at)) <= np.repeat(offsets[1:], np.diff(offsets))[: len(at)])
+    at = at[place]
+    edge = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])  # a trigger lies in the text of its windows, so it changes between texts
+    return windows, at[edge], place[edge], place[np.r_[edge[1:] - 1, len(at) - 1]]
 
 
 def _parse(length: int, gram: int, span: int):
     shared = length - span + 1
 
     def run(batches):
-        for ids, raws in c.slices(batches):
-            rows = []
-            for doc, raw in zip(ids, raws, strict=True):
-                if len(raw) < length:
+        for batch in batches:
+            for docs, texts in c.chunks(batch, CHUNK_BYTES):
+                data, offsets = c.binary_parts(texts)
+                if np.diff(offsets).max() < length:
                     continue
-                w, at, lo, hi = triggers(raw, length, gram, span)
+                w, at, lo, hi = triggers(data, offsets, length, gram, span)
                 key = w.hashes(at, at + shared)
-                whole = c.mix(w.hashes(lo, hi + length) ^ c.mix(((at - lo) * 4096 + hi - lo).astype(np.uint64)))
-                rows.append((c.signed(key), c.signed(whole), np.full(len(at), doc, np.int64), lo.astype(np.int32), hi.astype(np.int32)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], ["k", "cls", "doc_id", "lo", "hi"])
+                whole = c.mix(w.hashes(lo, hi + length) ^ c.mix(((at - lo) * WIDEST + hi - lo).astype(np.uint64)))
+                text = np.searchsorted(offsets, lo, "right") - 1
+                spot = (lo - offsets[text]) * WIDEST + hi - lo
+                yield pa.RecordBatch.from_arrays([pa.array(c.signed(key)), pa.array(c.signed(whole)), docs.take(pa.array(text)), pa.array(spot)], ["k", "cls", "doc_id", "spot"])
 
     return run
 
@@ -80,20 +83,25 @@ def _suffixes(length: int):
 
     def run(batches):
         for batch in batches:
-            for doc, raw, jobs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                values = c.byte_values(raw.as_py())
+            jobs, done = batch.column(2), 0
+            for docs, texts in c.chunks(batch, CHUNK_BYTES):
+                data, offsets = c.binary_parts(texts)
+                values = c.byte_values(data)
                 first, second = c.Windows(values), c.Windows(values, c.BASES[1])
-                lo, hi, n = (jobs.values.field(i).to_numpy() for i in range(3))
-                inside = hi.astype(np.int64) + length <= len(values)  # another text may bear the same id
-                lo, hi, n = lo[inside], hi[inside], n[inside]
-                count = (hi - lo + 1).astype(np.int64)
-                x = np.repeat(lo.astype(np.int64), count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                weight = np.repeat(n, count)
+                mine = jobs.slice(done, len(docs))
+                done += len(docs)
+                text = np.repeat(np.arange(len(docs)), mine.value_lengths().to_numpy())
+                spot, n = (x.to_numpy() for x in mine.flatten().flatten())
+                lo, width = offsets[text] + spot // WIDEST, spot % WIDEST
+                inside = lo + width + length <= offsets[text + 1]  # another text may bear the same id
+                text, lo, n, count = text[inside], lo[inside], n[inside], width[inside] + 1
+                x = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
+                text, weight = np.repeat(text, count), np.repeat(n, count)
                 for a in range(0, len(x), 1 << 17):
-                    s = x[a : a + (1 << 17)]
+                    s, t = x[a : a + (1 << 17)], text[a : a + (1 << 17)]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c.signed(first.hashes(s, s + length))), pa.array((second.hashes(s, s + length) >> np.uint64(32)).astype(np.uint32).view(np.int32))]
-                        + [pa.array(np.full(len(s), doc, np.int64)), pa.array(s.astype(np.int32)), pa.array(weight[a : a + len(s)].astype(np.int32))],
+                        + [docs.take(pa.array(t)), pa.array((s - offsets[t]).astype(np.int32)), pa.array(weight[a : a + len(s)].astype(np.int32))],
                         ["h1", "h2", "doc_id", "x", "weight"],
                     )
 
@@ -128,7 +136,7 @@ def remove_repeated_bytes(
     an id and its text are equal documents, one row each; other ids must be unique (of several texts under one id
     only one is cut); a row without an id is judged as a whole text only, and keeps what is no copy; other columns are ignored.
     """
-    if not gram <= length - span + 1 or span >= 4096:
+    if not gram <= length - span + 1 or span >= WIDEST:
         raise ValueError("each window must hold a whole gram behind its trigger")
     scratch = c.Scratch(docs.sparkSession, "prefixfree")
     raw = c.text_bytes(docs, id_col, text_col)
@@ -139,18 +147,21 @@ def remove_repeated_bytes(
     copies = base.where(F.col("n_bytes") >= length).groupBy("sha").agg(F.count("*").alias("n")).where("n > 1")
     whole = scratch.table(c.dealt(base, copies, ["sha"], F.col("doc_id"), scratch, "copies").select("doc_id").distinct(), "whole")
 
-    parse = raw.mapInArrow(_parse(length, gram, span), "k long, cls long, doc_id long, lo int, hi int")
-    classes = parse.groupBy("k", "cls").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "lo", "hi")).alias("rep"))
-    per_key = F.struct(F.sum("n").alias("n"), F.count("*").alias("classes"), F.min("n").alias("least"))
-    keys = classes.groupBy("k").agg(per_key.alias("key")).where("key.n > 1")
-    classes = scratch.table(classes.join(keys, "k").select("k", "cls", "n", "rep", ((F.col("key.classes") > 1) & (F.col("key.least") == 1)).alias("open")), "classes")
-
+    parse = raw.mapInArrow(_parse(length, gram, span), "k long, cls long, doc_id long, spot long")
+    spot = F.when(F.col("doc_id").isNotNull(), F.col("spot"))
+    one = [F.first("doc_id", ignorenulls=True).alias("doc_id"), F.first(spot, ignorenulls=True).alias("spot")]  # both of the first row with an id
+    classes = parse.groupBy("k", "cls").agg(F.count("*").alias("n"), *one)
+    # the spots are read here, too, so that both uses of the classes are the same exchange and texts are parsed once for them
+    per_key = F.struct(F.sum("n").alias("n"), F.count("*").alias("classes"), F.min("n").alias("least"), F.min(F.coalesce("doc_id", "spot")).alias("any"))
+    keys = classes.groupBy("k").agg(per_key.alias("key")).where("key.n > 1 and key.any is not null")
+    classes = scratch.table(classes.join(keys, "k").select("k", "cls", "n", "doc_id", "spot", ((F.col("key.classes") > 1) & (F.col("key.least") == 1)).alias("open")), "classes")
+
+    lo = F.shiftrightunsigned("spot", 12).cast("int")
+    end = lo + F.pmod("spot", F.lit(WIDEST)).cast("int") + length
     settled = c.dealt(parse, classes.where("n > 1").select("k", "cls", "n"), ["k", "cls"], F.col("doc_id"), scratch, "twice").join(whole, "doc_id", "left_anti")
-    settled = scratch.table(
-        settled.groupBy("doc_id").agg(F.collect_list(F.struct("lo", (F.col("hi") + length).alias("end"))).alias("spans")), "settled"
-    )
+    settled = scratch.table(settled.groupBy("doc_id").agg(F.collect_list(F.struct(lo.alias("lo"), end.alias("end"))).alias("spans")), "settled")
     jobs = scratch.table(
-        classes.where("open").groupBy("rep.doc_id").agg(F.collect_list(F.struct("rep.lo", "rep.hi", F.least("n", F.lit(2)).cast("int").alias("n"))).alias("jobs")),
+        classes.where("open").groupBy("doc_id").agg(F.collect_list(F.struct("spot", F.least("n", F.lit(2)).cast("int").alias("n"))).alias("jobs")),
         "jobs",
     )
     ids = settled.select("doc_id").union(jobs.select("doc_id")).distinct()
