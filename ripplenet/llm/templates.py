@@ -107,11 +107,14 @@ def hashed(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def windows(hashes: Column, width: int) -> Column:
-    """Hash of the window that begins at each word, from the words' hashes (a column: lambdas evaluate anew for each element)."""
-    n = F.size(hashes) - width + 1
-    window = lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(width)])  # noqa: E731 - the hash of the slice, without making it
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), window)).otherwise(F.array().cast("array<long>"))
+def windows(rows: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """(keys, pos, h): the hash of the window that begins at each word, from the words' hashes in column ``hashes``.
+
+    Each word becomes a row first and then looks ahead in its list: as a plain projection that is compiled, which a lambda over the list is not.
+    """
+    ahead = [F.get("hashes", F.col("pos") + k) for k in range(1, width)]
+    words = rows.select(*keys, "hashes", F.posexplode("hashes").alias("pos", "first")).where(F.col("pos") + width <= F.size("hashes"))
+    return words.select(*keys, "pos", F.xxhash64("first", *ahead).alias("h"))
 
 
 def _benchmark(items: DataFrame, width: int, min_literals: int) -> DataFrame:
@@ -168,7 +171,7 @@ def contaminated(
     read = read.withColumn("hashes", F.when(F.col("reading") == 1, folded(F.col("hashes"))).otherwise(F.col("hashes")))
     hits = None
     for w in widths:
-        rows = read.select(*key, "reading", F.posexplode(windows(F.col("hashes"), w)).alias("pos", "h"))
+        rows = windows(read, [*key, "reading"], w)
         mine = known.where(F.col("width") == w).select("reading", "h")
         low = F.col("h").bitwiseAND(F.lit(c.BUCKETS - 1)).cast("int").alias("bucket")  # hashes fall into buckets as they are
         rows = rows.select("*", low).join(F.broadcast(mine.select(low).distinct()), "bucket", "left_semi")  # at most BUCKETS rows
