@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 #: Documents handled together inside a task; bounds the working memory of the kernels.
 SLICE_BYTES = 1 << 20
+#: Bytes of rows that a Python worker is handed at once, for operators whose rows are large; Spark's own bound is 64 MB, of which the
+#: executor holds several copies (vectors that double as they grow, the message, the worker's batch and the one before) for each of its tasks.
+BATCH_BYTES = 1 << 22
 #: Distinct words whose hash a Python worker remembers before it starts afresh.
 WORD_CACHE = 1 << 18
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -46,27 +49,32 @@ class Scratch:
     ``spark.checkpoint.dir`` names that folder; a temporary folder stands in only where
     it is unset and the master is local, as in tests.  Tables written with ``keep=False``
     disappear at :meth:`drop` or :meth:`clear`; the operator's result is kept until :func:`free`.  A table once
-    written needs no shuffle files any more, so these go at the end of each write.
+    written needs no shuffle files any more, so these go at the end of each write.  ``batch_bytes`` bounds the batches
+    that Python workers get while its tables are written, to one row at least.
     """
 
     CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
-    def __init__(self, spark: SparkSession, label: str):
+    def __init__(self, spark: SparkSession, label: str, batch_bytes: int | None = None):
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root and not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = root or _local_root(spark.sparkContext.applicationId)
         self.spark, self.root, self.paths, self.written = spark, f"{root}/{label}-{uuid.uuid4().hex}", [], 0
+        self.settings = {self.CLEANUP: "true"} | ({self.BATCH: str(batch_bytes)} if batch_bytes else {})
 
     def table(self, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
         self.written += 1
         path = f"{self.root}/{name}-{self.written}"
-        before = self.spark.conf.get(self.CLEANUP, "false")
-        self.spark.conf.set(self.CLEANUP, "true")
+        before = {key: self.spark.conf.get(key, None) for key in self.settings}
+        for key, value in self.settings.items():
+            self.spark.conf.set(key, value)
         try:
             df.write.mode("overwrite").parquet(path)
         finally:
-            self.spark.conf.set(self.CLEANUP, before)
+            for key, value in before.items():
+                self.spark.conf.unset(key) if value is None else self.spark.conf.set(key, value)
         if keep:
             KEPT.append(path)
         else:

@@ -97,12 +97,14 @@ def infer(ll: np.ndarray, most: int | None, rounds: int) -> tuple[list[int], np.
     return best[1][rank].tolist(), best[2][rank]
 
 
-def _predict(model, langs: list[str], most: int | None, rounds: int):
+def _predict(model, langs: list[str], most: int | None, rounds: int, field: str | None):
+    """The text is the second column, or the named field of the last one."""
+
     def run(batches):
-        logp = model.value
+        logp, at_row = model.value, 1 if field else 2
         for batch in batches:
             preds, scores, sets, parts = [], [], [], []
-            for raw in batch.column(1):
+            for raw in batch.columns[-1].field(field).cast(pa.binary()) if field else batch.column(1):
                 raw = raw.as_py() or b""
                 ll = word_likelihoods(raw, logp) if langs and has_letter(raw) else ()
                 if len(ll):
@@ -117,8 +119,8 @@ def _predict(model, langs: list[str], most: int | None, rounds: int):
                     sets.append([])
                     parts.append([])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(preds), pa.array(scores), pa.array(sets, pa.list_(pa.string())), pa.array(parts, pa.list_(pa.float64())), *batch.columns[2:]],
-                ["doc_id", "lang_pred", "score", "languages", "shares", *batch.schema.names[2:]],
+                [batch.column(0), pa.array(preds), pa.array(scores), pa.array(sets, pa.list_(pa.string())), pa.array(parts, pa.list_(pa.float64())), *batch.columns[at_row:]],
+                ["doc_id", "lang_pred", "score", "languages", "shares", *batch.schema.names[at_row:]],
             )
 
     return run
@@ -157,8 +159,10 @@ def identify(
     """
     langs, logp = train(labelled, lang_col=lang_col, text_col=text_col)
     model = docs.sparkSession.sparkContext.broadcast(logp)
+    # a carried row brings its text along: workers get it once
+    inside = carry and dict(docs.dtypes).get(text_col) in ("string", "binary")
     slim = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("raw"), *[F.struct(*docs.columns).alias("row")] * carry
+        F.col(id_col).cast("long").alias("doc_id"), *[F.col(text_col).cast("binary").alias("raw")] * (not inside), *[F.struct(*docs.columns).alias("row")] * carry
     )
     schema = T.StructType.fromDDL("doc_id long, lang_pred string, score double, languages array<string>, shares array<double>")
-    return slim.mapInArrow(_predict(model, langs, max_languages, rounds), T.StructType([*schema.fields, *slim.schema.fields[2:]]))
+    return slim.mapInArrow(_predict(model, langs, max_languages, rounds, text_col if inside else None), T.StructType([*schema.fields, *slim.schema.fields[1 if inside else 2 :]]))

@@ -10,7 +10,7 @@ sets collapse to one class, aggregated map-side, before anything else; classes m
 bands; each meets the band's smallest class, and pairs are confirmed on the full
 sets; a band's members that are then still outside the leader's component are compared exactly
 with blocks of all its members.  No pairs are listed, no bucket is capped and no signature
-estimate decides.
+estimate decides.  A row of that comparison holds a whole block, so Python workers get them in small batches.
 """
 
 from __future__ import annotations
@@ -190,7 +190,7 @@ def near_duplicates(
     escapes the bands with probability (1 - s**rows)**bands: 5e-7 at 0.8 by default.
     """
     spark: SparkSession = docs.sparkSession
-    scratch = c.Scratch(spark, "neardup")
+    scratch = c.Scratch(spark, "neardup", c.BATCH_BYTES)
     raw = c.text_bytes(docs, id_col, text_col)
     sig = scratch.table(raw.mapInArrow(_signatures(shingle_words, bands, rows), "doc_id long, n long, fp1 long, fp2 long, bands array<long>"), "sig")
     shingled = sig.where("n > 0")
