@@ -109,3 +109,37 @@ def test_asof_of_a_hot_key_gives_the_window_s_rows(spark):
         assert rows[0] == rows[1] and len(rows[0]) == left.where("k is not null").count()
     lost = relational.asof_join_spread(left, right, "k", "t", "u", ["v"]).where("k is null")
     assert lost.count() == left.where("k is null").count() and lost.where("v is not null").isEmpty()
+
+
+def as_flows(kid, inn):
+    """Payments and receipts as rows of one table."""
+    pays = kid.select("source", "target", "t", "amount", F.lit(None).cast("double").alias("t_in"), F.lit(None).cast("double").alias("paid"), F.lit(2).alias("kind"))
+    return pays.union(inn.select("source", F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("double"), "t", "amount", F.lit(1)))
+
+
+@pytest.mark.parametrize("rounds", [1, 7])
+def test_flows_equal_rounds(spark, monkeypatch, rounds):
+    """In blocks of one edge and of many, with receipts of one time, unknown times, and sources without receipts or payments."""
+    rng = np.random.default_rng(rounds)
+    maybe = lambda i, x: None if i % 50 == 7 else x
+    rows = [(f"s{i % 7}", f"t{i % 3}", maybe(i, float(rng.integers(0, 3000))), float(rng.integers(1, 900))) for i in range(700)] + [("poor", "t1", 5.0, 9.0), (None, "t1", 5.0, 9.0)]
+    into = [(f"s{i % 6}", maybe(i, float(rng.integers(0, 3000) // 5 * 5)), float(rng.integers(1, 900)), str(i)) for i in range(900)] + [("rich", 3.0, 8.0, "x"), (None, 1.0, 8.0, "y")]
+    kid = spark.createDataFrame(rows, "source string, target string, t double, amount double")
+    inn = spark.createDataFrame(into, "source string, t double, amount double, tie string")
+    want = {(r.source, r.target): r.asDict() for r in hawkes.marked_hawkes(kid, inn, 3000.0, rounds=rounds).collect()}
+    for block in (1, 100, 1024):
+        monkeypatch.setattr(hawkes, "BLOCK", block)
+        got = {(r.source, r.target): r.asDict() for r in hawkes.marked_flows(as_flows(kid, inn).repartition(3), 3000.0, rounds=rounds).collect()}
+        assert got.keys() == want.keys() and len(got) == 22
+        for k, law in want.items():
+            assert got[k].keys() == law.keys()
+            for name, value in law.items():
+                assert got[k][name] == (pytest.approx(value, rel=1e-8, abs=1e-12) if isinstance(value, float) else value), (k, name)
+
+
+def test_a_step_makes_no_row_for_a_payment_s_receipts(spark):
+    """Lines pass one exchange by supplier, and the law of an edge is all that leaves it."""
+    from ripplenet.plans import learning
+
+    plan = learning.marked_hawkes_step(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Relation [l_orderkey" in plan and plan.count("RepartitionByExpression") == 1
