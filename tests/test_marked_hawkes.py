@@ -143,3 +143,20 @@ def test_a_step_makes_no_row_for_a_payment_s_receipts(spark):
 
     plan = learning.marked_hawkes_step(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "Relation [l_orderkey" in plan and plan.count("RepartitionByExpression") == 1
+
+
+def test_flows_run_to_the_tolerance_in_one_job(spark):
+    """The whole fit of many edges, some settled long before others, equals the plain loop; no round is a job of its own."""
+    receipts, kids = stream()
+    sets = {"x": kids, "y": kids[:60], "z": kids[::7], "w": [(t, 900 * a) for t, a in kids[:9]]}
+    kid = spark.createDataFrame([("a", k, t, a) for k, v in sets.items() for t, a in v], "source string, target string, t double, amount double")
+    inn = spark.createDataFrame([("a", t, a, str(i)) for i, (t, a) in enumerate(receipts)], "source string, t double, amount double, tie string")
+    spark.sparkContext.setJobGroup("fit", "fit")
+    got = {r.target: r for r in hawkes.marked_flows(as_flows(kid, inn), 4000.0, tolerance=2e-2).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("fit"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 3 and len({r.rounds for r in got.values()}) > 1
+    for k, v in sets.items():
+        want = plain(receipts, v, 4000.0, rounds=got[k].rounds)
+        for name in want.keys() - {"converged"}:
+            assert getattr(got[k], name) == pytest.approx(want[name], rel=1e-6, abs=1e-9), (k, name)
