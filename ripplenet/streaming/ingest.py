@@ -65,7 +65,11 @@ def ingest_batch(lines: DataFrame, seen: DataFrame | None = None) -> tuple[DataF
 
     A record rejected by a rule never makes a later one a duplicate.
     """
-    v = validate(lines)
+    return split(validate(lines), seen)
+
+
+def split(v: DataFrame, seen: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """:func:`ingest_batch` of validated records."""
     bad = v.where("reason is not null").select("id", "reason", "raw")
     good = v.where("reason is null")
     place = F.row_number().over(Window.partitionBy("id").orderBy("created_at", "raw"))
@@ -165,10 +169,18 @@ class Ledger:
         fs.createNewFile(p)
 
     def write(self, lines: DataFrame, batch: int) -> None:
-        """Ingests one batch; the sink for ``foreachBatch``."""
-        good, bad = ingest_batch(lines, self.events().where(F.col("batch") != batch))
-        good.write.mode("overwrite").parquet(f"{self.path}/events/batch={batch}")
-        bad.write.mode("overwrite").parquet(f"{self.path}/rejections/batch={batch}")
+        """Ingests one batch; the sink for ``foreachBatch``.
+
+        Its records are held as validated: a filter on the reason would else go below the parsing, which is then
+        done again for every field that a rule looks at, and once more for each of the two tables.
+        """
+        held = validate(lines).select("raw", "id", "amount", "created_at", "payer_hint", "payee_hint", "reason").persist()
+        try:
+            good, bad = split(held, self.events().where(F.col("batch") != batch))
+            good.write.mode("overwrite").parquet(f"{self.path}/events/batch={batch}")
+            bad.write.mode("overwrite").parquet(f"{self.path}/rejections/batch={batch}")
+        finally:
+            held.unpersist()
         self.commit(batch)
 
     def run(self, stream: DataFrame, checkpoint: str):
