@@ -128,7 +128,7 @@ SELECT round(2 * sum(CAST(i AS DOUBLE) * v) / (max(n) * sum(v)) - (max(n) + 1) /
 def gini(spark, d):
     x = roles(Network(spark, d))[2].select(F.col("throughput_minor").alias("v"), "merchant_id")
     x = r.placed(x, [F.col("v"), F.col("merchant_id")], "i")
-    g = x.agg(F.sum(F.col("i") * F.col("v").cast("decimal(30,0)")).cast("double").alias("w"), F.sum("v").alias("s"), F.count("*").alias("n"))
+    g = x.agg(F.sum(F.col("i") * F.col("v").cast("decimal(30,0)")).cast("double").alias("w"), F.sum(F.col("v").cast("decimal(30,0)")).cast("double").alias("s"), F.count("*").alias("n"))
     return g.select(F.round(2 * F.col("w") / (F.col("n") * F.col("s")) - (F.col("n") + 1) / F.col("n"), 9).alias("gini"))
 
 
