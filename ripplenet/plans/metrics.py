@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ripplenet.operators import metrics as m
@@ -74,7 +75,10 @@ def precision_at_k(spark, d):
 
 @query(BASE + ", t AS (SELECT user_id, min(value) AS seen, avg(score) AS risk FROM b GROUP BY user_id) SELECT count(*) AS pairs, count(*) FILTER ((a.seen < b.seen AND a.risk > b.risk) OR (a.seen > b.seen AND a.risk < b.risk)) AS concordant, count(*) FILTER (a.risk = b.risk) AS tied FROM t a JOIN t b ON a.user_id < b.user_id AND a.seen <> b.seen")
 def concordance_index(spark, d):
-    t = scored(spark, d).groupBy("user_id").agg(F.min("value").alias("seen"), F.avg("score").alias("risk"))
+    """A user's scores are added up in the order of events: sums of doubles depend on the order, and with them which users tie."""
+    own = Window.partitionBy("user_id").orderBy("event_id", "value").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    b = scored(spark, d).where("user_id is not null").withColumn("risk", F.avg("score").over(own))
+    t = b.groupBy("user_id").agg(F.min("value").alias("seen"), F.first("risk").alias("risk"))
     return ranked.concordance(t, "seen", "risk")
 
 

@@ -8,7 +8,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from ripplenet.operators import learn, ranked
-from ripplenet.plans import learning, metrics
+from ripplenet.plans import learning, metrics, registry
 
 
 def brute_inversions(y, n, low, high):
@@ -43,6 +43,22 @@ def test_concordance_makes_no_pairs(spark):
     assert "CartesianProduct" not in plan and "LessThan" not in plan and " < " not in plan
 
 
+def test_concordance_of_dealt_events_is_that_of_their_order(spark, tmp_path):
+    """Dealt over files at random, the events give the rows of the SQL over the file in order, read by one thread."""
+    import duckdb
+
+    events = spark.read.parquet("/root/testdata/sf0.1/events.parquet")
+    con = duckdb.connect(config={"threads": 1})
+    con.execute("CREATE VIEW events AS SELECT * FROM '/root/testdata/sf0.1/events.parquet' WHERE user_id % 3 = 0")
+    want = con.execute(registry.oracle_sql()["concordance_index"]).fetchone()
+    for parts in (2, 9):
+        events.where("user_id % 3 = 0").repartition(parts, F.xxhash64("event_id")).sortWithinPartitions(F.xxhash64("value")).write.parquet(f"{tmp_path}/{parts}/events.parquet")
+        assert tuple(metrics.concordance_index(spark, f"{tmp_path}/{parts}").first()) == want
+    nameless = events.where("user_id % 3 = 0").union(events.where("user_id = 1").withColumn("user_id", F.lit(None).cast("long")))
+    nameless.write.parquet(f"{tmp_path}/null/events.parquet")
+    assert tuple(metrics.concordance_index(spark, f"{tmp_path}/null").first()) == want  # who is unknown is in no pair
+
+
 def plain_fit(x, y):
     blocks = []
     for v in np.unique(x):
